@@ -83,7 +83,7 @@ class ShardWriter:
         self.fs.create_dir(path, recursive=True)
         self.name, self.final = name, f"{path}/{name}"
         self.temporary = f"{path}/_{name}.{uuid.uuid4().hex}"
-        self.out = self.fs.open_output_stream(self.temporary)
+        self.out = self.fs.open_output_stream(self.temporary, compression=None)
         self.compress = zstandard.ZstdCompressor(level=level).compress
         self.entries: list[tuple[int, int, int]] = []
         self.doc_ids: list[int] = []

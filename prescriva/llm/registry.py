@@ -7,15 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from prescriva.llm.binary_ids import op4_token_ids
+from prescriva.llm.language import op6_language
 from prescriva.llm.pieces import op5_sentencepiece
+from prescriva.llm.toxicity import op2_toxicity
+from prescriva.llm.warc import op9_warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
     return {
+        "op2_toxicity": op2_toxicity,
         "op4_token_ids": op4_token_ids,
         "op5_sentencepiece": op5_sentencepiece,
+        "op6_language": op6_language,
+        "op9_warc": op9_warc,
     }
 
 
