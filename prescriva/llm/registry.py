@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from prescriva.llm import decontamination
 from prescriva.llm.binary_ids import op4_token_ids
+from prescriva.llm.decontamination import op7_decontamination
 from prescriva.llm.language import op6_language
 from prescriva.llm.pieces import op5_sentencepiece
 from prescriva.llm.toxicity import op2_toxicity
@@ -21,9 +23,10 @@ def queries() -> dict[str, Query]:
         "op4_token_ids": op4_token_ids,
         "op5_sentencepiece": op5_sentencepiece,
         "op6_language": op6_language,
+        "op7_decontamination": op7_decontamination,
         "op9_warc": op9_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_decontamination": decontamination.SQL}
