@@ -10,6 +10,7 @@ from prescriva.llm import decontamination
 from prescriva.llm.binary_ids import op4_token_ids
 from prescriva.llm.decontamination import op7_decontamination
 from prescriva.llm.language import op6_language
+from prescriva.llm.lattice import op10_embeddings
 from prescriva.llm.pieces import op5_sentencepiece
 from prescriva.llm.toxicity import op2_toxicity
 from prescriva.llm.warc import op9_warc
@@ -25,6 +26,7 @@ def queries() -> dict[str, Query]:
         "op6_language": op6_language,
         "op7_decontamination": op7_decontamination,
         "op9_warc": op9_warc,
+        "op10_embeddings": op10_embeddings,
     }
 
 
