@@ -13,9 +13,9 @@ beside the files. A file that the manifest does not name (of a task that was los
 not part of the archive.
 
 The winner of each payload comes from a group-by on the digest (partly summed before the
-shuffle), and only digests that occur more than once are joined back, as narrow rows;
-a payload that a third of all pages share is therefore neither gathered in one place
-nor sent along, and the shuffle join may split its key.
+shuffle), and digests that occur more than once are joined back to narrow rows alone;
+these travel among the pages by page_id, so that a payload is shuffled once, and one
+that a third of all pages share is never gathered in one place.
 
 Defined results: a null html is an empty payload; null urls give an empty target;
 pages with equal page_id are all written, in the order of url and html, and the first
@@ -136,34 +136,37 @@ def write_warc(pages: DataFrame, directory: str, min_payload: int = 0, roll_byte
     shared.small_batches(spark)
     archive = f"{directory}/archive"
     facts = payload_facts(pages).select("page_id", "digest").distinct()
-    same = facts.join(winners(pages, min_payload), "digest").select(F.col("page_id").alias("known_id"), F.col("digest").alias("known_digest"), "winner")
-    # Few or many, copies are joined by page and payload: narrow keys that no hot payload shares.
-    dealt = pages.select("page_id", "url", "html").withColumn("digest", F.sha1(F.encode(F.coalesce("html", F.lit("")), "UTF-8")))
-    on = dealt.page_id.eqNullSafe(same.known_id) & (dealt.digest == same.known_digest)
-    dealt = dealt.join(same, on, "left").select("page_id", "url", "html", "winner", F.col("known_digest").isNotNull().alias("shared"))
-    ordered = dealt.repartitionByRange("page_id").sortWithinPartitions("page_id", "url", "html")
+    same = shared.written(facts.join(winners(pages, min_payload), "digest").select("page_id", "digest", "winner"), "copies")
+    # What is known of a page comes just before its rows: narrow rows among the pages, so that payloads are shuffled once.
+    none = F.lit(None)
+    known = same.select("page_id", F.lit(0).alias("kind"), none.cast("string").alias("url"), none.cast("string").alias("html"), "digest", "winner")
+    rows = pages.select("page_id", F.lit(1).alias("kind"), "url", "html", none.cast("string").alias("digest"), none.cast("long").alias("winner"))
+    ordered = known.union(rows).repartitionByRange("page_id").sortWithinPartitions("page_id", "kind", "url", "html")
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         roller = _Roller(archive, TaskContext.get().partitionId(), roll_bytes, level, date)
-        done, last, twin, responded = [], object(), 0, set()
+        done, last, twin, winners_of, responded = [], object(), 0, {}, {}
         for batch in batches:
             htmls = pc.fill_null(batch.column("html"), "").cast(pa.binary()).to_pylist()
-            for page_id, url, payload, winner, is_shared in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url")), htmls, *(batch.column(c).to_pylist() for c in ("winner", "shared")), strict=True):
+            names = ("page_id", "kind", "url", "digest", "winner")
+            for page_id, kind, url, known, winner, payload in zip(*(batch.column(c).to_pylist() for c in names), htmls, strict=True):
                 if page_id != last:
-                    last, twin, responded = page_id, 0, {}
-                else:
-                    twin += 1
-                digest, refers_to = _digest(payload), None
-                if is_shared:
+                    last, twin, winners_of, responded = page_id, 0, {}, {}
+                if kind == 0:
+                    winners_of[known] = winner
+                    continue
+                sha, refers_to = hashlib.sha1(payload), None
+                if sha.hexdigest() in winners_of:
+                    winner = winners_of[sha.hexdigest()]
                     if page_id != winner:
                         refers_to = _record_id(winner, 0)
-                    elif digest in responded:
-                        refers_to = responded[digest]
                     else:
-                        responded[digest] = _record_id(page_id, twin)
-                done.append(roller.add(record(page_id, twin, url, payload, digest, refers_to, date)))
+                        refers_to = responded.get(sha.digest())
+                        responded.setdefault(sha.digest(), _record_id(page_id, twin))
+                done.append(roller.add(record(page_id, twin, url, payload, base64.b32encode(sha.digest()).decode(), refers_to, date)))
+                twin += 1
         done = [x for x in [*done, roller.close()] if x]
         if done:
             columns = list(zip(*done, strict=True))
