@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from prescriva.llm import decontamination
+from prescriva.llm.backoff import op1_lm_score
 from prescriva.llm.binary_ids import op4_token_ids
 from prescriva.llm.decontamination import op7_decontamination
 from prescriva.llm.language import op6_language
@@ -20,6 +21,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 def queries() -> dict[str, Query]:
     return {
+        "op1_lm_score": op1_lm_score,
         "op2_toxicity": op2_toxicity,
         "op4_token_ids": op4_token_ids,
         "op5_sentencepiece": op5_sentencepiece,

@@ -55,8 +55,8 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
 
 
 def crc_mod(column: str, n: int):
-    """crc32 of the id written as text, modulo n."""
-    return F.crc32(F.col(column).cast("string").cast("binary")) % n
+    """crc32 of the id written as text (a null id: the empty text), modulo n."""
+    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
