@@ -15,6 +15,7 @@ from prescriva.llm.lattice import op10_embeddings
 from prescriva.llm.pieces import op5_sentencepiece
 from prescriva.llm.toxicity import op2_toxicity
 from prescriva.llm.warc import op9_warc
+from prescriva.llm.weighted_minhash import op8_near_duplicates
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +28,7 @@ def queries() -> dict[str, Query]:
         "op5_sentencepiece": op5_sentencepiece,
         "op6_language": op6_language,
         "op7_decontamination": op7_decontamination,
+        "op8_near_duplicates": op8_near_duplicates,
         "op9_warc": op9_warc,
         "op10_embeddings": op10_embeddings,
     }

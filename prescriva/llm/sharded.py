@@ -56,14 +56,20 @@ def unpack(body: bytes, ascending: int = 1) -> list[np.ndarray]:
     return out
 
 
-def with_blocks(docs: DataFrame, columns: list[str], rows: int = ROWS) -> DataFrame:
-    """``columns`` of ``docs`` with the long ``block``; what isn't read from files is written first."""
-    number = lambda df: df.select(*columns, F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / rows)).alias("block"))
-    shared.small_batches(docs.sparkSession)
+def from_files(docs: DataFrame) -> DataFrame:
+    """``docs`` if its rows come from files, which numbers them; else a written copy."""
     try:
-        return number(docs)
+        docs.select("_metadata.file_path", "_metadata.row_index")
+        return docs
     except AnalysisException:
-        return number(shared.written(docs.select(*columns), "rows"))
+        return shared.written(docs, "rows")
+
+
+def with_blocks(docs: DataFrame, columns: list[str], rows: int | None = None) -> DataFrame:
+    """``columns`` of ``docs`` with the longs ``block`` and ``row`` (the row's number in its file)."""
+    shared.small_batches(docs.sparkSession)
+    row = F.col("_metadata.row_index")
+    return from_files(docs).select(*columns, F.xxhash64("_metadata.file_path", F.floor(row / (rows or ROWS))).alias("block"), row.alias("row"))
 
 
 def by_block(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -147,15 +153,21 @@ class Answers:
     def __init__(self, path: str):
         self.fs, self.path = shared.store(path)
 
-    def of(self, block: int) -> dict[int, list[bytes]]:
-        """kind -> bodies; empty for a block without answers."""
+    def rows(self, block: int, columns: list[str]) -> list[tuple]:
+        """The block's rows; none for a block without answers."""
         import pyarrow.fs as pafs
         import pyarrow.parquet as pq
 
-        out: dict[int, list[bytes]] = {}
+        out: list[tuple] = []
         for file in self.fs.get_file_info(pafs.FileSelector(f"{self.path}/block={block}", allow_not_found=True)):
             if file.path.endswith(".parquet"):
-                table = pq.ParquetFile(self.fs.open_input_file(file.path)).read(["kind", "body"])
-                for kind, body in zip(table.column("kind").to_pylist(), table.column("body").to_pylist(), strict=True):
-                    out.setdefault(kind, []).append(body)
+                table = pq.ParquetFile(self.fs.open_input_file(file.path)).read(columns)
+                out += zip(*(table.column(c).to_pylist() for c in columns), strict=True)
+        return out
+
+    def of(self, block: int) -> dict[int, list[bytes]]:
+        """kind -> bodies."""
+        out: dict[int, list[bytes]] = {}
+        for kind, body in self.rows(block, ["kind", "body"]):
+            out.setdefault(kind, []).append(body)
         return out
