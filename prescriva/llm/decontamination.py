@@ -92,6 +92,12 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     best = kept.groupBy("doc_id", "item_id").agg(F.max(F.struct("shared", "item_shingles")).alias("m"))
     return best.select("doc_id", "item_id", "m.shared", "m.item_shingles", (F.col("m.shared") / F.col("m.item_shingles")).alias("containment"))
 
+def without(docs: DataFrame, found: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``docs`` whose doc_id isn't in ``found``; the ids are sent to all tasks only if they are few, and shuffled otherwise."""
+    ids = shared.written(found.select(F.col("doc_id").alias("found_id")).distinct(), "found")
+    ids = F.broadcast(ids) if ids.count() <= broadcast_rows else ids.hint("merge")
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("found_id")), "left_anti").select(docs.columns)
+
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document of ``documents`` that contains an item of ``benchmark``, with the item."""
