@@ -13,6 +13,7 @@ from prescriva.llm.decontamination import op7_decontamination
 from prescriva.llm.language import op6_language
 from prescriva.llm.lattice import op10_embeddings
 from prescriva.llm.pieces import op5_sentencepiece
+from prescriva.llm.quality import op3_quality
 from prescriva.llm.toxicity import op2_toxicity
 from prescriva.llm.warc import op9_warc
 from prescriva.llm.weighted_minhash import op8_near_duplicates
@@ -24,6 +25,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_lm_score": op1_lm_score,
         "op2_toxicity": op2_toxicity,
+        "op3_quality": op3_quality,
         "op4_token_ids": op4_token_ids,
         "op5_sentencepiece": op5_sentencepiece,
         "op6_language": op6_language,
