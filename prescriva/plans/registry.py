@@ -1,11 +1,659 @@
-"""Queries of the engine, by name, with the SQL that gives the same rows."""
+"""Queries of the engine, by name, with the SQL that gives the same rows.
+
+Numbers that come from sums of doubles are rounded to six decimals on both sides.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from prescriva.functions import dates, numeric, text
+from prescriva.operators import encode, evaluate, explore, fcm, learn, prescribe, report, schema, split
+from prescriva.plans import outcome as o
+from prescriva.sources import tables
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles rounded; -0.0 becomes 0.0."""
+    return df.select(*((F.round(c, digits) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes))
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Inference ---------------------------------------------------------------------------
+
+
+@query(o.scaled_sql(f"SELECT outcome, level, COUNT(*) AS n, ROUND(AVG(v), 6) AS activation FROM (SELECT outcome, v, {o.LEVEL_SQL} AS level FROM (SELECT outcome, {o.infer_sql()} AS v FROM (SELECT *, {o.pull_sql()} AS p FROM sx))) GROUP BY outcome, level"))
+def flagship_levels(spark, sf_dir):
+    x, _ = o.scaled_outcome(spark, sf_dir)
+    v = x.select("outcome", fcm.infer_column(o.fixed_map(), 0.5, o.STEPS).alias("v"))
+    return v.groupBy("outcome", numeric.nearest_level(F.col("v"), o.LEVELS).alias("level")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("v"), 6).alias("activation"))
+
+
+def _inference(rule: str, activation: str) -> tuple[Query, str]:
+    memory, a, c, slope = fcm.rule_parameters(rule, activation, o.SLOPE)
+
+    def run(spark, sf_dir):
+        x, _ = o.scaled_outcome(spark, sf_dir)
+        return rounded(x.select("row_id", fcm.infer_column(o.fixed_map(rule, activation), 0.5, o.STEPS).alias("v")))
+
+    return run, o.scaled_sql(f"SELECT row_id, ROUND({o.infer_sql(memory=memory, a=a, c=c, slope=slope)}, 6) AS v FROM (SELECT *, {o.pull_sql(a=a, c=c)} AS p FROM sx)")
+
+
+for _name, _rule, _act in (("fcm_infer_kosko", "kosko", "sigmoide"), ("fcm_infer_modified", "kosko_modificada", "sigmoide"), ("fcm_infer_rescaled", "reescalada", "sigmoide"), ("fcm_infer_tanh", "kosko_modificada", "tanh")):
+    _QUERIES[_name], _SQL[_name] = _inference(_rule, _act)
+
+_TWO = """r AS (SELECT row_id, n_orders, avg_qty, avg_discount, urgent_share, 0 AS t, acctbal AS a, 0.5::DOUBLE AS y FROM sx
+UNION ALL SELECT row_id, n_orders, avg_qty, avg_discount, urgent_share, t + 1,
+1 / (1 + exp(-2.0 * (a + 0.4 * n_orders - 0.2 * avg_qty - 0.5))),
+1 / (1 + exp(-2.0 * (y + 0.8 * n_orders + 0.1 * avg_qty - 0.1 * avg_discount + 0.05 * a - 0.15 * urgent_share - 0.9))) FROM r WHERE t < {t})"""
+
+
+def _recursive(steps: int, body: str) -> str:
+    return o.scaled_sql(", " + _TWO.format(t=steps) + body).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(_recursive(30, "SELECT row_id, ROUND(a, 6) AS acctbal, ROUND(y, 6) AS y FROM r WHERE t = 30"))
+def fcm_two_dynamics(spark, sf_dir):
+    x, _ = o.scaled_outcome(spark, sf_dir)
+    m = o.two_moving()
+    out = fcm.infer_frame(x.withColumn("y", F.lit(0.5)), m, ["row_id"], 30)
+    return rounded(out.select("row_id", *(F.get("state", F.lit(m.ids.index(k))).alias(k) for k in ("acctbal", "y"))))
+
+
+@query(_recursive(5, "SELECT row_id, t, concept, ROUND(activation, 6) AS activation FROM (SELECT row_id, t, 'acctbal' AS concept, a AS activation FROM r UNION ALL SELECT row_id, t, 'y', y FROM r)"))
+def fcm_trajectory(spark, sf_dir):
+    x, _ = o.scaled_outcome(spark, sf_dir)
+    return rounded(fcm.trajectory(x.withColumn("y", F.lit(0.5)), o.two_moving(), "row_id", 5))
+
+
+@query(o.scaled_sql(f"SELECT row_id, ROUND(y, 6) AS memory, ROUND({o.pull_sql()} - ({o.BIAS}), 6) AS influence, ROUND(0.8 * n_orders + 0.1 * avg_qty - 0.1 * avg_discount, 6) AS part, ROUND({o.BIAS}, 6) AS bias FROM sx"))
+def fcm_terms(spark, sf_dir):
+    x, _ = o.scaled_outcome(spark, sf_dir)
+    return rounded(fcm.terms(x, o.fixed_map(), "row_id", o.ACTIONS))
+
+
+@query(o.scaled_sql("SELECT row_id, concept, ROUND(contribution, 6) + 0.0 AS contribution FROM (" + " UNION ALL ".join(f"SELECT row_id, '{k}' AS concept, ({v}) * {k} AS contribution FROM sx" for k, v in o.WEIGHTS.items()) + ")"))
+def contributions(spark, sf_dir):
+    x, _ = o.scaled_outcome(spark, sf_dir)
+    return rounded(fcm.contributions(x, o.fixed_map(), "row_id"))
+
+
+@query(o.scaled_sql(f"SELECT row_id, ROUND(b, 6) AS base, ROUND({o.infer_sql()}, 6) AS simulated FROM (SELECT row_id, b, {o.pull_sql()} AS p FROM (SELECT row_id, LEAST(n_orders + 0.2, 1.0) AS n_orders, avg_qty, avg_discount, acctbal, urgent_share, {o.infer_sql()} AS b FROM (SELECT *, {o.pull_sql()} AS p FROM sx)))"))
+def what_if(spark, sf_dir):
+    x, _ = o.scaled_outcome(spark, sf_dir)
+    m = o.fixed_map()
+    more = {"n_orders": F.least(F.col("n_orders") + 0.2, F.lit(1.0))}
+    return rounded(x.select("row_id", fcm.infer_column(m, 0.5).alias("base"), fcm.infer_column(m, 0.5, columns=more).alias("simulated")))
+
+
+_CONCEPTS = "(VALUES " + ", ".join(f"('{c.id}', {str(c.dynamic).lower()}, {str(c.column == 'outcome').lower()})" for c in o.FULL_SCHEMA.all_dynamic().concepts) + ") AS t(id, dynamic, objective)"
+_EDGES = f"SELECT a.id AS source, b.id AS target FROM {_CONCEPTS.replace(' t(', ' a(')}, {_CONCEPTS.replace(' t(', ' b(')} WHERE NOT a.objective AND b.dynamic AND a.id <> b.id"
+
+
+@query(_EDGES)
+def allowed_edges(spark, sf_dir):
+    s = o.FULL_SCHEMA.all_dynamic()
+    return fcm.allowed_edges(fcm.concept_table(spark, s.concepts, s.concepts[-1].id))
+
+
+@query(f"SELECT * FROM ({_EDGES}) WHERE NOT (source = 'C1' AND target = 'C14') AND NOT (source = 'C8' AND target = 'C11')")
+def causal_mask(spark, sf_dir):
+    return fcm.masked_edges(allowed_edges(spark, sf_dir), spark.createDataFrame([("C1", "C14"), ("C8", "C11")], "source string, target string"))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', {v})" for k, v in o.WEIGHTS.items()) + f", ('sesgo', {o.BIAS})) AS t(source, y)")
+def weight_matrix(spark, sf_dir):
+    return tables.weight_matrix(o.fixed_map().edges(spark), ["y"])
+
+
+@query("SELECT source, weight FROM (VALUES ('n_orders', 0.8), ('urgent_share', -0.15), ('avg_discount', -0.1), ('avg_qty', 0.1), ('acctbal', 0.05)) AS t(source, weight)")
+def influences(spark, sf_dir):
+    return o.fixed_map().edges(spark).where("source <> 'sesgo'").orderBy(F.desc(F.abs("weight")), "source").select("source", "weight")
+
+
+# Learning ----------------------------------------------------------------------------
+
+
+@query(o.scaled_sql(f"SELECT ROUND(AVG((v - y) * (v - y)) + 0.001 * {sum(v * v for v in o.WEIGHTS.values()) + o.BIAS**2}, 6) AS loss FROM (SELECT y, {o.infer_sql(start='m')} AS v FROM (SELECT sx.*, (SELECT AVG(y) FROM sx) AS m, {o.pull_sql()} AS p FROM sx))"))
+def loss_fixed_theta(spark, sf_dir):
+    x, _ = o.scaled_outcome(spark, sf_dir)
+    m = o.fixed_map()
+    goal = learn.Objective(m, x, m.weights != 0)
+    theta = np.concatenate([m.weights[tuple(goal.edges.T)], m.bias[goal.receivers]])
+    return spark.createDataFrame([(round(float(goal(theta)[0][0]), 6),)], "loss double")
+
+
+def _trained(spark, sf_dir, method: str, most: int) -> DataFrame:
+    x, _ = o.scaled_outcome(spark, sf_dir)
+    m = o.fixed_map()
+    trained, loss = learn.train(x, m, m.weights != 0, method=method, most=most)
+    return rounded(trained.edges(spark).withColumn("loss", F.lit(loss)))
+
+
+@query()
+def train_descent(spark, sf_dir):
+    return _trained(spark, sf_dir, "descent", 25)
+
+
+@query()
+def train_swarm(spark, sf_dir):
+    return _trained(spark, sf_dir, "swarm", 10)
+
+
+@query()
+def cross_validation_table(spark, sf_dir):
+    x, _ = o.scaled_outcome(spark, sf_dir)
+    m = o.fixed_map()
+    folded = split.grouped_folds(x.withColumn("profile", F.pmod(F.xxhash64("row_id"), F.lit(60))), "profile", "outcome", 2)
+    return rounded(learn.cross_validation(folded, m, m.weights != 0, "fold", "outcome", o.LEVELS, slopes=(1.0, 2.0), most=6))
+
+
+# Profiles ----------------------------------------------------------------------------
+
+_NUMERIC = "SELECT '{c}' AS \"column\", COUNT({c}) AS present, COUNT(DISTINCT {c}) AS \"distinct\", COUNT(*) - COUNT({c}) AS missing, ROUND(MIN({c}), 6) AS low, ROUND(quantile_cont({c}, 0.25), 6) AS q1, ROUND(quantile_cont({c}, 0.5), 6) AS median, ROUND(quantile_cont({c}, 0.75), 6) AS q3, ROUND(MAX({c}), 6) AS high, ROUND(AVG({c}), 6) AS mean, ROUND(STDDEV_SAMP({c}), 6) AS std FROM co"
+
+
+@query(o.sql(" UNION ALL ".join(_NUMERIC.format(c=c).replace(f"({c}", f"({c}::DOUBLE") for c in o.SCALED)))
+def profile_numeric(spark, sf_dir):
+    return rounded(explore.numeric_profile(o.customer_outcome(spark, sf_dir), o.SCALED))
+
+
+@query("SELECT (SELECT COUNT(*) FROM e) AS \"rows\", 3 AS columns, (SELECT COUNT(*) FROM e) - (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM e)) AS duplicates, (SELECT CAST(SUM((event_type IS NULL)::INT + (bucket IS NULL)::INT + (user_id IS NULL)::INT) AS BIGINT) FROM e) AS empty_cells, (SELECT COUNT(*) FROM e WHERE event_type IS NULL OR bucket IS NULL OR user_id IS NULL) AS rows_with_empty, 2 AS \"numeric\", 1 AS categorical FROM (SELECT 1)".replace("SELECT (SELECT COUNT(*) FROM e) AS", "WITH e AS (SELECT CASE WHEN event_id % 17 = 0 THEN NULL ELSE event_type END AS event_type, user_id % 10 AS user_id, CASE WHEN event_id % 13 = 0 THEN NULL ELSE event_id % 3 END AS bucket FROM events) SELECT (SELECT COUNT(*) FROM e) AS", 1))
+def profile_dataset(spark, sf_dir):
+    e = _table(spark, sf_dir, "events")
+    own = e.select(F.when(F.col("event_id") % 17 != 0, F.col("event_type")).alias("event_type"), (F.col("user_id") % 10).alias("user_id"), F.when(F.col("event_id") % 13 != 0, F.col("event_id") % 3).alias("bucket"))
+    return explore.dataset_profile(own)
+
+
+@query("SELECT o_orderpriority AS category, COUNT(*) AS n FROM orders GROUP BY 1")
+def profile_categorical(spark, sf_dir):
+    return explore.category_counts(_table(spark, sf_dir, "orders"), "o_orderpriority", "o_orderkey")
+
+
+@query("SELECT trim(p_brand) AS category, COUNT(*) AS n FROM part GROUP BY 1 ORDER BY n DESC, MIN(p_partkey) LIMIT 15")
+def topk_categories(spark, sf_dir):
+    return explore.category_counts(_table(spark, sf_dir, "part"), "p_brand", "p_partkey", 15)
+
+
+@query("SELECT trim(p_type) AS value, MIN(p_partkey) AS first FROM part GROUP BY 1 ORDER BY first, value LIMIT 5")
+def distinct_examples(spark, sf_dir):
+    return explore.distinct_examples(_table(spark, sf_dir, "part"), "p_type", "p_partkey")
+
+
+_SHAPE = "SELECT '{c}' AS \"column\", COUNT(*) AS present, COUNT(DISTINCT v) AS \"distinct\", ROUND(AVG(CASE WHEN regexp_full_match(v, '\\D*\\d+\\D*') THEN 1.0 ELSE 0.0 END), 6) AS with_number, ROUND(AVG(CASE WHEN regexp_matches(v, '^([0-9]{{4}}[-/.][0-9]{{1,2}}[-/.][0-9]{{1,2}}|[0-9]{{1,2}}[-/.][0-9]{{1,2}}[-/.][0-9]{{4}})') THEN 1.0 ELSE 0.0 END), 6) AS date_like FROM (SELECT trim({e}) AS v FROM part) WHERE v IS NOT NULL"
+_DAY = "strftime(DATE '2024-01-01' + CAST(p_partkey % 300 AS INT), '%d/%m/%Y')"
+_SHAPES = " UNION ALL ".join(_SHAPE.format(c=c, e=e) for c, e in (("p_brand", "p_brand"), ("p_type", "p_type"), ("p_name", "p_name"), ("added", _DAY)))
+
+
+def _parts(spark, sf_dir) -> DataFrame:
+    return _table(spark, sf_dir, "part").withColumn("added", F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), (F.col("p_partkey") % 300).cast("int")), "dd/MM/yyyy"))
+
+
+@query(_SHAPES)
+def encoding_shapes(spark, sf_dir):
+    return rounded(explore.text_shapes(_parts(spark, sf_dir), ["p_brand", "p_type", "p_name", "added"]))
+
+
+@query(f"SELECT \"column\", CASE WHEN \"distinct\" = 2 THEN 'ordinal' WHEN with_number = 1.0 THEN 'numero_en_texto' WHEN date_like >= 0.95 THEN 'fecha' ELSE 'nominal' END AS encoding, \"distinct\" >= 0.95 * present AS identifier FROM ({_SHAPES})")
+def suggest_encoding(spark, sf_dir):
+    return explore.suggested_encoding(explore.text_shapes(_parts(spark, sf_dir), ["p_brand", "p_type", "p_name", "added"]))
+
+
+_LEAK = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", COUNT(*) AS \"distinct\", ROUND(SUM(best) / SUM(n), 6) AS accuracy FROM (SELECT v, MAX(n) AS best, SUM(n) AS n FROM (SELECT {c} AS v, l_linestatus, COUNT(*) AS n FROM lineitem GROUP BY 1, 2) GROUP BY v)" for c in ("l_returnflag", "l_linenumber"))
+
+
+@query(_LEAK)
+def leakage_accuracy(spark, sf_dir):
+    return rounded(schema.single_column_accuracy(_table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linenumber"], "l_linestatus"))
+
+
+@query(o.sql("SELECT 'band' AS \"column\", CAST(COUNT(DISTINCT outcome) AS BIGINT) AS \"distinct\", 1.0::DOUBLE AS accuracy FROM co"))
+def leakage_found(spark, sf_dir):
+    df = o.customer_outcome(spark, sf_dir).withColumn("band", F.concat(F.lit("band "), "outcome"))
+    return schema.determining_columns(df, ["band", "mkt"], "outcome")
+
+
+@query("SELECT c_mktsegment AS category, COUNT(*) AS n FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY') GROUP BY 1")
+def unknown_categories(spark, sf_dir):
+    return schema.unknown_categories(_table(spark, sf_dir, "customer"), schema.ColumnSpec("c_mktsegment", "mutable", "ordinal", ("BUILDING", "MACHINERY")))
+
+
+@query(o.sql("SELECT c AS \"column\", r AS role, e AS encoding, (SELECT COUNT(*) FROM co) AS \"rows\", p AS present, d AS readable, k AS \"distinct\" FROM (" + " UNION ALL ".join(f"SELECT '{c.name}' AS c, '{c.role}' AS r, '{c.encoding}' AS e, COUNT({c.name}) AS p, COUNT({c.name}) AS d, COUNT(DISTINCT {c.name}) AS k FROM co" for c in o.FULL_SCHEMA.columns if c.name not in ('avg_qty', 'avg_discount', 'urgent_share', 'last_order')) + ")"))
+def schema_validation(spark, sf_dir):
+    s = schema.Schema("t", tuple(c for c in o.FULL_SCHEMA.columns if c.name not in ("avg_qty", "avg_discount", "urgent_share", "last_order")))
+    return schema.validate(o.customer_outcome(spark, sf_dir), s)
+
+
+# Encoders ----------------------------------------------------------------------------
+
+
+@query(o.sql("SELECT nation AS category, COUNT(*) AS n, ROUND((SUM(y) + 10 * (SELECT AVG(y) FROM oy)) / (COUNT(*) + 10), 6) AS encoded FROM oy GROUP BY nation").replace("SELECT nation AS category", ", oy AS (SELECT *, CASE outcome WHEN 'L' THEN 0.0 WHEN 'M' THEN 0.5 ELSE 1.0 END AS y FROM co) SELECT nation AS category", 1))
+def target_encoding(spark, sf_dir):
+    df = o.customer_outcome(spark, sf_dir)
+    return rounded(encode.target_means(df, "nation", encode.objective_value(df, o.SCHEMA)))
+
+
+@query(o.sql("SELECT row_id, ROUND(COALESCE(e, (SELECT AVG(y) FROM oy WHERE row_id % 2 = 0)), 6) AS encoded FROM co LEFT JOIN (SELECT mkt, (SUM(y) + 10 * (SELECT AVG(y) FROM oy WHERE row_id % 2 = 0)) / (COUNT(*) + 10) AS e FROM oy WHERE row_id % 2 = 0 AND mkt <> 'BUILDING' OR row_id % 2 = 0 GROUP BY mkt) AS m USING (mkt)").replace("SELECT row_id, ROUND(COALESCE(e", ", oy AS (SELECT *, CASE outcome WHEN 'L' THEN 0.0 WHEN 'M' THEN 0.5 ELSE 1.0 END AS y FROM co) SELECT row_id, ROUND(COALESCE(e", 1))
+def target_encoding_apply(spark, sf_dir):
+    df = o.customer_outcome(spark, sf_dir)
+    train = df.where("row_id % 2 = 0")
+    means = encode.target_means(train, "mkt", encode.objective_value(train, o.SCHEMA))
+    overall = train.agg(F.avg(encode.objective_value(train, o.SCHEMA))).first()[0]
+    return rounded(df.join(means, F.col("mkt") == F.col("category"), "left").select("row_id", F.coalesce("encoded", F.lit(overall)).alias("encoded")))
+
+
+@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'O' THEN 0.0 WHEN 'P' THEN 1.0 WHEN 'F' THEN 2.0 END AS code FROM orders")
+def ordinal_encode(spark, sf_dir):
+    df = _table(spark, sf_dir, "orders")
+    return df.select("o_orderkey", encode.ordinal(text.canonical(df, "o_orderstatus"), ("O", "P", "F")).alias("code"))
+
+
+@query("SELECT c_custkey, " + ", ".join(f"CASE WHEN c_mktsegment = '{k}' THEN 1.0 ELSE 0.0 END AS is_{k.lower()}" for k in ("BUILDING", "MACHINERY")) + " FROM customer")
+def one_hot(spark, sf_dir):
+    df = _table(spark, sf_dir, "customer")
+    return df.select("c_custkey", *(encode.one_hot(text.canonical(df, "c_mktsegment"), k).alias(f"is_{k.lower()}") for k in ("BUILDING", "MACHINERY")))
+
+
+@query("SELECT p_partkey, TRY_CAST(NULLIF(regexp_extract(p_brand, '(\\d+)', 1), '') AS DOUBLE) AS brand FROM part")
+def number_in_text(spark, sf_dir):
+    df = _table(spark, sf_dir, "part")
+    return df.select("p_partkey", text.first_number(text.canonical(df, "p_brand")).alias("brand"))
+
+
+@query("SELECT o_orderkey, CAST(date_diff('day', (SELECT MIN(CAST(o_orderdate AS DATE)) FROM orders), CAST(o_orderdate AS DATE)) AS DOUBLE) AS days FROM orders")
+def date_days(spark, sf_dir):
+    df = _table(spark, sf_dir, "orders")
+    first = df.agg(F.min(F.col("o_orderdate").cast("date"))).first()[0]
+    return df.select("o_orderkey", dates.days_since(F.col("o_orderdate").cast("date"), first).alias("days"))
+
+
+@query("SELECT p_partkey, strftime(DATE '2024-01-01' + CAST(p_partkey % 300 AS INT), '%Y-%m-%d') AS day FROM part")
+def date_two_formats(spark, sf_dir):
+    df = _parts(spark, sf_dir)
+    mixed = F.when(F.col("p_partkey") % 2 == 0, F.col("added")).otherwise(F.concat(F.substring("added", 7, 4), F.lit("-"), F.substring("added", 4, 2), F.lit("-"), F.substring("added", 1, 2)))
+    return df.select("p_partkey", F.date_format(dates.parsed(mixed), "yyyy-MM-dd").alias("day"))
+
+
+@query(o.scaled_sql("SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", ROUND(low_{c}, 6) AS low, ROUND(high_{c}, 6) AS high FROM lx" for c in o.SCALED) + ")"))
+def robust_limits(spark, sf_dir):
+    df = o.customer_outcome(spark, sf_dir)
+    medians = df.agg(*(F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(c) for c in o.SCALED)).first().asDict()
+    return rounded(encode.robust_limits(df.select(*(F.coalesce(F.col(c).cast("double"), F.lit(medians[c])).alias(c) for c in o.SCALED)), o.SCALED))
+
+
+@query(o.scaled_sql("SELECT row_id, " + ", ".join(f"ROUND({c}, 6) AS {c}" for c in [*o.SCALED, "y"]) + " FROM sx"))
+def min_max(spark, sf_dir):
+    return rounded(o.scaled_outcome(spark, sf_dir)[0].drop("region", "outcome"))
+
+
+@query("WITH m AS (SELECT quantile_cont(CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE c_acctbal END, 0.5) AS v FROM customer) SELECT c_custkey, ROUND(COALESCE(CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE c_acctbal END, m.v), 6) AS acctbal FROM customer, m")
+def impute_median(spark, sf_dir):
+    df = _table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 17 != 0, F.col("c_acctbal")).alias("acctbal"))
+    median = df.agg(F.percentile("acctbal", F.lit(0.5))).first()[0]
+    return rounded(df.select("c_custkey", F.coalesce("acctbal", F.lit(median)).alias("acctbal")))
+
+
+@query(o.sql("SELECT row_id, CASE outcome WHEN 'L' THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS y, CASE WHEN outcome = 'L' THEN '<M' ELSE '≥M' END AS level FROM co"))
+def binarize_objective(spark, sf_dir):
+    df, s = o.customer_outcome(spark, sf_dir), o.SCHEMA.binarized("M")
+    y = encode.objective_value(df, s)
+    return df.select("row_id", y.alias("y"), numeric.nearest_level(y, s.level_values).alias("level"))
+
+
+@query("SELECT c_custkey, CASE WHEN v <= 0.25 THEN 'Bajo' WHEN v <= 0.75 THEN 'Medio' ELSE 'Alto' END AS level FROM (SELECT c_custkey, (c_acctbal - (SELECT MIN(c_acctbal) FROM customer)) / ((SELECT MAX(c_acctbal) FROM customer) - (SELECT MIN(c_acctbal) FROM customer)) AS v FROM customer)")
+def numeric_levels(spark, sf_dir):
+    df = _table(spark, sf_dir, "customer")
+    low, high = df.agg(F.min("c_acctbal"), F.max("c_acctbal")).first()
+    return df.select("c_custkey", numeric.nearest_level(numeric.min_max(F.col("c_acctbal"), low, high), schema.NUMERIC_LEVELS).alias("level"))
+
+
+@query("SELECT n_nationkey, trim(regexp_replace(lower(n_name), '[^a-z0-9]+', '_', 'g'), '_') AS slug FROM nation")
+def text_slug(spark, sf_dir):
+    return _table(spark, sf_dir, "nation").select("n_nationkey", text.slug(F.col("n_name")).alias("slug"))
+
+
+@query("SELECT c_custkey, regexp_replace(regexp_replace(translate(format('{:,.2f}', c_acctbal), ',.', '.,'), '(,\\d*?)0+$', '\\1'), ',$', '') AS shown FROM customer")
+def number_format(spark, sf_dir):
+    return _table(spark, sf_dir, "customer").select("c_custkey", text.number(F.col("c_acctbal")).alias("shown"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def json_property(spark, sf_dir):
+    return _table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").try_cast("long").alias("k"))
+
+
+# Exploration -------------------------------------------------------------------------
+
+
+@query(o.sql("SELECT outcome AS level, COUNT(acctbal) AS n, ROUND(AVG(acctbal), 6) AS mean, ROUND(quantile_cont(acctbal, 0.25), 6) AS q1, ROUND(quantile_cont(acctbal, 0.5), 6) AS median, ROUND(quantile_cont(acctbal, 0.75), 6) AS q3 FROM co GROUP BY outcome"))
+def stats_by_level(spark, sf_dir):
+    return rounded(explore.stats_by_level(o.customer_outcome(spark, sf_dir), "acctbal", "outcome"))
+
+
+@query(o.sql("SELECT bin, level, COUNT(*) AS n FROM (SELECT CAST(LEAST(FLOOR((acctbal - lo) / ((hi - lo) / 12)) + 1, 12) AS BIGINT) AS bin, outcome AS level FROM co, (SELECT MIN(acctbal) AS lo, MAX(acctbal) AS hi FROM co)) GROUP BY bin, level"))
+def hist_by_level(spark, sf_dir):
+    return explore.histogram_by_level(o.customer_outcome(spark, sf_dir), "acctbal", "outcome")
+
+
+@query(o.sql("SELECT region AS category, COUNT(*) AS n, " + ", ".join(f"COUNT(*) FILTER (outcome = '{k}') AS n_{k}" for k in o.LEVELS) + " FROM co GROUP BY region"))
+def cat_by_level(spark, sf_dir):
+    return explore.categories_by_level(o.customer_outcome(spark, sf_dir), "region", "outcome", list(o.LEVELS))
+
+
+@query(o.scaled_sql(" UNION ALL ".join(f"SELECT outcome AS level, '{c}' AS concept, ROUND(AVG({c}), 6) AS mean FROM sx GROUP BY outcome" for c in o.SCALED)))
+def level_profile(spark, sf_dir):
+    return rounded(explore.level_means(o.scaled_outcome(spark, sf_dir)[0], o.SCALED, "outcome"))
+
+
+_PAIRS = [(a, b) for a in o.SCALED for b in o.SCALED]
+
+
+@query(o.scaled_sql(" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, ROUND(corr({a}, {b}), 6) + 0.0 AS r FROM sx" for a, b in _PAIRS)))
+def pearson_matrix(spark, sf_dir):
+    return rounded(explore.correlations(o.scaled_outcome(spark, sf_dir)[0], o.SCALED))
+
+
+_RANKS = ", ".join(f"RANK() OVER (ORDER BY {c}) + (COUNT(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}" for c in ("acctbal", "n_orders", "spend"))
+
+
+@query(o.sql(f", rk AS (SELECT {_RANKS} FROM co) " + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, ROUND(corr({a}, {b}), 6) + 0.0 AS r FROM rk" for a in ("acctbal", "n_orders", "spend") for b in ("acctbal", "n_orders", "spend"))))
+def spearman_matrix(spark, sf_dir):
+    return rounded(explore.spearman(o.customer_outcome(spark, sf_dir).withColumn("n_orders", F.col("n_orders").cast("double")), ["acctbal", "n_orders", "spend"], "row_id"))
+
+
+@query(" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, ROUND(covar_pop({a}, {b}), 4) + 0.0 AS covariance FROM lineitem" for a, b in (("l_quantity", "l_quantity"), ("l_quantity", "l_discount"), ("l_quantity", "l_tax"), ("l_discount", "l_discount"), ("l_discount", "l_tax"), ("l_tax", "l_tax"))))
+def cov_partials(spark, sf_dir):
+    return rounded(explore.co_moments(_table(spark, sf_dir, "lineitem"), ["l_quantity", "l_discount", "l_tax"]), 4)
+
+
+@query()
+def partial_correlation(spark, sf_dir):
+    return rounded(explore.partial_correlations(o.scaled_outcome(spark, sf_dir)[0], [*o.SCALED, "y"]))
+
+
+@query(o.scaled_sql("SELECT a, b, ROUND(r, 6) AS r FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM sx" for a, b in _PAIRS if a < b) + ") ORDER BY abs(r) DESC, a, b LIMIT 5"))
+def strongest_pairs(spark, sf_dir):
+    return rounded(explore.strongest_pairs(explore.correlations(o.scaled_outcome(spark, sf_dir)[0], o.SCALED), "y", 5))
+
+
+@query("SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_acctbal > 1000 AND c_mktsegment <> 'BUILDING' ORDER BY c_acctbal DESC NULLS LAST, c_custkey LIMIT 25 OFFSET 10")
+def rows_page_filtered(spark, sf_dir):
+    page, _ = explore.rows_page(_table(spark, sf_dir, "customer"), "c_custkey", [("c_acctbal", ">", 1000), ("c_mktsegment", "!=", "BUILDING")], "c_acctbal", True, 10, 25, ["c_name", "c_acctbal"])
+    return page
+
+
+@query("SELECT COUNT(*) AS total FROM customer WHERE contains(lower(c_mktsegment), 'build') AND c_custkey <= 900")
+def rows_contains(spark, sf_dir):
+    return explore.rows_page(_table(spark, sf_dir, "customer"), "c_custkey", [("c_mktsegment", "contiene", "BUILD"), ("c_custkey", "<=", "900")])[1]
+
+
+@query(o.sql("SELECT row_id, outcome, spend FROM (SELECT row_id, outcome, ROUND(spend, 6) AS spend FROM co WHERE outcome = 'H') ORDER BY spend, row_id LIMIT 40"))
+def rows_by_level(spark, sf_dir):
+    df = rounded(o.customer_outcome(spark, sf_dir).select("row_id", "outcome", "spend"))
+    return explore.rows_page(df, "row_id", [("outcome", "=", "H")], "spend", False, 0, 40)[0]
+
+
+@query("SELECT 'l_quantity' AS \"column\", CAST(quantile_cont(l_quantity, 0.5) AS VARCHAR) AS value FROM lineitem UNION ALL SELECT 'l_returnflag', v FROM (SELECT l_returnflag AS v, COUNT(*) AS n, MIN(l_orderkey) AS f FROM lineitem GROUP BY 1 ORDER BY n DESC, f LIMIT 1)")
+def typical_profile(spark, sf_dir):
+    return explore.typical_row(_table(spark, sf_dir, "lineitem"), ["l_quantity"], ["l_returnflag"], "l_orderkey")
+
+
+@query()
+def scatter_sample(spark, sf_dir):
+    return explore.scatter_sample(_table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 200)
+
+
+@query("SELECT role, COUNT(*) AS n, COUNT(DISTINCT conv_id) AS conversations, MAX(turn) AS last_turn FROM conversations GROUP BY role")
+def conversation_roles(spark, sf_dir):
+    return _table(spark, sf_dir, "conversations").groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("conv_id").alias("conversations"), F.max("turn").alias("last_turn"))
+
+
+# Splits ------------------------------------------------------------------------------
+
+
+@query(o.sql("SELECT row_id, MIN(row_id) OVER (PARTITION BY region, mkt, nation) AS \"group\" FROM co"))
+def group_ids(spark, sf_dir):
+    return split.group_id(o.customer_outcome(spark, sf_dir), ["region", "mkt", "nation"], "row_id").select("row_id", "group")
+
+
+@query(o.sql("SELECT region, mkt FROM co WHERE row_id % 2 = 0 INTERSECT SELECT region, mkt FROM co WHERE row_id % 2 = 1"))
+def shared_profiles(spark, sf_dir):
+    df = o.customer_outcome(spark, sf_dir)
+    return df.where("row_id % 2 = 0").select("region", "mkt").intersect(df.where("row_id % 2 = 1").select("region", "mkt"))
+
+
+@query(o.sql("SELECT outcome AS level, COUNT(*) AS n, ROUND((SELECT COUNT(*) FROM co) / (3.0 * COUNT(*)), 6) AS weight FROM co GROUP BY outcome"))
+def balanced_weights(spark, sf_dir):
+    return rounded(split.level_weights(o.customer_outcome(spark, sf_dir), "outcome"))
+
+
+@query(o.sql("SELECT outcome, COUNT(*) AS n, CAST(CEIL(COUNT(*) * 0.3) AS BIGINT) AS test FROM co GROUP BY outcome"))
+def stratified_split(spark, sf_dir):
+    own = split.stratified_split(o.customer_outcome(spark, sf_dir).select("row_id", "outcome"), "outcome", "row_id")
+    return own.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("test").cast("long")).alias("test"))
+
+
+@query(o.sql("SELECT COUNT(*) AS n, COUNT(DISTINCT (region, mkt, nation)) AS profiles, 1 AS most_folds_of_a_profile FROM co"))
+def grouped_folds(spark, sf_dir):
+    own = split.group_id(o.customer_outcome(spark, sf_dir), ["region", "mkt", "nation"], "row_id")
+    folded = split.grouped_folds(own.select("row_id", "group", "outcome"), "group", "outcome")
+    per = folded.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("fold").alias("folds"))
+    return per.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("profiles"), F.max("folds").cast("int").alias("most_folds_of_a_profile"))
+
+
+@query()
+def smote(spark, sf_dir):
+    x, _ = o.scaled_outcome(spark, sf_dir)
+    return rounded(split.smote(x, o.SCALED, "outcome", "row_id").groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("synthetic").cast("long")).alias("made")))
+
+
+# Prescriptions -----------------------------------------------------------------------
+
+PLAN = prescribe.Plan(("n_orders", "avg_qty"), condition="urgent_share", delta_most=0.5)
+_HIGH = "CASE WHEN urgent_share >= 0.5 THEN LEAST({h}, {a} + 0.15) ELSE {h} END"
+
+
+def _high(a: str) -> str:
+    return _HIGH.format(a=a, h=f"LEAST(1.0, {a} + 0.5)")
+
+
+@query(o.scaled_sql(f"SELECT row_id, ROUND(n_orders, 6) AS low, ROUND({_high('n_orders')}, 6) AS high FROM sx"))
+def action_bounds(spark, sf_dir):
+    x, _ = o.scaled_outcome(spark, sf_dir)
+    low, high = prescribe.bounds(PLAN, "n_orders")
+    return rounded(x.select("row_id", low.alias("low"), high.alias("high")))
+
+
+@query(o.scaled_sql("SELECT row_id, ROUND(COALESCE((SELECT MIN(v) FROM (VALUES (0.0), (0.25), (0.5), (0.75), (1.0)) AS g(v) WHERE v >= n_orders - 1e-9 AND abs(v - GREATEST(n_orders, LEAST(n_orders + 0.1, 1.0))) = (SELECT MIN(abs(v - GREATEST(n_orders, LEAST(n_orders + 0.1, 1.0)))) FROM (VALUES (0.0), (0.25), (0.5), (0.75), (1.0)) AS h(v) WHERE v >= n_orders - 1e-9)), n_orders), 6) AS v FROM sx"))
+def discretize(spark, sf_dir):
+    x, _ = o.scaled_outcome(spark, sf_dir)
+    plan = prescribe.Plan(("n_orders",), grids=(("n_orders", (0.0, 0.25, 0.5, 0.75, 1.0)),))
+    wanted = F.greatest(F.col("n_orders"), F.least(F.col("n_orders") + 0.1, F.lit(1.0)))
+    return rounded(x.select("row_id", prescribe.discretized(wanted, plan, "n_orders").alias("v")))
+
+
+_COST = f"SELECT row_id, ROUND(GREATEST(1.0 - v, 0) + 0.4 * d, 6) AS cost FROM (SELECT row_id, {o.infer_sql(start='y')} AS v, d FROM (SELECT row_id, y, {o.pull_sql()} AS p, d FROM (SELECT row_id, y, LEAST(n_orders + 0.1, 1.0) AS n_orders, avg_qty, avg_discount, acctbal, urgent_share, (LEAST(n_orders + 0.1, 1.0) - n_orders) / 2 AS d FROM sx)))"
+
+
+@query(o.scaled_sql(_COST))
+def prescription_cost(spark, sf_dir):
+    x, _ = o.scaled_outcome(spark, sf_dir)
+    changed = {"n_orders": F.least(F.col("n_orders") + 0.1, F.lit(1.0)), "avg_qty": F.col("avg_qty")}
+    return rounded(x.select("row_id", prescribe.cost(o.fixed_map(), PLAN, changed, 1.0, F.col("y")).alias("cost")))
+
+
+_GRID = f"""SELECT row_id, ROUND(c, 6) AS cost FROM (SELECT row_id, MIN(GREATEST(g - v, 0) + 0.4 * d) AS c FROM (
+SELECT row_id, g, d, {o.infer_sql(start='y')} AS v FROM (SELECT row_id, y, g, d, {o.pull_sql()} AS p FROM (
+SELECT row_id, y, CASE outcome WHEN 'L' THEN 0.5 ELSE 1.0 END AS g, n_orders + (hn - n_orders) * i / 10.0 AS n_orders, avg_qty + (hq - avg_qty) * j / 10.0 AS avg_qty, avg_discount, acctbal, urgent_share,
+(abs((hn - n_orders) * i / 10.0) + abs((hq - avg_qty) * j / 10.0)) / 2 AS d
+FROM (SELECT *, {_high('n_orders')} AS hn, {_high('avg_qty')} AS hq FROM sx WHERE outcome <> 'H'), range(11) AS a(i), range(11) AS b(j)))) GROUP BY row_id)"""
+
+
+@query(o.scaled_sql(_GRID))
+def prescribe_grid(spark, sf_dir):
+    x, _ = o.scaled_outcome(spark, sf_dir)
+    goals = prescribe.step_goals(x, "outcome", o.LEVELS)
+    return rounded(prescribe.grid_prescriptions(goals, o.fixed_map(), PLAN, "row_id", F.col("goal"), 11, o.STEPS).select("row_id", "cost"))
+
+
+@query(o.sql("SELECT row_id, CASE outcome WHEN 'L' THEN 'M' ELSE 'H' END AS goal_level, CASE outcome WHEN 'L' THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS goal FROM co WHERE outcome <> 'H'"))
+def step_goals(spark, sf_dir):
+    return prescribe.step_goals(o.customer_outcome(spark, sf_dir).select("row_id", "outcome"), "outcome", o.LEVELS).drop("outcome")
+
+
+def _genetic(spark, sf_dir) -> DataFrame:
+    x, _ = o.scaled_outcome(spark, sf_dir)
+    goals = prescribe.step_goals(x, "outcome", o.LEVELS)
+    return prescribe.genetic_prescriptions(goals, o.fixed_map(), PLAN, "row_id", "goal", prescribe.Search(generations=30))
+
+
+@query()
+def prescribe_genetic(spark, sf_dir):
+    return rounded(_genetic(spark, sf_dir).drop("history", "actions"))
+
+
+@query()
+def convergence_curve(spark, sf_dir):
+    return rounded(prescribe.convergence(tables.written(_genetic(spark, sf_dir), "plans")))
+
+
+# Evaluation and reports over a fixed plan: orders up by a fifth of the range ---------------
+
+_PLANNED = f"""pl AS (SELECT row_id, region, outcome, y, n_orders, avg_qty, nn, b, {o.infer_sql(start='y')} AS e FROM (SELECT row_id, region, outcome, y, n0 AS n_orders, n_orders AS nn, avg_qty, b, {o.pull_sql()} AS p FROM (
+SELECT row_id, region, outcome, y, n_orders AS n0, LEAST(n_orders + CASE WHEN row_id % 3 = 0 THEN 0.0 ELSE 0.2 END, 1.0) AS n_orders, avg_qty, avg_discount, acctbal, urgent_share, {o.infer_sql(start='y')} AS b FROM (SELECT *, {o.pull_sql()} AS p FROM sx)))),
+pg AS (SELECT *, CASE outcome WHEN 'L' THEN 0.5 ELSE 1.0 END AS goal, CASE outcome WHEN 'L' THEN 'M' ELSE 'H' END AS goal_level, CASE WHEN b <= 0.25 THEN 0.0 WHEN b <= 0.75 THEN 0.5 ELSE 1.0 END AS vb, CASE WHEN e <= 0.25 THEN 0.0 WHEN e <= 0.75 THEN 0.5 ELSE 1.0 END AS ve FROM pl WHERE outcome <> 'H')"""
+
+
+def _planned_sql(body: str) -> str:
+    return o.scaled_sql(f", {_PLANNED} {body}")
+
+
+def _planned(spark, sf_dir) -> DataFrame:
+    x, _ = o.scaled_outcome(spark, sf_dir)
+    m = o.fixed_map()
+    new = F.least(F.col("n_orders") + F.when(F.col("row_id") % 3 == 0, 0.0).otherwise(0.2), F.lit(1.0))
+    own = prescribe.step_goals(x, "outcome", o.LEVELS).withColumn("n_orders_new", new).withColumn("avg_qty_new", F.col("avg_qty"))
+    own = own.withColumn("base", fcm.infer_column(m, F.col("y"))).withColumn("end", fcm.infer_column(m, F.col("y"), columns={"n_orders": F.col("n_orders_new")}))
+    reached = lambda c: numeric.reaches(numeric.nearest_level(F.col(c), o.LEVELS), F.col("goal_level"), o.LEVELS)
+    return own.withColumn("base_ok", reached("base")).withColumn("end_ok", reached("end"))
+
+
+_PREDICTED = f"pr AS (SELECT outcome, {o.LEVEL_SQL} AS level, v, y FROM (SELECT outcome, y, {o.infer_sql()} AS v FROM (SELECT *, {o.pull_sql()} AS p FROM sx)))"
+
+
+def _predicted(spark, sf_dir) -> DataFrame:
+    x, _ = o.scaled_outcome(spark, sf_dir)
+    v = x.select("outcome", "y", fcm.infer_column(o.fixed_map(), 0.5, o.STEPS).alias("v"))
+    return v.withColumn("level", numeric.nearest_level(F.col("v"), o.LEVELS))
+
+
+_LV = "(VALUES ('L'), ('M'), ('H'))"
+
+
+@query(o.scaled_sql(f", {_PREDICTED} SELECT t.k AS truth, p.k AS predicted, (SELECT COUNT(*) FROM pr WHERE outcome = t.k AND level = p.k) AS n FROM {_LV} AS t(k), {_LV} AS p(k)"))
+def confusion(spark, sf_dir):
+    return evaluate.confusion(_predicted(spark, sf_dir), "outcome", "level", list(o.LEVELS))
+
+
+@query(o.scaled_sql(f", {_PREDICTED}, c AS (SELECT k, COUNT(*) FILTER (outcome = k AND level = k) AS h, COUNT(*) FILTER (level = k) AS s, COUNT(*) FILTER (outcome = k) AS t FROM pr, {_LV} AS l(k) GROUP BY k) SELECT k AS level, ROUND(COALESCE(h / NULLIF(s, 0), 0), 6) AS precision, ROUND(COALESCE(h / NULLIF(t, 0), 0), 6) AS recall, ROUND(COALESCE(2.0 * h / NULLIF(s + t, 0), 0), 6) AS f1, t AS support FROM c"))
+def class_metrics(spark, sf_dir):
+    return rounded(evaluate.class_metrics(_predicted(spark, sf_dir), "outcome", "level", list(o.LEVELS)))
+
+
+@query(o.scaled_sql(f", {_PREDICTED} SELECT ROUND(SUM(h) / SUM(n), 6) AS accuracy, ROUND(AVG(h / n), 6) AS balanced_accuracy, ROUND(MAX(n) / SUM(n), 6) AS majority FROM (SELECT COUNT(*) AS n, COUNT(*) FILTER (outcome = level) AS h FROM pr GROUP BY outcome)"))
+def accuracy_summary(spark, sf_dir):
+    return rounded(evaluate.summary(_predicted(spark, sf_dir), "outcome", "level"))
+
+
+@query(o.scaled_sql(f", {_PREDICTED} SELECT ROUND(AVG(abs(v - y)), 6) AS mae, ROUND(AVG((v - y) * (v - y)), 6) AS mse, ROUND(SQRT(AVG((v - y) * (v - y))), 6) AS rmse FROM pr"))
+def mae_rmse(spark, sf_dir):
+    return rounded(evaluate.errors(_predicted(spark, sf_dir), "v", "y"))
+
+
+@query(_planned_sql("SELECT COUNT(*) AS n, " + ", ".join(f"ROUND(AVG(abs({c} - goal)), 6) AS mae_{k}, ROUND(AVG(({c} - goal) * ({c} - goal)), 6) AS mse_{k}, ROUND(SQRT(AVG(({c} - goal) * ({c} - goal))), 6) AS rmse_{k}, ROUND(100 * AVG(CASE WHEN abs({c} - goal) <= 0.25 THEN 1.0 ELSE 0.0 END), 6) AS success_{k}" for k, c in (("before", "b"), ("after", "e"))) + ", ROUND(AVG(abs(nn - n_orders)), 6) AS mean_change FROM pg"))
+def prescription_metrics(spark, sf_dir):
+    own = _planned(spark, sf_dir).withColumn("change", F.abs(F.col("n_orders_new") - F.col("n_orders")))
+    return rounded(evaluate.prescription_metrics(own, "base", "end", "goal", o.SCHEMA.tolerance, "change"))
+
+
+@query(_planned_sql("SELECT CASE WHEN region = 'ASIA' THEN 'region = ASIA' ELSE 'region ≠ ASIA' END AS segment, COUNT(*) AS n, ROUND(100 * AVG(CASE WHEN vb >= goal THEN 1.0 ELSE 0.0 END), 6) AS before, ROUND(100 * AVG(CASE WHEN ve >= goal THEN 1.0 ELSE 0.0 END), 6) AS after FROM pg GROUP BY 1"))
+def segment_success(spark, sf_dir):
+    return rounded(evaluate.success_by_segment(_planned(spark, sf_dir), "region", "ASIA", "base_ok", "end_ok"))
+
+
+@query(_planned_sql("SELECT action, ROUND(AVG(now), 6) AS now, ROUND(AVG(new), 6) AS recommended, ROUND(MEDIAN(CASE WHEN abs(new - now) >= 0.005 THEN new - now END), 6) AS median_change, ROUND(100 * AVG(CASE WHEN new - now >= 0.005 THEN 1.0 ELSE 0.0 END), 6) AS up, ROUND(100 * AVG(CASE WHEN now - new >= 0.005 THEN 1.0 ELSE 0.0 END), 6) AS down, ROUND(100 * AVG(CASE WHEN abs(new - now) < 0.005 THEN 1.0 ELSE 0.0 END), 6) AS same FROM (SELECT 'n_orders' AS action, n_orders AS now, nn AS new FROM pg UNION ALL SELECT 'avg_qty', avg_qty, avg_qty FROM pg) GROUP BY action"))
+def recommendation_summary(spark, sf_dir):
+    return rounded(report.action_summary(_planned(spark, sf_dir), ["n_orders", "avg_qty"]))
+
+
+@query(_planned_sql("SELECT outcome AS level, COUNT(*) AS n, ROUND(100 * AVG(CASE WHEN ve >= goal THEN 1.0 ELSE 0.0 END), 6) AS success, ROUND(AVG(b), 6) AS before, ROUND(AVG(e), 6) AS after FROM pg GROUP BY outcome"))
+def level_summary(spark, sf_dir):
+    return rounded(report.level_summary(_planned(spark, sf_dir), "outcome", "base", "end", "end_ok"))
+
+
+@query(_planned_sql("SELECT row_id, ROUND(b, 6) AS base, ROUND(e, 6) AS \"end\", ROUND(e - b, 6) AS gain FROM pg ORDER BY ROUND(e - b, 9) DESC, row_id LIMIT 5"))
+def top_gains(spark, sf_dir):
+    return rounded(report.top_gains(_planned(spark, sf_dir), "row_id", "base", "end"))
+
+
+@query(_planned_sql("SELECT row_id, ROUND(b, 4) AS activation_before, ROUND(e, 4) AS activation_after, CASE vb WHEN 0.0 THEN 'L' WHEN 0.5 THEN 'M' ELSE 'H' END AS level_before, CASE ve WHEN 0.0 THEN 'L' WHEN 0.5 THEN 'M' ELSE 'H' END AS level_after, goal_level AS level_goal, ve >= goal AS success, ROUND(n_orders * (high_n_orders - low_n_orders) + low_n_orders, 1) AS n_orders_now FROM pg, lx"))
+def recommendation_table(spark, sf_dir):
+    _, p = o.scaled_outcome(spark, sf_dir)
+    units = {c.column: (p.lows[c.id], p.highs[c.id]) for c in o.SCHEMA.concepts}
+    table = report.recommendations(_planned(spark, sf_dir), "row_id", ["n_orders", "avg_qty"], units, o.LEVELS, "base", "end", "goal_level")
+    return table.drop("n_orders_recommended", "n_orders_change", "avg_qty_now", "avg_qty_recommended", "avg_qty_change")
+
+
+@query()
+def individual_reports(spark, sf_dir):
+    _, p = o.scaled_outcome(spark, sf_dir)
+    units = {c.column: (p.lows[c.id], p.highs[c.id]) for c in o.SCHEMA.concepts}
+    table = report.recommendations(_planned(spark, sf_dir), "row_id", ["n_orders", "avg_qty"], units, o.LEVELS, "base", "end", "goal_level")
+    return report.individual_report(table, "row_id", ["n_orders", "avg_qty"])
+
+
+@query(_planned_sql("SELECT row_id, 'n_orders' AS action, ROUND(nn - n_orders, 6) AS change FROM pg WHERE abs(nn - n_orders) > 0.15"))
+def large_changes(spark, sf_dir):
+    return rounded(report.large_changes(_planned(spark, sf_dir), "row_id", ["n_orders", "avg_qty"], 0.15))
+
+
+@query()
+def forest_validation(spark, sf_dir):
+    x, _ = o.scaled_outcome(spark, sf_dir)
+    plans = _planned(spark, sf_dir).withColumns({f"{c}_new": F.col(c) for c in ("avg_discount", "acctbal", "urgent_share")})
+    return evaluate.forest_validation(x, plans, o.SCALED, "outcome", o.LEVELS, trees=20)
+
+
+@query(o.sql("SELECT dataset, model, created FROM (SELECT nation AS dataset, row_id AS model, n_orders AS created, ROW_NUMBER() OVER (PARTITION BY nation ORDER BY n_orders DESC, row_id DESC) AS r FROM co WHERE outcome <> 'L') WHERE r = 1"))
+def active_models(spark, sf_dir):
+    df = o.customer_outcome(spark, sf_dir).select(F.col("nation").alias("dataset"), F.col("row_id").alias("model"), F.col("n_orders").alias("created"), F.when(F.col("outcome") == "L", "failed").otherwise("ready").alias("state"))
+    return tables.active_models(df)
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
