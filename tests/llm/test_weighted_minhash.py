@@ -22,7 +22,7 @@ def brute(rows, threshold=0.8):
     df, n = Counter(), len(rows)
     for v in vectors:
         df.update(set(v or ()))
-    weights = [None if v is None else {k: c * (1 + math.log1p(n / df[k]) / math.log1p(n)) / 2 for k, c in v.items()} for v in vectors]
+    weights = [None if v is None else {k: c * (8 + math.log1p(n / df[k]) / math.log1p(n)) / 9 for k, c in v.items()} for v in vectors]
     parent = list(range(n))
 
     def find(x):
@@ -65,7 +65,7 @@ def test_sampling_estimates_weighted_jaccard():
     hits = total = 0
     exact = wm.weighted_jaccard((keys, a), (keys, b))
     for s in range(60):
-        x = wm.signatures(np.concatenate([keys, keys]), np.concatenate([a, b]), np.array([399, 399]), 1, 27, 27 * s)
+        x, _ = wm.signatures(np.concatenate([keys, keys]), np.concatenate([a, b]), np.array([399, 399]), 1, 27, 27 * s)
         hits += (x[0] == x[1]).sum()
         total += 27
     assert hits / total == pytest.approx(exact, abs=0.05)
@@ -88,6 +88,7 @@ def test_against_brute_force(spark, monkeypatch):
 def test_large_bands_with_several_components(spark, monkeypatch):
     monkeypatch.setattr(wm, "SMALL", 3)
     monkeypatch.setattr(wm, "PART", 5)
+    monkeypatch.setattr(wm, "BLOCK", 10)
     rng = random.Random(9)
     rows = make(rng, 60)
     base = rows[-1][1].split() + rng.choices([f"v{i}" for i in range(300)], k=60)
@@ -106,3 +107,14 @@ def test_shingles_of_runs():
     texts = ["a b c d e f", None, "", "x y", "a b c d e", "A-b C d.E"]
     (keys, sizes), = wm.shingles(pa.array(texts))
     assert sizes.tolist() == [2, 0, 0, 1, 1, 1] and keys[0] == keys[3] == keys[4] and len(set(keys.tolist())) == 3
+
+
+def test_overlaps_against_pairs():
+    rng = np.random.default_rng(3)
+    make = lambda: (np.sort(rng.choice(200, 60, replace=False)).astype(np.uint64), rng.choice([0.5, 1.0, 1.5, 2.5], 60))
+    left, right = [make() for _ in range(7)], [make() for _ in range(9)]
+    got = wm._overlaps(left, right, columns=50)
+    for i, a in enumerate(left):
+        for j, b in enumerate(right):
+            da, db = dict(zip(a[0].tolist(), a[1].tolist(), strict=True)), dict(zip(b[0].tolist(), b[1].tolist(), strict=True))
+            assert got[i, j] == pytest.approx(sum(min(da[k], db[k]) for k in da.keys() & db.keys()))
