@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from prescriva.functions import dates, numeric, text
 from prescriva.operators import encode, evaluate, explore, fcm, learn, prescribe, report, schema, split
 from prescriva.plans import outcome as o
+from prescriva.plans import prescriptive
 from prescriva.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -651,6 +652,13 @@ def active_models(spark, sf_dir):
     return tables.active_models(df)
 
 
+@query()
+def whole_run(spark, sf_dir):
+    df = o.customer_outcome(spark, sf_dir)
+    model, _, plans = prescriptive.run(df, o.FULL_SCHEMA, "row_id", prescriptive.Options(slope=2.0, most_steps=10, search=prescribe.Search(generations=10)))
+    return prescriptive.recommendations(model, plans, "row_id")
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -221,3 +221,24 @@ def test_stream_scores_as_the_table(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("scored").collect())) == sorted(map(tuple, scoring.scored(x, outcome.fixed_map(), outcome.LEVELS).select("row_id", "level").collect()))
+
+
+def test_whole_run_and_model(spark, tmp_path):
+    from prescriva.plans import prescriptive
+
+    df = outcome.customer_outcome(spark, "/root/testdata/sf0.001")
+    options = prescriptive.Options.of({"slope": 2.0, "most_steps": 6, "unknown": 1, "search": prescribe.Search(population=20, generations=5)})
+    stages = []
+    model, metrics, plans = prescriptive.run(df, outcome.FULL_SCHEMA, "row_id", options, stages.append)
+    assert stages == ["split", "encode", "learn", "evaluate", "prescribe"] and 0 <= metrics["accuracy"] <= 1 and metrics["prescribed"] == plans.count() > 0
+    table = prescriptive.recommendations(model, plans, "row_id")
+    assert {"n_orders_now", "n_orders_recommended", "level_goal", "success"} <= set(table.columns)
+    model.save(spark, str(tmp_path / "m"))
+    again = prescriptive.Model.load(spark, str(tmp_path / "m"))
+    a, b = (sorted(map(tuple, m.predict(df, ["row_id"]).collect())) for m in (model, again))
+    assert a == b
+    assert again.simulate(df, "row_id", {"n_orders": 1.0}).count() == df.count()
+    with pytest.raises(ValueError):
+        again.simulate(df, "row_id", {"mkt": 1.0})
+    with pytest.raises(ValueError):
+        prescriptive.Options.of({"test_share": 0.9})
