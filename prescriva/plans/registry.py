@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prescriva.functions import dates, numeric, text
-from prescriva.operators import encode, evaluate, explore, fcm, learn, prescribe, report, schema, split
+from prescriva.operators import encode, evaluate, explore, fcm, learn, prescribe, report, schema, split, suggest
 from prescriva.plans import outcome as o
 from prescriva.plans import prescriptive
 from prescriva.sources import tables
@@ -240,6 +240,12 @@ def unknown_categories(spark, sf_dir):
     return schema.unknown_categories(_table(spark, sf_dir, "customer"), schema.ColumnSpec("c_mktsegment", "mutable", "ordinal", ("BUILDING", "MACHINERY")))
 
 
+@query("SELECT * FROM (VALUES ('c_custkey', 'inmutable', 'numerica'), ('c_name', 'excluir', 'numero_en_texto'), ('c_nationkey', 'inmutable', 'numerica'), ('study_hours', 'accion', 'numerica'), ('c_mktsegment', 'inmutable', 'nominal'), ('dropout', 'objetivo', 'ordinal')) AS t(\"column\", role, encoding)")
+def suggested_schema(spark, sf_dir):
+    df = _table(spark, sf_dir, "customer").withColumnRenamed("c_acctbal", "study_hours")
+    return suggest.suggestion_table(df.withColumn("dropout", F.when(F.col("c_custkey") % 3 == 0, "Sí").otherwise("No")))
+
+
 @query(o.sql("SELECT c AS \"column\", r AS role, e AS encoding, (SELECT COUNT(*) FROM co) AS \"rows\", p AS present, d AS readable, k AS \"distinct\" FROM (" + " UNION ALL ".join(f"SELECT '{c.name}' AS c, '{c.role}' AS r, '{c.encoding}' AS e, COUNT({c.name}) AS p, COUNT({c.name}) AS d, COUNT(DISTINCT {c.name}) AS k FROM co" for c in o.FULL_SCHEMA.columns if c.name not in ('avg_qty', 'avg_discount', 'urgent_share', 'last_order')) + ")"))
 def schema_validation(spark, sf_dir):
     s = schema.Schema("t", tuple(c for c in o.FULL_SCHEMA.columns if c.name not in ("avg_qty", "avg_discount", "urgent_share", "last_order")))

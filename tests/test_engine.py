@@ -242,3 +242,15 @@ def test_whole_run_and_model(spark, tmp_path):
         again.simulate(df, "row_id", {"mkt": 1.0})
     with pytest.raises(ValueError):
         prescriptive.Options.of({"test_share": 0.9})
+
+
+def test_suggested_schema(spark):
+    from prescriva.operators import suggest
+
+    rows = [(f"E{i:05d}", 17 + i % 10, i % 31, "Sí" if i % 4 == 0 else "No", i % 5, i % 21, i % 21 < 10) for i in range(300)]
+    df = tables.booleans_as_text(spark.createDataFrame(rows, "estudiante_id string, edad long, horas_estudio long, beca string, materias_reprobadas long, Final_Grade long, Dropped_Out boolean"))
+    found, notes = suggest.suggest(df)
+    roles = {c.name: (c.role, c.encoding) for c in found.columns}
+    assert roles["estudiante_id"][0] == "excluir" and roles["horas_estudio"] == ("accion", "numerica") and roles["beca"] == ("mutable", "ordinal")
+    assert found.spec("Dropped_Out").order == ("True", "False") and roles["Final_Grade"][0] == "excluir" and any("Final_Grade" in n for n in notes)
+    assert suggest.ordered(["H", "L", "M"]) == ("L", "M", "H") and suggest.ordered(["sí", "no"], "beca") == ("no", "sí")
