@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from prescriva.llm import shared
 
-ROWS = 4096
+ROWS = 2048
 ASKED = "shard int, block long, kind int, body binary"
 _PACK = zstandard.ZstdCompressor(level=1)
 _UNPACK = zstandard.ZstdDecompressor()

@@ -43,7 +43,7 @@ def _powers(base: int, n: int) -> np.ndarray:
     """1, base, base**2, ... modulo 2**64; at least n of them."""
     kept = _POWERS.get(base)
     if kept is None or len(kept) < n:
-        steps = np.full(max(n, 1 << 20), base, dtype=np.uint64)
+        steps = np.full(max(n, (1 << 19) + 1), base, dtype=np.uint64)
         steps[0] = 1
         kept = _POWERS[base] = np.multiply.accumulate(steps)
     return kept
@@ -57,7 +57,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def word_hashes(column: pa.Array, separators: np.ndarray = WHITE, most: int = 1 << 20, prefixes: tuple[int, ...] = ()) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def word_hashes(column: pa.Array, separators: np.ndarray = WHITE, most: int = 1 << 19, prefixes: tuple[int, ...] = ()) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(fingerprints of words, words in each document) for runs of whole documents of about ``most`` bytes.
 
     ASCII capitals count as small letters. Documents without words have a count of 0.
