@@ -176,3 +176,27 @@ def contributions(x: DataFrame, m: CognitiveMap, key: str) -> DataFrame:
     i = m.ids.index(m.objective)
     pairs = F.array(*(F.struct(F.lit(k).alias("concept"), (F.lit(m.influence * float(m.weights[j, i])) * entered(F.col(k), m)).alias("contribution")) for j, k in enumerate(m.ids) if m.weights[j, i] != 0))
     return x.select(key, F.explode(pairs).alias("p")).select(key, "p.*")
+
+
+def account(x: DataFrame, m: CognitiveMap, key: str, steps: int) -> DataFrame:
+    """(key, t, memory, drive, activation) of the objective for the steps 1 to ``steps``: what each step's value is made of.
+
+    ``drive`` is influence and bias of the concepts that don't move; with one moving
+    concept it is the same at every step.
+    """
+    from pyspark.sql.window import Window
+
+    memory = m.parameters[0]
+    path = trajectory(x, m, key, steps).where(F.col("concept") == m.objective)
+    before = F.lag("activation").over(Window.partitionBy(key).orderBy("t"))
+    own = path.withColumn("memory", F.lit(memory) * entered(before, m)).where("t > 0")
+    return own.join(x.select(key, drive(m, m.objective).alias("drive")), key).select(key, "t", "memory", "drive", "activation")
+
+
+def radial_layout(concepts: DataFrame, order: str = "number") -> DataFrame:
+    """(id, x, y): the objective in the middle, all others evenly round it in the order of the column ``order``."""
+    around = concepts.where("not objective")
+    n = around.agg(F.count(F.lit(1)).alias("n"))
+    angle = F.lit(2.0) * F.pi() * F.col(order) / F.col("n")
+    placed = around.crossJoin(F.broadcast(n)).select("id", F.cos(angle).alias("x"), F.sin(angle).alias("y"))  # one row
+    return placed.union(concepts.where("objective").select("id", F.lit(0.0), F.lit(0.0)))

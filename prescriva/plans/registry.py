@@ -658,6 +658,37 @@ def active_models(spark, sf_dir):
     return tables.active_models(df)
 
 
+@query(o.scaled_sql("SELECT row_id, outcome, " + ", ".join(f"ROUND({c}, 4) AS {c}" for c in o.SCALED) + " FROM sx ORDER BY row_id LIMIT 50 OFFSET 20"))
+def normalized_page(spark, sf_dir):
+    x, _ = o.scaled_outcome(spark, sf_dir)
+    return explore.rows_page(rounded(x.drop("region", "y"), 4), "row_id", start=20, count=50)[0]
+
+
+@query(o.scaled_sql(" UNION ALL ".join(f"SELECT '{c}' AS concept, ROUND(MIN({c}), 6) AS low, ROUND(MAX({c}), 6) AS high, ROUND(AVG({c}), 6) AS mean FROM sx" for c in o.SCALED)))
+def concept_summary(spark, sf_dir):
+    x, _ = o.scaled_outcome(spark, sf_dir)
+    rows = F.array(*(F.struct(F.lit(c).alias("concept"), F.col(c).alias("v")) for c in o.SCALED))
+    return rounded(x.select(F.explode(rows).alias("r")).select("r.*").groupBy("concept").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.avg("v").alias("mean")))
+
+
+@query(o.sql("SELECT CASE outcome WHEN 'L' THEN 'M' ELSE 'H' END AS goal_level, COUNT(*) AS n FROM co WHERE outcome <> 'H' GROUP BY 1"))
+def goal_counts(spark, sf_dir):
+    return prescribe.step_goals(o.customer_outcome(spark, sf_dir), "outcome", o.LEVELS).groupBy("goal_level").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(o.scaled_sql(f", RECURSIVE_r SELECT row_id, t, ROUND(m, 6) AS memory, ROUND(p, 6) AS drive, ROUND(y, 6) AS activation FROM r WHERE t > 0").replace("RECURSIVE_r", f"r AS (SELECT row_id, {o.pull_sql()} AS p, 0 AS t, 0.5::DOUBLE AS m, 0.5::DOUBLE AS y FROM sx UNION ALL SELECT row_id, p, t + 1, y, 1 / (1 + exp(-2.0 * (y + p))) FROM r WHERE t < 4)").replace("WITH ", "WITH RECURSIVE ", 1))
+def step_by_step(spark, sf_dir):
+    x, _ = o.scaled_outcome(spark, sf_dir)
+    return rounded(fcm.account(x.withColumn("y", F.lit(0.5)), o.fixed_map(), "row_id", 4))
+
+
+@query("SELECT id, ROUND(CASE WHEN i = 13 THEN 0.0 ELSE cos(2 * pi() * i / 13.0) END, 6) + 0.0 AS x, ROUND(CASE WHEN i = 13 THEN 0.0 ELSE sin(2 * pi() * i / 13.0) END, 6) + 0.0 AS y FROM (SELECT 'C' || (i + 1) AS id, i FROM range(14) AS t(i))")
+def radial_layout(spark, sf_dir):
+    s = o.FULL_SCHEMA
+    table = fcm.concept_table(spark, s.concepts, s.concepts[-1].id).withColumn("number", F.substring("id", 2, 3).cast("int") - 1)
+    return rounded(fcm.radial_layout(table))
+
+
 @query()
 def whole_run(spark, sf_dir):
     df = o.customer_outcome(spark, sf_dir)
