@@ -175,69 +175,67 @@ def _links(batches: Iterable[pa.RecordBatch], least: float) -> Iterator[pa.Recor
 
 
 def _count(rows: dict[str, list], least: float) -> Iterator[pa.RecordBatch]:
-    group = list(zip(rows["cell"], rows["ib"], rows["qb"], strict=True))
-    begins = [0, *(i for i in range(1, len(group)) if group[i] != group[i - 1]), len(group)]
-    out_id, out_add, out_min = [], [], []
-    for s, e in itertools.pairwise(begins):
-        if e - s < 2:
-            continue
-        cell, ib, qb = group[s]
-        units = [np.frombuffer(u) for u in rows["unit"][s:e]]
-        for dim in {len(u) for u in units}:
-            own = [i for i in range(e - s) if len(units[i]) == dim]
-            x = np.stack([units[i] for i in own])
-            cid = np.array([rows["cid"][s + i] for i in own])
-            size = np.array([rows["size"][s + i] for i in own])
-            home = np.array([rows["home"][s + i] for i in own])
-            side = np.array([rows["side"][s + i] for i in own])
-            left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
-            near = x[left] @ x[right].T >= least - 1e-12
-            a, b = np.nonzero(near)
-            a, b = left[a], right[b]
-            ok = (home[a] | home[b]) & (cid[a] != cid[b]) if ib != qb else (home[a] | home[b]) & (cid[a] < cid[b])
-            a, b = a[ok], b[ok]
-            if not len(a):
+    """Blocks one after another; which cell a link is found in first is asked for all their links together."""
+    units = [np.frombuffer(u) for u in rows["unit"]]
+    cell, ib, qb, cid, size = (np.array(rows[k], dtype=np.int64) for k in ("cell", "ib", "qb", "cid", "size"))
+    home, side = np.array(rows["home"], dtype=bool), np.array(rows["side"], dtype=np.int64)
+    changed = (cell[1:] != cell[:-1]) | (ib[1:] != ib[:-1]) | (qb[1:] != qb[:-1])
+    begins = [0, *(np.flatnonzero(changed) + 1).tolist(), len(units)]
+    lengths = np.array([len(u) for u in units])
+    for dim in np.unique(lengths):
+        x = np.zeros((len(units), dim))
+        for i in np.flatnonzero(lengths == dim):
+            x[i] = units[i]
+        starts, lefts, rights = [], [], []
+        for s, e in itertools.pairwise(begins):
+            if e - s < 2 or not home[s:e].any():
                 continue
-            first = _found_first(x, a, b, cell)
-            a, b = a[first], b[first]
-            exact = np.einsum("ij,ij->i", x[a], x[b]) >= least
-            a, b = a[exact], b[exact]
+            left, right = s + np.flatnonzero(side[s:e] != 1), s + np.flatnonzero(side[s:e] != 0)
+            a, b = np.nonzero(x[left] @ x[right].T >= least - 1e-12)
             if not len(a):
                 continue
-            add = np.bincount(a, size[b], len(x)) + np.bincount(b, size[a], len(x))
-            label, rank = np.arange(len(x)), np.argsort(np.argsort(cid, kind="stable"), kind="stable")
-            label = rank.copy()
-            while True:
-                low = np.minimum(label[a], label[b])
-                new = label.copy()
-                np.minimum.at(new, a, low)
-                np.minimum.at(new, b, low)
-                if (new == label).all():
-                    break
-                label = new
-            by_rank = np.sort(cid)
-            seen = np.flatnonzero(add)
-            out_id.append(cid[seen])
-            out_add.append(add[seen].astype(np.int64))
-            out_min.append(by_rank[label[seen]])
-    if out_id:
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (out_id, out_add, out_min)], names=["cid", "add", "low"])
-
-
-def _found_first(x: np.ndarray, a: np.ndarray, b: np.ndarray, cell: int) -> np.ndarray:
-    """Whether the pair meets in this cell first: in no earlier table, and in no earlier cell of this one."""
-    used, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)
-    names = cells(x[used])
-    here = np.int64(cell).astype(np.uint64)
-    ia, ib = inverse[: len(a)], inverse[len(a) :]
-    out = np.empty(len(a), dtype=bool)
-    for at in range(0, len(a), 20_000):
-        p, q = names[ia[at : at + 20_000]], names[ib[at : at + 20_000]]
+            a, b = left[a], right[b]
+            ok = (home[a] | home[b]) & (cid[a] < cid[b] if ib[s] == qb[s] else cid[a] != cid[b])
+            if ok.any():
+                starts.append(np.full(int(ok.sum()), s))
+                lefts.append(a[ok])
+                rights.append(b[ok])
+        if not starts:
+            continue
+        start, a, b = map(np.concatenate, (starts, lefts, rights))
+        kept = _found_first(x, cid, a, b, cell[a])
+        start, a, b = start[kept], a[kept], b[kept]
+        kept = np.einsum("ij,ij->i", x[a], x[b]) >= least
+        start, a, b = start[kept], a[kept], b[kept]
+        if not len(a):
+            continue
+        add = np.bincount(a, size[b], len(x)) + np.bincount(b, size[a], len(x))
+        rank = np.searchsorted(np.unique(cid), cid)
+        label = rank.copy()  # rows are their block's alone, so that labels stay in blocks
+        while True:
+            low = np.minimum(label[a], label[b])
+            new = label.copy()
+            np.minimum.at(new, a, low)
+            np.minimum.at(new, b, low)
+            if (new == label).all():
+                break
+            label = new
+        seen = np.flatnonzero(add)
+        yield pa.RecordBatch.from_arrays([pa.array(cid[seen]), pa.array(add[seen].astype(np.int64)), pa.array(np.unique(cid)[label[seen]])], names=["cid", "add", "low"])
+
+
+def _found_first(x: np.ndarray, cid: np.ndarray, a: np.ndarray, b: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    """Whether each pair meets in its cell first: in no earlier table, and in no smaller cell of this one."""
+    distinct, at = np.unique(cid[np.concatenate([a, b])], return_index=True)
+    names = cells(x[np.concatenate([a, b])[at]])
+    ia, ib = np.searchsorted(distinct, cid[a]), np.searchsorted(distinct, cid[b])
+    out, far = np.empty(len(a), dtype=bool), np.uint64(2**64 - 1)
+    for s in range(0, len(a), 20_000):
+        p, q = names[ia[s : s + 20_000]], names[ib[s : s + 20_000]]
         # A table's meetings: own cell of one among the four of the other; the smallest cell of the first such table counts.
-        far = np.uint64(2**64 - 1)
         meet = np.minimum(np.where(p[:, :, :1] == q, q, far).min(axis=2), np.where(q[:, :, :1] == p, p, far).min(axis=2))
         table = (meet != far).argmax(axis=1)
-        out[at : at + 20_000] = meet[np.arange(len(p)), table] == here
+        out[s : s + 20_000] = meet[np.arange(len(p)), table] == cell[s : s + 20_000].view(np.uint64)
     return out
 
 
