@@ -103,7 +103,7 @@ class ShardWriter:
         self.out.write(struct.pack("<II", SKIPPABLE, len(table) + 9) + table + struct.pack("<IBI", len(self.entries), 0x80, SEEKABLE))
         size = self.out.tell()
         self.out.close()
-        self.fs.move(self.temporary, self.final)
+        shared.commit(self.fs, self.temporary, self.final)
         return self.name, len(self.entries), self.tokens, size
 
 

@@ -49,6 +49,26 @@ def store(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri else "file:///" + uri.removeprefix("file:").lstrip("/"))
 
 
+def give_back() -> None:
+    """Return freed memory to the system at a task's end: workers live on, and what one stage needed shouldn't be missing in the next."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def commit(fs: pafs.FileSystem, temporary: str, final: str) -> None:
+    """Give a finished file its name; if another attempt of the same task has done so, its bytes are the same and stay."""
+    try:
+        fs.move(temporary, final)
+    except OSError:
+        if fs.get_file_info(final).type == pafs.FileType.NotFound:
+            raise
+        fs.delete_file(temporary)
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The column's texts; a null is the empty text."""
     return pc.fill_null(batch.column(column), "").to_pylist()

@@ -112,7 +112,7 @@ class _Roller:
             return None
         self.out.close()
         name = self._name()
-        self.fs.move(self.temporary, f"{self.path}/{name}")
+        shared.commit(self.fs, self.temporary, f"{self.path}/{name}")
         done = (self.shard, self.part, name, self.records, self.size, self.sha.hexdigest())
         self.out, self.part = None, self.part + 1
         return done
