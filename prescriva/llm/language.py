@@ -37,12 +37,15 @@ from pyspark.sql.window import Window
 from prescriva.llm import shared
 
 SEGMENT = 256
+#: Counts of so many labels are sent to all tasks, and joined by a shuffle beyond.
+MOST_LANGUAGES = 10_000
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
 def letters(text: str | None) -> str:
-    """Small letters, and one space for each run of anything else."""
-    return NOT_LETTERS.sub(" ", text.lower()).strip() if text else ""
+    """Small letters, and one space for each run of anything else; empty without a letter (signs such as ½ are none)."""
+    out = NOT_LETTERS.sub(" ", text.lower()).strip() if text else ""
+    return out if any(map(str.isalpha, out)) else ""
 
 
 def suffix_automaton(text: str) -> list[dict[str, int]]:
@@ -142,12 +145,14 @@ class LanguageModel:
 def fit(labelled: DataFrame, max_chars: int = 20_000, rows: int = 400) -> LanguageModel | None:
     """Learn from (doc_id, text, lang): at most ``rows`` candidate rows and ``max_chars`` characters of a language."""
     usable = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") <= max_chars) & F.col("text").rlike("\\p{L}"))
-    first = usable.select("lang", "text", F.xxhash64(F.col("doc_id"), F.lit(11)).alias("h"))
-    # A language's ``rows`` smallest hashes in each partition, then of all: bounded groups, no full sort.
-    parts = first.withColumn("part", F.spark_partition_id())
-    order = [F.col("h"), F.col("text")]
-    few = parts.withColumn("r", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("r") <= rows)
-    few = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("r") <= rows)
+    hashed = usable.select("lang", "text", F.xxhash64(F.col("doc_id"), F.lit(11)).alias("h"))
+    # Rows of a language are counted, and only those whose hash is among the smallest few are ranked: a bounded number, whatever the table's size.
+    counts = labelled.where(F.col("lang").isNotNull()).groupBy(F.col("lang").alias("of")).agg(F.count(F.lit(1)).alias("n"))
+    share = F.least(F.lit(1.0), F.lit(4.0 * rows) / F.col("n"))
+    counts = shared.written(counts, "languages")
+    counts = F.broadcast(counts) if counts.count() <= MOST_LANGUAGES else counts
+    few = hashed.join(counts, F.col("lang") == F.col("of")).where(F.pmod("h", F.lit(1 << 40)) < share * float(1 << 40))
+    few = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 40)), "text"))).where(F.col("r") <= rows)
     total = F.sum(F.length("text")).over(Window.partitionBy("lang").orderBy("r"))
     got = few.withColumn("total", total).where(F.col("total") <= max_chars).select("lang", "r", "text").collect()
     samples: dict[str, list[str]] = {}
@@ -170,6 +175,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, columns: list[str] |
             own = [letters(t) for t in batch.column("text").to_pylist()]
             names, scores = m.predict(own) if m else (["und"] * len(own), np.zeros(len(own)))
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*kept, *new])
+        shared.give_back()
 
     return docs.select(*kept, *([] if "text" in kept else ["text"])).mapInArrow(run, schema)
 

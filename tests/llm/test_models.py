@@ -110,7 +110,7 @@ def test_language_held_out_and_edges(spark):
     got = language.op6_language(spark, SF).toPandas().merge(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang").toPandas(), on="doc_id")
     held = got[got.held_out]
     assert (held.lang == held.lang_pred).mean() > 0.97
-    docs = spark.createDataFrame([(1, None, "en"), (2, "12 !?", "en"), (3, "the of and " * 20, "en"), (3, "le de la et " * 20000, "fr"), (None, "le de la", None), (5, "世界", "fr")], "doc_id long, text string, lang string")
+    docs = spark.createDataFrame([(1, None, "en"), (2, "12 !? ½²", "en"), (3, "the of and " * 20, "en"), (3, "le de la et " * 20000, "fr"), (None, "le de la", None), (5, "世界", "fr")], "doc_id long, text string, lang string")
     model = language.fit(docs.union(docs.selectExpr("9", "'le la les de la et un'", "'fr'")))
     out = language.identify(docs.withColumn("lang_pred", docs.lang), model).collect()
     assert [r.lang_pred for r in out[:4]] == ["und", "und", "en", "fr"] and out[4].lang_pred == "fr" and out[0].lang_score == 0
