@@ -51,6 +51,29 @@ def target_means(df: DataFrame, column: str, y: Column, smoothing: float = SMOOT
     return sums.crossJoin(F.broadcast(total)).select("category", "n", ((F.col("s") + smoothing * F.col("overall")) / (F.col("n") + smoothing)).alias("encoded"))  # one row
 
 
+def limits_of(df: DataFrame, robust: list[str], plain: list[str] = (), tail: float = TAIL, fence: float = FENCE, exact: bool = True) -> dict[str, tuple[float, float]]:
+    """Column -> (low, high); of ``plain`` columns min and max. One aggregation, and one more only if a value lies beyond a fence."""
+    quartile = (lambda c, q: F.percentile(c, F.lit(q))) if exact else (lambda c, q: F.percentile_approx(c, q, 100_000))
+    number = {c: F.col(c).cast("double") for c in (*robust, *plain)}
+    parts = [x for i, (c, v) in enumerate(number.items()) for x in (F.min(v).alias(f"min_{i}"), F.max(v).alias(f"max_{i}"), F.count(v).alias(f"n_{i}"))]
+    parts += [x for i, c in enumerate(robust) for x in (quartile(number[c], 0.25).alias(f"q1_{i}"), quartile(number[c], 0.75).alias(f"q3_{i}"))]
+    first = df.agg(*parts).first()
+    out = {c: (first[f"min_{i}"], first[f"max_{i}"]) for i, c in enumerate(number)}
+    beyond = []
+    for i, c in enumerate(robust):
+        q1, q3 = first[f"q1_{i}"], first[f"q3_{i}"]
+        if q1 is None or q3 <= q1:
+            continue
+        for side, at, past in ((0, q1 - fence * (q3 - q1), number[c] < q1 - fence * (q3 - q1)), (1, q3 + fence * (q3 - q1), number[c] > q3 + fence * (q3 - q1))):
+            if (out[c][0] < at) if side == 0 else (out[c][1] > at):
+                beyond.append((c, side, at, F.sum(past.cast("long")), first[f"n_{i}"]))
+    shares = df.agg(*(x[3].alias(f"t{k}") for k, x in enumerate(beyond))).first() if beyond else ()
+    for (c, side, at, _, n), k in zip(beyond, shares, strict=True):
+        if k / n <= tail:
+            out[c] = (at, out[c][1]) if side == 0 else (out[c][0], at)
+    return out
+
+
 def robust_limits(df: DataFrame, columns: list[str], tail: float = TAIL, fence: float = FENCE, exact: bool = True) -> DataFrame:
     """(column, low, high): min and max, where a side whose few outliers lie beyond the fence ends at the fence.
 
@@ -58,29 +81,8 @@ def robust_limits(df: DataFrame, columns: list[str], tail: float = TAIL, fence:
     it reaches beyond and at most ``tail`` of the values do. ``exact=False`` takes
     approximate quartiles, whose memory doesn't grow with distinct values.
     """
-    quartile = (lambda c, q: F.percentile(c, F.lit(q))) if exact else (lambda c, q: F.percentile_approx(c, q, 100_000))
-    own = [F.col(c).cast("double") for c in columns]
-    first = df.agg(*(x for i, c in enumerate(own) for x in (quartile(c, 0.25).alias(f"q1_{i}"), quartile(c, 0.75).alias(f"q3_{i}"), F.min(c).alias(f"min_{i}"), F.max(c).alias(f"max_{i}"), F.count(c).alias(f"n_{i}")))).first()
-    out, tails = [], []
-    for i in range(len(columns)):
-        q1, q3 = first[f"q1_{i}"], first[f"q3_{i}"]
-        if q1 is None or q3 <= q1:
-            out.append(None)
-            continue
-        low, high = q1 - fence * (q3 - q1), q3 + fence * (q3 - q1)
-        out.append((low, high))
-        tails += [F.sum((own[i] < low).cast("long")).alias(f"below_{i}"), F.sum((own[i] > high).cast("long")).alias(f"above_{i}")]
-    second = df.agg(*tails).first() if tails else None
-    rows = []
-    for i, c in enumerate(columns):
-        low, high, n = first[f"min_{i}"], first[f"max_{i}"], first[f"n_{i}"]
-        if out[i]:
-            if low < out[i][0] and second[f"below_{i}"] / n <= tail:
-                low = out[i][0]
-            if high > out[i][1] and second[f"above_{i}"] / n <= tail:
-                high = out[i][1]
-        rows.append((c, low, high))
-    return df.sparkSession.createDataFrame(rows, "column string, low double, high double")
+    found = limits_of(df, columns, (), tail, fence, exact)
+    return df.sparkSession.createDataFrame([(c, *found[c]) for c in columns], "column string, low double, high double")
 
 
 @dataclass
@@ -133,12 +135,14 @@ class Preprocessor:
         ends = [F.min(F.col(o.name).cast("double")), F.max(F.col(o.name).cast("double"))] if o.encoding == "numerica" else []
         date_of = lambda n: F.col(n).cast("date") if dict(df.dtypes)[n] in ("date", "timestamp", "timestamp_ntz") else dates.parsed(F.col(n))
         date_columns = [c.name for c in used if c.encoding == "fecha"]
-        row = df.agg(F.count(F.lit(1)), *ends, *(F.min(date_of(n)).cast("string") for n in date_columns)).first()
+        mean = [] if ends and schema.threshold is None else [F.avg(objective_value(df, schema))]
+        row = df.agg(F.count(F.lit(1)), *ends, *(F.min(date_of(n)).cast("string") for n in date_columns), *mean).first()
         if ends:
             p.ends = (row[1], row[2])
-        p.first_dates = dict(zip(date_columns, row[1 + len(ends) :], strict=True))
+        at = 1 + len(ends)
+        p.first_dates = dict(zip(date_columns, row[at : at + len(date_columns)], strict=True))
         y = objective_value(df, schema, p.ends)
-        p.overall = df.agg(F.avg(y)).first()[0] or 0.0
+        p.overall = (row[-1] if mean else df.agg(F.avg(y)).first()[0]) or 0.0
         for c in used:
             if c.encoding == "nominal":
                 means = target_means(df, c.name, y).limit(MAP_MOST + 1).collect()
@@ -150,12 +154,9 @@ class Preprocessor:
         if imputable:
             p.medians = {k: v for k, v in raw.agg(*(F.percentile(k, F.lit(0.5)).alias(k) for k in imputable)).first().asDict().items() if v is not None}
         filled = df.select(*(v.alias(k) for k, v in p.encoded(df).items()))
-        row = filled.agg(*(f(k).alias(f"{n}_{k}") for k in filled.columns for n, f in (("low", F.min), ("high", F.max)))).first()
-        p.lows = {k: row[f"low_{k}"] or 0.0 for k in filled.columns}
-        p.highs = {k: row[f"high_{k}"] or 0.0 for k in filled.columns}
-        if imputable:
-            for r in robust_limits(filled, imputable).collect():
-                p.lows[r.column], p.highs[r.column] = r.low or 0.0, r.high or 0.0
+        found = limits_of(filled, imputable, [k for k in filled.columns if k not in imputable])
+        p.lows = {k: found[k][0] or 0.0 for k in filled.columns}
+        p.highs = {k: found[k][1] or 0.0 for k in filled.columns}
         return p
 
     def transform(self, df: DataFrame, keep: list[str] | None = None) -> DataFrame:
