@@ -284,6 +284,7 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
                 [batch.column("doc_id"), pa.array(~train), pa.array(tokens.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(np.full(len(train), n, dtype=np.int64)), pa.array(base), pa.array(total)],
                 names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
             )
+        shared.give_back()
 
     return ready.mapInArrow(run, SCORED)
 

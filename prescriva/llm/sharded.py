@@ -111,6 +111,7 @@ def ask(docs: DataFrame, count: Callable, merge: Callable, kind: int = 0) -> Dat
                 own = spans[at : at + 64]
                 bodies = [pack(*(a[s:e] for a in arrays), ascending=ascending) for s, e in own]
                 yield _rows([int(shard[s]) for s, _ in own], block, kind, bodies)
+        shared.give_back()
 
     return docs.mapInArrow(run, ASKED)
 
@@ -135,6 +136,7 @@ def answer(asked: DataFrame, reply: Callable[[int, list[tuple[int, int, bytes]]]
                 columns = list(zip(*part, strict=True))
                 types = [pa.int32(), pa.int64(), pa.int32(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["shard", "block", "kind", "body"])
+        shared.give_back()
 
     dealt = asked.repartitionById(n, F.col("shard")) if hasattr(asked, "repartitionById") else asked.repartition(n, "shard")
     return dealt.sortWithinPartitions("shard", "block", "kind").mapInArrow(run, ASKED)

@@ -231,6 +231,7 @@ def signed(ready: DataFrame, frequencies: str, texts: int, rows: int = ROWS, ban
             flat = pa.array(np.concatenate(keyed).reshape(-1).view(np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, bands), pa.int32()), flat)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("block"), batch.column("row"), pa.array(cid, mask=size == 0), pa.array(size.astype(np.int64)), lists, pa.array(picked, pa.binary())], names=["doc_id", "block", "row", "cid", "size", "bands", "picks"])
+        shared.give_back()
 
     return ready.mapInArrow(run, "doc_id long, block long, row long, cid long, size long, bands array<long>, picks binary")
 
@@ -297,6 +298,7 @@ class Comparison:
                             out = []
                 if out:
                     yield _assigned(out)
+            shared.give_back()
 
         sent = self.ready.select("text", "block", "row").mapInArrow(weigh, SENT)
         return sent.repartition("a", "part").sortWithinPartitions("a", "part", "role")
@@ -493,6 +495,7 @@ def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             stays = pa.array([r not in gone for r in batch.column("row").to_pylist()], pa.bool_())
             whole = batch.column("whole")  # a struct, as docs may have columns called block or row
             yield pa.RecordBatch.from_arrays(whole.flatten(), names=columns).filter(stays)
+        shared.give_back()
 
     return sharded.with_blocks(docs.withColumn("whole", F.struct(*columns)), ["whole"]).mapInArrow(run, docs.schema)
 
