@@ -5,14 +5,17 @@ bytes are hashed into a fixed number of embedding rows; a word's embedding is th
 of these four, so that inflected forms of a word share most of it. Filters of widths 1, 2 and 3 slide over the whole text, each
 filter's largest response is kept, and a logistic layer gives the score. It is trained
 on the driver with Adam on a bounded sample of labelled rows: the ``sample`` rows with
-the smallest hash of doc_id, whole texts, already reduced to bucket numbers by the
-executors. Scoring sends the fixed-size model to the tasks and needs no shuffle.
-
-Thresholds are calibrated by language: a quarter of the sample is kept out of training,
-and each language's threshold is the lowest score at which at least ``precision`` of
-its kept-out rows at or above it are labelled toxic, but not below ``lowest``. A
-language without toxic rows there uses the threshold of all rows. The language only
-chooses the threshold of ``flagged``; it is no input of the score.
+the smallest hash of id, language and text (equal rows count once), whole texts, already
+reduced to bucket numbers by the executors. Scoring sends the fixed-size model to the
+tasks and needs no shuffle.
+
+Thresholds are calibrated by language on all labelled rows outside the sample; a quarter
+of the rows, by a hash, is never in it. They are scored where they are, and counted by
+language and ten-thousandths of the score. A language's threshold is the lowest of these
+steps with rows at which at least ``precision`` of its rows at or above it are labelled
+toxic, but not below ``lowest``. A language without toxic rows there uses the threshold
+of all rows. The language only chooses the threshold of ``flagged``; it is no input of
+the score.
 
 Defined results: a null or empty text gets the score of a text without words (the
 logistic layer's bias, as no filter responds); rows are independent, so ties, repeated
@@ -22,6 +25,7 @@ left out; without any labelled row every score is 0; an empty table gives an emp
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -30,12 +34,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
+from pyspark.sql.window import Window
 
 from prescriva.llm import shared
 from prescriva.llm.wordhash import NOT_ALNUM, word_hashes
 
 WIDTHS = (1, 2, 3)
 PREFIXES = (4, 6, 8)
+#: Steps of the score between 0 and 1 at which thresholds may lie.
+BINS = 10_000
 
 
 def bucket_runs(column: pa.Array, buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -78,13 +85,21 @@ class TextCnn:
         padded = np.concatenate([x, np.zeros((width - 1, x.shape[1]), x.dtype)])
         return np.lib.stride_tricks.as_strided(padded, (len(x), width * x.shape[1]), (padded.strides[0], padded.strides[1]))
 
+    def _responses(self, x: np.ndarray, starts: np.ndarray, width: int) -> np.ndarray:
+        """Each filter at each window; windows that begin behind a document and reach into the next one never win."""
+        z = self._windows(x, width) @ self.weights[f"filter{width}"]
+        ends = np.append(starts[1:], len(x))
+        for k in range(1, width):
+            z[ends - k] = -np.inf
+        return z
+
     def _embed(self, row: np.ndarray) -> np.ndarray:
         return sum(self.weights["embed"][row[:, k]] for k in range(row.shape[1]))
 
     def logits(self, row: np.ndarray, starts: np.ndarray) -> np.ndarray:
         p = self.weights
         x = self._embed(row)
-        pooled = [np.maximum(np.maximum.reduceat(self._windows(x, w) @ p[f"filter{w}"], starts, axis=0) + p[f"bias{w}"], 0) for w in WIDTHS]
+        pooled = [np.maximum(np.maximum.reduceat(self._responses(x, starts, w), starts, axis=0) + p[f"bias{w}"], 0) for w in WIDTHS]
         return np.concatenate(pooled, axis=1) @ p["out"] + p["out_bias"][0]
 
     def scores(self, column: pa.Array) -> np.ndarray:
@@ -98,7 +113,7 @@ class TextCnn:
         owner = np.repeat(np.arange(n), lengths)
         pooled, tops = [], []
         for w in WIDTHS:
-            z = self._windows(x, w) @ p[f"filter{w}"]
+            z = self._responses(x, starts, w)
             best = np.maximum.reduceat(z, starts, axis=0)
             at = np.full(best.shape, -1, dtype=np.int64)
             r, c = np.nonzero(z == best[owner])
@@ -160,24 +175,26 @@ class ToxicityModel:
     common: float = 0.5
 
 
-def _threshold(scores: np.ndarray, labels: np.ndarray, precision: float, lowest: float) -> float | None:
-    """The lowest score from ``lowest`` on from which ``precision`` of the rows are toxic; None without toxic rows."""
-    if not labels.any():
-        return None
-    order = np.argsort(-scores)
-    s, right = scores[order], np.cumsum(labels[order]) / np.arange(1, len(order) + 1)
-    last = np.append(s[1:] != s[:-1], True)
-    good = np.flatnonzero(last & (right >= precision) & (s >= lowest))
-    return float(s[good[-1]]) if len(good) else 0.5
+def _cuts(counts: DataFrame, precision: float, lowest: float) -> tuple[dict[str | None, float], float]:
+    """(threshold by language, threshold of all rows) of ``counts`` (lang, bin, n, toxic): where a cut at a bin lets in ``precision`` toxic rows."""
+    both = F.explode(F.array(F.lit(False), F.lit(True)))
+    own = counts.select("lang", "bin", "n", "toxic", both.alias("all")).withColumn("lang", F.when(~F.col("all"), F.col("lang")))
+    own = own.groupBy("all", "lang", "bin").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
+    above = Window.partitionBy("all", "lang").orderBy(F.desc("bin"))
+    right = F.sum("toxic").over(above) / F.sum("n").over(above)
+    good = own.withColumn("good", (right >= precision) & (F.col("bin") >= F.lit(math.ceil(lowest * BINS - 1e-9))))
+    found = good.groupBy("all", "lang").agg(F.min(F.when(F.col("good"), F.col("bin"))).alias("cut"), F.sum("toxic").alias("toxic")).where("toxic > 0")
+    cuts = {(r["all"], r["lang"]): 0.5 if r["cut"] is None else r["cut"] / BINS for r in found.collect()}
+    return {lang: t for (whole, lang), t in cuts.items() if not whole}, cuts.get((True, None), 0.5)
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 8000, precision: float = 0.9, lowest: float = 0.3) -> ToxicityModel:
-    """Train on at most ``sample`` labelled documents. ``docs``: doc_id, text, lang; ``labels``: doc_id, toxic."""
+    """Train on at most ``sample`` labelled rows, and calibrate on all others. ``docs``: doc_id, text, lang; ``labels``: doc_id, toxic."""
     shared.small_batches(docs.sparkSession)
     buckets = TextCnn.buckets
     marked = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chosen = marked.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text", "lang").join(F.broadcast(chosen), "doc_id")
+    hashed = docs.select("doc_id", "text", "lang", F.xxhash64("doc_id", F.col("lang").isNull(), "lang", "text").alias("h"))
+    kept_out = F.pmod(F.xxhash64("h", F.lit(1)), F.lit(4)) == 0
 
     def reduce(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pad = max(WIDTHS)
@@ -185,27 +202,32 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 8000, precision: float
             out = []
             for row, starts in bucket_runs(batch.column("text"), buckets):
                 out += [x[:-pad].astype(np.uint16).tobytes() for x in np.split(row, starts[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), batch.column("toxic"), pa.array(out, pa.binary())], names=["doc_id", "lang", "toxic", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(out, pa.binary())], names=["doc_id", "toxic", "words"])
 
-    got = rows.mapInArrow(reduce, "doc_id long, lang string, toxic int, words binary").toArrow().sort_by([("doc_id", "ascending"), ("words", "ascending")])
+    def first(pool: DataFrame) -> tuple[DataFrame, pa.Table]:
+        """The ``sample`` rows with the smallest hashes (equal rows count once), and their words."""
+        chosen = shared.written(pool.join(marked, "doc_id").orderBy("h", "doc_id").limit(sample), "sample")
+        rows = hashed.select("doc_id", "h", "text").join(F.broadcast(chosen), ["doc_id", "h"]).dropDuplicates(["doc_id", "h"])
+        return chosen, rows.select("doc_id", "toxic", "text").mapInArrow(reduce, "doc_id long, toxic int, words binary").toArrow().sort_by([("doc_id", "ascending"), ("words", "ascending")])
+
+    keys = hashed.select("doc_id", "h").distinct()
+    chosen, got = first(keys.where(~kept_out))
+    if not got.num_rows:
+        # Too few rows to keep any out: they are learned from and calibrated on.
+        chosen, got = first(keys)
+        chosen = chosen.limit(0)
     if not got.num_rows:
         return ToxicityModel(None, {})
     words = [np.frombuffer(x, dtype=np.uint16).astype(np.int32).reshape(-1, 1 + len(PREFIXES)) for x in got.column("words").to_pylist()]
-    toxic, lang = (got.column("toxic").to_numpy() > 0).astype(np.int64), got.column("lang").to_pylist()
-    kept_out = np.random.default_rng(1).random(len(words)) < 0.25
-    learn = np.flatnonzero(~kept_out) if (~kept_out).any() else np.arange(len(words))
-    cnn = TextCnn().fit([words[i] for i in learn], toxic[learn])
-    held = np.flatnonzero(kept_out)
-    pad, scores = np.zeros((max(WIDTHS), 1 + len(PREFIXES)), np.int32), np.empty(len(held))
-    for k, i in enumerate(held):
-        scores[k] = 1 / (1 + np.exp(-cnn.logits(np.concatenate([words[i], pad]), np.array([0]))[0]))
-    common = _threshold(scores, toxic[held], precision, lowest) or 0.5
-    thresholds = {}
-    for one in set(lang):
-        own = np.array([lang[i] == one for i in held], dtype=bool)
-        if (t := _threshold(scores[own], toxic[held][own], precision, lowest)) is not None:
-            thresholds[one] = t
-    return ToxicityModel(cnn, thresholds, common)
+    cnn = TextCnn().fit(words, (got.column("toxic").to_numpy() > 0).astype(np.int64))
+
+    scored = score(hashed, ToxicityModel(cnn, {}), ["doc_id", "lang", "h"])
+    outside = scored.join(F.broadcast(chosen.select("doc_id", "h")), ["doc_id", "h"], "left_anti")
+    # Scores have six decimals, so that their bins are exact. Rows of an id are counted before they meet its label: no id is hot.
+    bins = F.floor(F.round(F.col("toxicity") * 1e6) / (1_000_000 // BINS))
+    counts = outside.groupBy("doc_id", "lang", bins.alias("bin")).agg(F.count(F.lit(1)).alias("n")).join(marked, "doc_id")
+    counts = counts.groupBy("lang", "bin").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("toxic") > 0, F.col("n")).otherwise(0)).alias("toxic"))
+    return ToxicityModel(cnn, *_cuts(counts, precision, lowest))
 
 
 def score(docs: DataFrame, model: ToxicityModel, columns: list[str] | None = None) -> DataFrame:

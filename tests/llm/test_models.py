@@ -75,6 +75,46 @@ def test_toxicity_edges(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_score_ignores_next_document():
+    rng = np.random.default_rng(2)
+    cnn = toxicity.TextCnn()
+    cnn.weights["out"] = rng.normal(0, 2, cnn.weights["out"].shape).astype(np.float32)
+    alone = [cnn.scores(pa.array([t]))[0] for t in ("some words", "", "other text of more words")]
+    assert np.abs(cnn.scores(pa.array(["some words", "", "other text of more words"])) - alone).max() < 1e-5
+
+
+def test_toxicity_sample_and_thresholds(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(7 if i % 3 == 0 else 1000 + i, f"{'vile scum' if i % 4 == 1 else 'kind words'} {rng.random()}", "zz" if i % 50 in (1, 2) else "en") for i in range(1200)]
+    docs = spark.createDataFrame([*rows, *rows[:40]], "doc_id long, text string, lang string")
+    toxic = {i: 0 for i, _, _ in rows} | {i: 1 for i, t, _ in rows if t.startswith("vile") and i != 7}
+    labels = spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int")
+    learned = []
+    own = toxicity.TextCnn.fit
+    monkeypatch.setattr(toxicity.TextCnn, "fit", lambda self, docs, y, **more: learned.append(len(docs)) or own(self, docs, y, **more))
+    counted = []
+    cuts = toxicity._cuts
+    monkeypatch.setattr(toxicity, "_cuts", lambda counts, *more: counted.append(counts.toPandas()) or cuts(counts, *more))
+    model = toxicity.fit(docs, labels, sample=60)
+    assert learned == [60] and set(model.thresholds) == {"en", "zz"}
+    assert 1240 - 2 * 60 <= counted[0].n.sum() <= 1240 - 60 and counted[0].toxic.sum() > 100
+
+
+def test_thresholds_against_all_rows(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice(["a", "b", None]), rng.randrange(toxicity.BINS), rng.randrange(1, 5)) for _ in range(3000)]
+    rows = [(lang, b, n, sum(rng.random() < b / toxicity.BINS for _ in range(n))) for lang, b, n in rows] + [("clean", 9000, 3, 0), ("never", 9000, 9, 1)]
+
+    def brute(own):
+        if not sum(x[3] for x in own):
+            return None
+        good = [b for b in {x[1] for x in own} if b >= 3000 and sum(x[3] for x in own if x[1] >= b) >= 0.9 * sum(x[2] for x in own if x[1] >= b)]
+        return min(good) / toxicity.BINS if good else 0.5
+
+    got, common = toxicity._cuts(spark.createDataFrame(rows, "lang string, bin long, n long, toxic long"), 0.9, 0.3)
+    assert got == {k: brute([x for x in rows if x[0] == k]) for k in ("a", "b", None, "never")} and common == brute(rows)
+
+
 def naive_phrases(text, sample):
     count = 0
     for s in range(0, len(text), language.SEGMENT):
