@@ -7,8 +7,10 @@ the cross entropy. The language with the fewest phrases for each letter wins; of
 ones, the one whose name sorts first.
 
 Training takes a bounded sample of labelled rows: for each language, rows in the order
-of a hash of doc_id, whole texts, while together they stay within ``max_chars``
-characters. Automata are built on the driver, become one transition table each (states
+of a hash of doc_id, whole texts, each if together with those before they are at most
+``max_chars`` characters. Where that fills less than half, as in a language whose texts
+are all longer, a span of one longer text, from its first letter on, fills up the rest.
+Automata are built on the driver, become one transition table each (states
 x alphabet) and are sent to the tasks; their size is bounded by ``max_chars`` and not by
 the data. A text is reduced to small letters and single spaces. It is parsed whole, in
 segments of ``SEGMENT`` characters; a phrase ends where a segment does, for every
@@ -39,6 +41,8 @@ from prescriva.llm import shared
 SEGMENT = 256
 #: Counts of so many labels are sent to all tasks, and joined by a shuffle beyond.
 MOST_LANGUAGES = 10_000
+#: Ranked rows of a language whose texts are too long to be taken whole; one is used.
+LONG_ROWS = 8
 NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -144,21 +148,33 @@ class LanguageModel:
 
 def fit(labelled: DataFrame, max_chars: int = 20_000, rows: int = 400) -> LanguageModel | None:
     """Learn from (doc_id, text, lang): at most ``rows`` candidate rows and ``max_chars`` characters of a language."""
-    usable = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") <= max_chars) & F.col("text").rlike("\\p{L}"))
-    hashed = usable.select("lang", "text", F.xxhash64(F.col("doc_id"), F.lit(11)).alias("h"))
-    # Rows of a language are counted, and only those whose hash is among the smallest few are ranked: a bounded number, whatever the table's size.
-    counts = labelled.where(F.col("lang").isNotNull()).groupBy(F.col("lang").alias("of")).agg(F.count(F.lit(1)).alias("n"))
-    share = F.least(F.lit(1.0), F.lit(4.0 * rows) / F.col("n"))
+    usable = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
+    long = F.length("text") > max_chars
+    hashed = usable.select("lang", "text", long.alias("long"), F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(1 << 40)).alias("h"))
+    # Usable rows of a language are counted, and only those whose hash is among the smallest few are ranked: a bounded number, whatever the table's size.
+    counts = usable.groupBy(F.col("lang").alias("of"), long.alias("of_long")).agg(F.count(F.lit(1)).alias("n"))
+    most = F.when(F.col("long"), LONG_ROWS).otherwise(rows)
     counts = shared.written(counts, "languages")
     counts = F.broadcast(counts) if counts.count() <= MOST_LANGUAGES else counts
-    few = hashed.join(counts, F.col("lang") == F.col("of")).where(F.pmod("h", F.lit(1 << 40)) < share * float(1 << 40))
-    few = few.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 40)), "text"))).where(F.col("r") <= rows)
-    total = F.sum(F.length("text")).over(Window.partitionBy("lang").orderBy("r"))
-    got = few.withColumn("total", total).where(F.col("total") <= max_chars).select("lang", "r", "text").collect()
+    few = hashed.join(counts, (F.col("lang") == F.col("of")) & (F.col("long") == F.col("of_long")))
+    few = few.where(F.col("h") < F.least(F.lit(1.0), 4.0 * most / F.col("n")) * float(1 << 40))
+    span = F.regexp_extract("text", rf"(?s)\p{{L}}.{{0,{max_chars - 1}}}", 0)
+    few = few.select("lang", "long", "h", F.when(F.col("long"), span).otherwise(F.col("text")).alias("text"))
+    few = few.withColumn("r", F.row_number().over(Window.partitionBy("lang", "long").orderBy("h", "text"))).where(F.col("r") <= most)
+    # Rows in order, each if it still fits.
+    own = F.array_sort(F.collect_list(F.struct("r", F.length("text").alias("n"), "text")))
+    none = F.struct(F.lit(0).alias("total"), F.array().cast("array<string>").alias("texts"))
+    fits = lambda kept, row: F.when(kept.total + row.n <= max_chars, F.struct((kept.total + row.n).alias("total"), F.concat(kept.texts, F.array(row.text)).alias("texts"))).otherwise(kept)
+    got = few.groupBy("lang", "long").agg(F.aggregate(own, none, fits).alias("kept")).select("lang", "long", "kept.texts").collect()
     samples: dict[str, list[str]] = {}
-    for row in sorted(got, key=lambda x: (x.lang, x.r)):
-        samples.setdefault(row.lang, []).append(letters(row.text))
-    return LanguageModel.of({k: " ".join(v) for k, v in samples.items()}) if samples else None
+    for row in sorted(got, key=lambda x: (x.lang, x.long)):
+        texts = samples.setdefault(row.lang, [])
+        rest = max_chars - sum(map(len, texts))
+        if row.long and 2 * rest > max_chars:
+            texts.append(row.texts[0][:rest])
+        elif not row.long:
+            texts += row.texts
+    return LanguageModel.of({k: " ".join(map(letters, v)) for k, v in samples.items()}) if samples else None
 
 
 def identify(docs: DataFrame, model: LanguageModel | None, columns: list[str] | None = None) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from prescriva.llm import language, toxicity, wordhash
 
@@ -156,3 +157,19 @@ def test_language_held_out_and_edges(spark):
     assert [r.lang_pred for r in out[:4]] == ["und", "und", "en", "fr"] and out[4].lang_pred == "fr" and out[0].lang_score == 0
     assert {r.lang_pred for r in language.identify(docs, language.fit(docs.limit(0))).collect()} == {"und"}
     assert language.identify(docs.limit(0), model).count() == 0
+
+
+def test_language_of_long_and_rare_texts(spark, monkeypatch):
+    taken = {}
+    monkeypatch.setattr(language.LanguageModel, "of", classmethod(lambda cls, samples: taken.update(samples)))
+    words = {"long": "9 alpha beta ", "mixed": "eta theta "}
+    long = [(i, words["long"] * 3000, "long") for i in range(5)]
+    mixed = [(i, words["mixed"] * (1900 if i % 2 else 30), "mixed") for i in range(60)]
+    docs = spark.createDataFrame([*long, *mixed], "doc_id long, text string, lang string")
+    many = spark.range(20_000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 10_000 == 5, "gamma delta").otherwise(F.repeat(F.lit("gamma delta "), 40)).alias("text"), F.lit("rare").alias("lang"))
+    language.fit(docs, max_chars=20_000)
+    assert 16_000 < len(taken["long"]) <= 20_000  # "9 " goes
+    assert set(taken["long"].split()) <= {"alpha", "beta", "a", "al", "alp", "alph", "b", "be", "bet"}
+    assert 9_000 <= len(taken["mixed"]) <= 20_000
+    language.fit(many, max_chars=400, rows=10)
+    assert taken["rare"].split().count("gamma") >= 10 and len(taken["rare"]) <= 400 + 2  # spaces between texts
