@@ -24,11 +24,14 @@ containment of them; empty tables give no rows; other columns are not read.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from prescriva.llm import shared
+from prescriva.llm import sharded, shared
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -68,35 +71,41 @@ def sketches(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return sized.where(F.col("rank") <= largest - _needed(largest, threshold) + 1).select("item_id", "hash")
 
 
-def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """(doc_id, item_id, shared, item_shingles, containment) of all documents (doc_id, text) that contain items (item_id, text)."""
+def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, broadcast_rows: int = BROADCAST_ROWS, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(doc_id, item_id, shared, item_shingles, containment) of all documents (doc_id, text) that contain items (item_id, text); ``by`` has the columns that name a document."""
     index = sketches(items, threshold).groupBy("hash").agg(F.collect_set("item_id").alias("item_ids"))
     size = index.count()
-    split = docs.select("doc_id", words(F.col("text")).alias("w"))
-    exploded = split.select("doc_id", F.explode(shingle_hashes("w")).alias("hash"))
+    split = docs.select(*by, words(F.col("text")).alias("w"))
+    exploded = split.select(*by, F.explode(shingle_hashes("w")).alias("hash"))
     met = exploded.join(F.broadcast(index) if size <= broadcast_rows else index.hint("merge"), "hash")
-    candidates = met.select("doc_id", F.explode("item_ids").alias("item_id")).distinct()
+    candidates = met.select(*by, F.explode("item_ids").alias("item_id")).distinct()
     candidates = shared.written(candidates, "candidates")
 
     lists = items.select("item_id", words(F.col("text")).alias("w")).select("item_id", shingle_texts("w").alias("item_list")).where(F.size("item_list") > 0)
     pairs = candidates.join(F.broadcast(lists) if size <= broadcast_rows else lists.hint("merge"), "item_id")
-    pairs = pairs.withColumnRenamed("doc_id", "candidate_id")
-    found = candidates.select(F.col("doc_id").alias("candidate_id")).distinct()
+    pairs = pairs.withColumnsRenamed({c: f"candidate_{c}" for c in by})
+    found = candidates.select(*(F.col(c).alias(f"candidate_{c}") for c in by)).distinct()
     found = F.broadcast(found) if found.count() <= broadcast_rows else found.hint("merge")
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"candidate_{c}")) for c in by))
     # Few documents are candidates; only those are shuffled to their pairs, as words.
-    again = docs.select("doc_id", "text").join(found, F.col("doc_id").eqNullSafe(F.col("candidate_id")), "left_semi")
-    again = again.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", shingle_texts("w").alias("doc_list"))
-    checked = again.join(pairs, F.col("doc_id").eqNullSafe(F.col("candidate_id")))
-    counted = checked.select("doc_id", "item_id", F.size(F.array_intersect("doc_list", "item_list")).cast("long").alias("shared"), F.size("item_list").cast("long").alias("item_shingles"))
+    again = docs.select(*by, "text").join(found, same, "left_semi")
+    again = again.select(*by, words(F.col("text")).alias("w")).select(*by, shingle_texts("w").alias("doc_list"))
+    checked = again.join(pairs, same)
+    counted = checked.select(*by, "item_id", F.size(F.array_intersect("doc_list", "item_list")).cast("long").alias("shared"), F.size("item_list").cast("long").alias("item_shingles"))
     kept = counted.where(F.col("shared") >= _needed(F.col("item_shingles"), threshold))
-    best = kept.groupBy("doc_id", "item_id").agg(F.max(F.struct("shared", "item_shingles")).alias("m"))
-    return best.select("doc_id", "item_id", "m.shared", "m.item_shingles", (F.col("m.shared") / F.col("m.item_shingles")).alias("containment"))
-
-def without(docs: DataFrame, found: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``docs`` whose doc_id isn't in ``found``; the ids are sent to all tasks only if they are few, and shuffled otherwise."""
-    ids = shared.written(found.select(F.col("doc_id").alias("found_id")).distinct(), "found")
-    ids = F.broadcast(ids) if ids.count() <= broadcast_rows else ids.hint("merge")
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("found_id")), "left_anti").select(docs.columns)
+    best = kept.groupBy(*by, "item_id").agg(F.max(F.struct("shared", "item_shingles")).alias("m"))
+    return best.select(*by, "item_id", "m.shared", "m.item_shingles", (F.col("m.shared") / F.col("m.item_shingles")).alias("containment"))
+
+
+def clean(docs: DataFrame, items: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``docs`` without the rows that contain items, whatever other rows have their doc_id; the rows found are sent to all tasks only if they are few, and shuffled otherwise."""
+    docs = sharded.from_files(docs)
+    by = ("block", "row")
+    found = contaminated(sharded.with_blocks(docs, ["text"]), items, broadcast_rows=broadcast_rows, by=by).select(*by).distinct()
+    found = shared.written(found, "found")
+    found = F.broadcast(found) if found.count() <= broadcast_rows else found.hint("merge")
+    whole = docs.withColumn("whole", F.struct(*docs.columns))  # docs may have columns called block or row
+    return sharded.with_blocks(whole, ["whole"]).join(found, [*by], "left_anti").select(*(F.col("whole").getField(c).alias(c) for c in docs.columns))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
