@@ -6,8 +6,11 @@ of these four, so that inflected forms of a word share most of it. Filters of wi
 filter's largest response is kept, and a logistic layer gives the score. It is trained
 on the driver with Adam on a bounded sample of labelled rows: the ``sample`` rows with
 the smallest hash of id, language and text (equal rows count once), whole texts, already
-reduced to bucket numbers by the executors. Scoring sends the fixed-size model to the
-tasks and needs no shuffle.
+reduced to bucket numbers by the executors. A small sample is read as often as it takes
+to make ``LEAST_STEPS`` steps. Scoring sends the fixed-size model to the tasks and needs
+no shuffle. The trained weights are rounded to multiples of 2**-``GRID``: every sum and
+product of a score is then exact in doubles, so that a text's score is the same bits
+alone, in any batch and after any shuffle.
 
 Thresholds are calibrated by language on all labelled rows outside the sample; a quarter
 of the rows, by a hash, is never in it. They are scored where they are, and counted by
@@ -27,7 +30,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +46,9 @@ WIDTHS = (1, 2, 3)
 PREFIXES = (4, 6, 8)
 #: Steps of the score between 0 and 1 at which thresholds may lie.
 BINS = 10_000
+#: Trained weights are multiples of 2**-GRID; a score's sums stay exact in 53 bits.
+GRID = 10
+LEAST_STEPS = 300
 
 
 def bucket_runs(column: pa.Array, buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -102,6 +108,10 @@ class TextCnn:
         pooled = [np.maximum(np.maximum.reduceat(self._responses(x, starts, w), starts, axis=0) + p[f"bias{w}"], 0) for w in WIDTHS]
         return np.concatenate(pooled, axis=1) @ p["out"] + p["out_bias"][0]
 
+    def exact(self) -> TextCnn:
+        """The same model with weights on the grid, in doubles."""
+        return replace(self, weights={k: np.rint(v.astype(np.float64) * 2**GRID) / 2**GRID for k, v in self.weights.items()})
+
     def scores(self, column: pa.Array) -> np.ndarray:
         parts = [self.logits(row, starts) for row, starts in bucket_runs(column, self.buckets)]
         logits = np.concatenate(parts).astype(np.float64) if parts else np.empty(0)
@@ -142,11 +152,12 @@ class TextCnn:
         return g
 
     def fit(self, docs: list[np.ndarray], labels: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.01, dropout: float = 0.1) -> TextCnn:
-        """Adam over shuffled batches; ``dropout`` of the words of a batch are hidden, and three tenths keep only their beginnings, so that no rare word decides alone."""
+        """Adam over shuffled batches, at least ``epochs`` times and LEAST_STEPS steps; ``dropout`` of the words of a batch are hidden, and three tenths keep only their beginnings, so that no rare word decides alone."""
         rng, pad = np.random.default_rng(self.seed), max(WIDTHS)
         m = {k: np.zeros_like(v) for k, v in self.weights.items()}
         v2 = {k: np.zeros_like(v) for k, v in self.weights.items()}
         step = 0
+        epochs = max(epochs, -(-LEAST_STEPS // max(1, -(-len(docs) // batch))))
         for _ in range(epochs):
             order = rng.permutation(len(docs))
             for at in range(0, len(order), batch):
@@ -219,7 +230,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 8000, precision: float
     if not got.num_rows:
         return ToxicityModel(None, {})
     words = [np.frombuffer(x, dtype=np.uint16).astype(np.int32).reshape(-1, 1 + len(PREFIXES)) for x in got.column("words").to_pylist()]
-    cnn = TextCnn().fit(words, (got.column("toxic").to_numpy() > 0).astype(np.int64))
+    cnn = TextCnn().fit(words, (got.column("toxic").to_numpy() > 0).astype(np.int64)).exact()
 
     scored = score(hashed, ToxicityModel(cnn, {}), ["doc_id", "lang", "h"])
     outside = scored.join(F.broadcast(chosen.select("doc_id", "h")), ["doc_id", "h"], "left_anti")

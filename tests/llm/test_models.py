@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -72,16 +73,47 @@ def test_toxicity_edges(spark):
     assert [r.toxicity for r in toxicity.score(docs, none).collect()] == [0.0] * 5
     model = toxicity.fit(docs, docs.select("doc_id", "toxic"))
     out = toxicity.score(docs, model).collect()
-    assert len(out) == 5 and abs(out[0].toxicity - out[1].toxicity) < 1e-5 and abs(out[3].toxicity - out[4].toxicity) < 1e-5 and all(0 <= r.toxicity <= 1 for r in out)
+    assert len(out) == 5 and out[0].toxicity == out[1].toxicity and out[3].toxicity == out[4].toxicity and all(0 <= r.toxicity <= 1 for r in out)
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
-def test_score_ignores_next_document():
+def plain_score(cnn, text):
+    """A score by loops over a text's words; no batch, no padding."""
+    words = re.findall(rb"[^\x00-/:-@\[-`{-\x7f]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
+    buckets = [next(toxicity.bucket_runs(pa.array([w.decode(errors="surrogateescape")]), cnn.buckets))[0][0] for w in words]
+    x = [sum(cnn.weights["embed"][b] for b in own) for own in buckets]
+    z = cnn.weights["out_bias"][0]
+    for k, w in enumerate(toxicity.WIDTHS):
+        for f in range(cnn.filters):
+            best = 0.0
+            for i in range(len(x)):
+                window = np.concatenate([x[i + j] if i + j < len(x) else np.zeros(cnn.dim) for j in range(w)])
+                best = max(best, float(window @ cnn.weights[f"filter{w}"][:, f]) + cnn.weights[f"bias{w}"][f])
+            z += max(best, 0.0) * cnn.weights["out"][k * cnn.filters + f]
+    return z
+
+
+def test_scores_against_loops_in_any_company():
     rng = np.random.default_rng(2)
-    cnn = toxicity.TextCnn()
+    cnn = toxicity.TextCnn(filters=4)
     cnn.weights["out"] = rng.normal(0, 2, cnn.weights["out"].shape).astype(np.float32)
-    alone = [cnn.scores(pa.array([t]))[0] for t in ("some words", "", "other text of more words")]
-    assert np.abs(cnn.scores(pa.array(["some words", "", "other text of more words"])) - alone).max() < 1e-5
+    cnn = cnn.exact()
+    words = ["some", "Words", "vile", "scum", "déjà", "x1", "longer-word", "!", "extraordinary"]
+    texts = [" ".join(rng.choice(words, n)) for n in (0, 1, 2, 3, 7, 40, 200, 1)] + [None, "moron", "you are vile"]
+    alone = [cnn.scores(pa.array([t], pa.string()))[0] for t in texts]
+    plain = 1 / (1 + np.exp(-np.array([plain_score(cnn, t) for t in texts])))
+    assert np.abs(np.round(plain, 6) - alone).max() < 2e-6
+    for seed in range(5):
+        order = np.random.default_rng(seed).permutation(len(texts))
+        got = cnn.scores(pa.array([texts[i] for i in order], pa.string()))
+        assert got.tolist() == [alone[i] for i in order]
+
+
+def test_scores_after_a_shuffle(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"), sample=200)
+    a, b = (sorted(map(tuple, toxicity.score(x, model, ["doc_id"]).collect())) for x in (docs.coalesce(1), docs.repartition(13)))
+    assert a == b
 
 
 def test_toxicity_sample_and_thresholds(spark, monkeypatch):
