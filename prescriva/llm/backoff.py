@@ -18,8 +18,8 @@ ever whole anywhere. A block of documents sends its distinct bigrams and words w
 counts, the shards add them up and find the followers of each word, and answer each
 block with the arcs of its own words; that part of the automaton is all a block needs.
 What a block isn't told it knows: a word or bigram of a training text that no answer
-names was seen once, there; one of a held-out text was never seen. Words are told apart
-by 64-bit fingerprints, a word's followers by 48 bits, its context by 40 bits.
+names was seen once, there; one of a held-out text was never seen. Words and bigrams are
+told apart by 64-bit fingerprints everywhere.
 
 Defined results: a null text is an empty one, of one token, the end; rows are scored one
 by one, repeated rows train and score as often as they occur; without training rows
@@ -60,16 +60,12 @@ def sequences(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.nda
         yield tokens, before, lengths
 
 
-def _context(words: np.ndarray) -> np.ndarray:
-    return words >> np.uint64(24)
-
-
 def _home(contexts: np.ndarray, shards: int) -> np.ndarray:
     return mix(contexts) % np.uint64(shards)
 
 
 def _pair(contexts: np.ndarray, followers: np.ndarray) -> np.ndarray:
-    """A bigram's 64-bit name from its context's 40 bits and its follower's 48."""
+    """A bigram's 64-bit name."""
     return mix(mix(contexts) * _ODD + followers)
 
 
@@ -91,8 +87,7 @@ def _count_pairs(batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
     train, at, parts = _flags(batch), 0, []
     for tokens, before, lengths in sequences(batch.column("text")):
         own = np.repeat(train[at : at + len(lengths)], lengths)
-        contexts, followers = _context(before), tokens >> np.uint64(16)
-        parts.append((_pair(contexts, followers), contexts, followers, own, np.uint64(1) - own))
+        parts.append((_pair(before, tokens), before, tokens, own, np.uint64(1) - own))
         at += len(lengths)
     return _merge_pairs(parts)
 
@@ -110,8 +105,7 @@ def _value(seen: np.ndarray, held: np.ndarray) -> np.ndarray:
     return seen * np.uint64(2) + (held > 0)
 
 
-def ask_pairs(docs: DataFrame) -> DataFrame:
-    shards = sharded.shards_of(docs.sparkSession)
+def ask_pairs(docs: DataFrame, shards: int) -> DataFrame:
 
     def merge(parts):
         _, contexts, followers, seen, held = _merge_pairs(parts)
@@ -123,12 +117,11 @@ def ask_pairs(docs: DataFrame) -> DataFrame:
     return sharded.ask(docs, _count_pairs, merge)
 
 
-def ask_words(docs: DataFrame) -> DataFrame:
-    shards = sharded.shards_of(docs.sparkSession)
+def ask_words(docs: DataFrame, shards: int) -> DataFrame:
 
     def merge(parts):
         words, seen, held = sharded.summed(*map(np.concatenate, zip(*parts, strict=True)))
-        return _home(_context(words), shards).astype(np.int64), [words, _value(seen, held)], 1
+        return _home(words, shards).astype(np.int64), [words, _value(seen, held)], 1
 
     return sharded.ask(docs, _count_words, merge)
 
@@ -152,7 +145,7 @@ def reply_pairs(shards: int):
             total = back[at : at + len(own)]
             at += len(own)
             told = (total >= 2) | ((value & np.uint64(1) > 0) & (total >= 1))
-            names = own[told] >> np.uint64(16)
+            names = own[told]
             by = np.argsort(names, kind="stable")
             if len(names):
                 yield shard, block, 2, sharded.pack(names[by], total[told][by])
@@ -176,8 +169,8 @@ def reply_words(shard: int, rows: list[tuple[int, int, bytes]]) -> Iterator[tupl
     followers = np.zeros(len(words), dtype=np.uint64)
     if told:
         contexts, sums = sharded.summed(np.concatenate([t[0] for t in told]), np.concatenate([t[1] for t in told]))
-        at = np.minimum(np.searchsorted(contexts, _context(words)), len(contexts) - 1)
-        followers = np.where(contexts[at] == _context(words), sums[at], 0).astype(np.uint64)
+        at = np.minimum(np.searchsorted(contexts, words), len(contexts) - 1)
+        followers = np.where(contexts[at] == words, sums[at], 0).astype(np.uint64)
     real = (words != START) & (counts > 0)
     yield shard, -1, 9, sharded.pack(np.array([counts[real].sum(), real.sum()], dtype=np.uint64), ascending=0)
     for block, own, value in asked:
@@ -225,7 +218,7 @@ class BlockAutomaton:
             if not self.n:
                 yield lengths, np.zeros(len(lengths)), base, np.zeros(len(lengths))
                 continue
-            found, pair = _look_up(self.kind2[0], [self.kind2[1]], _pair(_context(before), tokens >> np.uint64(16)) >> np.uint64(16))
+            found, pair = _look_up(self.kind2[0], [self.kind2[1]], _pair(before, tokens))
             pair = np.where(found, pair, alone)
             c_before, t_before = np.concatenate([[0.0], c[:-1]]), np.concatenate([[0.0], t[:-1]])
             starts = np.searchsorted(words, START)
@@ -263,12 +256,13 @@ def _traverse(first: np.ndarray, lengths: np.ndarray, root: np.ndarray, arc: np.
 
 def score(docs: DataFrame, held_out: Column) -> DataFrame:
     """SCORED rows of all ``docs`` (doc_id, text), learned from those that aren't ``held_out``."""
-    spark = docs.sparkSession
+    docs = sharded.from_files(docs)
     ready = sharded.with_blocks(docs.withColumn("train", ~held_out), ["doc_id", "text", "train"])
-    told = shared.written(sharded.answer(ask_pairs(ready.select("text", "train", "block")), reply_pairs(sharded.shards_of(spark))), "pairs")
-    words = sharded.answer(ask_words(ready.select("text", "train", "block")).union(told.where("kind = 1")), reply_words)
+    texts, shards = ready.select("text", "train", "block"), sharded.shards_of(docs)
+    told = shared.written(sharded.answer(ask_pairs(texts, shards), reply_pairs(shards)), "pairs")
+    words = sharded.answer(ask_words(texts, shards).union(told.where("kind = 1")), reply_words)
     path = sharded.write_answers(words.union(told.where("kind = 2")), "automaton")
-    shared.remove_dir(spark, told.inputFiles()[0].rsplit("/", 1)[0]) if told.inputFiles() else None
+    shared.drop_table(told)
     sums = [sharded.unpack(b, ascending=0)[0] for b in sharded.Answers(path).of(-1).get(9, [])]
     n, v = int(sum(int(s[0]) for s in sums)), int(sum(int(s[1]) for s in sums))
 

@@ -4,11 +4,16 @@ A block is a fixed run of rows of a Parquet file; its name comes from the file a
 row numbers, so that every scan names it alike, whatever the splits are. A scan packs
 what a block has (sorted keys with values) into one row for each shard; a shard adds up
 what all blocks have sent, and answers each block with the totals of its own keys. The
-answers are a table in the shared folder with a file per block, which a later scan reads
-beside the block's documents: texts are never shuffled. Keys are spread evenly over the
-shards by their hashes, and a key is sent once by a block however often it occurs there,
-so that no key is hot. Rows are numpy arrays in bytes; Spark partitions, shuffles and
-spills them.
+answers are a table in the shared folder, in files of many blocks each that are sorted by
+block, which a later scan reads beside the block's documents: texts are never shuffled.
+Keys are spread evenly over the shards by their hashes, and a key is sent once by a
+block however often it occurs there, so that no key is hot. Rows are numpy arrays in
+bytes; Spark partitions, shuffles and spills them.
+
+A shard is what a task holds at once. There is one for each ``SHARD_BYTES`` of the input
+files, at least one for each shuffle partition; a task works through its shards one
+after another. A block sends one row to each shard, so at very large inputs ``ROWS`` and
+``SHARD_BYTES`` should grow together, with the root of the input.
 """
 
 from __future__ import annotations
@@ -16,17 +21,24 @@ from __future__ import annotations
 import itertools
 import struct
 from collections.abc import Callable, Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 import zstandard
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from prescriva.llm import shared
 
 ROWS = 2048
+SHARD_BYTES = 32 << 20
+#: Bytes of a row group in files of answers; a reader takes those that hold its block.
+GROUP_BYTES = 1 << 20
 ASKED = "shard int, block long, kind int, body binary"
 _PACK = zstandard.ZstdCompressor(level=1)
 _UNPACK = zstandard.ZstdDecompressor()
@@ -89,8 +101,11 @@ def summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
     return keys[starts], *(np.add.reduceat(v[order], starts) if len(starts) else v for v in values)
 
 
-def shards_of(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def shards_of(docs: DataFrame, size: int = SHARD_BYTES) -> int:
+    """How many shards the documents of a file-based ``docs`` need."""
+    files = docs.select("_metadata.file_path", "_metadata.file_size").distinct()
+    total = files.agg(F.sum("file_size")).first()[0] or 0
+    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // size))
 
 
 def ask(docs: DataFrame, count: Callable, merge: Callable, kind: int = 0) -> DataFrame:
@@ -123,7 +138,6 @@ def _rows(shards: list[int], block: int | list[int], kind: int, bodies: list[byt
 
 def answer(asked: DataFrame, reply: Callable[[int, list[tuple[int, int, bytes]]], Iterator[tuple[int, int, int, bytes]]]) -> DataFrame:
     """``reply(shard, rows)`` for each shard, where its rows (block, kind, body) are together; it gives (shard, block, kind, body) rows."""
-    n = shards_of(asked.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows():
@@ -138,34 +152,59 @@ def answer(asked: DataFrame, reply: Callable[[int, list[tuple[int, int, bytes]]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["shard", "block", "kind", "body"])
         shared.give_back()
 
-    dealt = asked.repartitionById(n, F.col("shard")) if hasattr(asked, "repartitionById") else asked.repartition(n, "shard")
+    n = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = asked.repartitionById(n, F.pmod("shard", F.lit(n)).cast("int"))
     return dealt.sortWithinPartitions("shard", "block", "kind").mapInArrow(run, ASKED)
 
 
-def write_answers(answers: DataFrame, name: str) -> str:
-    """Answers as a folder with one part for each block; its URI."""
-    path = shared.shared_dir(answers.sparkSession, name)
-    answers.select("block", "kind", "body").repartition("block").write.partitionBy("block").parquet(path)
-    return path
+class Folder(NamedTuple):
+    """A table that is read by block: files for buckets of blocks."""
 
+    path: str
+    buckets: int
 
-class Answers:
-    """Reads a block's answers in a task."""
 
-    def __init__(self, path: str):
-        self.fs, self.path = shared.store(path)
+def write_by_block(rows: DataFrame, name: str) -> Folder:
+    """``rows`` (with ``block``) as files of many blocks, sorted by block."""
+    spark = rows.sparkSession
+    folder = Folder(shared.shared_dir(spark, name), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    bucket = F.pmod("block", F.lit(folder.buckets)).cast("int")
+    dealt = rows.withColumn("bucket", bucket).repartitionById(folder.buckets, F.col("bucket")).sortWithinPartitions("bucket", "block")
+    dealt.write.partitionBy("bucket").option("parquet.block.size", GROUP_BYTES).parquet(folder.path)
+    return folder
+
+
+def write_answers(answers: DataFrame, name: str) -> Folder:
+    return write_by_block(answers.select("block", "kind", "body"), name)
+
+
+class Answers:
+    """Reads a block's rows of a folder in a task."""
+
+    def __init__(self, folder: Folder):
+        self.fs, self.path = shared.store(folder.path)
+        self.buckets = folder.buckets
+
+    def table(self, block: int, columns: list[str]) -> pa.Table | None:
+        """The block's rows; None for a block without any."""
+        out = []
+        for file in self.fs.get_file_info(pafs.FileSelector(f"{self.path}/bucket={block % self.buckets}", allow_not_found=True)):
+            if not file.path.endswith(".parquet"):
+                continue
+            own = pq.ParquetFile(self.fs.open_input_file(file.path))
+            at, groups = own.schema_arrow.get_field_index("block"), []
+            for g in range(own.metadata.num_row_groups):
+                seen = own.metadata.row_group(g).column(at).statistics
+                if seen is None or not seen.has_min_max or seen.min <= block <= seen.max:
+                    groups.append(g)
+            if groups:
+                rows = own.read_row_groups(groups, [*columns, "block"])
+                out.append(rows.filter(pc.equal(rows.column("block"), block)).select(columns))
+        return pa.concat_tables(out) if out else None
 
     def rows(self, block: int, columns: list[str]) -> list[tuple]:
-        """The block's rows; none for a block without answers."""
-        import pyarrow.fs as pafs
-        import pyarrow.parquet as pq
-
-        out: list[tuple] = []
-        for file in self.fs.get_file_info(pafs.FileSelector(f"{self.path}/block={block}", allow_not_found=True)):
-            if file.path.endswith(".parquet"):
-                table = pq.ParquetFile(self.fs.open_input_file(file.path)).read(columns)
-                out += zip(*(table.column(c).to_pylist() for c in columns), strict=True)
-        return out
+        table = self.table(block, columns)
+        return list(zip(*(table.column(c).to_pylist() for c in columns), strict=True)) if table else []
 
     def of(self, block: int) -> dict[int, list[bytes]]:
         """kind -> bodies."""

@@ -8,16 +8,18 @@ import uuid
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a local one of our own only where that is unset."""
+    """The folder in ``spark.checkpoint.dir``; one of our own only where that is unset and all of Spark runs on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not root:
         root = spark.conf.get("spark.prescriva.localWork", None)
         if not root:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
             root = "file://" + tempfile.mkdtemp(prefix="prescriva-")
             spark.conf.set("spark.prescriva.localWork", root)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -79,6 +81,20 @@ def crc_mod(column: str, n: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Rows in an Arrow batch: whole texts can be long, so that a batch stays at some MB."""
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 16 << 20) -> None:
+    """Rows and bytes in an Arrow batch: whole texts can be long, so that a batch stays at some MB."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
+def small_enough(df: DataFrame, size: Column, most: int) -> bool:
+    """Whether the rows of ``df``, of ``size`` bytes each, may be sent to all tasks: at most ``most`` bytes, with 32 more for each row."""
+    total = df.agg(F.sum(size + 32)).first()[0]
+    return (total or 0) <= most
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete a table of ``written`` that nothing reads any more."""
+    files = df.inputFiles()
+    if files:
+        remove_dir(df.sparkSession, files[0].rsplit("/", 1)[0])

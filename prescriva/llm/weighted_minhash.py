@@ -149,13 +149,12 @@ def _reply(shard: int, rows: list[tuple[int, int, bytes]]) -> Iterator[tuple[int
             yield shard, block, 0, sharded.pack(keys[several] >> np.uint64(16), total[several])
 
 
-def document_frequencies(ready: DataFrame) -> str:
+def document_frequencies(ready: DataFrame, shards: int) -> sharded.Folder:
     """A folder that tells each block of ``ready`` (text, block) the shingles that several texts have."""
-    shards = np.uint64(sharded.shards_of(ready.sparkSession))
 
     def merge(parts):
         keys, counts = sharded.summed(*map(np.concatenate, zip(*parts, strict=True)))
-        return (keys % shards).astype(np.int64), [keys, counts], 1
+        return (keys % np.uint64(shards)).astype(np.int64), [keys, counts], 1
 
     return sharded.write_answers(sharded.answer(sharded.ask(ready, _count, merge), _reply), "shingles")
 
@@ -163,7 +162,7 @@ def document_frequencies(ready: DataFrame) -> str:
 class _Weights:
     """Weights of shingles of one block."""
 
-    def __init__(self, path: str, texts: int):
+    def __init__(self, path: sharded.Folder, texts: int):
         self.answers, self.texts, self.block = sharded.Answers(path), texts, None
 
     def of(self, block: int, keys: np.ndarray, times: np.ndarray) -> np.ndarray:
@@ -208,7 +207,7 @@ def signatures(keys: np.ndarray, weights: np.ndarray, sizes: np.ndarray, rows: i
     return out, bytes_
 
 
-def signed(ready: DataFrame, frequencies: str, texts: int, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
+def signed(ready: DataFrame, frequencies: sharded.Folder, texts: int, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """(doc_id, block, row, cid, size, bands, picks) of each text; cid names its ``size`` shingles and is null where it has none."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -265,14 +264,14 @@ SENT = "a long, part int, role int, cid long, root long, body binary"
 class Comparison:
     """Sends the weights of classes from their blocks to where they are compared."""
 
-    def __init__(self, ready: DataFrame, frequencies: str, texts: int, classes: DataFrame, threshold: float):
+    def __init__(self, ready: DataFrame, frequencies: sharded.Folder, texts: int, classes: DataFrame, threshold: float):
         self.ready, self.frequencies, self.texts, self.threshold = ready, frequencies, texts, threshold
         self.classes = classes
 
     def sent(self, wanted: DataFrame) -> DataFrame:
         """SENT rows for ``wanted`` (a, part, role, cid, root)."""
-        path, frequencies, texts = shared.shared_dir(self.ready.sparkSession, "wanted"), self.frequencies, self.texts
-        wanted.join(self.classes.select("cid", "block", "row"), "cid").repartition("block").write.partitionBy("block").parquet(path)
+        frequencies, texts = self.frequencies, self.texts
+        path = sharded.write_by_block(wanted.join(self.classes.select("cid", "block", "row"), "cid"), "wanted")
 
         def weigh(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             weights, answers, now, asked = _Weights(frequencies, texts), sharded.Answers(path), None, {}
@@ -446,9 +445,10 @@ def _dealt(mixed: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, rows_each: int = ROWS, bands_all: int = BANDS) -> DataFrame:
     """(doc_id, block, row, component_id, kept) for each row of ``docs`` (doc_id, text)."""
+    docs = sharded.from_files(docs)
     ready = sharded.with_blocks(docs, ["doc_id", "text"])
     texts = docs.count()
-    frequencies = document_frequencies(ready.select("text", "block"))
+    frequencies = document_frequencies(ready.select("text", "block"), sharded.shards_of(docs))
     rows = shared.written(signed(ready, frequencies, texts, rows_each, bands_all), "signed")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "block", "row"))
     classes = rows.where(F.col("cid").isNotNull()).groupBy("cid").agg(first.alias("first"), *(F.first(c).alias(c) for c in ("size", "bands", "picks")))
@@ -482,10 +482,9 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, rows_each: in
 
 def deduplicated(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with one row of each component; the rows that go are told to their blocks, so texts aren't shuffled."""
-    spark, columns = docs.sparkSession, docs.columns
+    columns = docs.columns
     docs = sharded.from_files(docs)
-    path = shared.shared_dir(spark, "gone")
-    near_duplicates(docs, threshold).where("not kept").select("block", "row").repartition("block").write.partitionBy("block").parquet(path)
+    path = sharded.write_by_block(near_duplicates(docs, threshold).where("not kept").select("block", "row"), "gone")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         answers, now, gone = sharded.Answers(path), None, set()
