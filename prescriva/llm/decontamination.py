@@ -11,8 +11,10 @@ its shingles, so it holds one of these k: the search misses nothing. Candidates
 verified by exact containment on the shingles' words.
 
 All of it is DataFrame functions: a document's shingle hashes are exploded and meet the
-index of sketches. That join sends the index to all tasks while it has at most
-``broadcast_rows`` rows (counted first), and shuffles both sides by hash otherwise.
+index of sketches. Whatever is sent to all tasks (the index, the items' lists, the
+documents found) is sized by its own bytes first, and both sides are shuffled where it
+has more than ``broadcast_bytes``. A shingle of many items and documents, as of a
+licence, is one row for each item that has it: in the shuffle join AQE splits it.
 Only candidates are read again for the verification.
 
 Words are runs of letters and digits in small letters. Defined results: null or empty
@@ -35,7 +37,7 @@ from prescriva.llm import sharded, shared
 
 WORDS = 5
 THRESHOLD = 0.8
-BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 24 << 20
 
 
 def words(text: Column) -> Column:
@@ -71,21 +73,26 @@ def sketches(items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return sized.where(F.col("rank") <= largest - _needed(largest, threshold) + 1).select("item_id", "hash")
 
 
-def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, broadcast_rows: int = BROADCAST_ROWS, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def _sent(df: DataFrame, size: Column, most: int) -> DataFrame:
+    """``df`` for a join: sent to all tasks if its rows, of ``size`` bytes each, are at most ``most`` bytes, and shuffled otherwise."""
+    return F.broadcast(df) if shared.small_enough(df, size, most) else df.hint("merge")
+
+
+def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, broadcast_bytes: int = BROADCAST_BYTES, by: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(doc_id, item_id, shared, item_shingles, containment) of all documents (doc_id, text) that contain items (item_id, text); ``by`` has the columns that name a document."""
-    index = sketches(items, threshold).groupBy("hash").agg(F.collect_set("item_id").alias("item_ids"))
-    size = index.count()
+    index = shared.written(sketches(items, threshold), "index")
     split = docs.select(*by, words(F.col("text")).alias("w"))
     exploded = split.select(*by, F.explode(shingle_hashes("w")).alias("hash"))
-    met = exploded.join(F.broadcast(index) if size <= broadcast_rows else index.hint("merge"), "hash")
-    candidates = met.select(*by, F.explode("item_ids").alias("item_id")).distinct()
+    met = exploded.join(_sent(index, F.lit(16), broadcast_bytes), "hash")
+    candidates = met.select(*by, "item_id").distinct()
     candidates = shared.written(candidates, "candidates")
 
     lists = items.select("item_id", words(F.col("text")).alias("w")).select("item_id", shingle_texts("w").alias("item_list")).where(F.size("item_list") > 0)
-    pairs = candidates.join(F.broadcast(lists) if size <= broadcast_rows else lists.hint("merge"), "item_id")
+    bytes_of = F.aggregate("item_list", F.lit(0).cast("long"), lambda n, x: n + F.octet_length(x) + 16)
+    pairs = candidates.join(_sent(lists, bytes_of, broadcast_bytes), "item_id")
     pairs = pairs.withColumnsRenamed({c: f"candidate_{c}" for c in by})
     found = candidates.select(*(F.col(c).alias(f"candidate_{c}") for c in by)).distinct()
-    found = F.broadcast(found) if found.count() <= broadcast_rows else found.hint("merge")
+    found = _sent(found, F.lit(16 * len(by)), broadcast_bytes)
     same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"candidate_{c}")) for c in by))
     # Few documents are candidates; only those are shuffled to their pairs, as words.
     again = docs.select(*by, "text").join(found, same, "left_semi")
@@ -97,13 +104,13 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     return best.select(*by, "item_id", "m.shared", "m.item_shingles", (F.col("m.shared") / F.col("m.item_shingles")).alias("containment"))
 
 
-def clean(docs: DataFrame, items: DataFrame, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``docs`` without the rows that contain items, whatever other rows have their doc_id; the rows found are sent to all tasks only if they are few, and shuffled otherwise."""
     docs = sharded.from_files(docs)
     by = ("block", "row")
-    found = contaminated(sharded.with_blocks(docs, ["text"]), items, broadcast_rows=broadcast_rows, by=by).select(*by).distinct()
+    found = contaminated(sharded.with_blocks(docs, ["text"]), items, broadcast_bytes=broadcast_bytes, by=by).select(*by).distinct()
     found = shared.written(found, "found")
-    found = F.broadcast(found) if found.count() <= broadcast_rows else found.hint("merge")
+    found = _sent(found, F.lit(32), broadcast_bytes)
     whole = docs.withColumn("whole", F.struct(*docs.columns))  # docs may have columns called block or row
     return sharded.with_blocks(whole, ["whole"]).join(found, [*by], "left_anti").select(*(F.col("whole").getField(c).alias(c) for c in docs.columns))
 

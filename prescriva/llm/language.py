@@ -12,9 +12,11 @@ of a hash of doc_id, whole texts, each if together with those before they are at
 are all longer, a span of one longer text, from its first letter on, fills up the rest.
 Automata are built on the driver, become one transition table each (states
 x alphabet) and are sent to the tasks; their size is bounded by ``max_chars`` and not by
-the data. A text is reduced to small letters and single spaces. It is parsed whole, in
-segments of ``SEGMENT`` characters; a phrase ends where a segment does, for every
-language alike, so that all segments of a batch are parsed side by side.
+the data. A text is reduced to small letters and single spaces and parsed whole. To read
+long texts side by side, all segments of ``SEGMENT`` characters are first parsed as if a
+phrase began with each; then the phrase that really enters a segment is followed until
+its state is that of the first parse, from where on both agree, and the count is
+corrected. So phrases cross segments, and counts are those of one reading.
 
 Defined results: a null text, and one without a letter, is ``und`` with score 0, and so
 is every text when nothing was learned. The score is the winner's share of
@@ -25,6 +27,7 @@ empty one. Rows with a null label or null text are not learned from.
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -87,7 +90,8 @@ class LanguageModel:
     """``codes``: code point -> column, 0 for unknown ones; ``tables``: language -> transitions.
 
     A negative entry means that the phrase ends before this character: -1 - s, where s
-    is the state after a new phrase has taken it.
+    is the state after a new phrase has taken it. The last state stands before a text and
+    behind an unknown character, a phrase of its own: whatever follows begins a phrase.
     """
 
     codes: np.ndarray
@@ -101,8 +105,8 @@ class LanguageModel:
         tables = {}
         for name in sorted(samples):
             moves = suffix_automaton(samples[name])
-            table = np.full((len(moves), len(alphabet) + 1), -1, dtype=np.int32)
-            table[:] = -1 - np.array([0] + [moves[0].get(chr(c), 0) for c in alphabet], dtype=np.int32)
+            table = np.empty((len(moves) + 1, len(alphabet) + 1), dtype=np.int32)
+            table[:] = -1 - np.array([len(moves)] + [moves[0].get(chr(c), len(moves)) for c in alphabet], dtype=np.int32)
             for state, own in enumerate(moves):
                 for c, to in own.items():
                     table[state, codes[ord(c)]] = to
@@ -122,11 +126,16 @@ class LanguageModel:
         lengths = np.minimum(SEGMENT, np.repeat(sizes, segments) - within * SEGMENT)
         order = np.argsort(-lengths, kind="stable")
         lengths, starts, owner = lengths[order], starts[order], owner[order]
+        # Where each segment that isn't its text's first stands, and the one before it.
+        place = np.empty(len(order), dtype=np.int64)
+        place[order] = np.arange(len(order))
+        later = np.flatnonzero(within > 0)
+        place = (place[later], place[later - 1])
         lanes = np.searchsorted(-lengths, -np.arange(1, SEGMENT + 1), "right")
         out = np.zeros((len(texts), len(self.tables)))
         for k, table in enumerate(self.tables.values()):
             flat, width = table.ravel(), table.shape[1]
-            state, count = np.zeros(len(starts), dtype=np.int64), np.ones(len(starts), dtype=np.int64)
+            state, count = np.full(len(starts), len(table) - 1), np.zeros(len(starts), dtype=np.int64)
             for t, n in enumerate(lanes):
                 if not n:
                     break
@@ -134,9 +143,64 @@ class LanguageModel:
                 ended = to < 0
                 count[:n] += ended
                 state[:n] = np.where(ended, -1 - to, to)
-            out[:, k] = np.bincount(owner, count, len(texts))
+            out[:, k] = np.bincount(owner, count, len(texts)) + self._seams(flat, width, columns, starts, lengths, owner, place, state, len(texts))
         return sizes, out
 
+    @staticmethod
+    def _seams(flat, width, columns, starts, lengths, owner, place, ends, texts: int) -> np.ndarray:
+        """What the first parse, in which a phrase begins with each segment, has counted too few (or, negative, too many) in each text.
+
+        ``ends``: the state behind each segment. The phrase that enters a segment is read
+        on beside the first parse until their states are equal. The few lanes that are
+        late are read one by one; where one differs to its segment's end, the next
+        segment is entered otherwise and is read once more.
+        """
+        later, before = place
+        begin = len(flat) // width - 1
+        change = np.zeros(len(starts), dtype=np.int64)
+        enters = np.full(len(starts), -1, dtype=np.int64)
+        enters[later] = ends[before]
+        follows = dict(zip(before.tolist(), later.tolist(), strict=True))
+        lane, real, fresh, extra, t = later, enters[later], np.full(len(later), begin), np.zeros(len(later), dtype=np.int64), 0
+        late: dict[int, tuple[int, int, int, int]] = {}
+        while len(lane) > 48:
+            c = columns[starts[lane] + t]
+            real, fresh = flat[real * width + c].astype(np.int64), flat[fresh * width + c].astype(np.int64)
+            extra = extra + (real < 0) - (fresh < 0)
+            real, fresh = np.where(real < 0, -1 - real, real), np.where(fresh < 0, -1 - fresh, fresh)
+            t += 1
+            over = lengths[lane] <= t
+            met = real == fresh
+            change[lane[met]] = extra[met]
+            for i in np.flatnonzero(over & ~met).tolist():
+                late[int(lane[i])] = (int(real[i]), int(fresh[i]), int(extra[i]), t)
+            goes = ~(met | over)
+            lane, real, fresh, extra = lane[goes], real[goes], fresh[goes], extra[goes]
+        late.update(zip(lane.tolist(), zip(real.tolist(), fresh.tolist(), extra.tolist(), [t] * len(lane), strict=True), strict=True))
+        queue = [(int(starts[i]), i) for i in late]
+        heapq.heapify(queue)
+        while queue:
+            _, i = heapq.heappop(queue)
+            if i not in late:
+                continue
+            x, y, n, t = late.pop(i)
+            for c in columns[starts[i] + t : starts[i] + lengths[i]].tolist():
+                if x == y:
+                    break
+                x, y = flat.item(x * width + c), flat.item(y * width + c)
+                if x < 0:
+                    x, n = -1 - x, n + 1
+                if y < 0:
+                    y, n = -1 - y, n - 1
+            change[i] = n
+            following = follows.get(i)
+            end = int(ends[i]) if x == y else x
+            if following is not None and enters[following] != end:
+                enters[following] = end
+                late[following] = (end, begin, 0, 0)
+                heapq.heappush(queue, (int(starts[following]), following))
+        return np.bincount(owner, change, texts)
+
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         sizes, count = self.phrases(texts)
         rate = 100 * count / np.maximum(sizes, 1)[:, None]

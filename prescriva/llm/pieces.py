@@ -3,9 +3,12 @@
 The library writes each space as a marker and puts one before the text. No piece of the
 model has a marker after another character (checked when the model is loaded), so that
 no merge crosses the place where a marker follows a word: the ids of a text are those of
-its chunks "markers + word", one after another. Each worker keeps a bounded table of
-distinct chunks; a chunk is segmented by the library once, and its ids are joined back
-by position. Nothing is shuffled. A model that has such pieces is encoded text by text.
+its chunks "markers + word", one after another. Each block of documents sends its
+distinct chunks to shards (``sharded``); a shard has every chunk of the corpus that
+hashes to it, segments each distinct one once and answers each block; a second scan
+joins the ids back by position beside the documents. Texts are never shuffled, and a
+chunk is sent once by a block however often it occurs there. A model with pieces that
+cross markers is encoded text by text.
 
 Defined results: a null text is an empty one and has no ids; rows are independent, so
 repeated rows and other columns change nothing; an empty table gives an empty one.
@@ -14,21 +17,28 @@ repeated rows and other columns change nothing; an empty table gives an empty on
 from __future__ import annotations
 
 import hashlib
+import itertools
+import struct
+import zlib
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from prescriva.llm import shared
-from prescriva.llm.chunktable import ChunkTable
+from prescriva.llm import sharded, shared
 
 MODEL = "piece_bpe_32k.model"
+_PACK, _UNPACK = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 MARK = "▁"
 
 
 class PieceCoder:
-    """Encodes and decodes with one model; ``table`` is None where chunks aren't independent."""
+    """Encodes and decodes with one model; ``by_chunks`` is false where chunks aren't independent."""
 
     _kept: dict[str, PieceCoder] = {}
 
@@ -38,8 +48,8 @@ class PieceCoder:
         self.sp = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = (self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size()))
         crossing = any(MARK in p.lstrip(MARK) for p in pieces)
-        plain = self.sp.encode("  a  ", out_type=str) and "".join(self.sp.encode("  a  ", out_type=str)) == MARK * 3 + "a" + MARK * 2
-        self.table = None if crossing or not plain else ChunkTable(self._work_out, 150_000)
+        plain = "".join(self.sp.encode("  a  ", out_type=str)) == MARK * 3 + "a" + MARK * 2
+        self.by_chunks = plain and not crossing
         self.lone = ",".join(map(str, self.sp.encode("a ")[len(self.sp.encode("a")) :]))
 
     @classmethod
@@ -48,8 +58,8 @@ class PieceCoder:
             cls._kept[path] = cls(path)
         return cls._kept[path]
 
-    def _work_out(self, chunks: list[str]) -> Iterator[str]:
-        """Ids in decimal, joined: less memory than numbers."""
+    def segment(self, chunks: list[str]) -> Iterator[str]:
+        """Ids of each chunk in decimal, joined."""
         for chunk, ids in zip(chunks, self.sp.encode(chunks, num_threads=1), strict=True):
             yield ",".join(map(str, ids)) if chunk else self.lone
 
@@ -71,20 +81,100 @@ class PieceCoder:
             out.append(" " * (markers - 1))
         return out
 
-    def encode(self, texts: list[str]) -> Iterator[tuple[list[int], str]]:
+    def decode(self, ids: list[int]) -> str:
+        return self.sp.decode(ids)
+
+
+def packed(strings: list[str]) -> bytes:
+    body = [x.encode() for x in strings]
+    lengths = sharded.pack(np.array([len(x) for x in body], dtype=np.uint64), ascending=0)
+    return struct.pack("<I", len(lengths)) + lengths + _PACK.compress(b"".join(body))
+
+
+def unpacked(body: bytes) -> list[str]:
+    size = struct.unpack_from("<I", body)[0]
+    ends = np.cumsum(sharded.unpack(body[4 : 4 + size], ascending=0)[0]).tolist()
+    whole = _UNPACK.decompress(body[4 + size :])
+    return [whole[s:e].decode() for s, e in itertools.pairwise([0, *map(int, ends)])]
+
+
+def chunk_tables(docs: DataFrame, model_path: str) -> sharded.Folder:
+    """A folder that tells each block of the file-based ``docs`` the ids of its distinct chunks."""
+    shards = sharded.shards_of(docs)
+
+    def ask(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, parts in itertools.groupby(sharded.by_block(batches), lambda x: x[0]):
+            seen: set[str] = set()
+            for _, batch in parts:
+                seen.update(*map(PieceCoder.chunks, shared.texts(batch)))
+            dealt: dict[int, list[str]] = {}
+            for chunk in sorted(seen):
+                dealt.setdefault(zlib.crc32(chunk.encode()) % shards, []).append(chunk)
+            rows = list(dealt.items())
+            for at in range(0, len(rows), 64):
+                own = rows[at : at + 64]
+                yield sharded.asked_rows([s for s, _ in own], block, 0, [packed(c) for _, c in own])
+        shared.give_back()
+
+    def reply(shard: int, rows: list[tuple[int, int, bytes]]) -> Iterator[tuple[int, int, int, bytes]]:
+        coder, asked = PieceCoder.of(model_path), [(block, unpacked(body)) for block, _, body in rows]
+        distinct = list(set().union(*(c for _, c in asked)))
+        table: dict[str, str] = {}
+        for at in range(0, len(distinct), 20_000):
+            part = distinct[at : at + 20_000]
+            table.update(zip(part, coder.segment(part), strict=True))
+        for block, chunks in asked:
+            yield shard, block, 0, packed(chunks)
+            yield shard, block, 1, packed([table[c] for c in chunks])
+
+    asked = sharded.with_blocks(docs, ["text"]).select("text", "block").mapInArrow(ask, sharded.ASKED)
+    # Both bodies of a shard stay in one order: kind 0 names the chunks of kind 1.
+    answers = sharded.answer(asked, reply).withColumn("block_shard", F.col("shard"))
+    return sharded.write_by_block(answers.select("block", "block_shard", "kind", "body"), "chunks")
+
+
+class _Encoder:
+    """Ids of texts in a task, by the table of their block."""
+
+    def __init__(self, model_path: str, folder: sharded.Folder | None):
+        self.coder = PieceCoder.of(model_path)
+        self.answers, self.block, self.table = sharded.Answers(folder) if folder else None, None, {}
+
+    def encode(self, block: int, texts: list[str]) -> Iterator[tuple[list[int], str]]:
         """For each text its ids, and them in decimal joined by commas."""
-        if self.table is None:
-            for ids in self.sp.encode(texts, num_threads=1):
+        if self.answers is None:
+            for ids in self.coder.sp.encode(texts, num_threads=1):
                 yield ids, ",".join(map(str, ids))
             return
-        chunks = [self.chunks(t) for t in texts]
-        table = self.table.lookup(chunks)
-        for own in chunks:
-            joined = ",".join([v for c in own if (v := table[c])])
+        if block != self.block:
+            own: dict[int, dict[int, list[str]]] = {}
+            for shard, kind, body in self.answers.rows(block, ["block_shard", "kind", "body"]):
+                own.setdefault(shard, {})[kind] = unpacked(body)
+            self.block, self.table = block, {c: v for x in own.values() for c, v in zip(x[0], x[1], strict=True)}
+        table = self.table
+        for text in texts:
+            joined = ",".join([v for c in PieceCoder.chunks(text) if (v := table[c])])
             yield (list(map(int, joined.split(","))) if joined else []), joined
 
-    def decode(self, ids: list[int]) -> str:
-        return self.sp.decode(ids)
+
+def _coded(docs: DataFrame, model_path: str, kept: list[str], code, fields: list[StructField]) -> DataFrame:
+    """``kept`` columns of ``docs`` and what ``code(ids, joined, decode)`` makes of each text: one value for each of ``fields``."""
+    docs = sharded.from_files(docs)
+    folder = chunk_tables(docs, model_path) if PieceCoder.of(model_path).by_chunks else None
+    whole = F.struct(*kept) if kept else F.struct(F.lit(0).alias("none"))
+    ready = sharded.with_blocks(docs.withColumn("whole_row", whole), ["whole_row", "text"])  # docs may have columns called block or row
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _Encoder(model_path, folder)
+        for block, batch in sharded.by_block(batches):
+            made = [code(ids, joined, encoder.coder.decode) for ids, joined in encoder.encode(block, shared.texts(batch))]
+            columns = list(zip(*made, strict=True))
+            rows = batch.column("whole_row")
+            arrays = [rows.field(c) for c in kept] + [pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(columns, fields, strict=True)]
+            yield pa.RecordBatch.from_arrays(arrays, names=kept + [f.name for f in fields])
+        shared.give_back()
+
+    return ready.mapInArrow(run, StructType([docs.schema[c] for c in kept] + fields))
 
 
 def with_pieces(docs: DataFrame, model_path: str, ids: str = "piece_ids", decoded: str | None = "piece_text", columns: list[str] | None = None) -> DataFrame:
@@ -92,41 +182,19 @@ def with_pieces(docs: DataFrame, model_path: str, ids: str = "piece_ids", decode
 
     An existing column of either new name is replaced.
     """
-    shared.small_batches(docs.sparkSession)
-    new = [x for x in (ids, decoded) if x]
-    kept = [c for c in (columns or docs.columns) if c not in new]
-    fields = [docs.schema[c] for c in kept] + [StructField(ids, ArrayType(IntegerType()))] + ([StructField(decoded, StringType())] if decoded else [])
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = PieceCoder.of(model_path)
-        for batch in batches:
-            coded = [x for x, _ in coder.encode(shared.texts(batch))]
-            arrays = [batch.column(c) for c in kept] + [pa.array(coded, pa.list_(pa.int32()))]
-            if decoded:
-                arrays.append(pa.array(map(coder.decode, coded), pa.string()))
-            yield pa.RecordBatch.from_arrays(arrays, names=kept + new)
-
-    source = docs.select(*kept, *([] if "text" in kept else ["text"]))
-    return source.mapInArrow(run, StructType(fields))
+    kept = [c for c in (columns or docs.columns) if c not in (ids, decoded)]
+    fields = [StructField(ids, ArrayType(IntegerType()))] + ([StructField(decoded, StringType())] if decoded else [])
+    return _coded(docs, model_path, kept, lambda own, _, decode: (own, decode(own))[: len(fields)], fields)
 
 
 def digests(docs: DataFrame, model_path: str) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256; made where the ids are, so that they need not leave the worker."""
-    shared.small_batches(docs.sparkSession)
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = PieceCoder.of(model_path)
-        for batch in batches:
-            counts, of_ids, of_text = [], [], []
-            for ids, joined in coder.encode(shared.texts(batch)):
-                counts.append(len(ids))
-                of_ids.append(hashlib.sha256(joined.encode()).hexdigest())
-                of_text.append(hashlib.sha256(coder.decode(ids).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        shared.give_back()
+    def code(ids: list[int], joined: str, decode) -> tuple[int, str, str]:
+        return len(ids), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decode(ids).encode()).hexdigest()
 
-    schema = StructType([docs.schema["doc_id"], StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())])
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    fields = [StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())]
+    return _coded(docs, model_path, ["doc_id"], code, fields)
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

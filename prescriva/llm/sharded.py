@@ -125,15 +125,15 @@ def ask(docs: DataFrame, count: Callable, merge: Callable, kind: int = 0) -> Dat
             for at in range(0, len(spans), 64):
                 own = spans[at : at + 64]
                 bodies = [pack(*(a[s:e] for a in arrays), ascending=ascending) for s, e in own]
-                yield _rows([int(shard[s]) for s, _ in own], block, kind, bodies)
+                yield asked_rows([int(shard[s]) for s, _ in own], block, kind, bodies)
         shared.give_back()
 
     return docs.mapInArrow(run, ASKED)
 
 
-def _rows(shards: list[int], block: int | list[int], kind: int, bodies: list[bytes]) -> pa.RecordBatch:
-    blocks = block if isinstance(block, list) else [block] * len(bodies)
-    return pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array(blocks, pa.int64()), pa.array([kind] * len(bodies), pa.int32()), pa.array(bodies, pa.binary())], names=["shard", "block", "kind", "body"])
+def asked_rows(shards: list[int], block: int, kind: int, bodies: list[bytes]) -> pa.RecordBatch:
+    """ASKED rows of one block."""
+    return pa.RecordBatch.from_arrays([pa.array(shards, pa.int32()), pa.array([block] * len(bodies), pa.int64()), pa.array([kind] * len(bodies), pa.int32()), pa.array(bodies, pa.binary())], names=["shard", "block", "kind", "body"])
 
 
 def answer(asked: DataFrame, reply: Callable[[int, list[tuple[int, int, bytes]]], Iterator[tuple[int, int, int, bytes]]]) -> DataFrame:

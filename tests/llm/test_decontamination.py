@@ -38,8 +38,8 @@ def test_against_brute_force(spark):
     bench = spark.createDataFrame([(*x, 2) for x in items], "item_id long, text string, doc_id int")
     wanted = brute(docs, items)
     assert len(wanted) > 20
-    for rows in (d.BROADCAST_ROWS, 0):
-        assert {(r.doc_id, r.item_id): r.shared for r in d.contaminated(frame, bench, broadcast_rows=rows).collect()} == wanted
+    for rows in (d.BROADCAST_BYTES, 0):
+        assert {(r.doc_id, r.item_id): r.shared for r in d.contaminated(frame, bench, broadcast_bytes=rows).collect()} == wanted
     assert d.contaminated(frame.limit(0), bench).count() == 0 and d.contaminated(frame, bench.limit(0)).count() == 0
 
 
@@ -48,6 +48,6 @@ def test_clean_rows_of_a_contaminated_id_stay(spark):
     rows = [(1, f"and {item} more", 1), (1, text, 2), (None, item, 3), (None, text, 4), (None, None, 5), (2, text, 6), (3, item, 7)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, row int")
     bench = spark.createDataFrame([(9, item)], "item_id long, text string")
-    for most in (d.BROADCAST_ROWS, 0):
-        got = d.clean(docs, bench, broadcast_rows=most)
+    for most in (d.BROADCAST_BYTES, 0):
+        got = d.clean(docs, bench, broadcast_bytes=most)
         assert got.columns == docs.columns and sorted(map(tuple, got.collect()), key=lambda r: r[2]) == [r for r in rows if r[2] in (2, 4, 5, 6)]

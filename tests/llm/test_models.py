@@ -149,22 +149,13 @@ def test_thresholds_against_all_rows(spark):
 
 
 def naive_phrases(text, sample):
-    count = 0
-    for s in range(0, len(text), language.SEGMENT):
-        part, i = text[s : s + language.SEGMENT], 0
-        first = True
-        while i < len(part):
-            n = 1
-            while i + n < len(part) and part[i : i + n + 1] in sample:
-                n += 1
-            if part[i] not in sample:
-                count += 1 if not first else 2  # an unknown character is a phrase; the model counts its start as well
-                i += 1
-                first = False
-                continue
-            count += 1
-            i += n
-            first = False
+    count = i = 0
+    while i < len(text):
+        n = 1
+        while i + n < len(text) and text[i : i + n + 1] in sample:
+            n += 1
+        count += 1  # an unknown character is a phrase of its own
+        i += n
     return count
 
 
@@ -172,7 +163,10 @@ def test_phrases_are_longest_matches():
     rng = random.Random(5)
     samples = {k: "".join(rng.choice("abc ") for _ in range(400)) for k in ("x", "y")}
     model = language.LanguageModel.of(samples)
-    texts = ["".join(rng.choice("abc ") for _ in range(rng.randrange(700))) for _ in range(60)]
+    samples["z"] = "ab" * 400 + "c"  # long matches, so that phrases span several segments
+    model = language.LanguageModel.of(samples)
+    texts = ["".join(rng.choice("abc dé") for _ in range(rng.randrange(1500))) for _ in range(60)]
+    texts += ["ab" * 900, "c" + "ab" * 1300 + "c" + "ba" * 700, "é" * 600, "", "ab" * 128, "a", "é", samples["x"] * 4]
     sizes, counts = model.phrases(texts)
     assert sizes.tolist() == [len(t) for t in texts]
     for k, sample in enumerate(model.tables):

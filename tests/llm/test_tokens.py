@@ -7,7 +7,7 @@ import zlib
 import public_tokenizers
 import pytest
 
-from prescriva.llm import binary_ids, pieces, shared
+from prescriva.llm import binary_ids, pieces, sharded, shared
 
 TEXTS = ["", "a", " ", "  two  spaces ", "a ", "Hello, world's <|endoftext|> x", "été ▁ mark　wide\r\n\ttab\x1cfs", "long" * 5000, "word " * 3000, "ﬁ Ǻ é", "naïve Σίσυφος ΣΑΣ 12345"]
 
@@ -78,6 +78,24 @@ def test_chunks_against_whole_texts():
     @settings(max_examples=300, deadline=None)
     @given(st.text(alphabet="ab ▁\n\té1.　世", max_size=40))
     def same(text):
-        assert next(iter(coder.encode([text])))[0] == sp.encode(text)
+        assert [int(x) for ids in coder.segment(coder.chunks(text)) if ids for x in ids.split(",")] == sp.encode(text)
 
     same()
+
+
+def test_pieces_over_files_row_groups_and_splits(spark, tmp_path, monkeypatch):
+    import sentencepiece
+
+    monkeypatch.setattr(sharded, "ROWS", 8)
+    path = public_tokenizers.path(pieces.MODEL)
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    rows = [(i, f"{TEXTS[i % len(TEXTS)][:200]} number {i} of these {'x' * (i % 7)}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    docs.repartition(3).write.option("parquet.block.size", 4096).option("parquet.page.size", 1024).parquet(str(tmp_path / "d"))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = pieces.with_pieces(spark.read.parquet(str(tmp_path / "d")), path, decoded=None).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert {r.doc_id: list(r.piece_ids) for r in got} == {i: sp.encode(t) for i, t in rows} and len(got) == 300
