@@ -2,19 +2,21 @@
 
 A shard file is a row of independent zstandard frames, one per document, each holding
 the document's ids as little-endian unsigned 32-bit integers. Two skippable frames end
-it: the documents' ids (signed 64-bit), then the public seek table of the zstd seekable
-format: compressed size, decompressed size and the low 32 bits of the content's XXH64
+it: how many documents have no id, and the documents' ids (signed 64-bit), then the public
+seek table of the zstd seekable format: compressed size, decompressed size and the low 32 bits of the content's XXH64
 for each frame, and a nine-byte footer. A reader takes the footer, the table and then
 only the frames that it was asked for; a frame whose checksum differs is an error.
 
-Documents are dealt to shards by ranges of doc_id and sorted in them, so that shard
-order is document order. A shard is written under a temporary name of its own and
+Documents are dealt to shards by ranges of doc_id (``ranges``: the same documents give the
+same shards) and sorted in them, so that shard order is document order. The manifest has
+each shard's first and last doc_id, by which ``read_documents`` opens only the shards and
+frames that it was asked for. A shard is written under a temporary name of its own and
 renamed when complete; only shards that the manifest names belong to the data set, and
 a task that runs again writes the same bytes.
 
 Defined results: a null text is an empty one (it has the end id only); rows with equal
-doc_id are kept, ordered by their texts; rows with a null doc_id come first and are
-written with id ``NULL_ID``, read back as null; an empty table gives no shard.
+doc_id are kept, ordered by their texts, in one shard; rows with a null doc_id come first
+and are read back as null; an empty table gives no shard.
 """
 
 from __future__ import annotations
@@ -33,15 +35,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prescriva.llm import shared
+from prescriva.llm import ranges, shared
 from prescriva.llm.chunktable import ChunkTable
 
 SKIPPABLE = 0x184D2A5E  # fixed: skippable frame that holds a seek table
 SEEKABLE = 0x8F92EAB1  # fixed: last word of a seek table
 IDS_FRAME = 0x184D2A50
-NULL_ID = -(2**63)
 TOKENIZER = "word_bpe_49k.json"
-MANIFEST = "shard int, file string, documents long, tokens long, bytes long"
+MANIFEST = "shard int, file string, documents long, tokens long, bytes long, first_id long, last_id long"
 
 _TABLES: dict[str, ChunkTable] = {}
 
@@ -87,24 +88,26 @@ class ShardWriter:
         self.compress = zstandard.ZstdCompressor(level=level).compress
         self.entries: list[tuple[int, int, int]] = []
         self.doc_ids: list[int] = []
-        self.tokens = self.bytes = 0
+        self.tokens = self.nulls = 0
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
         frame = self.compress(ids)
         self.out.write(frame)
         self.entries.append((len(frame), len(ids), xxhash.xxh64_intdigest(ids) & 0xFFFFFFFF))
-        self.doc_ids.append(NULL_ID if doc_id is None else doc_id)
+        self.nulls += doc_id is None
+        self.doc_ids.append(0 if doc_id is None else doc_id)
         self.tokens += len(ids) // 4
 
-    def close(self) -> tuple[str, int, int, int]:
-        ids = np.array(self.doc_ids, dtype="<i8").tobytes()
+    def close(self) -> tuple[str, int, int, int, int | None, int | None]:
+        ids = struct.pack("<q", self.nulls) + np.array(self.doc_ids, dtype="<i8").tobytes()
         table = b"".join(struct.pack("<III", *e) for e in self.entries)
         self.out.write(struct.pack("<II", IDS_FRAME, len(ids)) + ids)
         self.out.write(struct.pack("<II", SKIPPABLE, len(table) + 9) + table + struct.pack("<IBI", len(self.entries), 0x80, SEEKABLE))
         size = self.out.tell()
         self.out.close()
         shared.commit(self.fs, self.temporary, self.final)
-        return self.name, len(self.entries), self.tokens, size
+        known = self.doc_ids[self.nulls :]
+        return self.name, len(self.entries), self.tokens, size, (known[0] if known else None), (known[-1] if known else None)
 
 
 class ShardReader:
@@ -119,8 +122,8 @@ class ShardReader:
             raise ValueError(f"{name}: no seek table with checksums")
         self.entries = np.frombuffer(self.file.read_at(12 * count, size - 9 - 12 * count), dtype="<u4").reshape(count, 3)
         self.starts = np.concatenate([[0], np.cumsum(self.entries[:, 0], dtype=np.int64)])
-        ids_at = size - 9 - 12 * count - 8 - 8 * count
-        self.doc_ids = np.frombuffer(self.file.read_at(8 * count, ids_at), dtype="<i8")
+        ids = np.frombuffer(self.file.read_at(8 * count + 8, size - 9 - 12 * count - 16 - 8 * count), dtype="<i8")
+        self.nulls, self.doc_ids = int(ids[0]), ids[1:]
         self.decompressor = zstandard.ZstdDecompressor()
 
     def _frame(self, i: int, frame: bytes) -> bytes:
@@ -134,6 +137,13 @@ class ShardReader:
         """Ids of the i-th document of the shard, from its own frame alone."""
         return self._frame(i, self.file.read_at(int(self.entries[i, 0]), int(self.starts[i])))
 
+    def positions(self, doc_id: int | None) -> range:
+        """Where the documents with an id are."""
+        if doc_id is None:
+            return range(self.nulls)
+        known = self.doc_ids[self.nulls :]
+        return range(self.nulls + int(np.searchsorted(known, doc_id)), self.nulls + int(np.searchsorted(known, doc_id, "right")))
+
     def documents(self) -> Iterator[tuple[int | None, bytes]]:
         """All documents in order, read some MB at a time."""
         i, n = 0, len(self.entries)
@@ -142,12 +152,11 @@ class ShardReader:
             block = self.file.read_at(int(self.starts[j] - self.starts[i]), int(self.starts[i]))
             for k in range(i, j):
                 at = int(self.starts[k] - self.starts[i])
-                doc_id = int(self.doc_ids[k])
-                yield (None if doc_id == NULL_ID else doc_id), self._frame(k, block[at : at + int(self.entries[k, 0])])
+                yield (None if k < self.nulls else int(self.doc_ids[k])), self._frame(k, block[at : at + int(self.entries[k, 0])])
             i = j
 
 
-def write_ids(docs: DataFrame, directory: str, tokenizer_path: str, end_id: int = 2, level: int = 3) -> DataFrame:
+def write_ids(docs: DataFrame, directory: str, tokenizer_path: str, end_id: int = 2, level: int = 3, shard_bytes: int = ranges.LEAST) -> DataFrame:
     """Encode ``docs`` (doc_id, text) into shards below ``directory``; returns the manifest, one row per shard.
 
     The manifest is itself a table beside the shards (``directory``/manifest). Texts are
@@ -159,25 +168,60 @@ def write_ids(docs: DataFrame, directory: str, tokenizer_path: str, end_id: int
     shards = f"{directory}/shards"
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        shard, writer = TaskContext.get().partitionId(), None
+        now, writer, done = None, None, []
         for batch in batches:
             ids = encode(shared.texts(batch), tokenizer_path, end_id)
-            for doc_id, one in zip(batch.column("doc_id").to_pylist(), ids, strict=True):
-                writer = writer or ShardWriter(shards, f"part-{shard:07d}.ids.zst", level)
+            for shard, doc_id, one in zip(batch.column("shard").to_pylist(), batch.column("doc_id").to_pylist(), ids, strict=True):
+                if shard != now:
+                    done += [(now, *writer.close())] if writer else []
+                    now, writer = shard, ShardWriter(shards, f"part-{shard:07d}.ids.zst", level)
                 writer.add(doc_id, one)
-        if writer:
-            row = (shard, *writer.close())
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=["shard", "file", "documents", "tokens", "bytes"]).cast(
-                pa.schema([("shard", pa.int32()), ("file", pa.string()), ("documents", pa.int64()), ("tokens", pa.int64()), ("bytes", pa.int64())])
-            )
-
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+        done += [(now, *writer.close())] if writer else []
+        if done:
+            types = [pa.int32(), pa.string(), *[pa.int64()] * 5]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*done, strict=True), types, strict=True)], names=["shard", "file", "documents", "tokens", "bytes", "first_id", "last_id"])
+
+    points = ranges.split_points(docs, "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)) + 64, shard_bytes)
+    dealt = docs.select("doc_id", "text").withColumn("shard", ranges.range_of("doc_id", points))
+    ordered = dealt.repartitionById(len(points) + 1, F.col("shard")).sortWithinPartitions("shard", "doc_id", "text")
     ordered.mapInArrow(write, MANIFEST).write.parquet(f"{directory}/manifest")
+    shared.remove_unfinished(shards)
     return spark.read.schema(MANIFEST).parquet(f"{directory}/manifest")
 
 
+def read_documents(wanted: DataFrame, directory: str) -> DataFrame:
+    """(doc_id, ids) of the documents whose doc_id is in ``wanted``; opens the shards that have one and decompresses its frame alone.
+
+    An id that no document has gives no row, one that several have gives all of them,
+    a null id gives those without an id, and a repeated one counts once.
+    """
+    spark, source = wanted.sparkSession, f"{directory}/shards"
+    manifest = spark.read.schema(MANIFEST).parquet(f"{directory}/manifest").orderBy("shard").collect()  # a row for each shard
+    firsts = [r.first_id for r in manifest if r.first_id is not None]
+    files = [r.file for r in manifest]
+    if not files:
+        return spark.createDataFrame([], "doc_id long, ids array<long>")
+    # The lowest shard may hold null ids alone; ids below the first border are looked for in it and in the next.
+    skipped = len(files) - len(firsts)
+    asked = wanted.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    at = F.greatest(ranges.range_of("doc_id", firsts) - 1, F.lit(0)) + skipped if firsts else F.lit(0)
+    asked = asked.withColumn("shard", F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(at))
+
+    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, reader = None, None
+        for batch in batches:
+            out = []
+            for shard, doc_id in zip(batch.column("shard").to_pylist(), batch.column("doc_id").to_pylist(), strict=True):
+                if shard != now:
+                    now, reader = shard, ShardReader(source, files[shard])
+                out += [(doc_id, np.frombuffer(reader.document(i), dtype="<u4")) for i in reader.positions(doc_id)]
+            for s in range(0, len(out), 500):
+                part = out[s : s + 500]
+                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in part], pa.int64()), pa.array([x.astype(np.int64) for _, x in part], pa.list_(pa.int64()))], names=["doc_id", "ids"])
+
+    return asked.repartition("shard").sortWithinPartitions("shard", "doc_id").mapInArrow(read, "doc_id long, ids array<long>")
+
+
 def read_ids(spark: SparkSession, directory: str) -> DataFrame:
     """Per document, from the files alone: doc_id, start, n_tokens, ids_crc32.
 

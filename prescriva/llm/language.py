@@ -20,7 +20,8 @@ corrected. So phrases cross segments, and counts are those of one reading.
 
 Defined results: a null text, and one without a letter, is ``und`` with score 0, and so
 is every text when nothing was learned. The score is the winner's share of
-exp(-phrases for 100 letters) among all learned languages, from 0 to 1. Rows are
+exp(-phrases for 100 letters) among all learned languages, from 0 to 1; ``lang_rate``
+is the winner's phrases for 100 letters, null for ``und``. Rows are
 independent, so repeated rows and other columns change nothing; an empty table gives an
 empty one. Rows with a null label or null text are not learned from.
 """
@@ -201,13 +202,13 @@ class LanguageModel:
                 heapq.heappush(queue, (int(starts[following]), following))
         return np.bincount(owner, change, texts)
 
-    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         sizes, count = self.phrases(texts)
         rate = 100 * count / np.maximum(sizes, 1)[:, None]
         best = rate.argmin(axis=1)
         share = np.exp(rate.min(axis=1, keepdims=True) - rate)
         names = list(self.tables)
-        return [names[b] if n else "und" for b, n in zip(best, sizes, strict=True)], np.where(sizes > 0, 1 / share.sum(axis=1), 0.0)
+        return [names[b] if n else "und" for b, n in zip(best, sizes, strict=True)], np.where(sizes > 0, 1 / share.sum(axis=1), 0.0), np.where(sizes > 0, rate.min(axis=1), np.nan)
 
 
 def fit(labelled: DataFrame, max_chars: int = 20_000, rows: int = 400) -> LanguageModel | None:
@@ -242,19 +243,19 @@ def fit(labelled: DataFrame, max_chars: int = 20_000, rows: int = 400) -> Langua
 
 
 def identify(docs: DataFrame, model: LanguageModel | None, columns: list[str] | None = None) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``lang_score``; columns of these names are replaced."""
+    """``docs`` with ``lang_pred``, ``lang_score`` and ``lang_rate``; columns of these names are replaced."""
     shared.small_batches(docs.sparkSession)
-    new = ("lang_pred", "lang_score")
+    new = ("lang_pred", "lang_score", "lang_rate")
     kept = [c for c in (columns or docs.columns) if c not in new]
-    schema = StructType([docs.schema[c] for c in kept] + [StructField(new[0], StringType()), StructField(new[1], DoubleType())])
+    schema = StructType([docs.schema[c] for c in kept] + [StructField(new[0], StringType()), StructField(new[1], DoubleType()), StructField(new[2], DoubleType())])
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for batch in batches:
             own = [letters(t) for t in batch.column("text").to_pylist()]
-            names, scores = m.predict(own) if m else (["und"] * len(own), np.zeros(len(own)))
-            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[*kept, *new])
+            names, scores, rates = m.predict(own) if m else (["und"] * len(own), np.zeros(len(own)), np.full(len(own), np.nan))
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(names, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64(), mask=np.isnan(rates))], names=[*kept, *new])
         shared.give_back()
 
     return docs.select(*kept, *([] if "text" in kept else ["text"])).mapInArrow(run, schema)

@@ -71,6 +71,14 @@ def commit(fs: pafs.FileSystem, temporary: str, final: str) -> None:
         fs.delete_file(temporary)
 
 
+def remove_unfinished(directory: str) -> None:
+    """Delete what attempts that were lost have left: files whose names begin with an underscore."""
+    fs, path = store(directory)
+    for file in fs.get_file_info(pafs.FileSelector(path, allow_not_found=True)):
+        if file.base_name.startswith("_"):
+            fs.delete_file(file.path)
+
+
 def texts(batch: pa.RecordBatch, column: str = "text") -> list[str]:
     """The column's texts; a null is the empty text."""
     return pc.fill_null(batch.column(column), "").to_pylist()

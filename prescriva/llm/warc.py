@@ -1,6 +1,7 @@
 """A deterministic sharded WARC writer and its reader (operator 9).
 
-Rows are dealt to tasks by ranges of page_id and sorted; a task writes gzip members, one
+Rows are dealt to shards by ranges of page_id (``ranges``: by exact sums, not by a sample)
+and sorted; a task writes gzip members, one
 for each record, and begins a new file when the compressed size of the present one has
 reached ``roll_bytes``. Headers and digests are made anew from the payload. Of the
 records with equal payloads of at least ``min_payload`` bytes, the one with the largest
@@ -36,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from prescriva.llm import shared
+from prescriva.llm import ranges, shared
 
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"  # fixed: WARC 1.1
 MANIFEST = "shard int, part int, file string, records long, bytes long, sha256 string"
@@ -52,22 +53,26 @@ def _record_id(page_id: int | None, twin: int) -> str:
     return f"<urn:x-page:{'none' if page_id is None else page_id}{f':{twin}' if twin else ''}>"
 
 
-def record(page_id: int | None, twin: int, url: str | None, payload: bytes, digest: str, refers_to: str | None, date: str) -> bytes:
-    """One WARC record. A revisit has the HTTP head alone; the payload's length and digest stay those of the full payload."""
+def _target(url: str | None) -> str:
+    return "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in url or "")
+
+
+def record(page_id: int | None, twin: int, url: str | None, payload: bytes, digest: str, refers_to: tuple[str, str | None] | None, date: str) -> bytes:
+    """One WARC record; ``refers_to``: record id and url of the response. A revisit has the HTTP head alone; the payload's length and digest stay those of the full payload."""
     head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = head if refers_to else head + payload
-    target = "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in url or "")
     fields = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if refers_to else 'response'}",
         f"WARC-Record-ID: {_record_id(page_id, twin)}",
         f"WARC-Date: {date}",
-        f"WARC-Target-URI: {target}",
+        f"WARC-Target-URI: {_target(url)}",
         f"WARC-Payload-Digest: sha1:{digest}",
         f"WARC-Block-Digest: sha1:{_digest(block)}",
     ]
     if refers_to:
-        fields += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {refers_to}", "WARC-Truncated: length"]
+        id_, uri = refers_to
+        fields += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {id_}", f"WARC-Refers-To-Target-URI: {_target(uri)}", f"WARC-Refers-To-Date: {date}", "WARC-Truncated: length"]
     fields += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
     return "\r\n".join(fields).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
@@ -119,61 +124,68 @@ class _Roller:
 
 
 def payload_facts(pages: DataFrame) -> DataFrame:
-    """(page_id, digest, payload_bytes) for each row; the payload itself goes no further."""
+    """(page_id, url, digest, payload_bytes) for each row; the payload itself goes no further."""
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    return pages.select("page_id", F.sha1(payload).alias("digest"), F.octet_length(payload).alias("payload_bytes"))
+    return pages.select("page_id", "url", F.sha1(payload).alias("digest"), F.octet_length(payload).alias("payload_bytes"))
 
 
 def winners(pages: DataFrame, min_payload: int = 0) -> DataFrame:
-    """Payloads that several rows share: digest -> the largest page_id."""
+    """Payloads that several rows share: digest -> the largest page_id, and the first of its urls. Summed before its shuffle, so no payload is hot."""
     facts = payload_facts(pages).where(F.col("payload_bytes") >= min_payload)
-    return facts.groupBy("digest").agg(F.max("page_id").alias("winner"), F.count(F.lit(1)).alias("copies")).where("copies > 1").select("digest", "winner")
+    # Of equal page_ids, the first in the order of writing is the response.
+    first = facts.groupBy("digest", "page_id").agg(F.min(F.struct(F.col("url").isNotNull(), "url")).getField("url").alias("url"), F.count(F.lit(1)).alias("n"))
+    return first.groupBy("digest").agg(F.max_by(F.struct("page_id", "url"), "page_id").alias("top"), F.sum("n").alias("copies")).where("copies > 1").select("digest", F.col("top.page_id").alias("winner"), F.col("top.url").alias("winner_url"))
 
 
-def write_warc(pages: DataFrame, directory: str, min_payload: int = 0, roll_bytes: int = 64 << 20, level: int = 6, date: str = "2024-01-01T00:00:00Z") -> DataFrame:
+def write_warc(pages: DataFrame, directory: str, min_payload: int = 0, roll_bytes: int = 64 << 20, level: int = 6, date: str = "2024-01-01T00:00:00Z", shard_bytes: int = ranges.LEAST) -> DataFrame:
     """Write ``pages`` (page_id, url, html) below ``directory``; returns the manifest, one row per file."""
     spark = pages.sparkSession
     shared.small_batches(spark)
     archive = f"{directory}/archive"
     facts = payload_facts(pages).select("page_id", "digest").distinct()
-    same = shared.written(facts.join(winners(pages, min_payload), "digest").select("page_id", "digest", "winner"), "copies")
+    same = shared.written(facts.join(winners(pages, min_payload), "digest").select("page_id", "digest", "winner", "winner_url"), "copies")
     # What is known of a page comes just before its rows: narrow rows among the pages, so that payloads are shuffled once.
     none = F.lit(None)
-    known = same.select("page_id", F.lit(0).alias("kind"), none.cast("string").alias("url"), none.cast("string").alias("html"), "digest", "winner")
+    known = same.select("page_id", F.lit(0).alias("kind"), F.col("winner_url").alias("url"), none.cast("string").alias("html"), "digest", "winner")
     rows = pages.select("page_id", F.lit(1).alias("kind"), "url", "html", none.cast("string").alias("digest"), none.cast("long").alias("winner"))
-    ordered = known.union(rows).repartitionByRange("page_id").sortWithinPartitions("page_id", "kind", "url", "html")
+    # Shards are ranges of page_id by exact sums of bytes, so that the same pages give the same files.
+    points = ranges.split_points(pages, "page_id", F.coalesce(F.octet_length("html"), F.lit(0)) + 512, shard_bytes)
+    both = known.union(rows).withColumn("shard", ranges.range_of("page_id", points))
+    ordered = both.repartitionById(len(points) + 1, F.col("shard")).sortWithinPartitions("shard", "page_id", "kind", "url", "html")
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        roller = _Roller(archive, TaskContext.get().partitionId(), roll_bytes, level, date)
-        done, last, twin, winners_of, responded = [], object(), 0, {}, {}
+        roller, done, last, twin, winners_of, responded = None, [], object(), 0, {}, {}
         for batch in batches:
             htmls = pc.fill_null(batch.column("html"), "").cast(pa.binary()).to_pylist()
-            names = ("page_id", "kind", "url", "digest", "winner")
-            for page_id, kind, url, known, winner, payload in zip(*(batch.column(c).to_pylist() for c in names), htmls, strict=True):
+            names = ("shard", "page_id", "kind", "url", "digest", "winner")
+            for shard, page_id, kind, url, known, winner, payload in zip(*(batch.column(c).to_pylist() for c in names), htmls, strict=True):
+                if roller is None or shard != roller.shard:
+                    done.append(roller and roller.close())
+                    roller = _Roller(archive, shard, roll_bytes, level, date)
                 if page_id != last:
                     last, twin, winners_of, responded = page_id, 0, {}, {}
                 if kind == 0:
-                    winners_of[known] = winner
+                    winners_of[known] = (winner, url)
                     continue
                 sha, refers_to = hashlib.sha1(payload), None
                 if sha.hexdigest() in winners_of:
-                    winner = winners_of[sha.hexdigest()]
+                    winner, winner_url = winners_of[sha.hexdigest()]
                     if page_id != winner:
-                        refers_to = _record_id(winner, 0)
+                        refers_to = (_record_id(winner, 0), winner_url)
                     else:
                         refers_to = responded.get(sha.digest())
-                        responded.setdefault(sha.digest(), _record_id(page_id, twin))
+                        responded.setdefault(sha.digest(), (_record_id(page_id, twin), url))
                 done.append(roller.add(record(page_id, twin, url, payload, base64.b32encode(sha.digest()).decode(), refers_to, date)))
                 twin += 1
-        done = [x for x in [*done, roller.close()] if x]
+        done = [x for x in [*done, roller and roller.close()] if x]
         if done:
             columns = list(zip(*done, strict=True))
             types = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["shard", "part", "file", "records", "bytes", "sha256"])
 
     ordered.mapInArrow(write, MANIFEST).write.parquet(f"{directory}/manifest")
+    shared.drop_table(same)
+    shared.remove_unfinished(archive)
     return spark.read.schema(MANIFEST).parquet(f"{directory}/manifest")
 
 

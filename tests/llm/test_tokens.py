@@ -37,6 +37,39 @@ def test_ids_equal_the_library_and_come_back(spark, docs):
     assert [x for _, x in reader.documents()] == [reader.document(i) for i in range(len(reader.entries))]
 
 
+def test_only_requested_documents(spark, monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(binary_ids.TOKENIZER)
+    library = Tokenizer.from_file(path)
+    rows = [(i * 3, f"text number {i} " * (i % 9 + 1)) for i in range(400)] + [(30, "a twin"), (None, "no id"), (None, "none either"), (-(2**63), "least")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    directory = shared.shared_dir(spark, "t")
+    manifest = binary_ids.write_ids(docs, directory, path, shard_bytes=5000).orderBy("shard").collect()
+    assert len(manifest) > 5 and manifest[1].first_id > manifest[0].last_id
+    wanted = spark.createDataFrame([(x,) for x in (30, 30, 31, 0, 1197, 600, None, -(2**63), 10**12)], "doc_id long")
+    got = sorted(((r.doc_id, list(r.ids)) for r in binary_ids.read_documents(wanted, directory).collect()), key=str)
+    assert got == sorted(((i, [*library.encode(t, add_special_tokens=False).ids, 2]) for i, t in rows if i in (30, 0, 1197, 600, None, -(2**63))), key=str)
+    assert binary_ids.read_documents(wanted.limit(0), directory).count() == 0
+
+
+def test_chunks_of_tokens_against_the_library():
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(binary_ids.TOKENIZER)
+    library = Tokenizer.from_file(path)
+
+    @settings(max_examples=300, deadline=None)
+    @given(st.text(alphabet="abAB \n\té1.'　世\x1c\x85-", max_size=40))
+    def same(text):
+        ids = [*library.encode(text, add_special_tokens=False).ids, 2]
+        assert binary_ids.encode([text], path, 2) == [struct.pack(f"<{len(ids)}I", *ids)]
+
+    same()
+
+
 def test_a_damaged_frame_is_found(spark, docs):
     directory = shared.shared_dir(spark, "t")
     shard = binary_ids.write_ids(docs, directory, public_tokenizers.path(binary_ids.TOKENIZER)).first()
