@@ -41,6 +41,8 @@ from prescriva.llm.chunktable import ChunkTable
 SKIPPABLE = 0x184D2A5E  # fixed: skippable frame that holds a seek table
 SEEKABLE = 0x8F92EAB1  # fixed: last word of a seek table
 IDS_FRAME = 0x184D2A50
+#: A private-use character: between two spaces it is a word of its own.
+FENCE = "\ue000"
 TOKENIZER = "word_bpe_49k.json"
 MANIFEST = "shard int, file string, documents long, tokens long, bytes long, first_id long, last_id long"
 
@@ -58,11 +60,28 @@ def _table(path: str) -> ChunkTable:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
+        fence = tokenizer.encode(FENCE, add_special_tokens=False).ids
 
-        def work_out(chunks: list[bytes]) -> Iterator[bytes]:
+        def alone(chunks: list[bytes]) -> Iterator[bytes]:
             for one in tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False):
-                ids = one.ids
-                yield struct.pack(f"<{len(ids)}I", *ids)
+                yield struct.pack(f"<{len(one.ids)}I", *one.ids)
+
+        def work_out(chunks: list[bytes]) -> list[bytes]:
+            """Many chunks in one text, with a fence between them that none of them has: a call for each costs more than its merges."""
+            fenced = [i for i, c in enumerate(chunks) if FENCE.encode() in c] if fence else range(len(chunks))
+            other = dict(zip(fenced, alone([chunks[i] for i in fenced]), strict=True))
+            rest = [i for i in range(len(chunks)) if i not in other] if other else range(len(chunks))
+            out: list[bytes] = [other.get(i, b"") for i in range(len(chunks))]
+            for at in range(0, len(rest), 2000):
+                own = rest[at : at + 2000]
+                text = f" {FENCE} ".join([chunks[i].decode() for i in own])
+                ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
+                last = len(ids) - len(fence) + 1
+                cut = np.flatnonzero(np.logical_and.reduce([ids[k : last + k] == f for k, f in enumerate(fence)]))
+                body = ids.tobytes()
+                for i, s, e in zip(own, [0, *(4 * (cut + len(fence))).tolist()], [*(4 * cut).tolist(), len(body)], strict=True):
+                    out[i] = body[s:e]
+            return out
 
         _TABLES[path] = ChunkTable(work_out)
     return _TABLES[path]
@@ -184,7 +203,8 @@ def write_ids(docs: DataFrame, directory: str, tokenizer_path: str, end_id: int
     points = ranges.split_points(docs, "doc_id", F.coalesce(F.octet_length("text"), F.lit(0)) + 64, shard_bytes)
     dealt = docs.select("doc_id", "text").withColumn("shard", ranges.range_of("doc_id", points))
     ordered = dealt.repartitionById(len(points) + 1, F.col("shard")).sortWithinPartitions("shard", "doc_id", "text")
-    ordered.mapInArrow(write, MANIFEST).write.parquet(f"{directory}/manifest")
+    with shared.step(spark):
+        ordered.mapInArrow(write, MANIFEST).write.parquet(f"{directory}/manifest")
     shared.remove_unfinished(shards)
     return spark.read.schema(MANIFEST).parquet(f"{directory}/manifest")
 

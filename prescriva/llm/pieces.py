@@ -124,13 +124,12 @@ def chunk_tables(docs: DataFrame, model_path: str) -> sharded.Folder:
             part = distinct[at : at + 20_000]
             table.update(zip(part, coder.segment(part), strict=True))
         for block, chunks in asked:
-            yield shard, block, 0, packed(chunks)
-            yield shard, block, 1, packed([table[c] for c in chunks])
+            named = packed(chunks)
+            yield shard, block, len(named), named + packed([table[c] for c in chunks])
 
     asked = sharded.with_blocks(docs, ["text"]).select("text", "block").mapInArrow(ask, sharded.ASKED)
-    # Both bodies of a shard stay in one order: kind 0 names the chunks of kind 1.
-    answers = sharded.answer(asked, reply).withColumn("block_shard", F.col("shard"))
-    return sharded.write_by_block(answers.select("block", "block_shard", "kind", "body"), "chunks")
+    # A body has the chunks, as many bytes as its kind says, and then their ids; a block that two tasks read has two for a shard.
+    return sharded.write_answers(sharded.answer(asked, reply), "chunks")
 
 
 class _Encoder:
@@ -147,10 +146,9 @@ class _Encoder:
                 yield ids, ",".join(map(str, ids))
             return
         if block != self.block:
-            own: dict[int, dict[int, list[str]]] = {}
-            for shard, kind, body in self.answers.rows(block, ["block_shard", "kind", "body"]):
-                own.setdefault(shard, {})[kind] = unpacked(body)
-            self.block, self.table = block, {c: v for x in own.values() for c, v in zip(x[0], x[1], strict=True)}
+            self.block, self.table = block, {}
+            for size, body in self.answers.rows(block, ["kind", "body"]):
+                self.table.update(zip(unpacked(body[:size]), unpacked(body[size:]), strict=True))
         table = self.table
         for text in texts:
             joined = ",".join([v for c in PieceCoder.chunks(text) if (v := table[c])])

@@ -170,7 +170,8 @@ def write_by_block(rows: DataFrame, name: str) -> Folder:
     folder = Folder(shared.shared_dir(spark, name), int(spark.conf.get("spark.sql.shuffle.partitions")))
     bucket = F.pmod("block", F.lit(folder.buckets)).cast("int")
     dealt = rows.withColumn("bucket", bucket).repartitionById(folder.buckets, F.col("bucket")).sortWithinPartitions("bucket", "block")
-    dealt.write.partitionBy("bucket").option("parquet.block.size", GROUP_BYTES).parquet(folder.path)
+    with shared.step(spark):
+        dealt.write.partitionBy("bucket").option("parquet.block.size", GROUP_BYTES).parquet(folder.path)
     return folder
 
 

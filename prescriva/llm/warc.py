@@ -183,7 +183,8 @@ def write_warc(pages: DataFrame, directory: str, min_payload: int = 0, roll_byte
             types = [pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["shard", "part", "file", "records", "bytes", "sha256"])
 
-    ordered.mapInArrow(write, MANIFEST).write.parquet(f"{directory}/manifest")
+    with shared.step(spark):
+        ordered.mapInArrow(write, MANIFEST).write.parquet(f"{directory}/manifest")
     shared.drop_table(same)
     shared.remove_unfinished(archive)
     return spark.read.schema(MANIFEST).parquet(f"{directory}/manifest")

@@ -6,6 +6,7 @@ import zlib
 
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from prescriva.llm import binary_ids, pieces, sharded, shared
 
@@ -62,7 +63,7 @@ def test_chunks_of_tokens_against_the_library():
     library = Tokenizer.from_file(path)
 
     @settings(max_examples=300, deadline=None)
-    @given(st.text(alphabet="abAB \n\té1.'　世\x1c\x85-", max_size=40))
+    @given(st.text(alphabet="abAB \n\té1.'　世\x1c\x85-ΣΑ\u0301\ue000", max_size=40))
     def same(text):
         ids = [*library.encode(text, add_special_tokens=False).ids, 2]
         assert binary_ids.encode([text], path, 2) == [struct.pack(f"<{len(ids)}I", *ids)]
@@ -124,10 +125,13 @@ def test_pieces_over_files_row_groups_and_splits(spark, tmp_path, monkeypatch):
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     rows = [(i, f"{TEXTS[i % len(TEXTS)][:200]} number {i} of these {'x' * (i % 7)}") for i in range(300)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    docs.repartition(3).write.option("parquet.block.size", 4096).option("parquet.page.size", 1024).parquet(str(tmp_path / "d"))
+    docs.repartition(3).write.option("parquet.block.size", 1).option("parquet.page.size", 100).option("parquet.block.size.row.check.min", 5).option("parquet.block.size.row.check.max", 5).option("parquet.page.size.row.check.min", 5).parquet(str(tmp_path / "d"))
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
     try:
+        frame = spark.read.parquet(str(tmp_path / "d"))
+        tasks = sharded.with_blocks(frame, []).withColumn("task", F.spark_partition_id()).distinct().groupBy("block").agg(F.countDistinct("task").alias("n"))
+        assert tasks.agg(F.max("n")).first()[0] > 1  # a block that several tasks read
         got = pieces.with_pieces(spark.read.parquet(str(tmp_path / "d")), path, decoded=None).collect()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
