@@ -30,6 +30,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -53,7 +54,7 @@ def _table(path: str) -> ChunkTable:
     """This worker's table: a chunk between ASCII white space -> its ids as bytes.
 
     The tokenizer drops white space before it segments and nothing it does looks across
-    it, so that a text's ids are those of its chunks, one after another.
+    it (an empty chunk, before or behind all others, has no ids), so that a text's ids are those of its chunks, one after another.
     """
     if path not in _TABLES:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -62,19 +63,19 @@ def _table(path: str) -> ChunkTable:
         tokenizer = Tokenizer.from_file(path)
         fence = tokenizer.encode(FENCE, add_special_tokens=False).ids
 
-        def alone(chunks: list[bytes]) -> Iterator[bytes]:
-            for one in tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False):
+        def alone(chunks: list[str]) -> Iterator[bytes]:
+            for one in tokenizer.encode_batch_fast(chunks, add_special_tokens=False):
                 yield struct.pack(f"<{len(one.ids)}I", *one.ids)
 
-        def work_out(chunks: list[bytes]) -> list[bytes]:
+        def work_out(chunks: list[str]) -> list[bytes]:
             """Many chunks in one text, with a fence between them that none of them has: a call for each costs more than its merges."""
-            fenced = [i for i, c in enumerate(chunks) if FENCE.encode() in c] if fence else range(len(chunks))
+            fenced = [i for i, c in enumerate(chunks) if FENCE in c] if fence else range(len(chunks))
             other = dict(zip(fenced, alone([chunks[i] for i in fenced]), strict=True))
             rest = [i for i in range(len(chunks)) if i not in other] if other else range(len(chunks))
             out: list[bytes] = [other.get(i, b"") for i in range(len(chunks))]
             for at in range(0, len(rest), 2000):
                 own = rest[at : at + 2000]
-                text = f" {FENCE} ".join([chunks[i].decode() for i in own])
+                text = f" {FENCE} ".join([chunks[i] for i in own])
                 ids = np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
                 last = len(ids) - len(fence) + 1
                 cut = np.flatnonzero(np.logical_and.reduce([ids[k : last + k] == f for k, f in enumerate(fence)]))
@@ -87,12 +88,22 @@ def _table(path: str) -> ChunkTable:
     return _TABLES[path]
 
 
-def encode(texts: list[str], path: str, end_id: int) -> list[bytes]:
-    """Ids of each text, with the end id, as little-endian bytes."""
-    chunks = [t.encode().split() for t in texts]
-    get = _table(path).lookup(chunks).__getitem__
+def encode(column: pa.Array, path: str, end_id: int) -> list[bytes]:
+    """Ids of each text, with the end id, as little-endian bytes; a null is empty."""
+    words = pc.ascii_split_whitespace(pc.fill_null(column, ""))
+    offsets = words.offsets.to_numpy()
+    coded = words.flatten().dictionary_encode()
+    at, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+    table = _table(path).lookup([distinct])
+    parts = [table[w] for w in distinct]
+    sizes = np.array([len(x) // 4 for x in parts], dtype=np.int64)
+    ids = np.frombuffer(b"".join(parts), dtype="<u4")
+    own = sizes[at]
+    ends = np.cumsum(own)
+    flat = ids[np.repeat((np.cumsum(sizes) - sizes)[at] - (ends - own), own) + np.arange(len(own) and ends[-1])]
+    cuts = np.concatenate([[0], ends])[offsets - offsets[0]].tolist()
     end = struct.pack("<I", end_id)
-    return [b"".join(map(get, c)) + end for c in chunks]
+    return [flat[s:e].tobytes() + end for s, e in itertools.pairwise(cuts)]
 
 
 class ShardWriter:
@@ -189,7 +200,7 @@ def write_ids(docs: DataFrame, directory: str, tokenizer_path: str, end_id: int
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, writer, done = None, None, []
         for batch in batches:
-            ids = encode(shared.texts(batch), tokenizer_path, end_id)
+            ids = encode(batch.column("text"), tokenizer_path, end_id)
             for shard, doc_id, one in zip(batch.column("shard").to_pylist(), batch.column("doc_id").to_pylist(), ids, strict=True):
                 if shard != now:
                     done += [(now, *writer.close())] if writer else []

@@ -33,7 +33,7 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 from prescriva.llm import sharded, shared
 
 MODEL = "piece_bpe_32k.model"
-_PACK, _UNPACK = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+_PACK, _UNPACK = zstandard.ZstdCompressor(level=6), zstandard.ZstdDecompressor()
 MARK = "▁"
 
 
