@@ -163,6 +163,11 @@ class Preprocessor:
         """``keep`` columns and each concept in [0, 1], as one projection."""
         return df.select(*(keep or []), *(numeric.min_max(v, self.lows[k], self.highs[k]).alias(k) for k, v in self.encoded(df).items()))
 
+    def action_grids(self) -> tuple[tuple[str, tuple[float, ...]], ...]:
+        """The values in [0, 1] that ordinal actions may have; other actions may have any."""
+        scaled = lambda k, v: 0.0 if self.highs[k] == self.lows[k] else min(max((v - self.lows[k]) / (self.highs[k] - self.lows[k]), 0.0), 1.0)
+        return tuple((c.id, tuple(sorted({scaled(c.id, float(i)) for i in range(len(self.schema.spec(c.column).order))}))) for c in self.schema.concepts if c.role == "accion" and self.schema.spec(c.column).encoding == "ordinal")
+
     def original(self, concept: str, c: Column) -> Column:
         """A value of [0, 1] in the column's own unit."""
         return c * (self.highs[concept] - self.lows[concept]) + self.lows[concept]

@@ -118,12 +118,14 @@ def iterate(m: CognitiveMap, x: np.ndarray, steps: int | None = None, trace: boo
     memory, a, c, slope = m.parameters
     moving, x = m.moving, x.astype(float).copy()
     still = np.setdiff1d(np.arange(len(m.ids)), moving)
-    pull = m.influence * ((a * x[:, still] + c) @ m.weights[np.ix_(still, moving)] + m.bias[moving])
+    # einsum adds in one order whatever the number of rows, which a matrix product doesn't promise.
+    times = lambda rows, w: np.einsum("ij,jk->ik", rows, w)
+    pull = m.influence * (times(a * x[:, still] + c, m.weights[np.ix_(still, moving)]) + m.bias[moving])
     inner = m.influence * m.weights[np.ix_(moving, moving)]
     taken, active, states = np.zeros(len(x), dtype=np.int32), np.ones(len(x), dtype=bool), [x.copy()] if trace else []
     for _ in range(steps or m.steps):
         u = a * x[np.ix_(active, moving)] + c
-        new = 1 / (1 + np.exp(-slope * (memory * u + pull[active] + u @ inner)))
+        new = 1 / (1 + np.exp(-slope * (memory * u + pull[active] + times(u, inner))))
         change = np.abs(new - x[np.ix_(active, moving)]).max(axis=1)
         x[np.ix_(active, moving)] = new
         taken[active] += 1

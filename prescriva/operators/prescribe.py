@@ -113,80 +113,132 @@ class Search:
     spread: float = 0.15
     elite: int = 2
     patience: int = 25
+    one_point: bool = False
 
+    def __post_init__(self):
+        shares = {"crossover": self.crossover, "mutation": self.mutation}
+        wrong = [k for k, v in shares.items() if not 0 <= v <= 1]
+        wrong += [k for k in ("population", "tournament", "patience") if getattr(self, k) < 1] + [k for k in ("generations", "elite", "spread") if getattr(self, k) < 0]
+        if wrong or self.elite >= self.population:
+            raise ValueError(f"out of range: {', '.join(wrong) or 'elite'}")
 
-def evolve(price, low: np.ndarray, high: np.ndarray, now: np.ndarray, seed: list[int], s: Search) -> tuple[np.ndarray, float, np.ndarray]:
-    """(best genes, their cost, best cost of each generation) of one record; ``now`` is one of the first individuals."""
-    rng, k = np.random.default_rng(seed), len(low)
-    genes = rng.uniform(low, high, (s.population, k))
-    genes[0] = np.clip(now, low, high)
-    costs = price(genes)
-    history, idle, top = [costs.min()], 0, costs.min()
-    for _ in range(s.generations):
-        elite = np.argsort(costs, kind="stable")[: s.elite]
-        n = s.population - s.elite + (s.population - s.elite) % 2
-        drawn = rng.integers(s.population, size=(n, s.tournament))
-        parents = genes[drawn[np.arange(n), costs[drawn].argmin(axis=1)]]
-        a, b = parents[0::2], parents[1::2]
-        swap = (rng.random((n // 2, k)) < 0.5) & (rng.random((n // 2, 1)) < s.crossover)
-        children = np.concatenate([np.where(swap, b, a), np.where(swap, a, b)])
-        hit = rng.random(children.shape) < s.mutation
-        children = np.clip(np.where(hit, children + rng.normal(0, 1, children.shape) * s.spread * (high - low), children), low, high)[: s.population - s.elite]
-        genes, costs = np.concatenate([genes[elite], children]), np.concatenate([costs[elite], price(children)])
-        history.append(costs.min())
-        idle = 0 if costs.min() < top - 1e-9 else idle + 1
-        top = min(top, costs.min())
-        if idle >= s.patience:
+
+def _uniform(seeds: np.ndarray, stream: int, *shape: int) -> np.ndarray:
+    """Draws of [0, 1) for each seed: a hash of the seed, the stream and the place, so that they depend on nothing else."""
+    place = np.arange(int(np.prod(shape)), dtype=np.uint64) + np.uint64(stream << 32)
+    z = (seeds[:, None] ^ (place * np.uint64(0x9E3779B97F4A7C15))[None]) + np.uint64(0x632BE59BD9B4E019)
+    for shift, odd in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        z = (z ^ (z >> np.uint64(shift))) * np.uint64(odd)
+    return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(float).reshape(len(seeds), *shape) * 2.0**-53
+
+
+def _bred(genes: np.ndarray, low: np.ndarray, high: np.ndarray, seeds: np.ndarray, stream: int, s: Search) -> np.ndarray:
+    """Children (records, population - elite, genes) of populations that are sorted by cost.
+
+    The best of ``tournament`` draws with replacement has the least of as many uniform
+    ranks, so one draw of that least rank picks a parent.
+    """
+    r, p, k = genes.shape
+    pairs = -(-(p - s.elite) // 2)
+    rank = (p * -np.expm1(np.log1p(-_uniform(seeds, stream, 2 * pairs)) / s.tournament)).astype(np.int64)
+    left, right = np.split(np.take_along_axis(genes, np.minimum(rank, p - 1)[:, :, None], axis=1), 2, axis=1)
+    if s.one_point:
+        cut = 1 + np.floor(_uniform(seeds, stream + 1, pairs, 1) * max(k - 1, 1))
+        other = np.arange(k) >= cut
+    else:
+        other = _uniform(seeds, stream + 1, pairs, k) < 0.5
+    other = other & (_uniform(seeds, stream + 2, pairs, 1) < s.crossover)
+    children = np.concatenate([np.where(other, right, left), np.where(other, left, right)], axis=1)[:, : p - s.elite]
+    hit = _uniform(seeds, stream + 3, *children.shape[1:]) < s.mutation
+    radius = np.sqrt(-2 * np.log1p(-_uniform(seeds, stream + 4, *children.shape[1:])))
+    normal = radius * np.cos(2 * np.pi * _uniform(seeds, stream + 5, *children.shape[1:]))
+    moved = children + np.where(hit, normal, 0.0) * s.spread * (high - low)[:, None]
+    return np.clip(moved, low[:, None], high[:, None])
+
+
+def evolve(price, low: np.ndarray, high: np.ndarray, now: np.ndarray, seeds: np.ndarray, s: Search) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All records of a batch at once: (best genes, least cost and mean cost of each generation, generations made) of each.
+
+    ``low``, ``high``, ``now``: (records, genes); ``price(genes, records)`` gives costs of
+    (records, individuals, genes). What a record does now is one of its first
+    individuals. A record leaves when it hasn't improved for ``patience`` generations;
+    its costs stay nan from there on.
+    """
+    records, k = low.shape
+    best = np.clip(now, low, high)
+    least, mean = (np.full((records, s.generations + 1), np.nan) for _ in range(2))
+    made = np.zeros(records, dtype=np.int32)
+    live, top, idle = np.arange(records), np.full(records, np.inf), np.zeros(records, dtype=np.int64)
+    genes = low[:, None] + (high - low)[:, None] * _uniform(seeds, 0, s.population, k)
+    genes[:, 0] = best
+    costs = price(genes, live)
+    for g in range(s.generations + 1):
+        if g:
+            children = _bred(genes, low[live], high[live], seeds[live], 8 * g, s)
+            genes, costs = np.concatenate([genes[:, : s.elite], children], axis=1), np.concatenate([costs[:, : s.elite], price(children, live)], axis=1)
+        order = np.argsort(costs, axis=1, kind="stable")
+        genes, costs = np.take_along_axis(genes, order[:, :, None], axis=1), np.take_along_axis(costs, order, axis=1)
+        least[live, g], mean[live, g], made[live] = costs[:, 0], costs.mean(axis=1), g
+        better = costs[:, 0] < top[live] - 1e-9
+        idle[live] = np.where(better | (g == 0), 0, idle[live] + 1)
+        top[live] = np.minimum(top[live], costs[:, 0])
+        best[live] = genes[:, 0]
+        stays = idle[live] < s.patience
+        live, genes, costs = live[stays], genes[stays], costs[stays]
+        if not len(live):
             break
-    best = costs.argmin()
-    return genes[best], float(costs[best]), np.array(history)
+    return best, least, mean, made
+
+
+def _snapped(genes: np.ndarray, low: np.ndarray, high: np.ndarray, plan: Plan) -> np.ndarray:
+    """Genes (records, individuals, actions) with discrete actions at their nearest value between the record's bounds."""
+    out = genes.copy()
+    for i, a in enumerate(plan.actions):
+        values = np.array(sorted(plan.grid(a) or ()))
+        if len(values):
+            open_ = (values >= low[:, i, None] - 1e-9) & (values <= high[:, i, None] + 1e-9)
+            far = np.where(open_[:, None], np.abs(genes[:, :, i, None] - values), np.inf)
+            out[:, :, i] = np.where(open_.any(axis=1)[:, None], values[far.argmin(axis=2)], genes[:, :, i])
+    return out
 
 
 def genetic_prescriptions(x: DataFrame, m: CognitiveMap, plan: Plan, key: str, goal: str, search: Search = Search(), seed: int = 42) -> DataFrame:
-    """(key, actions, cost, base, activation, generations, history) of each row of ``x`` (concepts and the column ``goal``).
+    """(key, actions, cost, base, activation, generations, history, mean_history) of each row of ``x`` (concepts and the column ``goal``).
 
     Records are independent and stay in their partitions; a record's draws depend on the
-    seed and its key, so that partitions don't matter.
+    seed and its key, so that partitions don't matter. A batch's records are searched
+    side by side, as arrays of records x individuals x actions.
     """
     limits = {a: bounds(plan, a) for a in plan.actions}
     ready = x.select(key, goal, *m.ids, *(c.alias(f"_{side}_{a}") for a, pair in limits.items() for side, c in zip(("low", "high"), pair, strict=True)), F.xxhash64(F.col(key), F.lit(seed)).alias("_seed"))
-    fields = [x.schema[key], StructField("actions", ArrayType(DoubleType())), *(StructField(n, DoubleType()) for n in ("cost", "base", "activation")), StructField("generations", IntegerType()), StructField("history", ArrayType(DoubleType()))]
+    fields = [x.schema[key], StructField("actions", ArrayType(DoubleType())), *(StructField(n, DoubleType()) for n in ("cost", "base", "activation")), StructField("generations", IntegerType()), StructField("history", ArrayType(DoubleType())), StructField("mean_history", ArrayType(DoubleType()))]
     at, objective = [m.ids.index(a) for a in plan.actions], m.ids.index(m.objective)
 
-    def snapped(genes: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        out = genes.copy()
-        for i, a in enumerate(plan.actions):
-            if values := plan.grid(a):
-                v = np.array(sorted(values))
-                v = v[(v >= low[i] - 1e-9) & (v <= high[i] + 1e-9)]
-                if len(v):
-                    out[:, i] = v[np.abs(genes[:, i, None] - v).argmin(axis=1)]
-        return out
+    def found(batch: pa.RecordBatch) -> list[pa.Array]:
+        number = lambda c: batch.column(c).to_numpy(zero_copy_only=False)
+        states = np.column_stack([number(k) for k in m.ids]).astype(float)
+        low, high = (np.column_stack([number(f"_{side}_{a}") for a in plan.actions]).astype(float) for side in ("low", "high"))
+        wanted, seeds = number(goal).astype(float), number("_seed").astype(np.int64).view(np.uint64)
+
+        def price(genes: np.ndarray, own: np.ndarray) -> np.ndarray:
+            genes = _snapped(genes, low[own], high[own], plan)
+            whole = np.repeat(states[own][:, None], genes.shape[1], axis=1)
+            whole[:, :, at] = genes
+            end = iterate(m, whole.reshape(-1, len(m.ids)))[0][:, objective].reshape(genes.shape[:2])
+            return np.maximum(wanted[own, None] - end, 0) + plan.beta * np.abs(genes - states[own][:, None, at]).mean(axis=2)
+
+        best, least, mean, made = evolve(price, low, high, states[:, at], seeds, search)
+        best = _snapped(best[:, None], low, high, plan)[:, 0]
+        changed = states.copy()
+        changed[:, at] = best
+        base, end = (iterate(m, v)[0][:, objective] for v in (states, changed))
+        lists = lambda rows: pa.array([row[: n + 1].tolist() for row, n in zip(rows, made, strict=True)], pa.list_(pa.float64()))
+        return [batch.column(key), pa.array(best.tolist(), pa.list_(pa.float64())), pa.array(least[np.arange(len(made)), made]), pa.array(base), pa.array(end), pa.array(made), lists(least), lists(mean)]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            number = lambda c: batch.column(c).to_numpy(zero_copy_only=False)  # noqa: E731, B023
-            states, rows = np.column_stack([number(k) for k in m.ids]).astype(float), []
-            lows, highs = (np.column_stack([number(f"_{side}_{a}") for a in plan.actions]).astype(float) for side in ("low", "high"))
-            for i, (wanted, own) in enumerate(zip(number(goal), number("_seed"), strict=True)):
-                state, low, high = states[i], lows[i], highs[i]
-
-                def price(genes: np.ndarray, state=state, low=low, high=high, wanted=wanted) -> np.ndarray:
-                    own = snapped(genes, low, high)
-                    population = np.repeat(state[None], len(own), axis=0)
-                    population[:, at] = own
-                    end = iterate(m, population)[0][:, objective]
-                    return np.maximum(wanted - end, 0) + plan.beta * np.abs(own - state[at]).mean(axis=1)
-
-                genes, value, history = evolve(price, low, high, state[at], [int(own) & (2**63 - 1)], search)
-                genes = snapped(genes[None], low, high)[0]
-                changed = state.copy()
-                changed[at] = genes
-                ends = iterate(m, np.stack([state, changed]))[0][:, objective]
-                rows.append((batch.column(key)[i].as_py(), genes.tolist(), value, float(ends[0]), float(ends[1]), len(history) - 1, history.tolist()))
-            if rows:
-                types = [batch.schema.field(key).type, pa.list_(pa.float64()), *[pa.float64()] * 3, pa.int32(), pa.list_(pa.float64())]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=[f.name for f in fields])
+            for start in range(0, batch.num_rows, 256):
+                yield pa.RecordBatch.from_arrays(found(batch.slice(start, 256)), names=[f.name for f in fields])
 
     # The search is what costs, so records are spread over all cores first.
     parts = int(x.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -201,7 +253,7 @@ def step_goals(df: DataFrame, level: str, levels: dict[str, float]) -> DataFrame
 
 
 def convergence(results: DataFrame) -> DataFrame:
-    """(generation, q1, median, q3) of the best costs; records that ended earlier keep their last."""
+    """(generation, q1, median, q3) of ``history``, the best costs; records that ended earlier keep their last."""
     longest = results.agg(F.max(F.size("history")).alias("n"))
     own = results.crossJoin(F.broadcast(longest)).select("history", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("generation"))  # one row
     value = F.coalesce(F.get("history", F.col("generation")), F.element_at("history", -1))

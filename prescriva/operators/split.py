@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from prescriva.sources import tables
+
 
 def draw(key: Column, seed: int, *more: Column) -> Column:
     """A number in [0, 1) that depends on key and seed alone."""
@@ -16,7 +21,9 @@ def group_id(df: DataFrame, columns: list[str], key: str) -> DataFrame:
     """``df`` with ``group``: the smallest key of the rows that share these columns (nulls share); each row its own without columns."""
     if not columns:
         return df.withColumn("group", F.col(key))
-    return df.withColumn("group", F.min(key).over(Window.partitionBy(*columns)))
+    least = df.groupBy(*columns).agg(F.min(key).alias("group")).withColumnsRenamed({c: f"_of_{c}" for c in columns})
+    same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in columns))
+    return df.join(least, same).drop(*(f"_of_{c}" for c in columns))
 
 
 def level_weights(df: DataFrame, level: str) -> DataFrame:
@@ -43,31 +50,44 @@ def stratified_split(df: DataFrame, level: str, key: str, share: float = 0.3, se
     return joined.withColumn("test", F.col("before") + rank <= F.col("wanted")).select(*df.columns, "test")
 
 
+#: Groups with more than this share of all rows are assigned one by one: at most its inverse of them.
+LARGE_SHARE = 0.001
+
+
 def grouped_folds(df: DataFrame, group: str, level: str, folds: int = 5, seed: int = 42) -> DataFrame:
     """``df`` with ``fold``: no group is in two folds, and levels are spread evenly.
 
-    Groups are few beside rows: their level counts are assigned greedily on the driver,
-    those of the most uneven counts first, each to the fold whose level shares it evens
-    most; of equal folds the smaller.
+    Large groups, at most 1/LARGE_SHARE of them, are assigned on the driver, the most
+    uneven first, each to the fold whose level shares it evens most. All others, however
+    many, are dealt on Spark: groups with the same numbers of rows of each level are
+    alike, and each such kind is dealt in turn, so that folds differ by one group of a
+    kind; of kinds with very many groups by a hash, so that no kind is in one task.
     """
     import numpy as np
 
-    counts = df.groupBy(group, level).agg(F.count(F.lit(1)).alias("n")).collect()
-    levels = sorted({r[level] for r in counts}, key=str)
-    table: dict = {}
-    for r in counts:
-        table.setdefault(r[group], np.zeros(len(levels)))[levels.index(r[level])] = r["n"]
-    total = np.maximum(sum(table.values()), 1) if table else np.ones(max(len(levels), 1))
-    shuffled = np.random.default_rng(seed).permutation(len(table))
-    names = [sorted(table, key=str)[i] for i in shuffled]
-    names.sort(key=lambda g: -table[g].std())
-    held, assigned = np.zeros((folds, len(total))), []
-    for g in names:
-        best = min(range(folds), key=lambda f: (_spread(held, f, table[g], total), held[f].sum()))
+    counts = df.groupBy(group, level).agg(F.count(F.lit(1)).alias("n")).groupBy(group)
+    kinds = tables.written(counts.agg(F.array_sort(F.collect_list(F.struct(F.col(level).cast("string").alias("l"), "n"))).alias("kind"), F.sum("n").alias("rows")), "groups")
+    total = kinds.agg(F.sum("rows")).first()[0] or 0
+    is_large = F.col("rows") > LARGE_SHARE * total
+    large = kinds.where(is_large).collect()
+    levels = sorted({x.l for r in large for x in r.kind}, key=str)
+    table = {r[group]: np.array([sum(x.n for x in r.kind if x.l == k) for k in levels], dtype=float) for r in large}
+    whole = np.maximum(sum(table.values()), 1) if table else np.ones(1)
+    names = [sorted(table, key=str)[i] for i in np.random.default_rng(seed).permutation(len(table))]
+    held, assigned = np.zeros((folds, len(whole))), []
+    for g in sorted(names, key=lambda g: -table[g].std()):
+        best = min(range(folds), key=lambda f: (_spread(held, f, table[g], whole), held[f].sum()))
         held[best] += table[g]
         assigned.append((g, best))
-    folds_of = df.sparkSession.createDataFrame(assigned, f"g {df.schema[group].dataType.simpleString()}, fold int")
-    return df.join(F.broadcast(folds_of) if len(assigned) <= 100_000 else folds_of, F.col(group).eqNullSafe(F.col("g"))).drop("g")
+    of = f"g {df.schema[group].dataType.simpleString()}, fold int"
+    small = kinds.where(~is_large).withColumn("h", F.xxhash64(F.col(group), F.lit(seed))).withColumn("k", F.xxhash64("kind"))
+    sizes = small.groupBy("k").agg(F.count(F.lit(1)).alias("many"))
+    small = small.join(sizes, "k")
+    in_turn = F.row_number().over(Window.partitionBy("k").orderBy("h", group)) + F.pmod("k", F.lit(folds))
+    few = small.where(F.col("many") <= 10_000).select(F.col(group).alias("g"), F.pmod(in_turn, F.lit(folds)).cast("int").alias("fold"))
+    many = small.where(F.col("many") > 10_000).select(F.col(group).alias("g"), F.pmod("h", F.lit(folds)).cast("int").alias("fold"))
+    folds_of = df.sparkSession.createDataFrame(assigned, of).union(few).union(many)
+    return df.join(folds_of, F.col(group).eqNullSafe(F.col("g"))).drop("g")
 
 
 def _spread(held, fold: int, own, total) -> float:

@@ -45,10 +45,12 @@ def customer_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Aggregations below the joins, so that each side is one row per customer before it is shuffled."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     orders = read("orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate", "o_orderpriority")
-    urgent = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH").cast("double")
-    by_customer = orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n_orders"), F.sum("o_totalprice").alias("spend"), F.max("o_orderdate").alias("last_order"), F.avg(urgent).alias("urgent_share"))
+    urgent = F.col("o_orderpriority").isin("1-URGENT", "2-HIGH").cast("long")
+    # Sums of decimals are the same in any order, so that the table is the same whenever it is made.
+    total = lambda c: F.sum(F.col(c).cast("decimal(20,4)")).cast("double")
+    by_customer = orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n_orders"), total("o_totalprice").alias("spend"), F.max("o_orderdate").alias("last_order"), (F.sum(urgent) / F.count(F.lit(1))).alias("urgent_share"))
     lines = read("lineitem").select("l_orderkey", "l_quantity", "l_discount").join(orders.select("o_orderkey", F.col("o_custkey").alias("li_custkey")), F.col("l_orderkey") == F.col("o_orderkey"))
-    by_line = lines.groupBy("li_custkey").agg(F.avg("l_quantity").alias("avg_qty"), F.avg("l_discount").alias("avg_discount"))
+    by_line = lines.groupBy("li_custkey").agg((total("l_quantity") / F.count("l_quantity")).alias("avg_qty"), (total("l_discount") / F.count("l_discount")).alias("avg_discount"))
     by_event = read("events").select("user_id", "event_type").groupBy("user_id").agg(F.count(F.lit(1)).alias("n_events"), F.sum((F.col("event_type") == "purchase").cast("long")).alias("n_purchases"))
     places = read("nation").join(read("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.col("n_name").alias("nation"), F.col("r_name").alias("region"))
     out = read("customer").join(places, F.col("c_nationkey") == F.col("n_nationkey"))

@@ -33,10 +33,11 @@ class Options:
     rule: str = "kosko_modificada"
     activation: str = "sigmoide"
     method: str = "descent"
-    most_steps: int = 100
-    folds: int = 0
-    slopes: tuple = (0.5, 1.0, 2.0)
-    alphas: tuple = (1e-3,)
+    most_steps: int | None = None
+    folds: int = 5
+    slopes: tuple = learn.SLOPES
+    alphas: tuple = learn.ALPHAS
+    fold_steps: int = 60
     balance_levels: bool = False
     least_profiles: int = 40
     beta: float = 0.4
@@ -117,7 +118,7 @@ class Model:
         schema = self.preprocessor.schema
         levels, actions = schema.level_values, [c.id for c in schema.concepts if c.role == "accion"]
         ids = {c.column: c.id for c in schema.concepts}
-        plan = prescribe.Plan(tuple(actions), options.beta, options.reductions, options.delta_most, ids.get(options.condition))
+        plan = prescribe.Plan(tuple(actions), options.beta, options.reductions, options.delta_most, ids.get(options.condition), grids=self.preprocessor.action_grids())
         below = df.where(F.col(level) != schema.best_level)
         goals = prescribe.step_goals(below, level, levels) if options.step_goals else below.withColumn("goal_level", F.lit(schema.best_level)).withColumn("goal", F.lit(levels[schema.best_level]))
         x = self.preprocessor.transform(goals, [key, level, "goal", "goal_level"])
@@ -167,8 +168,12 @@ def run(df: DataFrame, schema: Schema, key: str, options: Options | None = None,
 
     if o.folds:
         told("select")
-        folded = split.grouped_folds(x.withColumn("_g", F.pmod(F.xxhash64(key), F.lit(1000))), "_g", "_level", o.folds, o.seed)
-        best = learn.cross_validation(folded, shape, allowed, "fold", "_level", levels, o.slopes, o.alphas, o.most_steps).first()
+        # Folds by profile: rows that share all fixed columns are never on both sides.
+        folded = split.grouped_folds(split.group_id(train, fixed, key), "group", "_level", o.folds, o.seed).drop("group").withColumnRenamed("fold", "part")
+        parts = learn.fold_parts(folded, schema, "part", [key, "_level"])
+        if weight:
+            parts = parts.join(F.broadcast(x.select("_level", "weight").distinct()), "_level")  # a row for each level
+        best = learn.cross_validation(parts, shape, allowed, "_level", levels, o.slopes, o.alphas, o.fold_steps, weight, o.balance_levels).first()
         o = replace(o, slope=best.slope, alpha=best.alpha)
         shape = replace(shape, slope=best.slope)
 

@@ -6,6 +6,7 @@ Numbers that come from sums of doubles are rounded to six decimals on both sides
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -145,29 +146,37 @@ def loss_fixed_theta(spark, sf_dir):
     return spark.createDataFrame([(round(float(goal(theta)[0][0]), 6),)], "loss double")
 
 
-def _trained(spark, sf_dir, method: str, most: int) -> DataFrame:
+def _trained(spark, sf_dir, method: str) -> DataFrame:
     x, _ = o.scaled_outcome(spark, sf_dir)
     m = o.fixed_map()
-    trained, loss = learn.train(x, m, m.weights != 0, method=method, most=most)
+    trained, loss = learn.train(x, m, m.weights != 0, method=method)
     return rounded(trained.edges(spark).withColumn("loss", F.lit(loss)))
 
 
 @query()
 def train_descent(spark, sf_dir):
-    return _trained(spark, sf_dir, "descent", 25)
+    return _trained(spark, sf_dir, "descent")
 
 
 @query()
 def train_swarm(spark, sf_dir):
-    return _trained(spark, sf_dir, "swarm", 10)
+    return _trained(spark, sf_dir, "swarm")
+
+
+def _folded(spark, sf_dir) -> DataFrame:
+    """All rows as each of five folds by (region, mkt, nation) sees them."""
+    df = tables.written(o.customer_outcome(spark, sf_dir), "outcome")
+    parts = split.grouped_folds(split.group_id(df, ["region", "mkt", "nation"], "row_id"), "group", "outcome").withColumnRenamed("fold", "part")
+    return learn.fold_parts(parts, o.SCHEMA, "part", ["row_id", "outcome"])
 
 
 @query()
 def cross_validation_table(spark, sf_dir):
-    x, _ = o.scaled_outcome(spark, sf_dir)
-    m = o.fixed_map()
-    folded = split.grouped_folds(x.withColumn("profile", F.pmod(F.xxhash64("row_id"), F.lit(60))), "profile", "outcome", 2)
-    return rounded(learn.cross_validation(folded, m, m.weights != 0, "fold", "outcome", o.LEVELS, slopes=(1.0, 2.0), most=6))
+    ids = {c.column: c.id for c in o.SCHEMA.concepts}
+    shape = o.fixed_map()
+    names = [ids[k] for k in o.SCALED] + [ids["outcome"]]
+    m = replace(shape, ids=names, dynamic=[names[-1]], objective=names[-1])
+    return rounded(learn.cross_validation(_folded(spark, sf_dir), m, shape.weights != 0, "outcome", o.LEVELS))
 
 
 # Profiles ----------------------------------------------------------------------------
@@ -532,12 +541,12 @@ def step_goals(spark, sf_dir):
 def _genetic(spark, sf_dir) -> DataFrame:
     x, _ = o.scaled_outcome(spark, sf_dir)
     goals = prescribe.step_goals(x, "outcome", o.LEVELS)
-    return prescribe.genetic_prescriptions(goals, o.fixed_map(), PLAN, "row_id", "goal", prescribe.Search(generations=30))
+    return prescribe.genetic_prescriptions(goals, o.fixed_map(), PLAN, "row_id", "goal", prescribe.Search())
 
 
 @query()
 def prescribe_genetic(spark, sf_dir):
-    return rounded(_genetic(spark, sf_dir).drop("history", "actions"))
+    return rounded(_genetic(spark, sf_dir).drop("history", "mean_history", "actions"))
 
 
 @query()
@@ -649,7 +658,7 @@ def large_changes(spark, sf_dir):
 def forest_validation(spark, sf_dir):
     x, _ = o.scaled_outcome(spark, sf_dir)
     plans = _planned(spark, sf_dir).withColumns({f"{c}_new": F.col(c) for c in ("avg_discount", "acctbal", "urgent_share")})
-    return evaluate.forest_validation(x, plans, o.SCALED, "outcome", o.LEVELS, trees=20)
+    return evaluate.forest_validation(x, plans, o.SCALED, "outcome", o.LEVELS)
 
 
 @query(o.sql("SELECT dataset, model, created FROM (SELECT nation AS dataset, row_id AS model, n_orders AS created, ROW_NUMBER() OVER (PARTITION BY nation ORDER BY n_orders DESC, row_id DESC) AS r FROM co WHERE outcome <> 'L') WHERE r = 1"))
@@ -692,7 +701,7 @@ def radial_layout(spark, sf_dir):
 @query()
 def whole_run(spark, sf_dir):
     df = o.customer_outcome(spark, sf_dir)
-    model, _, plans = prescriptive.run(df, o.FULL_SCHEMA, "row_id", prescriptive.Options(slope=2.0, most_steps=10, search=prescribe.Search(generations=10)))
+    model, _, plans = prescriptive.run(df, o.FULL_SCHEMA, "row_id", prescriptive.Options())
     return prescriptive.recommendations(model, plans, "row_id")
 
 

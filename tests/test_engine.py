@@ -115,8 +115,14 @@ def test_gradient_by_differences():
 
 def test_descent_in_a_box():
     target = np.array([0.5, -2.0, 0.1])
-    theta, _ = learn.bounded_descent(lambda t: (float(((t - target) ** 2 * [1, 5, 20]).sum()), 2 * (t - target) * [1, 5, 20]), np.zeros(3))
-    assert theta == pytest.approx([0.5, -1.0, 0.1], abs=1e-4)
+    curved = np.array([1, 5, 20])
+    targets = np.array([target, -target, target / 3])
+    values = lambda t, own: (((t - targets[own]) ** 2 * curved).sum(axis=1), 2 * (t - targets[own]) * curved)
+    found = learn.together([learn.descent(np.zeros(3)) for _ in targets], values)
+    for (theta, _), one in zip(found, targets, strict=True):
+        assert theta == pytest.approx(np.clip(one, -1, 1), abs=1e-4)
+    place, loss = learn.swarm(lambda t: ((t - [0.3, -0.2]) ** 2).sum(axis=1), 2)
+    assert place == pytest.approx([0.3, -0.2], abs=1e-2) and loss < 1e-4
 
 
 def test_training_recovers_a_map(spark):
@@ -227,10 +233,10 @@ def test_whole_run_and_model(spark, tmp_path):
     from prescriva.plans import prescriptive
 
     df = outcome.customer_outcome(spark, "/root/testdata/sf0.001")
-    options = prescriptive.Options.of({"slope": 2.0, "most_steps": 6, "unknown": 1, "search": prescribe.Search(population=20, generations=5)})
+    options = prescriptive.Options.of({"most_steps": 6, "unknown": 1, "folds": 2, "slopes": (1.0, 2.0), "alphas": (1e-3,), "fold_steps": 4, "search": prescribe.Search(population=20, generations=5)})
     stages = []
     model, metrics, plans = prescriptive.run(df, outcome.FULL_SCHEMA, "row_id", options, stages.append)
-    assert stages == ["split", "encode", "learn", "evaluate", "prescribe"] and 0 <= metrics["accuracy"] <= 1 and metrics["prescribed"] == plans.count() > 0
+    assert stages == ["split", "encode", "select", "learn", "evaluate", "prescribe"] and 0 <= metrics["accuracy"] <= 1 and metrics["prescribed"] == plans.count() > 0
     table = prescriptive.recommendations(model, plans, "row_id")
     assert {"n_orders_now", "n_orders_recommended", "level_goal", "success"} <= set(table.columns)
     model.save(spark, str(tmp_path / "m"))
