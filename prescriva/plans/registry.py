@@ -706,8 +706,11 @@ def whole_run(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
+    from prescriva.plans import more  # noqa: F401  (registers its queries)
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
