@@ -79,15 +79,15 @@ def grouped_folds(df: DataFrame, group: str, level: str, folds: int = 5, seed: i
         best = min(range(folds), key=lambda f: (_spread(held, f, table[g], whole), held[f].sum()))
         held[best] += table[g]
         assigned.append((g, best))
-    of = f"g {df.schema[group].dataType.simpleString()}, fold int"
+    of = f"_g {df.schema[group].dataType.simpleString()}, fold int"
     small = kinds.where(~is_large).withColumn("h", F.xxhash64(F.col(group), F.lit(seed))).withColumn("k", F.xxhash64("kind"))
     sizes = small.groupBy("k").agg(F.count(F.lit(1)).alias("many"))
     small = small.join(sizes, "k")
     in_turn = F.row_number().over(Window.partitionBy("k").orderBy("h", group)) + F.pmod("k", F.lit(folds))
-    few = small.where(F.col("many") <= 10_000).select(F.col(group).alias("g"), F.pmod(in_turn, F.lit(folds)).cast("int").alias("fold"))
-    many = small.where(F.col("many") > 10_000).select(F.col(group).alias("g"), F.pmod("h", F.lit(folds)).cast("int").alias("fold"))
+    few = small.where(F.col("many") <= 10_000).select(F.col(group).alias("_g"), F.pmod(in_turn, F.lit(folds)).cast("int").alias("fold"))
+    many = small.where(F.col("many") > 10_000).select(F.col(group).alias("_g"), F.pmod("h", F.lit(folds)).cast("int").alias("fold"))
     folds_of = df.sparkSession.createDataFrame(assigned, of).union(few).union(many)
-    return df.join(folds_of, F.col(group).eqNullSafe(F.col("g"))).drop("g")
+    return df.join(folds_of, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
 
 
 def _spread(held, fold: int, own, total) -> float:

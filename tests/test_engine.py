@@ -113,6 +113,43 @@ def test_gradient_by_differences():
     assert (learn.loss_and_gradient(m, x, y, v, c, 10)[0] - loss) / 1e-6 == pytest.approx(db[0], abs=1e-4)
 
 
+def test_gradients_of_several_maps():
+    from dataclasses import replace
+
+    rng = np.random.default_rng(5)
+    m = outcome.two_moving()
+    maps = [replace(m, weights=m.weights * k, bias=m.bias + k / 10, slope=1.0 + k) for k in range(3)]
+    x, y, v, c = rng.random((9, 6)), rng.random((9, 2)), rng.random(9), np.array([0.5, 0.5])
+    losses, dw, db = learn.losses_and_gradients(maps, x, y, v, c, 10)
+    for i, one in enumerate(maps):
+        loss, own_dw, own_db = learn.loss_and_gradient(one, x, y, v, c, 10)
+        assert losses[i] == pytest.approx(loss) and dw[i] == pytest.approx(own_dw) and db[i] == pytest.approx(own_db)
+
+
+def test_folds_of_very_many_groups(spark):
+    df = spark.range(60_000).select(F.col("id").alias("g"), F.when(F.col("id") % 4 == 0, "H").otherwise("L").alias("level"))
+    folded = split.grouped_folds(df, "g", "level", 5)
+    by = folded.groupBy("fold").agg(F.count("*").alias("n"), F.avg((F.col("level") == "H").cast("int")).alias("h")).collect()
+    assert len(by) == 5 and all(abs(r.n - 12_000) < 500 and abs(r.h - 0.25) < 0.02 for r in by)
+
+
+def test_search_options_and_draws():
+    with pytest.raises(ValueError):
+        prescribe.Search(population=3, elite=3)
+    with pytest.raises(ValueError):
+        prescribe.Search(mutation=1.5)
+    low, high = np.zeros((3, 2)), np.ones((3, 2))
+    aim = np.array([[0.2, 0.9], [0.5, 0.5], [1.0, 0.0]])
+    price = lambda genes, own: ((genes - aim[own][:, None]) ** 2).sum(axis=2)
+    seeds = np.array([1, 2, 3], dtype=np.uint64)
+    for one_point in (False, True):
+        s = prescribe.Search(one_point=one_point)
+        best, least, mean, made = prescribe.evolve(price, low, high, low, seeds, s)
+        assert np.abs(best - aim).max() < 0.05 and (np.diff(least[0, : made[0] + 1]) <= 0).all() and (mean[0, : made[0] + 1] >= least[0, : made[0] + 1]).all()
+        alone = prescribe.evolve(lambda genes, own: price(genes, own + 1), low[1:2], high[1:2], low[1:2], seeds[1:2], s)
+        assert (alone[0][0] == best[1]).all()  # a record's search doesn't depend on its company
+
+
 def test_descent_in_a_box():
     target = np.array([0.5, -2.0, 0.1])
     curved = np.array([1, 5, 20])
