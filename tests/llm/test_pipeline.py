@@ -29,8 +29,8 @@ def test_stages_against_brute_force(spark):
     flagged = {r.doc_id for r in toxicity.score(docs, toxicity.fit(docs, labels)).where("flagged").collect()}
     kept = [r for i, r in rows.items() if i not in flagged]
     model = language.fit(spark.createDataFrame(kept, docs.schema))
-    named = {r.doc_id: (r.lang_pred, r.lang_score) for r in language.identify(spark.createDataFrame(kept, docs.schema), model).collect()}
-    kept = [r for r in kept if named[r.doc_id][0] != "und" and named[r.doc_id][1] >= corpus_pipeline.LEAST_LANGUAGE_SCORE]
+    named = {r.doc_id: (r.lang_pred, r.lang_rate) for r in language.identify(spark.createDataFrame(kept, docs.schema), model).collect()}
+    kept = [r for r in kept if named[r.doc_id][0] != "und" and (named[r.doc_id][1] <= corpus_pipeline.MOST_PHRASES or len(r.text) < corpus_pipeline.LONG)]
     heads = groups([(r.doc_id, r.text) for r in kept])
     kept = [r for r, h in zip(kept, heads, strict=True) if h[1] == r.doc_id]
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
