@@ -4,7 +4,8 @@ Each stage works on all that its predecessor kept, and all but the last return t
 columns of ``documents``:
 
 1. toxicity: documents whose score reaches their language's threshold go;
-2. language: documents without letters, or whose language isn't certain, go;
+2. language: documents without letters go, and those of some length that no learned
+   language fits; a short text on which languages tie stays;
 3. near_duplicates: one document of each group stays;
 4. decontamination: documents that contain a benchmark item go;
 5. sentencepiece: the rest is encoded and decoded (n_tokens, digests).
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 
 from prescriva.llm import decontamination, language, pieces, shared, toxicity, weighted_minhash
 
-#: A document of which no language has this share of the score goes; clean texts of more than a few words are well above.
-LEAST_LANGUAGE_SCORE = 0.3
+#: Phrases for 100 letters, in the language that fits best, above which a text of LONG letters is in none; texts of learned languages have 17, the least usual of them 50.
+MOST_PHRASES, LONG = 60, 40
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,9 +33,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_unknown_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without any labelled row nothing can be told, and all stay."""
     model = language.fit(docs)
+    if model is None:
+        return docs
     named = language.identify(docs, model)
-    return named.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_LANGUAGE_SCORE)).select(docs.columns)
+    fits = (F.col("lang_rate") <= MOST_PHRASES) | (F.length("text") < LONG)
+    return named.where((F.col("lang_pred") != "und") & fits).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
