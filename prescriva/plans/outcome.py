@@ -93,9 +93,9 @@ def two_moving() -> CognitiveMap:
 
 
 OUTCOME_CTE = """
-ord AS (SELECT o_custkey, COUNT(*) AS n_orders, SUM(o_totalprice) AS spend, MAX(o_orderdate) AS last_order,
+ord AS (SELECT o_custkey, COUNT(*) AS n_orders, SUM(o_totalprice::DECIMAL(20,4))::DOUBLE AS spend, MAX(o_orderdate) AS last_order,
   AVG(CASE WHEN o_orderpriority IN ('1-URGENT','2-HIGH') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS urgent_share FROM orders GROUP BY o_custkey),
-li AS (SELECT o_custkey, AVG(l_quantity) AS avg_qty, AVG(l_discount) AS avg_discount FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey),
+li AS (SELECT o_custkey, SUM(l_quantity::DECIMAL(20,4))::DOUBLE / COUNT(l_quantity) AS avg_qty, SUM(l_discount::DECIMAL(20,4))::DOUBLE / COUNT(l_discount) AS avg_discount FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY o_custkey),
 ev AS (SELECT user_id, COUNT(*) AS n_events, SUM(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS n_purchases FROM events GROUP BY user_id),
 co AS (SELECT c_custkey AS row_id, c_mktsegment AS mkt, n_name AS nation, r_name AS region, c_acctbal AS acctbal, COALESCE(n_orders, 0) AS n_orders, avg_qty, avg_discount,
   COALESCE(n_events, 0) AS n_events, COALESCE(n_purchases, 0) AS n_purchases, urgent_share, last_order, COALESCE(spend, 0) AS spend,

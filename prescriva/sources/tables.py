@@ -15,13 +15,14 @@ SEPARATORS = (",", ";", "\t", "|")
 
 
 def work_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder of ``spark.checkpoint.dir``; a local folder only where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    """A new path in the folder of ``spark.checkpoint.dir``; a folder of our own only where that is unset and all of Spark runs on this machine."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    root = root or spark.conf.get("spark.prescriva.localWork", None)
     if not root:
-        root = spark.conf.get("spark.prescriva.localWork", None)
-        if not root:
-            root = "file://" + tempfile.mkdtemp(prefix="prescriva-")
-            spark.conf.set("spark.prescriva.localWork", root)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="prescriva-")
+        spark.conf.set("spark.prescriva.localWork", root)
     return f"{root.rstrip('/')}/prescriva-{name}-{uuid.uuid4().hex[:12]}"
 
 
