@@ -7,9 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
-from pyspark.sql.window import Window
 
 from prescriva.functions import text
+from prescriva.operators import ranks
 
 PAGE_MOST = 500
 
@@ -92,17 +92,9 @@ def level_means(x: DataFrame, concepts: list[str], level: str) -> DataFrame:
 
 
 def average_ranks(df: DataFrame, column: str, key: str) -> DataFrame:
-    """(key, rank): ranks of the values, equal ones sharing their mean.
-
-    Distinct values are counted first and only these are ranked, range by range: the sort
-    is a global one, and each of its partitions starts from the sum of those before it.
-    """
+    """(key, rank): ranks of the values, equal ones sharing their mean: distinct values alone are sorted, with their counts."""
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("v")).agg(F.count(F.lit(1)).alias("n"))
-    parts = counts.repartitionByRange("v").withColumn("part", F.spark_partition_id())
-    sums = parts.groupBy("part").agg(F.sum("n").alias("in_part"))
-    before = sums.withColumn("before", F.coalesce(F.sum("in_part").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row for each partition
-    within = F.sum("n").over(Window.partitionBy("part").orderBy("v"))
-    ranked = parts.withColumn("upto", within).join(F.broadcast(before), "part").select("v", (F.col("before") + F.col("upto") - (F.col("n") - 1) / 2.0).alias("rank"))
+    ranked = ranks.running_sums(counts, ["v"], ["n"]).select("v", (F.col("upto_n") - (F.col("n") - 1) / 2.0).alias("rank"))
     return df.join(ranked, F.col(column) == F.col("v")).select(key, "rank")
 
 

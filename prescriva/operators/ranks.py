@@ -16,6 +16,20 @@ from pyspark.sql.window import Window
 from prescriva.sources import tables
 
 
+def _in_files(df: DataFrame, by: list[str | Column], keep: list[str]) -> DataFrame:
+    """``keep`` of ``df`` in written ranges of ``by``, with ``_file``, its order ``_part`` and ``_row``, the number in the file."""
+    table = tables.written(df.repartitionByRange(*by).sortWithinPartitions(*by).select(*keep), "ordered")
+    part = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int")
+    return table.select(*keep, part.alias("_part"), F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+
+
+def _before(files: DataFrame, sums: dict[str, Column]) -> DataFrame:
+    """For each file the sums over all files before it: a row for each range, so that one task adds them up."""
+    totals = files.groupBy("_part", "_file").agg(*(c.alias(f"_before_{k}") for k, c in sums.items()))
+    earlier = Window.orderBy("_part", "_file").rowsBetween(Window.unboundedPreceding, -1)
+    return totals.select("_file", *(F.coalesce(F.sum(f"_before_{k}").over(earlier), F.lit(0)).alias(f"_before_{k}") for k in sums))
+
+
 def positions(df: DataFrame, by: list[str | Column], name: str = "position", columns: list[str] | None = None) -> DataFrame:
     """``columns`` of ``df`` (all) with the long ``name``: 0 for the first row in the order of ``by``; nulls come first, texts are in the order of their UTF-8 bytes.
 
@@ -23,14 +37,18 @@ def positions(df: DataFrame, by: list[str | Column], name: str = "position", col
     them need a further key that parts them, or they are sorted by one task.
     """
     keep = columns or df.columns
-    ordered = df.repartitionByRange(*by).sortWithinPartitions(*by).select(*keep)
-    table = tables.written(ordered, "ordered")
-    part, file = F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int"), F.col("_metadata.file_name")
-    counts = table.select(part.alias("_part"), file.alias("_file")).groupBy("_part", "_file").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = Window.orderBy("_part", "_file").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.select("_file", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))  # a row for each range
-    numbered = table.select(*keep, file.alias("_file"), F.col("_metadata.row_index").alias("_row"))
-    return numbered.join(F.broadcast(before), "_file").select(*keep, (F.col("_before") + F.col("_row")).alias(name))
+    files = _in_files(df, by, keep)
+    before = F.broadcast(_before(files, {"n": F.count(F.lit(1))}))
+    return files.join(before, "_file").select(*keep, (F.col("_before_n") + F.col("_row")).alias(name))
+
+
+def running_sums(df: DataFrame, by: list[str], sums: list[str]) -> DataFrame:
+    """``df`` with ``upto_<c>`` for each of the integer columns ``sums``: the sum of all rows up to this one in the order of ``by``, which has to be unique."""
+    files = _in_files(df, by, df.columns)
+    before = F.broadcast(_before(files, {c: F.sum(c) for c in sums}))
+    upto = Window.partitionBy("_file").orderBy("_row").rowsBetween(Window.unboundedPreceding, 0)
+    own = files.select(*df.columns, "_file", *(F.sum(c).over(upto).alias(f"_own_{c}") for c in sums))
+    return own.join(before, "_file").select(*df.columns, *((F.col(f"_own_{c}") + F.col(f"_before_{c}")).alias(f"upto_{c}") for c in sums))
 
 
 def dense_numbers(df: DataFrame, by: list[str], name: str = "number") -> DataFrame:

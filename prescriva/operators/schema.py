@@ -179,20 +179,3 @@ def problems(checked: DataFrame) -> DataFrame:
         )
     )
     return checked.select("column", F.explode(found).alias("problem"))
-
-
-def single_column_accuracy(df: DataFrame, columns: list[str], label: str) -> DataFrame:
-    """(column, distinct, accuracy): how well the most frequent label of each value tells the label; one shuffle for all columns."""
-    pairs = F.array(*(F.struct(F.lit(c).alias("column"), text.canonical(df, c).alias("value")) for c in columns))
-    long = df.where(F.col(label).isNotNull()).select(F.explode(pairs).alias("p"), F.col(label).alias("label")).select("p.column", "p.value", "label").where("value is not null")
-    counts = long.groupBy("column", "value", "label").agg(F.count(F.lit(1)).alias("n"))
-    best = counts.groupBy("column", "value").agg(F.max("n").alias("best"), F.sum("n").alias("n"))
-    return best.groupBy("column").agg(F.count(F.lit(1)).alias("distinct"), (F.sum("best") / F.sum("n")).alias("accuracy"))
-
-
-def determining_columns(df: DataFrame, columns: list[str], label: str, least: float = 0.99, majority: float = 0.97, most_distinct: int = 30) -> DataFrame:
-    """Columns of few values that give the label away; none where one label has nearly all rows."""
-    n = df.where(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    share = n.agg((F.max("n") / F.sum("n")).alias("share"))
-    found = single_column_accuracy(df, columns, label).where((F.col("distinct") <= most_distinct) & (F.col("accuracy") >= least))
-    return found.crossJoin(F.broadcast(share)).where(F.col("share") < majority).drop("share")  # share is one row

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from prescriva.operators import ranks
+from prescriva.operators.neighbours import nearest
 from prescriva.sources import tables
 
 
@@ -26,6 +28,13 @@ def group_id(df: DataFrame, columns: list[str], key: str) -> DataFrame:
     return df.join(least, same).drop(*(f"_of_{c}" for c in columns))
 
 
+def group_numbers(df: DataFrame, columns: list[str], key: str) -> DataFrame:
+    """``df`` with ``number``: 0 for the rows that share ``columns`` with the row of the smallest key, 1 for those of the next that differs, and so on."""
+    grouped = group_id(df, columns, key)
+    numbers = ranks.dense_numbers(grouped, ["group"]).withColumnRenamed("group", "_lead")
+    return grouped.join(numbers, F.col("group") == F.col("_lead")).drop("group", "_lead")
+
+
 def level_weights(df: DataFrame, level: str) -> DataFrame:
     """(level, n, weight): rows over levels times a level's rows; their mean over rows is 1."""
     counts = df.groupBy(level).agg(F.count(F.lit(1)).alias("n"))
@@ -96,37 +105,25 @@ def _spread(held, fold: int, own, total) -> float:
     return float((changed / total).std(axis=0).mean())
 
 
-def smote(x: DataFrame, features: list[str], level: str, key: str, neighbours: int = 5, seed: int = 42, block: int = 200) -> DataFrame:
-    """Rows of ``x`` and synthetic ones (``synthetic``) that bring every level to the largest one's count.
+def smote(x: DataFrame, features: list[str], level: str, key: str, neighbours: int = 5, seed: int = 42) -> DataFrame:
+    """Rows of ``x`` and synthetic ones (``synthetic``) that bring every level to exactly the largest one's count.
 
-    A synthetic row lies between a row and one of its nearest rows of the same level. A
-    level's rows are dealt by a hash into parts of about ``block`` rows and neighbours
-    are found within a part, so that no task holds a level and no level is crossed
-    with itself; a lone row is repeated.
+    A synthetic row lies between a row and one of its nearest rows of the same level
+    (``neighbours.nearest``, exact over the whole level). A level's rows take turns in the
+    order of a hash, so that numbers of synthetic rows differ by one at most; a lone row is repeated.
     """
-    import numpy as np
-    import pandas as pd
-
-    counts = x.groupBy(level).agg(F.count(F.lit(1)).alias("n"))
-    plan = counts.crossJoin(F.broadcast(counts.agg(F.max("n").alias("most")))).select(F.col(level).alias("l"), "n", "most", F.ceil(F.col("n") / block).alias("parts"))  # one row
-    dealt = x.select(key, level, *features).join(F.broadcast(plan), F.col(level) == F.col("l")).where("n < most")  # a row for each level
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.col("parts")))
-    of = f"{level} string, {', '.join(f'{c} double' for c in features)}"
-
-    def grow(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(key)
-        a = group[features].to_numpy(float)
-        n, most = int(group["n"].iloc[0]), int(group["most"].iloc[0])
-        rng = np.random.default_rng([seed, int(group["part"].iloc[0]), n])
-        wanted = (most - n) * len(a) / n
-        wanted = int(wanted) + (rng.random() < wanted % 1)
-        d = ((a[:, None] - a[None]) ** 2).sum(axis=2)
-        np.fill_diagonal(d, np.inf)
-        near = np.argsort(d, axis=1, kind="stable")[:, : max(min(neighbours, len(a) - 1), 1)]
-        i = rng.integers(len(a), size=wanted)
-        j = near[i, rng.integers(near.shape[1], size=wanted)] if len(a) > 1 else i
-        made = a[i] + rng.random((wanted, 1)) * (a[j] - a[i])
-        return pd.DataFrame(made, columns=features).assign(**{level: group[level].iloc[0]})[[level, *features]]
-
-    made = dealt.groupBy(level, "part").applyInPandas(grow, of)
-    return x.select(F.col(level).cast("string"), *(F.col(c).cast("double") for c in features), F.lit(False).alias("synthetic")).unionByName(made.withColumn("synthetic", F.lit(True)))
+    counts = x.where(F.col(level).isNotNull()).groupBy(F.col(level).cast("string").alias("l")).agg(F.count(F.lit(1)).alias("n"))
+    plan = tables.written(counts.crossJoin(F.broadcast(counts.agg(F.max("n").alias("most")))).where("n < most"), "levels")  # one row
+    few = x.join(F.broadcast(plan.select("l")), F.col(level).cast("string") == F.col("l"))  # a row for each level
+    near = nearest(few, features, level, key, neighbours)
+    turns = ranks.positions(near.withColumn("h", F.xxhash64("key", F.lit(seed))), ["grp", "h", "key"], "at")
+    first = turns.groupBy("grp").agg(F.min("at").alias("start"))
+    own = turns.join(F.broadcast(plan), F.col("grp") == F.col("l")).join(F.broadcast(first), "grp").withColumn("at", F.col("at") - F.col("start"))
+    made = F.expr("cast((cast(most - n as decimal(38,0)) * (at + 1)) div n - (cast(most - n as decimal(38,0)) * at) div n as int)")
+    own = own.withColumn("made", made).where("made > 0").select("*", F.explode(F.sequence(F.lit(1), F.col("made"))).alias("turn"))
+    to = F.coalesce(F.get("near", F.pmod(F.xxhash64("key", "turn", F.lit(seed + 1)), F.greatest(F.size("near"), F.lit(1))).cast("int")).x, F.col("x"))
+    share = draw(F.col("key"), seed + 2, F.col("turn"))
+    drawn = own.select("grp", "x", to.alias("to"), share.alias("u"))
+    between = [(F.get("x", F.lit(i)) + F.col("u") * (F.get("to", F.lit(i)) - F.get("x", F.lit(i)))).alias(c) for i, c in enumerate(features)]
+    rows = drawn.select(F.col("grp").alias(level), *between, F.lit(True).alias("synthetic"))
+    return x.select(F.col(level).cast("string").alias(level), *(F.col(c).cast("double").alias(c) for c in features), F.lit(False).alias("synthetic")).unionByName(rows)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prescriva.functions import dates, numeric, text
-from prescriva.operators import encode, evaluate, explore, fcm, learn, prescribe, report, schema, split, suggest
+from prescriva.operators import encode, evaluate, explore, fcm, leakage, learn, neighbours, prescribe, report, schema, split, suggest
 from prescriva.plans import outcome as o
 from prescriva.plans import prescriptive
 from prescriva.sources import tables
@@ -235,13 +235,29 @@ _LEAK = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", COUNT(*) AS \"distinct\
 
 @query(_LEAK)
 def leakage_accuracy(spark, sf_dir):
-    return rounded(schema.single_column_accuracy(_table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linenumber"], "l_linestatus"))
+    return rounded(leakage.single_column_accuracy(_table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linenumber"], "l_linestatus"))
 
 
-@query(o.sql("SELECT 'band' AS \"column\", CAST(COUNT(DISTINCT outcome) AS BIGINT) AS \"distinct\", 1.0::DOUBLE AS accuracy FROM co"))
+@query(o.sql("SELECT 'band' AS \"column\", CAST(COUNT(DISTINCT outcome) AS BIGINT) AS \"distinct\", 1.0::DOUBLE AS accuracy FROM co UNION ALL SELECT 'spend', CAST(COUNT(DISTINCT spend) AS BIGINT), 1.0 FROM co"))
 def leakage_found(spark, sf_dir):
     df = o.customer_outcome(spark, sf_dir).withColumn("band", F.concat(F.lit("band "), "outcome"))
-    return schema.determining_columns(df, ["band", "mkt"], "outcome")
+    return leakage.determining_columns(df, ["band", "mkt", "spend", "acctbal"], "outcome").drop("share")
+
+
+_CUTS = ("acctbal", "avg_discount", "avg_qty", "n_orders", "spend")
+_CUT = "SELECT '{c}' AS \"column\", v AS cut, l0 + l1 + l2 AS below, r0 + r1 + r2 AS above FROM (SELECT v, l0, l1, l2, t0 - l0 AS r0, t1 - l1 AS r1, t2 - l2 AS r2 FROM (SELECT v, " + ", ".join(f"SUM(n{i}) OVER (ORDER BY v)::BIGINT AS l{i}, SUM(n{i}) OVER ()::BIGINT AS t{i}" for i in range(3)) + " FROM (SELECT {c}::DOUBLE AS v, " + ", ".join(f"COUNT(*) FILTER (outcome = '{k}') AS n{i}" for i, k in enumerate(sorted(o.LEVELS))) + " FROM co WHERE {c} IS NOT NULL GROUP BY 1))) WHERE r0 + r1 + r2 > 0 ORDER BY (l0::DOUBLE * l0 + l1::DOUBLE * l1 + l2::DOUBLE * l2) / (l0 + l1 + l2) + (r0::DOUBLE * r0 + r1::DOUBLE * r1 + r2::DOUBLE * r2) / (r0 + r1 + r2) DESC, v LIMIT 1"
+
+
+@query(o.sql("SELECT * FROM (" + ") UNION ALL SELECT * FROM (".join(_CUT.format(c=c) for c in _CUTS) + ")"))
+def leakage_tree(spark, sf_dir):
+    """Where the tree of each number of many values cuts first."""
+    return leakage.first_cuts(tables.written(o.customer_outcome(spark, sf_dir).select("outcome", *_CUTS), "outcome"), list(_CUTS), "outcome")
+
+
+@query(o.sql("SELECT 'spend' AS \"column\", CAST(COUNT(DISTINCT spend) AS BIGINT) AS \"distinct\", 1.0::DOUBLE AS accuracy, 'tree' AS way FROM co UNION ALL SELECT 'mkt', k, a, 'values' FROM (SELECT COUNT(*) AS k, ROUND(SUM(best) / SUM(n), 6) AS a FROM (SELECT MAX(n) AS best, SUM(n) AS n FROM (SELECT mkt, outcome, COUNT(*) AS n FROM co GROUP BY 1, 2) GROUP BY mkt))"))
+def column_accuracy(spark, sf_dir):
+    """A grade that defines the objective by two thresholds, and a column of few values."""
+    return rounded(leakage.column_accuracy(tables.written(o.customer_outcome(spark, sf_dir).select("outcome", "spend", "mkt"), "outcome"), ["spend", "mkt"], "outcome"))
 
 
 @query("SELECT c_mktsegment AS category, COUNT(*) AS n FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY') GROUP BY 1")
@@ -448,6 +464,11 @@ def conversation_roles(spark, sf_dir):
 # Splits ------------------------------------------------------------------------------
 
 
+@query(o.sql("SELECT row_id, CAST(DENSE_RANK() OVER (ORDER BY lead) - 1 AS BIGINT) AS number FROM (SELECT row_id, MIN(row_id) OVER (PARTITION BY region, mkt, nation) AS lead FROM co)"))
+def group_numbers(spark, sf_dir):
+    return split.group_numbers(o.customer_outcome(spark, sf_dir), ["region", "mkt", "nation"], "row_id").select("row_id", "number")
+
+
 @query(o.sql("SELECT row_id, MIN(row_id) OVER (PARTITION BY region, mkt, nation) AS \"group\" FROM co"))
 def group_ids(spark, sf_dir):
     return split.group_id(o.customer_outcome(spark, sf_dir), ["region", "mkt", "nation"], "row_id").select("row_id", "group")
@@ -478,10 +499,18 @@ def grouped_folds(spark, sf_dir):
     return per.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("profiles"), F.max("folds").cast("int").alias("most_folds_of_a_profile"))
 
 
-@query()
+@query(o.sql(", n AS (SELECT outcome, COUNT(*) AS n FROM co GROUP BY outcome) SELECT outcome, (SELECT MAX(n) FROM n) AS n, (SELECT MAX(n) FROM n) - n AS made FROM n"))
 def smote(spark, sf_dir):
     x, _ = o.scaled_outcome(spark, sf_dir)
-    return rounded(split.smote(x, o.SCALED, "outcome", "row_id").groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("synthetic").cast("long")).alias("made")))
+    return split.smote(x, o.SCALED, "outcome", "row_id").groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("synthetic").cast("long")).alias("made"))
+
+
+@query(o.scaled_sql("SELECT row_id, place, ROUND(distance, 6) AS distance FROM (SELECT a.row_id, ROW_NUMBER() OVER (PARTITION BY a.row_id ORDER BY d) AS place, SQRT(d) AS distance FROM (SELECT a.row_id, " + " + ".join(f"(a.{c} - b.{c}) * (a.{c} - b.{c})" for c in o.SCALED) + " AS d FROM sx a JOIN sx b ON a.outcome = b.outcome AND a.row_id <> b.row_id) a) WHERE place <= 5"))
+def nearest_rows(spark, sf_dir):
+    """The five nearest customers of the same level, by distance."""
+    x, _ = o.scaled_outcome(spark, sf_dir)
+    near = neighbours.nearest(x, o.SCALED, "outcome", "row_id")
+    return rounded(near.select(F.col("key").alias("row_id"), F.posexplode("near").alias("place", "n")).select("row_id", (F.col("place") + 1).cast("long").alias("place"), F.col("n.distance").alias("distance")))
 
 
 # Prescriptions -----------------------------------------------------------------------
