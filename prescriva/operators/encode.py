@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prescriva.functions import dates, numeric, text
+from prescriva.operators import quantiles
 from prescriva.operators.schema import Schema
 
 SMOOTHING, TAIL, FENCE = 10.0, 0.01, 3.0
@@ -51,17 +52,16 @@ def target_means(df: DataFrame, column: str, y: Column, smoothing: float = SMOOT
     return sums.crossJoin(F.broadcast(total)).select("category", "n", ((F.col("s") + smoothing * F.col("overall")) / (F.col("n") + smoothing)).alias("encoded"))  # one row
 
 
-def limits_of(df: DataFrame, robust: list[str], plain: list[str] = (), tail: float = TAIL, fence: float = FENCE, exact: bool = True) -> dict[str, tuple[float, float]]:
-    """Column -> (low, high); of ``plain`` columns min and max. One aggregation, and one more only if a value lies beyond a fence."""
-    quartile = (lambda c, q: F.percentile(c, F.lit(q))) if exact else (lambda c, q: F.percentile_approx(c, q, 100_000))
+def limits_of(df: DataFrame, robust: list[str], plain: list[str] = (), tail: float = TAIL, fence: float = FENCE) -> dict[str, tuple[float, float]]:
+    """Column -> (low, high); of ``plain`` columns min and max. An aggregation, the passes of exact quartiles, and one more only if a value lies beyond a fence."""
     number = {c: F.col(c).cast("double") for c in (*robust, *plain)}
     parts = [x for i, (c, v) in enumerate(number.items()) for x in (F.min(v).alias(f"min_{i}"), F.max(v).alias(f"max_{i}"), F.count(v).alias(f"n_{i}"))]
-    parts += [x for i, c in enumerate(robust) for x in (quartile(number[c], 0.25).alias(f"q1_{i}"), quartile(number[c], 0.75).alias(f"q3_{i}"))]
     first = df.agg(*parts).first()
+    quartiles = quantiles.quantiles(df, list(robust), (0.25, 0.75)) if robust else {}
     out = {c: (first[f"min_{i}"], first[f"max_{i}"]) for i, c in enumerate(number)}
     beyond = []
     for i, c in enumerate(robust):
-        q1, q3 = first[f"q1_{i}"], first[f"q3_{i}"]
+        q1, q3 = quartiles.get(("", c), (None, None))
         if q1 is None or q3 <= q1:
             continue
         for side, at, past in ((0, q1 - fence * (q3 - q1), number[c] < q1 - fence * (q3 - q1)), (1, q3 + fence * (q3 - q1), number[c] > q3 + fence * (q3 - q1))):
@@ -74,14 +74,13 @@ def limits_of(df: DataFrame, robust: list[str], plain: list[str] = (), tail: flo
     return out
 
 
-def robust_limits(df: DataFrame, columns: list[str], tail: float = TAIL, fence: float = FENCE, exact: bool = True) -> DataFrame:
+def robust_limits(df: DataFrame, columns: list[str], tail: float = TAIL, fence: float = FENCE) -> DataFrame:
     """(column, low, high): min and max, where a side whose few outliers lie beyond the fence ends at the fence.
 
     The fence is ``fence`` interquartile ranges from the quartiles; a side is clipped if
-    it reaches beyond and at most ``tail`` of the values do. ``exact=False`` takes
-    approximate quartiles, whose memory doesn't grow with distinct values.
+    it reaches beyond and at most ``tail`` of the values do.
     """
-    found = limits_of(df, columns, (), tail, fence, exact)
+    found = limits_of(df, columns, (), tail, fence)
     return df.sparkSession.createDataFrame([(c, *found[c]) for c in columns], "column string, low double, high double")
 
 
@@ -152,7 +151,7 @@ class Preprocessor:
         imputable = [c.id for c in schema.concepts if schema.spec(c.column).encoding in ("numerica", "fecha") and schema.spec(c.column).role != "objetivo"]
         raw = df.select(*(v.alias(k) for k, v in p.encoded(df).items()))
         if imputable:
-            p.medians = {k: v for k, v in raw.agg(*(F.percentile(k, F.lit(0.5)).alias(k) for k in imputable)).first().asDict().items() if v is not None}
+            p.medians = quantiles.medians(raw, imputable)
         filled = df.select(*(v.alias(k) for k, v in p.encoded(df).items()))
         found = limits_of(filled, imputable, [k for k in filled.columns if k not in imputable])
         p.lows = {k: found[k][0] or 0.0 for k in filled.columns}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from prescriva.functions import text
-from prescriva.operators import ranks
+from prescriva.operators import quantiles, ranks
 
 PAGE_MOST = 500
 
@@ -28,13 +28,15 @@ def dataset_profile(df: DataFrame) -> DataFrame:
 
 
 def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, present, distinct, missing, low, q1, median, q3, high, mean, std), all columns in one aggregation."""
+    """(column, present, distinct, missing, low, q1, median, q3, high, mean, std), all columns together; ``df`` is read several times."""
     parts = []
     for i, c in enumerate(columns):
         v = F.col(c).cast("double")
-        parts += [F.count(v).alias(f"present_{i}"), F.count_distinct(v).alias(f"distinct_{i}"), (F.count(F.lit(1)) - F.count(v)).alias(f"missing_{i}"), F.min(v).alias(f"low_{i}"), F.percentile(v, F.lit(0.25)).alias(f"q1_{i}"), F.percentile(v, F.lit(0.5)).alias(f"median_{i}"), F.percentile(v, F.lit(0.75)).alias(f"q3_{i}"), F.max(v).alias(f"high_{i}"), F.avg(v).alias(f"mean_{i}"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias(f"std_{i}")]
+        parts += [F.count(v).alias(f"present_{i}"), F.count_distinct(v).alias(f"distinct_{i}"), (F.count(F.lit(1)) - F.count(v)).alias(f"missing_{i}"), F.min(v).alias(f"low_{i}"), F.max(v).alias(f"high_{i}"), F.avg(v).alias(f"mean_{i}"), F.coalesce(F.stddev_samp(v), F.lit(0.0)).alias(f"std_{i}")]
     names = ("present", "distinct", "missing", "low", "q1", "median", "q3", "high", "mean", "std")
-    rows = [F.struct(F.lit(c).alias("column"), *(F.col(f"{n}_{i}").alias(n) for n in names)) for i, c in enumerate(columns)]
+    found = quantiles.quantiles(df, columns, (0.25, 0.5, 0.75))
+    middle = {c: dict(zip(("q1", "median", "q3"), found.get(("", c), (None,) * 3), strict=True)) for c in columns}
+    rows = [F.struct(F.lit(c).alias("column"), *((F.lit(middle[c][n]).cast("double") if n in middle[c] else F.col(f"{n}_{i}")).alias(n) for n in names)) for i, c in enumerate(columns)]
     return df.agg(*parts).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
@@ -65,8 +67,12 @@ def suggested_encoding(shapes: DataFrame) -> DataFrame:
 
 
 def stats_by_level(df: DataFrame, column: str, level: str) -> DataFrame:
+    """(level, n, mean, q1, median, q3); ``df`` is read several times."""
     v = F.col(column).cast("double")
-    return df.groupBy(F.col(level).alias("level")).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.percentile(v, F.lit(0.25)).alias("q1"), F.percentile(v, F.lit(0.5)).alias("median"), F.percentile(v, F.lit(0.75)).alias("q3"))
+    counts = df.groupBy(F.col(level).cast("string").alias("level")).agg(F.count(v).alias("n"), F.avg(v).alias("mean"))
+    middle = quantiles.quantile_table(df, [column], {"q1": 0.25, "median": 0.5, "q3": 0.75}, level).withColumnRenamed(level, "_level")
+    joined = counts.join(F.broadcast(middle), F.col("level").eqNullSafe(F.col("_level")), "left")  # a row for each level
+    return joined.select("level", "n", "mean", "q1", "median", "q3")
 
 
 def histogram_by_level(df: DataFrame, column: str, level: str, bins: int = 12) -> DataFrame:
@@ -185,7 +191,8 @@ def rows_page(df: DataFrame, key: str, filters: list[tuple] = (), order: str | N
 
 def typical_row(df: DataFrame, numeric: list[str], categorical: list[str], key: str) -> DataFrame:
     """(column, value): medians of numbers and the most frequent categories (of equal ones the first), as text."""
-    medians = df.agg(*(F.percentile(F.col(c).cast("double"), F.lit(0.5)).cast("string").alias(c) for c in numeric)).unpivot([], numeric, "column", "value")
+    found = quantiles.medians(df, numeric)
+    medians = df.sparkSession.createDataFrame([(c, found.get(c)) for c in numeric], "column string, value double").select("column", F.col("value").cast("string").alias("value"))
     pairs = F.array(*(F.struct(F.lit(c).alias("column"), text.canonical(df, c).alias("value")) for c in categorical))
     long = df.select(F.col(key).alias("k"), F.explode(pairs).alias("p")).select("k", "p.*").where("value is not null")
     counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("first"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prescriva.functions import numeric, text
+from prescriva.operators import quantiles
 
 UNCHANGED = 0.005
 
@@ -27,7 +28,10 @@ def action_summary(df: DataFrame, actions: list[str]) -> DataFrame:
     long = df.select(F.explode(rows).alias("r")).select("r.*").withColumn("d", F.col("new") - F.col("now"))
     moved = F.abs("d") >= UNCHANGED
     share = lambda c: (F.avg(c.cast("double")) * 100)
-    return long.groupBy("action").agg(F.avg("now").alias("now"), F.avg("new").alias("recommended"), F.percentile(F.when(moved, F.col("d")), F.lit(0.5)).alias("median_change"), share(moved & (F.col("d") > 0)).alias("up"), share(moved & (F.col("d") < 0)).alias("down"), share(~moved).alias("same"))
+    shares = long.groupBy("action").agg(F.avg("now").alias("now"), F.avg("new").alias("recommended"), share(moved & (F.col("d") > 0)).alias("up"), share(moved & (F.col("d") < 0)).alias("down"), share(~moved).alias("same"))
+    changes = df.select(*(F.when(F.abs(F.col(f"{a}_new") - F.col(a)) >= UNCHANGED, F.col(f"{a}_new") - F.col(a)).alias(a) for a in actions))
+    medians = df.sparkSession.createDataFrame(list(quantiles.medians(changes, actions).items()), "action string, median_change double")
+    return shares.join(F.broadcast(medians), "action", "left").select("action", "now", "recommended", "median_change", "up", "down", "same")  # a row for each action
 
 
 def level_summary(df: DataFrame, level: str, before: str, after: str, success: str) -> DataFrame:

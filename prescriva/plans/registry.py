@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prescriva.functions import dates, numeric, text
-from prescriva.operators import encode, evaluate, explore, fcm, leakage, learn, neighbours, prescribe, report, schema, split, suggest
+from prescriva.operators import encode, evaluate, explore, fcm, leakage, learn, neighbours, prescribe, quantiles, report, schema, split, suggest
 from prescriva.plans import outcome as o
 from prescriva.plans import prescriptive
 from prescriva.sources import tables
@@ -186,7 +186,7 @@ _NUMERIC = "SELECT '{c}' AS \"column\", COUNT({c}) AS present, COUNT(DISTINCT {c
 
 @query(o.sql(" UNION ALL ".join(_NUMERIC.format(c=c).replace(f"({c}", f"({c}::DOUBLE") for c in o.SCALED)))
 def profile_numeric(spark, sf_dir):
-    return rounded(explore.numeric_profile(o.customer_outcome(spark, sf_dir), o.SCALED))
+    return rounded(explore.numeric_profile(tables.written(o.customer_outcome(spark, sf_dir).select(*o.SCALED), "outcome"), o.SCALED))
 
 
 @query("SELECT (SELECT COUNT(*) FROM e) AS \"rows\", 3 AS columns, (SELECT COUNT(*) FROM e) - (SELECT COUNT(*) FROM (SELECT DISTINCT * FROM e)) AS duplicates, (SELECT CAST(SUM((event_type IS NULL)::INT + (bucket IS NULL)::INT + (user_id IS NULL)::INT) AS BIGINT) FROM e) AS empty_cells, (SELECT COUNT(*) FROM e WHERE event_type IS NULL OR bucket IS NULL OR user_id IS NULL) AS rows_with_empty, 2 AS \"numeric\", 1 AS categorical FROM (SELECT 1)".replace("SELECT (SELECT COUNT(*) FROM e) AS", "WITH e AS (SELECT CASE WHEN event_id % 17 = 0 THEN NULL ELSE event_type END AS event_type, user_id % 10 AS user_id, CASE WHEN event_id % 13 = 0 THEN NULL ELSE event_id % 3 END AS bucket FROM events) SELECT (SELECT COUNT(*) FROM e) AS", 1))
@@ -330,7 +330,8 @@ def date_two_formats(spark, sf_dir):
 @query(o.scaled_sql("SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", ROUND(low_{c}, 6) AS low, ROUND(high_{c}, 6) AS high FROM lx" for c in o.SCALED) + ")"))
 def robust_limits(spark, sf_dir):
     df = o.customer_outcome(spark, sf_dir)
-    medians = df.agg(*(F.percentile(F.col(c).cast("double"), F.lit(0.5)).alias(c) for c in o.SCALED)).first().asDict()
+    df = tables.written(df.select(*o.SCALED), "outcome")
+    medians = quantiles.medians(df, o.SCALED)
     return rounded(encode.robust_limits(df.select(*(F.coalesce(F.col(c).cast("double"), F.lit(medians[c])).alias(c) for c in o.SCALED)), o.SCALED))
 
 
@@ -342,7 +343,7 @@ def min_max(spark, sf_dir):
 @query("WITH m AS (SELECT quantile_cont(CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE c_acctbal END, 0.5) AS v FROM customer) SELECT c_custkey, ROUND(COALESCE(CASE WHEN c_custkey % 17 = 0 THEN NULL ELSE c_acctbal END, m.v), 6) AS acctbal FROM customer, m")
 def impute_median(spark, sf_dir):
     df = _table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 17 != 0, F.col("c_acctbal")).alias("acctbal"))
-    median = df.agg(F.percentile("acctbal", F.lit(0.5))).first()[0]
+    median = quantiles.medians(df, ["acctbal"])["acctbal"]
     return rounded(df.select("c_custkey", F.coalesce("acctbal", F.lit(median)).alias("acctbal")))
 
 
@@ -380,7 +381,7 @@ def json_property(spark, sf_dir):
 
 @query(o.sql("SELECT outcome AS level, COUNT(acctbal) AS n, ROUND(AVG(acctbal), 6) AS mean, ROUND(quantile_cont(acctbal, 0.25), 6) AS q1, ROUND(quantile_cont(acctbal, 0.5), 6) AS median, ROUND(quantile_cont(acctbal, 0.75), 6) AS q3 FROM co GROUP BY outcome"))
 def stats_by_level(spark, sf_dir):
-    return rounded(explore.stats_by_level(o.customer_outcome(spark, sf_dir), "acctbal", "outcome"))
+    return rounded(explore.stats_by_level(tables.written(o.customer_outcome(spark, sf_dir).select("acctbal", "outcome"), "outcome"), "acctbal", "outcome"))
 
 
 @query(o.sql("SELECT bin, level, COUNT(*) AS n FROM (SELECT CAST(LEAST(FLOOR((acctbal - lo) / ((hi - lo) / 12)) + 1, 12) AS BIGINT) AS bin, outcome AS level FROM co, (SELECT MIN(acctbal) AS lo, MAX(acctbal) AS hi FROM co)) GROUP BY bin, level"))
@@ -649,7 +650,7 @@ def segment_success(spark, sf_dir):
 
 @query(_planned_sql("SELECT action, ROUND(AVG(now), 6) AS now, ROUND(AVG(new), 6) AS recommended, ROUND(MEDIAN(CASE WHEN abs(new - now) >= 0.005 THEN new - now END), 6) AS median_change, ROUND(100 * AVG(CASE WHEN new - now >= 0.005 THEN 1.0 ELSE 0.0 END), 6) AS up, ROUND(100 * AVG(CASE WHEN now - new >= 0.005 THEN 1.0 ELSE 0.0 END), 6) AS down, ROUND(100 * AVG(CASE WHEN abs(new - now) < 0.005 THEN 1.0 ELSE 0.0 END), 6) AS same FROM (SELECT 'n_orders' AS action, n_orders AS now, nn AS new FROM pg UNION ALL SELECT 'avg_qty', avg_qty, avg_qty FROM pg) GROUP BY action"))
 def recommendation_summary(spark, sf_dir):
-    return rounded(report.action_summary(_planned(spark, sf_dir), ["n_orders", "avg_qty"]))
+    return rounded(report.action_summary(tables.written(_planned(spark, sf_dir), "plans"), ["n_orders", "avg_qty"]))
 
 
 @query(_planned_sql("SELECT outcome AS level, COUNT(*) AS n, ROUND(100 * AVG(CASE WHEN ve >= goal THEN 1.0 ELSE 0.0 END), 6) AS success, ROUND(AVG(b), 6) AS before, ROUND(AVG(e), 6) AS after FROM pg GROUP BY outcome"))
