@@ -143,9 +143,11 @@ def infer_frame(x: DataFrame, m: CognitiveMap, keep: list[str], steps: int | Non
     fields = [x.schema[k] for k in keep] + [StructField("state", ArrayType(DoubleType())), StructField("taken", IntegerType())]
     if trace:
         fields.append(StructField("path", ArrayType(ArrayType(DoubleType()))))
+    width = 500 if trace else 1 << 20
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        # Whole paths are kept for a few rows at a time.
+        for batch in (b.slice(at, width) for b in batches for at in range(0, b.num_rows, width)):
             own = np.column_stack([batch.column(k).to_numpy(zero_copy_only=False) for k in m.ids])
             final, taken, states = iterate(m, own, steps, trace)
             arrays = [batch.column(k) for k in keep] + [pa.array(final.tolist(), pa.list_(pa.float64())), pa.array(taken)]
@@ -180,19 +182,27 @@ def contributions(x: DataFrame, m: CognitiveMap, key: str) -> DataFrame:
     return x.select(key, F.explode(pairs).alias("p")).select(key, "p.*")
 
 
-def account(x: DataFrame, m: CognitiveMap, key: str, steps: int) -> DataFrame:
-    """(key, t, memory, drive, activation) of the objective for the steps 1 to ``steps``: what each step's value is made of.
+def account(x: DataFrame, m: CognitiveMap, key: str, steps: int | None = None, actions: list[str] | None = None) -> DataFrame:
+    """(key, t, memory, influence, part, bias, input, activation) of the objective, for each step that a row takes: what its value is made of.
 
-    ``drive`` is influence and bias of the concepts that don't move; with one moving
-    concept it is the same at every step.
+    ``memory`` is its own last value's, ``influence`` the weighted sum over all concepts
+    (``part``: over ``actions`` alone), ``input`` memory, influence and bias together,
+    whose sigmoid is ``activation``. A row's steps are one array that is worked out in its path.
     """
-    from pyspark.sql.window import Window
-
     memory = m.parameters[0]
-    path = trajectory(x, m, key, steps).where(F.col("concept") == m.objective)
-    before = F.lag("activation").over(Window.partitionBy(key).orderBy("t"))
-    own = path.withColumn("memory", F.lit(memory) * entered(before, m)).where("t > 0")
-    return own.join(x.select(key, drive(m, m.objective).alias("drive")), key).select(key, "t", "memory", "drive", "activation")
+    i = m.ids.index(m.objective)
+
+    def total(state: Column, names: list[str]) -> Column:
+        used = [(j, m.influence * float(m.weights[j, i])) for j, k in enumerate(m.ids) if k in names and m.weights[j, i] != 0]
+        return sum((F.lit(w) * entered(F.get(state, F.lit(j)), m) for j, w in used), F.lit(0.0))
+
+    def step(t: Column) -> Column:
+        before = F.get("path", t - 1)
+        kept, pulled, bias = F.lit(memory) * entered(F.get(before, F.lit(i)), m), total(before, m.ids), F.lit(m.influence * float(m.bias[i]))
+        return F.struct(t.alias("t"), kept.alias("memory"), pulled.alias("influence"), total(before, actions or []).alias("part"), bias.alias("bias"), (kept + pulled + bias).alias("input"), F.get(F.get("path", t), F.lit(i)).alias("activation"))
+
+    traced = infer_frame(x, m, [key], steps, trace=True)
+    return traced.select(key, F.explode(F.transform(F.sequence(F.lit(1), F.col("taken")), step)).alias("s")).select(key, "s.*")
 
 
 def radial_layout(concepts: DataFrame, order: str = "number") -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
 from prescriva.functions import numeric
+from prescriva.operators import quantiles
 from prescriva.operators.fcm import CognitiveMap, infer_column, iterate
 
 
@@ -26,6 +27,8 @@ class Plan:
     condition: str | None = None
     condition_delta: float = 0.15
     grids: tuple[tuple[str, tuple[float, ...]], ...] = ()
+    #: Importance of the objective and of other wanted concepts in the cost; 1 where none is given.
+    weights: tuple[tuple[str, float], ...] = ()
 
     def grid(self, action: str) -> tuple[float, ...] | None:
         return dict(self.grids).get(action)
@@ -156,8 +159,8 @@ def _bred(genes: np.ndarray, low: np.ndarray, high: np.ndarray, seeds: np.ndarra
     return np.clip(moved, low[:, None], high[:, None])
 
 
-def evolve(price, low: np.ndarray, high: np.ndarray, now: np.ndarray, seeds: np.ndarray, s: Search) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All records of a batch at once: (best genes, least cost and mean cost of each generation, generations made) of each.
+def evolve(price, low: np.ndarray, high: np.ndarray, now: np.ndarray, seeds: np.ndarray, s: Search) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All records of a batch at once: (best genes, least cost and mean cost of each generation, generations made, best genes of each generation) of each.
 
     ``low``, ``high``, ``now``: (records, genes); ``price(genes, records)`` gives costs of
     (records, individuals, genes). What a record does now is one of its first
@@ -167,6 +170,7 @@ def evolve(price, low: np.ndarray, high: np.ndarray, now: np.ndarray, seeds: np.
     records, k = low.shape
     best = np.clip(now, low, high)
     least, mean = (np.full((records, s.generations + 1), np.nan) for _ in range(2))
+    tops = np.full((records, s.generations + 1, k), np.nan)
     made = np.zeros(records, dtype=np.int32)
     live, top, idle = np.arange(records), np.full(records, np.inf), np.zeros(records, dtype=np.int64)
     genes = low[:, None] + (high - low)[:, None] * _uniform(seeds, 0, s.population, k)
@@ -179,6 +183,7 @@ def evolve(price, low: np.ndarray, high: np.ndarray, now: np.ndarray, seeds: np.
         order = np.argsort(costs, axis=1, kind="stable")
         genes, costs = np.take_along_axis(genes, order[:, :, None], axis=1), np.take_along_axis(costs, order, axis=1)
         least[live, g], mean[live, g], made[live] = costs[:, 0], costs.mean(axis=1), g
+        tops[live, g] = genes[:, 0]
         better = costs[:, 0] < top[live] - 1e-9
         idle[live] = np.where(better | (g == 0), 0, idle[live] + 1)
         top[live] = np.minimum(top[live], costs[:, 0])
@@ -187,7 +192,7 @@ def evolve(price, low: np.ndarray, high: np.ndarray, now: np.ndarray, seeds: np.
         live, genes, costs = live[stays], genes[stays], costs[stays]
         if not len(live):
             break
-    return best, least, mean, made
+    return best, least, mean, made, tops
 
 
 def _snapped(genes: np.ndarray, low: np.ndarray, high: np.ndarray, plan: Plan) -> np.ndarray:
@@ -202,38 +207,91 @@ def _snapped(genes: np.ndarray, low: np.ndarray, high: np.ndarray, plan: Plan) -
     return out
 
 
-def genetic_prescriptions(x: DataFrame, m: CognitiveMap, plan: Plan, key: str, goal: str, search: Search = Search(), seed: int = 42) -> DataFrame:
-    """(key, actions, cost, base, activation, generations, history, mean_history) of each row of ``x`` (concepts and the column ``goal``).
+def missed(m: CognitiveMap, plan: Plan, ends: np.ndarray, goal: np.ndarray, wants: np.ndarray, named: list[str]) -> np.ndarray:
+    """How far final states (records, individuals, concepts) are from what is wanted, as a weighted mean.
+
+    Of the objective only what it lacks of ``goal`` counts; another concept of ``named``
+    counts with its distance from ``wants`` (records, named), unless that is nan.
+    """
+    weight = dict(plan.weights)
+    parts = [np.maximum(goal[:, None] - ends[:, :, m.ids.index(m.objective)], 0)]
+    shares = [np.full(len(goal), weight.get(m.objective, 1.0))]
+    for i, c in enumerate(named):
+        asked = ~np.isnan(wants[:, i])
+        parts.append(np.where(asked[:, None], np.abs(ends[:, :, m.ids.index(c)] - wants[:, None, i]), 0.0))
+        shares.append(np.where(asked, weight.get(c, 1.0), 0.0))
+    return sum(p * w[:, None] for p, w in zip(parts, shares, strict=True)) / sum(shares)[:, None]
+
+
+def _costs(m: CognitiveMap, plan: Plan, states: np.ndarray, genes: np.ndarray, goal: np.ndarray, wants: np.ndarray, named: list[str], steps: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(costs, final states) of actions (records, individuals, actions) in the records' states."""
+    at = [m.ids.index(a) for a in plan.actions]
+    whole = np.repeat(states[:, None], genes.shape[1], axis=1)
+    whole[:, :, at] = genes
+    ends = iterate(m, whole.reshape(-1, len(m.ids)), steps)[0].reshape(whole.shape)
+    return missed(m, plan, ends, goal, wants, named) + plan.beta * np.abs(genes - states[:, None, at]).mean(axis=2), ends
+
+
+def _checked_wishes(m: CognitiveMap, wanted: dict[str, str] | None) -> list[str]:
+    named = list(wanted or {})
+    wrong = [c for c in named if c not in m.dynamic or c == m.objective]
+    if wrong:
+        raise ValueError(f"only concepts that move can be sought, and the objective has its goal: {', '.join(wrong)}")
+    return named
+
+
+def _matrix(batch: pa.RecordBatch, columns: list[str]) -> np.ndarray:
+    """Columns side by side as doubles; nulls are nan."""
+    if not columns:
+        return np.empty((batch.num_rows, 0))
+    return np.column_stack([batch.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False) for c in columns])
+
+
+def priced(x: DataFrame, m: CognitiveMap, plan: Plan, key: str, goal: str, news: dict[str, str], wanted: dict[str, str] | None = None, steps: int | None = None) -> DataFrame:
+    """(key, cost, activation): what given actions (concept -> column of ``x``) cost each row; ``wanted``: a moving concept -> the column of its wanted value, null for rows that don't mind."""
+    named = _checked_wishes(m, wanted)
+    own = x.select(key, F.col(goal).cast("double").alias("_goal"), *m.ids, *(F.col(news[a]).cast("double").alias(f"_new_{a}") for a in plan.actions), *(F.col(wanted[c]).cast("double").alias(f"_want_{c}") for c in named))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            states, genes, wants = _matrix(batch, m.ids), _matrix(batch, [f"_new_{a}" for a in plan.actions]), _matrix(batch, [f"_want_{c}" for c in named])
+            costs, ends = _costs(m, plan, states, genes[:, None], _matrix(batch, ["_goal"])[:, 0], wants, named, steps)
+            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(costs[:, 0]), pa.array(ends[:, 0, m.ids.index(m.objective)])], names=[key, "cost", "activation"])
+
+    return own.mapInArrow(run, StructType([x.schema[key], StructField("cost", DoubleType()), StructField("activation", DoubleType())]))
+
+
+def genetic_prescriptions(x: DataFrame, m: CognitiveMap, plan: Plan, key: str, goal: str, search: Search = Search(), seed: int = 42, wanted: dict[str, str] | None = None) -> DataFrame:
+    """(key, actions, cost, base, activation, generations, history, mean_history, action_history, base_state, state) of each row of ``x`` (concepts and the column ``goal``).
 
     Records are independent and stay in their partitions; a record's draws depend on the
     seed and its key, so that partitions don't matter. A batch's records are searched
-    side by side, as arrays of records x individuals x actions.
+    side by side, as arrays of records x individuals x actions. ``wanted``: moving
+    concepts that are sought as well, each with the column of its wanted value, which may
+    differ from record to record and be null.
     """
+    named = _checked_wishes(m, wanted)
     limits = {a: bounds(plan, a) for a in plan.actions}
-    ready = x.select(key, goal, *m.ids, *(c.alias(f"_{side}_{a}") for a, pair in limits.items() for side, c in zip(("low", "high"), pair, strict=True)), F.xxhash64(F.col(key), F.lit(seed)).alias("_seed"))
-    fields = [x.schema[key], StructField("actions", ArrayType(DoubleType())), *(StructField(n, DoubleType()) for n in ("cost", "base", "activation")), StructField("generations", IntegerType()), StructField("history", ArrayType(DoubleType())), StructField("mean_history", ArrayType(DoubleType()))]
+    ready = x.select(key, F.col(goal).cast("double").alias("_goal"), *m.ids, *(c.alias(f"_{side}_{a}") for a, pair in limits.items() for side, c in zip(("low", "high"), pair, strict=True)), *(F.col(wanted[c]).cast("double").alias(f"_want_{c}") for c in named), F.xxhash64(F.col(key), F.lit(seed)).alias("_seed"))
+    numbers = ArrayType(DoubleType())
+    fields = [x.schema[key], StructField("actions", numbers), *(StructField(n, DoubleType()) for n in ("cost", "base", "activation")), StructField("generations", IntegerType()), StructField("history", numbers), StructField("mean_history", numbers), StructField("action_history", ArrayType(numbers)), StructField("base_state", numbers), StructField("state", numbers)]
     at, objective = [m.ids.index(a) for a in plan.actions], m.ids.index(m.objective)
 
     def found(batch: pa.RecordBatch) -> list[pa.Array]:
-        number = lambda c: batch.column(c).to_numpy(zero_copy_only=False)
-        states = np.column_stack([number(k) for k in m.ids]).astype(float)
-        low, high = (np.column_stack([number(f"_{side}_{a}") for a in plan.actions]).astype(float) for side in ("low", "high"))
-        wanted, seeds = number(goal).astype(float), number("_seed").astype(np.int64).view(np.uint64)
-
-        def price(genes: np.ndarray, own: np.ndarray) -> np.ndarray:
-            genes = _snapped(genes, low[own], high[own], plan)
-            whole = np.repeat(states[own][:, None], genes.shape[1], axis=1)
-            whole[:, :, at] = genes
-            end = iterate(m, whole.reshape(-1, len(m.ids)))[0][:, objective].reshape(genes.shape[:2])
-            return np.maximum(wanted[own, None] - end, 0) + plan.beta * np.abs(genes - states[own][:, None, at]).mean(axis=2)
-
-        best, least, mean, made = evolve(price, low, high, states[:, at], seeds, search)
-        best = _snapped(best[:, None], low, high, plan)[:, 0]
+        states, wants, wanted_goal = _matrix(batch, m.ids), _matrix(batch, [f"_want_{c}" for c in named]), _matrix(batch, ["_goal"])[:, 0]
+        low, high = (_matrix(batch, [f"_{side}_{a}" for a in plan.actions]) for side in ("low", "high"))
+        seeds = batch.column("_seed").to_numpy().astype(np.int64).view(np.uint64)
+        snapped = lambda genes, own: _snapped(genes, low[own], high[own], plan)
+        price = lambda genes, own: _costs(m, plan, states[own], snapped(genes, own), wanted_goal[own], wants[own], named)[0]
+        best, least, mean, made, tops = evolve(price, low, high, states[:, at], seeds, search)
+        every = np.arange(len(best))
+        best, tops = snapped(best[:, None], every)[:, 0], snapped(tops, every)
         changed = states.copy()
         changed[:, at] = best
-        base, end = (iterate(m, v)[0][:, objective] for v in (states, changed))
-        lists = lambda rows: pa.array([row[: n + 1].tolist() for row, n in zip(rows, made, strict=True)], pa.list_(pa.float64()))
-        return [batch.column(key), pa.array(best.tolist(), pa.list_(pa.float64())), pa.array(least[np.arange(len(made)), made]), pa.array(base), pa.array(end), pa.array(made), lists(least), lists(mean)]
+        base, end = (iterate(m, v)[0] for v in (states, changed))
+        lists = lambda rows: pa.array([row[: n + 1].tolist() for row, n in zip(rows, made, strict=True)])
+        of = pa.list_(pa.float64())
+        return [batch.column(key), pa.array(best.tolist(), of), pa.array(least[every, made]), pa.array(base[:, objective]), pa.array(end[:, objective]), pa.array(made), lists(least).cast(of), lists(mean).cast(of), lists(tops).cast(pa.list_(of)), pa.array(base.tolist(), of), pa.array(end.tolist(), of)]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -252,9 +310,33 @@ def step_goals(df: DataFrame, level: str, levels: dict[str, float]) -> DataFrame
     return out.withColumn("goal", numeric.level_value(F.col("goal_level"), levels))
 
 
+def _padded(results: DataFrame, columns: list[str]) -> DataFrame:
+    """Each record and generation of the longest search: a column's value there, or its last one."""
+    longest = results.agg(F.max(F.size(columns[0])).alias("n"))
+    own = results.crossJoin(F.broadcast(longest)).select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("generation"))  # one row
+    return own.withColumns({f"{c}_at": F.coalesce(F.get(c, F.col("generation")), F.element_at(c, -1)) for c in columns})
+
+
 def convergence(results: DataFrame) -> DataFrame:
-    """(generation, q1, median, q3) of ``history``, the best costs; records that ended earlier keep their last."""
-    longest = results.agg(F.max(F.size("history")).alias("n"))
-    own = results.crossJoin(F.broadcast(longest)).select("history", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("generation"))  # one row
-    value = F.coalesce(F.get("history", F.col("generation")), F.element_at("history", -1))
-    return own.groupBy("generation").agg(*(F.percentile(value, F.lit(q)).alias(n) for n, q in (("q1", 0.25), ("median", 0.5), ("q3", 0.75))))
+    """(generation, q1, median, q3) of ``history``, the best costs; records that ended earlier keep their last. ``results`` is read several times."""
+    own = _padded(results, ["history"]).select("generation", F.col("history_at").alias("best"))
+    table = quantiles.quantile_table(own, ["best"], {"q1": 0.25, "median": 0.5, "q3": 0.75}, "generation")
+    return table.select(F.col("generation").cast("int").alias("generation"), "q1", "median", "q3")
+
+
+def progress(results: DataFrame) -> DataFrame:
+    """(generation, q1, median, q3, mean, best_progress, mean_progress) of ``history`` and ``mean_history``.
+
+    ``mean``: the median of the populations' mean costs. Progress is 0 at the mean cost
+    of a record's first population and 1 at its least cost; its medians are over records
+    whose range exceeds 1e-9, and 0 where there are none. ``results`` is read several times.
+    """
+    own = _padded(results.where(F.size("history") > 0), ["history", "mean_history"])
+    start, end = F.get("mean_history", F.lit(0)), F.element_at("history", -1)
+    moved = lambda c: F.when(start - end > 1e-9, (start - F.col(c)) / (start - end))
+    own = own.select("generation", F.col("history_at").alias("best"), F.col("mean_history_at").alias("mean"), moved("history_at").alias("best_progress"), moved("mean_history_at").alias("mean_progress"))
+    found = quantiles.quantiles(own, ["best", "mean", "best_progress", "mean_progress"], (0.25, 0.5, 0.75), "generation")
+    generations = sorted({int(g) for g, _ in found})
+    at = lambda g, c, i: found.get((str(g), c), (0.0,) * 3)[i]
+    rows = [(g, *(at(g, "best", i) for i in range(3)), *(at(g, c, 1) for c in ("mean", "best_progress", "mean_progress"))) for g in generations]
+    return results.sparkSession.createDataFrame(rows, "generation int, q1 double, median double, q3 double, mean double, best_progress double, mean_progress double")

@@ -576,7 +576,7 @@ def _genetic(spark, sf_dir) -> DataFrame:
 
 @query()
 def prescribe_genetic(spark, sf_dir):
-    return rounded(_genetic(spark, sf_dir).drop("history", "mean_history", "actions"))
+    return rounded(_genetic(spark, sf_dir).select("row_id", "cost", "base", "activation", "generations"))
 
 
 @query()
@@ -718,7 +718,49 @@ def goal_counts(spark, sf_dir):
 @query(o.scaled_sql(f", RECURSIVE_r SELECT row_id, t, ROUND(m, 6) AS memory, ROUND(p, 6) AS drive, ROUND(y, 6) AS activation FROM r WHERE t > 0").replace("RECURSIVE_r", f"r AS (SELECT row_id, {o.pull_sql()} AS p, 0 AS t, 0.5::DOUBLE AS m, 0.5::DOUBLE AS y FROM sx UNION ALL SELECT row_id, p, t + 1, y, 1 / (1 + exp(-2.0 * (y + p))) FROM r WHERE t < 4)").replace("WITH ", "WITH RECURSIVE ", 1))
 def step_by_step(spark, sf_dir):
     x, _ = o.scaled_outcome(spark, sf_dir)
-    return rounded(fcm.account(x.withColumn("y", F.lit(0.5)), o.fixed_map(), "row_id", 4))
+    own = fcm.account(x.withColumn("y", F.lit(0.5)), o.fixed_map(), "row_id", 4)
+    return rounded(own.select("row_id", "t", "memory", (F.col("influence") + F.col("bias")).alias("drive"), "activation"))
+
+
+_PULLS = "0.8 * n_orders + 0.1 * avg_qty - 0.1 * avg_discount + 0.05 * a - 0.15 * urgent_share"
+
+
+@query(_recursive(6, f"SELECT row_id, t + 1 AS t, ROUND(y, 6) AS memory, ROUND({_PULLS}, 6) AS influence, ROUND(0.8 * n_orders + 0.1 * avg_qty - 0.1 * avg_discount, 6) AS part, -0.9::DOUBLE AS bias, ROUND(y + ({_PULLS}) - 0.9, 6) AS input, ROUND(1 / (1 + exp(-2.0 * (y + ({_PULLS}) - 0.9))), 6) AS activation FROM r WHERE t < 6"))
+def step_account(spark, sf_dir):
+    """What each of six steps of the objective is made of, where another concept moves too."""
+    x, _ = o.scaled_outcome(spark, sf_dir)
+    return rounded(fcm.account(x.withColumn("y", F.lit(0.5)), o.two_moving(), "row_id", 6, o.ACTIONS))
+
+
+@query(_recursive(100, "SELECT row_id, MIN(t)::INTEGER AS taken FROM (SELECT row_id, t, GREATEST(abs(a - LAG(a) OVER w), abs(y - LAG(y) OVER w)) AS moved FROM r WINDOW w AS (PARTITION BY row_id ORDER BY t)) WHERE moved < 1e-5 OR t = 100 GROUP BY row_id"))
+def inference_iterations(spark, sf_dir):
+    """The steps that each row takes until nothing moves by 1e-5."""
+    x, _ = o.scaled_outcome(spark, sf_dir)
+    return fcm.infer_frame(x.withColumn("y", F.lit(0.5)), o.two_moving(), ["row_id"]).select("row_id", "taken")
+
+
+_WISHES = "CASE WHEN row_id % 2 = 0 THEN (row_id % 7) / 7.0 END"
+
+
+@query(o.scaled_sql(f", s0 AS (SELECT *, n_orders AS n0 FROM sx), s1 AS (SELECT row_id, y AS y0, acctbal, n0, LEAST(n0 + 0.1, 1.0) AS n_orders, avg_qty, avg_discount, urgent_share, {_WISHES} AS want FROM s0), " + _TWO.format(t=30).replace("0.5::DOUBLE AS y FROM sx", "y0 AS y, n0, want FROM s1").replace("- 0.9)))", "- 0.9))), n0, want") + " SELECT row_id, ROUND((GREATEST(1.0 - y, 0) * 2 + COALESCE(abs(a - want), 0)) / (2 + CASE WHEN want IS NULL THEN 0 ELSE 1 END) + 0.4 * (n_orders - n0) / 2, 6) AS cost, ROUND(y, 6) AS activation FROM r WHERE t = 30").replace("WITH ", "WITH RECURSIVE ", 1))
+def desired_cost(spark, sf_dir):
+    """The cost of one more order where every second record also wants an account balance of its own; the objective counts twice."""
+    x, _ = o.scaled_outcome(spark, sf_dir)
+    own = x.withColumns({"goal": F.lit(1.0), "new": F.least(F.col("n_orders") + 0.1, F.lit(1.0)), "want": F.when(F.col("row_id") % 2 == 0, F.col("row_id") % 7 / 7.0)})
+    plan = prescribe.Plan(("n_orders", "avg_qty"), weights=(("y", 2.0),))
+    return rounded(prescribe.priced(own, o.two_moving(), plan, "row_id", "goal", {"n_orders": "new", "avg_qty": "avg_qty"}, {"acctbal": "want"}, o.STEPS))
+
+
+_HISTORIES = "h AS (SELECT c_custkey AS k, 1 + c_custkey % 4 AS n, c_acctbal / 10000 + 2 AS b FROM customer), l AS (SELECT k, g, b / (1 + LEAST(g, n - 1)) AS best, b / (1 + LEAST(g, n - 1)) + (n - 1) * 0.5 / (1 + LEAST(g, n - 1)) AS mean, b / n AS last, b + (n - 1) * 0.5 AS first FROM h, range(4) AS t(g))"
+
+
+@query(f"WITH {_HISTORIES} SELECT g::INTEGER AS generation, ROUND(quantile_cont(best, 0.25), 6) AS q1, ROUND(quantile_cont(best, 0.5), 6) AS median, ROUND(quantile_cont(best, 0.75), 6) AS q3, ROUND(quantile_cont(mean, 0.5), 6) AS mean, ROUND(quantile_cont((first - best) / (first - last), 0.5) FILTER (first - last > 1e-9), 6) AS best_progress, ROUND(quantile_cont((first - mean) / (first - last), 0.5) FILTER (first - last > 1e-9), 6) AS mean_progress FROM l GROUP BY g")
+def search_progress(spark, sf_dir):
+    """Curves of searches of one to four generations with given costs; those of one generation have no range."""
+    n, b = F.col("c_custkey") % 4 + 1, F.col("c_acctbal") / 10000 + 2
+    steps = F.sequence(F.lit(0), (n - 1).cast("int"))
+    own = _table(spark, sf_dir, "customer").select(F.transform(steps, lambda g: b / (g + 1)).alias("history"), F.transform(steps, lambda g: b / (g + 1) + (n - 1) * 0.5 / (g + 1)).alias("mean_history"))
+    return rounded(prescribe.progress(tables.written(own, "histories")))
 
 
 @query("SELECT id, ROUND(CASE WHEN i = 13 THEN 0.0 ELSE cos(2 * pi() * i / 13.0) END, 6) + 0.0 AS x, ROUND(CASE WHEN i = 13 THEN 0.0 ELSE sin(2 * pi() * i / 13.0) END, 6) + 0.0 AS y FROM (SELECT 'C' || (i + 1) AS id, i FROM range(14) AS t(i))")
