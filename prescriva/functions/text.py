@@ -43,7 +43,13 @@ def readable(c: Column) -> Column:
 def number(c: Column, decimals: int = 2) -> Column:
     """A number with points between thousands, a decimal comma and no trailing zeros."""
     plain = F.translate(F.format_number(c.cast("double"), decimals), ",.", ".,")
-    return F.regexp_replace(F.regexp_replace(plain, r"(,\d*?)0+$", "$1"), ",$", "") if decimals else plain
+    short = F.regexp_replace(F.regexp_replace(plain, r"(,\d*?)0+$", "$1"), ",$", "") if decimals else plain
+    return F.regexp_replace(short, "^-0$", "0")
+
+
+def decimals_of(low: float, high: float) -> int:
+    """Decimals to show a variable with by its range: none for counts up to 100."""
+    return sum(abs(high - low) <= most for most in (20, 2))
 
 
 def percent(c: Column, decimals: int = 1) -> Column:

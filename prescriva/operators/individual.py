@@ -8,7 +8,8 @@ from pyspark.sql.window import Window
 
 from prescriva.functions import numeric, text
 from prescriva.operators.encode import Preprocessor
-from prescriva.operators.schema import Schema
+from prescriva.operators.fcm import CognitiveMap, entered
+from prescriva.operators.schema import Concept, Schema
 
 
 def record(df: DataFrame, key: str, value) -> DataFrame:
@@ -115,6 +116,18 @@ def jitter(key: Column, seed: int) -> Column:
     return 2 * (s - F.floor(s)) - 1
 
 
+def contributions(m: CognitiveMap, concepts: list[Concept], before: Column, after: Column) -> Column:
+    """(id, name, role, weight, before, after) of each concept with an edge into the objective, by its share after, the largest first; ``before`` and ``after`` are arrays of states."""
+    i = m.ids.index(m.objective)
+    parts = []
+    for j, c in enumerate(concepts):
+        w = float(m.weights[j, i])
+        if w:
+            share = lambda state, j=j, w=w: F.lit(m.influence * w) * entered(F.get(state, F.lit(j)), m)
+            parts.append(F.struct((-F.abs(share(after))).alias("size"), F.lit(j).alias("place"), F.lit(c.id).alias("id"), F.lit(c.name).alias("name"), F.lit(c.role).alias("role"), F.lit(w).alias("weight"), share(before).alias("before"), share(after).alias("after")))
+    return F.transform(F.array_sort(F.array(*parts)), lambda p: F.struct(p.id.alias("id"), p["name"].alias("name"), p.role.alias("role"), p.weight.alias("weight"), p.before.alias("before"), p.after.alias("after")))
+
+
 def before_after(plans: DataFrame, key: str, base: str, end: str, count: int) -> DataFrame:
     """(place, key, base, end) of the first ``count`` plans by what they are before: the points of a chart."""
     first = plans.select(key, base, end).orderBy(F.round(base, 9), key).limit(count)

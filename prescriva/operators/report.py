@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,19 +44,90 @@ def top_gains(df: DataFrame, key: str, before: str, after: str, most: int = 5) -
     return df.select(key, before, after, (F.col(after) - F.col(before)).alias("gain")).orderBy(F.desc(F.round("gain", 9)), key).limit(most)
 
 
-def action_phrase(name: str, now: Column, new: Column, decimals: int = 1) -> Column:
-    """What to do with an action, in a few words."""
-    d = new - now
-    shown = F.concat(text.number(now, decimals), F.lit(" a "), text.number(new, decimals))
-    return F.when(F.abs(d) < UNCHANGED, F.concat(F.lit(f"mantener {name} en "), text.number(now, decimals))).when(d > 0, F.concat(F.lit(f"subir {name} de "), shown)).otherwise(F.concat(F.lit(f"bajar {name} de "), shown))
-
-
-def individual_report(table: DataFrame, key: str, actions: list[str]) -> DataFrame:
-    """(key, report): a sentence for each row of ``recommendations``."""
-    phrases = F.array(*(action_phrase(a, F.col(f"{a}_now"), F.col(f"{a}_recommended")) for a in actions))
-    start = F.concat(F.lit("Nivel "), F.col("level_before"), F.lit(", meta "), F.col("level_goal"), F.lit(": "))
-    end = F.when(F.col("success"), F.lit(". Alcanza la meta.")).otherwise(F.concat(F.lit(". Llega a "), F.col("level_after"), F.lit(".")))
-    return table.select(key, F.concat(start, text.listed(phrases), end).alias("report"))
+@dataclass(frozen=True)
+class Action:
+    """An action as reports show it: ``low`` and ``high`` in its own unit, ``categories`` of an ordered one."""
+
+    column: str
+    name: str
+    low: float = 0.0
+    high: float = 1.0
+    categories: tuple[str, ...] = ()
+
+    def shown(self, value: Column) -> Column:
+        """A value in the action's own unit, or its category in quotes."""
+        if self.categories:
+            return F.concat(F.lit("«"), F.get(F.array(*map(F.lit, self.categories)), F.round(value).cast("int")), F.lit("»"))
+        return text.number(value, text.decimals_of(self.low, self.high))
+
+
+def action_phrase(a: Action, now: Column, new: Column) -> Column:
+    """(verb, words, changes): what to do with an action; a verb that several actions may share is apart from the words."""
+    # Fixed text.
+    share = (new - now) / ((a.high - a.low) or 1.0)
+    before, after = a.shown(now), a.shown(new)
+    if len(a.categories) == 2:
+        on, stays = F.round(now) > 0, F.round(now) == F.round(new)
+        verb = F.when(stays, F.when(on, "mantener activa").otherwise("no activar")).otherwise(F.when(on, "desactivar").otherwise("activar"))
+        return F.struct(verb.alias("verb"), F.lit(a.name).alias("words"), (~stays).alias("changes"))
+    stays = (F.abs(share) < UNCHANGED) | ((before == after) if a.categories else F.lit(False))
+    kept = F.concat(F.lit(f"mantener {a.name} en "), before)
+    if a.categories:
+        moved = F.concat(F.lit(f"pasar {a.name} de "), before, F.lit(" a "), after)
+    else:
+        size = F.concat(F.when(share > 0, "+").otherwise("−"), text.number(F.abs(new - now), text.decimals_of(a.low, a.high)), F.lit("; "), text.percent(100 * F.abs(share), 0), F.lit(" de su rango"))
+        moved = F.concat(F.when(share > 0, "aumentar").otherwise("reducir"), F.lit(f" {a.name} de "), before, F.lit(" a "), after, F.lit(" ("), size, F.lit(")"))
+    return F.struct(F.lit(None).cast("string").alias("verb"), F.when(stays, kept).otherwise(moved).alias("words"), (~stays).alias("changes"))
+
+
+def grouped(phrases: Column) -> Column:
+    """Texts of an array of phrases; those with one verb are said together where the first of them stands."""
+    verbs = F.transform(phrases, lambda p: p.verb)
+    firsts = F.filter(phrases, lambda p, i: p.verb.isNull() | (F.array_position(verbs, p.verb) == i + 1))
+
+    def said(p: Column) -> Column:
+        same = F.transform(F.filter(phrases, lambda q: q.verb == p.verb), lambda q: q.words)
+        return F.when(p.verb.isNull(), p.words).otherwise(F.concat(p.verb, F.lit(" "), text.listed(same)))
+
+    return F.transform(firsts, said)
+
+
+def individual_reports(plans: DataFrame, key: str, actions: list[Action], objective: str, levels: dict[str, float], tolerance: float, subject: str = "este perfil") -> DataFrame:
+    """(key, report, plan, restriction, changes, keeps, result, brakes, reaches) of each row of ``plans``.
+
+    ``plans`` has <action>_now and <action>_new in their own units, ``base``,
+    ``activation``, ``goal`` and ``goal_level``; and where it has them, ``observed`` (a
+    level), ``contributions`` (name, role, after) and ``restriction`` (a sentence). A goal
+    is reached from ``tolerance`` below it on.
+    """
+    # Fixed text.
+    level = lambda c: numeric.nearest_level(F.col(c), levels)
+    own = plans.withColumns({"_phrases": F.array(*(action_phrase(a, F.col(f"{a.column}_now"), F.col(f"{a.column}_new")) for a in actions)), "_before": level("base"), "_after": level("activation")})
+    own = own.withColumns({"_changes": grouped(F.filter("_phrases", lambda p: p.changes)), "_keeps": grouped(F.filter("_phrases", lambda p: ~p.changes)), "_kept": F.size(F.filter("_phrases", lambda p: ~p.changes))})
+    there = lambda c: F.col(c) >= F.col("goal") - tolerance - 1e-9
+    join = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    to_subject = f"al {subject[3:]}" if subject.startswith("el ") else f"a {subject}"
+    plan = F.when(F.size("_changes") > 0, join(f"Para {subject} se recomienda ", text.listed(F.col("_changes")), "."))
+    fits = join(f"Con sus acciones actuales, el FCM ya ubica {to_subject} en ", F.col("_before"), ", en su meta (", F.col("goal_level"), ") o por encima: según el modelo no hace falta cambiarlas.")
+    if "observed" in plans.columns:
+        doubt = join(" Su nivel observado es ", F.col("observed"), ": el modelo no lo distingue de ", F.col("_before"), ", así que para él no hay nada que mejorar; tome el plan con cautela o elija una meta más alta.")
+        fits = F.concat(fits, F.coalesce(F.when(F.col("observed") != F.col("_before"), doubt), F.lit("")))
+    none = F.lit(f"Para {subject} el algoritmo genético no encontró un cambio en las acciones cuyo avance hacia la meta compense el esfuerzo.")
+    plan = F.coalesce(plan, F.when(there("base"), fits), none)
+    besides = join(" Además, ", text.listed(F.col("_keeps")), ": el modelo no espera un beneficio que compense el esfuerzo de cambiarla", F.when(F.col("_kept") > 1, "s").otherwise(""), ".")
+    plan = F.concat(plan, F.when((F.size("_keeps") > 0) & (F.size("_changes") > 0), besides).otherwise(""))
+    ends = F.when(there("activation"), join(" y alcanza la meta (", F.col("goal_level"), ").")).otherwise(join(", sin alcanzar la meta (", F.col("goal_level"), "): es el mayor avance que el modelo encuentra con estas acciones."))
+    result = join(f"Con este plan, el FCM estima que {objective} pasa de ", text.number(F.col("base"), 2), " (", F.col("_before"), ") a ", text.number(F.col("activation"), 2), " (", F.col("_after"), ")", ends)
+    brakes = F.lit("")
+    if "contributions" in plans.columns:
+        against = F.array_sort(F.transform(F.filter("contributions", lambda c: (c.role == "mutable") & (c.after < -0.05)), lambda c: F.struct(c.after.alias("after"), c["name"].alias("name"))))
+        told = F.transform(F.slice(against, 1, 3), lambda c: join(c["name"], " (aporte ", text.number(c.after, 2), ")"))
+        brakes = F.when(F.size(told) > 0, join("Factores del sistema que lo alejan del mejor nivel y que el plan no cambia: ", text.listed(told), ".")).otherwise("")
+    restriction = F.coalesce("restriction", F.lit("")) if "restriction" in plans.columns else F.lit("")
+    sentence = lambda c: F.transform(c, lambda s: F.concat(F.upper(F.substring(s, 1, 1)), F.substring(s, 2, 1_000_000), F.lit(".")))
+    out = own.select(key, plan.alias("plan"), restriction.alias("restriction"), sentence("_changes").alias("changes"), sentence("_keeps").alias("keeps"), result.alias("result"), brakes.alias("brakes"), there("activation").alias("reaches"))
+    parts = F.filter(F.array("plan", "restriction", "result", "brakes"), lambda t: t != "")
+    return out.withColumn("report", F.array_join(parts, " "))
 
 
 def large_changes(table: DataFrame, key: str, actions: list[str], limit: float = 0.3) -> DataFrame:

@@ -8,7 +8,7 @@ from dataclasses import asdict, dataclass, field, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prescriva.functions import dates, text
+from prescriva.functions import dates, numeric, text
 
 # Roles and encodings of the wire format.
 ROLES = ("inmutable", "accion", "mutable", "objetivo", "excluir")
@@ -168,14 +168,64 @@ def validate(df: DataFrame, schema: Schema) -> DataFrame:
     return counts.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
-def problems(checked: DataFrame) -> DataFrame:
-    """(column, problem) of what ``validate`` counted."""
-    found = F.array_compact(
-        F.array(
-            F.when(F.col("present") == 0, "no values"),
-            F.when(F.col("rows") < LEAST_ROWS, "too few rows"),
-            F.when((F.col("present") > 0) & (F.col("readable") < F.col("present")), "unreadable values"),
-            F.when((F.col("encoding") == "nominal") & (F.col("distinct") > NOMINAL_MOST), "many categories"),
-        )
-    )
-    return checked.select("column", F.explode(found).alias("problem"))
+def imputable(schema: Schema) -> list[str]:
+    """Columns whose gaps are filled by a median."""
+    return [c.name for c in schema.columns if c.role not in ("excluir", "objetivo") and c.encoding in ("numerica", "fecha")]
+
+
+PROBLEMS = "column string, kind string, severity string, n long"
+
+
+def problems(df: DataFrame, schema: Schema, segment: tuple[str, str] | None = None) -> DataFrame:
+    """(column, kind, severity: error or notice, n) of what is wrong with ``df`` under ``schema``; ``n`` says how many rows, values or categories it concerns.
+
+    Values are judged over complete rows, those without gaps in columns that can't be
+    imputed. How far single columns give the objective away and how many rows its levels
+    have is asked only where there is no error so far. ``segment``: a column and its value.
+    """
+    from prescriva.operators import leakage
+    from prescriva.operators.encode import objective_value
+
+    spark, used = df.sparkSession, [c for c in schema.columns if c.role != "excluir"]
+    make = lambda rows: spark.createDataFrame(rows, PROBLEMS)
+    missing = [c.name for c in schema.columns if c.name not in df.columns]
+    if missing:
+        return make([(c, "missing column", "error", 0) for c in missing])
+    filled = imputable(schema)
+    whole = df.dropna(subset=[c.name for c in used if c.name not in filled])
+    everywhere, seen = ({r["column"]: r for r in validate(d, schema).collect()} for d in (df, whole))  # a row for each column
+    rows, complete = (next(iter(x.values())).rows for x in (everywhere, seen))
+    out = [(c.name, "no values", "error", rows) for c in used if everywhere[c.name].present == 0]
+    out += [(None, "dropped rows", "notice", rows - complete)] * (complete < rows)
+    out += [(c, "filled gaps", "notice", complete - seen[c].present) for c in filled if seen[c].present < complete]
+    out += [(None, "too few rows", "error", complete)] * (complete < LEAST_ROWS)
+    named = {"fecha": "not dates", "numerica": "not numbers", "ordinal": "unknown categories", "numero_en_texto": "without digits"}
+    for c in used:
+        r = seen[c.name]
+        if c.encoding == "one_hot":
+            found = {x.category for x in whole.select(text.canonical(whole, c.name).alias("category")).where(F.col("category").isin(list(c.categories))).distinct().collect()}
+            out += [(c.name, "categories without a concept", "notice", r.distinct - len(found))] * (r.distinct > len(found))
+            out += [(c.name, "listed categories without rows", "notice", len(c.categories) - len(found))] * (len(found) < len(c.categories))
+        elif c.encoding in named and r.readable < r.present:
+            out.append((c.name, named[c.encoding], "error", r.present - r.readable))
+        elif c.encoding == "numerica" and r.distinct < 2:
+            out.append((c.name, "a single value", "notice", r.distinct))
+        elif c.encoding == "nominal" and r.distinct > NOMINAL_MOST:
+            out.append((c.name, "many categories", "notice", r.distinct))
+    if not any(x[2] == "error" for x in out):
+        goal = schema.objective
+        number = F.col(goal.name).try_cast("double")
+        ends = tuple(whole.agg(F.min(number), F.max(number)).first()) if goal.encoding == "numerica" else None
+        leveled = whole.withColumn("_level", numeric.nearest_level(objective_value(whole, schema, ends), schema.level_values))
+        inputs = [c.name for c in used if c.name != goal.name]
+        out += [(r.column, "leak", "notice", r.distinct) for r in leakage.determining_columns(leveled, inputs, "_level").orderBy("column").collect()]
+        counts = {r["_level"]: r["count"] for r in leveled.groupBy("_level").count().collect()}
+        best = schema.best_level
+        out += [(goal.name, "nobody in the best level", "error", 0)] * (not counts.get(best))
+        out += [(goal.name, f"few rows of {k}", "notice", counts[k]) for k in schema.level_values if 0 < counts.get(k, 0) < LEAST_LEVEL_ROWS]
+        out += [(goal.name, "all in the best level", "error", complete)] * (set(counts) <= {best})
+    if segment and segment[0] not in df.columns:
+        out.append((segment[0], "missing segment column", "error", 0))
+    elif segment and df.where(text.canonical(df, segment[0]) == segment[1]).isEmpty():
+        out.append((segment[0], "empty segment", "notice", 0))
+    return make(out)

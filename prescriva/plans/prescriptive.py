@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prescriva.functions import numeric
-from prescriva.operators import evaluate, fcm, learn, prescribe, report, split
+from prescriva.operators import evaluate, fcm, individual, learn, prescribe, report, split
+from prescriva.operators import wishes as wishes_of
 from prescriva.operators.encode import Preprocessor
 from prescriva.operators.fcm import CognitiveMap
 from prescriva.operators.schema import Schema
@@ -45,6 +46,7 @@ class Options:
     delta_most: float | None = None
     condition: str | None = None
     step_goals: bool = True
+    importance: dict = field(default_factory=dict)
     excluded_edges: tuple = ()
     search: prescribe.Search = field(default_factory=prescribe.Search)
 
@@ -113,12 +115,19 @@ class Model:
         base = fcm.infer_frame(x, self.map, [key]).select(key, value.alias("base"))
         return base.join(fcm.infer_frame(new, self.map, [key]).select(key, value.alias("simulated")), key)
 
+    def plan(self, options: Options) -> prescribe.Plan:
+        """How actions may change; ``delta_most`` of 0 or less is no limit, a condition that is no concept is none."""
+        concepts = self.preprocessor.schema.concepts
+        ids = {c.column: c.id for c in concepts}
+        most = options.delta_most if options.delta_most and options.delta_most > 0 else None
+        weights = tuple((ids[c], w) for c, w in dict(options.importance).items() if c in ids)
+        return prescribe.Plan(tuple(c.id for c in concepts if c.role == "accion"), options.beta, options.reductions, most, ids.get(options.condition), grids=self.preprocessor.action_grids(), weights=weights)
+
     def prescribe(self, df: DataFrame, key: str, level: str, options: Options) -> DataFrame:
         """Searched plans for rows of ``df`` below the best level (``level`` holds theirs)."""
         schema = self.preprocessor.schema
         levels, actions = schema.level_values, [c.id for c in schema.concepts if c.role == "accion"]
-        ids = {c.column: c.id for c in schema.concepts}
-        plan = prescribe.Plan(tuple(actions), options.beta, options.reductions, options.delta_most, ids.get(options.condition), grids=self.preprocessor.action_grids())
+        plan = self.plan(options)
         below = df.where(F.col(level) != schema.best_level)
         goals = prescribe.step_goals(below, level, levels) if options.step_goals else below.withColumn("goal_level", F.lit(schema.best_level)).withColumn("goal", F.lit(levels[schema.best_level]))
         x = self.preprocessor.transform(goals, [key, level, "goal", "goal_level"])
@@ -126,6 +135,58 @@ class Model:
         news = {f"{a}_new": F.get("actions", F.lit(i)) for i, a in enumerate(actions)}
         return x.join(found.withColumns(news), key)
 
+    def actions(self) -> list[report.Action]:
+        """Names, ranges and categories of the actions, as reports show them."""
+        p = self.preprocessor
+        specs = [(c, p.schema.spec(c.column)) for c in p.schema.concepts if c.role == "accion"]
+        return [report.Action(c.column, c.name, p.lows[c.id], p.highs[c.id], s.order if s.encoding == "ordinal" else ()) for c, s in specs]
+
+    def prescribe_records(self, df: DataFrame, key: str, options: Options | None = None, goal_level: str | None = None, wishes: DataFrame | None = None, profiles: bool = False, subject: str | None = None) -> DataFrame:
+        """A plan, in its own units, and a report for each row of ``df``, whatever its level.
+
+        ``profiles``: rows are hypothetical and have no objective; moving concepts start
+        from their means, incomplete ones are left out. The goal is ``goal_level``; else, with
+        step goals and more than two levels, the level after the observed one (a
+        profile's: the one that the map infers); else the best. ``wishes`` (key, column,
+        value as text) are wanted values of single rows; one for the objective is its goal.
+        """
+        o = options or Options()
+        p, m = self.preprocessor, self.map
+        schema, levels, objective = p.schema, p.schema.level_values, self.objective
+        if goal_level is not None and goal_level not in levels:
+            raise ValueError(f"unknown level {goal_level}; there are {', '.join(levels)}")
+        if profiles:
+            x = individual.profile_states(p, df, self.map.start, [key]).where("complete").drop("complete").withColumn("observed", F.lit(None).cast("string"))
+        else:
+            x = p.transform(df, [key])
+            x = x.withColumn("observed", numeric.nearest_level(F.col(objective), levels))
+        x, sought, goals = wishes_of.applied(x, p, wishes, key)
+        x = tables.written(x, "states")
+        best, level = schema.best_level, F.lit(goal_level)
+        if goal_level is None and o.step_goals and len(levels) > 2:
+            now = F.col("observed")
+            if profiles:
+                ends = fcm.infer_frame(x, m, [key]).select(key, F.get("state", F.lit(m.ids.index(objective))).alias("_inferred"))
+                x = x.join(ends, key)
+                now = numeric.nearest_level(F.col("_inferred"), levels)
+            level = numeric.next_level(now, levels)
+        value = numeric.level_value(F.coalesce(level, F.lit(best)), levels)
+        value = F.coalesce(F.col(goals), value) if goals else value
+        x = tables.written(x.withColumn("goal", value).withColumn("goal_level", numeric.nearest_level(F.col("goal"), levels)), "goals")
+        plan = self.plan(o)
+        found = prescribe.genetic_prescriptions(x, m, plan, key, "goal", o.search, o.seed, sought)
+        actions = self.actions()
+        ids = {c.column: c.id for c in schema.concepts}
+        own = found.join(x.select(key, "observed", "goal", "goal_level", *plan.actions, *([plan.condition] if plan.condition and plan.condition not in plan.actions else [])), key)
+        units = {f"{a.column}_now": p.original(ids[a.column], F.col(ids[a.column])) for a in actions} | {f"{a.column}_new": p.original(ids[a.column], F.get("actions", F.lit(i))) for i, a in enumerate(actions)}
+        limited = F.lit(None).cast("string")
+        if plan.condition:
+            limited = F.when(prescribe.capped(plan), individual.restriction(next(c.name for c in schema.concepts if c.id == plan.condition), plan.condition_delta))
+        own = own.withColumns(units).withColumns({"restriction": limited, "contributions": individual.contributions(m, schema.concepts, F.col("base_state"), F.col("state"))})
+        own = tables.written(own, "plans")
+        told = report.individual_reports(own, key, actions, schema.concepts[-1].name, levels, schema.tolerance, subject or ("este perfil" if profiles else "este registro"))
+        return own.select(key, "observed", "goal", "goal_level", *units, "base", "activation", numeric.nearest_level(F.col("activation"), levels).alias("level"), "cost", "generations", "history", "mean_history", "action_history", "contributions").join(told, key)
+
 
 def run(df: DataFrame, schema: Schema, key: str, options: Options | None = None, told: Callable[[str], None] = lambda stage: None) -> tuple[Model, dict, DataFrame]:
     """(model, metrics, plans). ``df`` has a unique ``key``; ``told`` hears each stage.

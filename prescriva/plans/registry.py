@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from prescriva.functions import dates, numeric, text
-from prescriva.operators import encode, evaluate, explore, fcm, leakage, learn, neighbours, prescribe, quantiles, report, schema, split, suggest
+from prescriva.operators import encode, evaluate, explore, fcm, individual, leakage, learn, neighbours, prescribe, quantiles, report, schema, split, suggest
 from prescriva.plans import outcome as o
 from prescriva.plans import prescriptive
 from prescriva.sources import tables
@@ -671,12 +671,57 @@ def recommendation_table(spark, sf_dir):
     return table.drop("n_orders_recommended", "n_orders_change", "avg_qty_now", "avg_qty_recommended", "avg_qty_change")
 
 
-@query()
+def _shown(e: str, decimals: int) -> str:
+    """A number as reports show it, in SQL."""
+    out = f"translate(format('{{:,.{decimals}f}}', {e}), ',.', '.,')"
+    out = f"regexp_replace(regexp_replace({out}, '(,\\d*?)0+$', '\\1'), ',$', '')" if decimals else out
+    return f"regexp_replace({out}, '^-0$', '0')"
+
+
+def _in_range(e: str, c: str) -> str:
+    return f"CASE WHEN high_{c} - low_{c} > 20 THEN {_shown(e, 0)} WHEN high_{c} - low_{c} > 2 THEN {_shown(e, 1)} ELSE {_shown(e, 2)} END"
+
+
+_UNIT = "({v} * (high_{c} - low_{c}) + low_{c})"
+_NOW, _NEW, _QTY = _UNIT.format(v="n_orders", c="n_orders"), _UNIT.format(v="nn", c="n_orders"), _UNIT.format(v="avg_qty", c="avg_qty")
+_LEVEL_OF = "CASE {v} WHEN 0.0 THEN 'L' WHEN 0.5 THEN 'M' ELSE 'H' END"
+_REPORT = f"""rp AS (SELECT row_id, abs(nn - n_orders) >= 0.005 AS moves, b >= goal - 0.25 - 1e-9 AS fits, e >= goal - 0.25 - 1e-9 AS ends, goal_level, outcome, {_LEVEL_OF.format(v='vb')} AS lb,
+'aumentar n_orders de ' || {_in_range(_NOW, 'n_orders')} || ' a ' || {_in_range(_NEW, 'n_orders')} || ' (+' || {_in_range(f'abs({_NEW} - {_NOW})', 'n_orders')} || '; ' || {_shown('100 * abs(nn - n_orders)', 0)} || ' % de su rango)' AS up,
+'mantener n_orders en ' || {_in_range(_NOW, 'n_orders')} AS same, 'mantener avg_qty en ' || {_in_range(_QTY, 'avg_qty')} AS qty,
+'Con este plan, el FCM estima que outcome pasa de ' || {_shown('b', 2)} || ' (' || {_LEVEL_OF.format(v='vb')} || ') a ' || {_shown('e', 2)} || ' (' || {_LEVEL_OF.format(v='ve')} || ')' AS result,
+CASE WHEN -0.15 * urgent_share < -0.05 THEN ' Factores del sistema que lo alejan del mejor nivel y que el plan no cambia: urgent_share (aporte ' || {_shown('-0.15 * urgent_share', 2)} || ').' ELSE '' END AS brakes FROM pg JOIN (SELECT row_id, urgent_share FROM sx) USING (row_id), lx)"""
+
+
+@query(_planned_sql(f", {_REPORT} SELECT row_id, ends AS reaches, " + """CASE WHEN moves THEN 'Para este registro se recomienda ' || up || '. Además, ' || qty || ': el modelo no espera un beneficio que compense el esfuerzo de cambiarla.'
+WHEN fits THEN 'Con sus acciones actuales, el FCM ya ubica a este registro en ' || lb || ', en su meta (' || goal_level || ') o por encima: según el modelo no hace falta cambiarlas.' || CASE WHEN outcome <> lb THEN ' Su nivel observado es ' || outcome || ': el modelo no lo distingue de ' || lb || ', así que para él no hay nada que mejorar; tome el plan con cautela o elija una meta más alta.' ELSE '' END
+ELSE 'Para este registro el algoritmo genético no encontró un cambio en las acciones cuyo avance hacia la meta compense el esfuerzo.' END || ' ' || result || CASE WHEN ends THEN ' y alcanza la meta (' || goal_level || ').' ELSE ', sin alcanzar la meta (' || goal_level || '): es el mayor avance que el modelo encuentra con estas acciones.' END || brakes AS report FROM rp"""))
 def individual_reports(spark, sf_dir):
     _, p = o.scaled_outcome(spark, sf_dir)
     units = {c.column: (p.lows[c.id], p.highs[c.id]) for c in o.SCHEMA.concepts}
-    table = report.recommendations(_planned(spark, sf_dir), "row_id", ["n_orders", "avg_qty"], units, o.LEVELS, "base", "end", "goal_level")
-    return report.individual_report(table, "row_id", ["n_orders", "avg_qty"])
+    m, plans = o.fixed_map(), _planned(spark, sf_dir)
+    actions = [report.Action(a, a, *units[a]) for a in ("n_orders", "avg_qty")]
+    shown = {f"{a}_{k}": F.col(a if k == "now" else f"{a}_new") * (units[a][1] - units[a][0]) + units[a][0] for a in ("n_orders", "avg_qty") for k in ("now", "new")}
+    concepts = [schema.Concept(k, k, k, "accion" if k in o.ACTIONS else "mutable", False) for k in m.ids]
+    state = F.array(*(F.col(k) for k in m.ids))
+    own = plans.select("row_id", "goal", "goal_level", F.col("outcome").alias("observed"), "base", F.col("end").alias("activation"), *(v.alias(k) for k, v in shown.items()), individual.contributions(m, concepts, state, state).alias("contributions"))
+    return report.individual_reports(own, "row_id", actions, "outcome", o.LEVELS, o.SCHEMA.tolerance, "este registro").select("row_id", "report", "reaches")
+
+
+_SPECS = (schema.ColumnSpec("mkt", "inmutable", "nominal"), schema.ColumnSpec("nation", "inmutable", "numerica"), schema.ColumnSpec("region", "inmutable", "one_hot", categories=("AFRICA", "AMERICA", "ATLANTIS")), schema.ColumnSpec("avg_qty", "accion"), schema.ColumnSpec("last_order", "inmutable", "numero_en_texto"), schema.ColumnSpec("outcome", "objetivo", "ordinal", ("L", "H")))
+
+
+@query(o.sql(", w AS (SELECT * FROM co WHERE last_order IS NOT NULL) SELECT * FROM (SELECT NULL::VARCHAR AS \"column\", 'dropped rows' AS kind, 'notice' AS severity, (SELECT COUNT(*) FROM co) - (SELECT COUNT(*) FROM w) AS n UNION ALL SELECT 'nation', 'not numbers', 'error', COUNT(*) FROM w UNION ALL SELECT 'region', 'categories without a concept', 'notice', COUNT(DISTINCT region) FILTER (region NOT IN ('AFRICA', 'AMERICA')) FROM w UNION ALL SELECT 'region', 'listed categories without rows', 'notice', 1 UNION ALL SELECT 'outcome', 'unknown categories', 'error', COUNT(*) FILTER (outcome = 'M') FROM w UNION ALL SELECT 'mkt', 'empty segment', 'notice', 0) WHERE n > 0 OR kind = 'empty segment'"))
+def schema_problems(spark, sf_dir):
+    """A schema with mistakes: a text as number, an order without one of its categories, indicators that don't fit."""
+    df = tables.written(o.customer_outcome(spark, sf_dir), "outcome")
+    return schema.problems(df, schema.Schema("t", _SPECS), ("mkt", "nowhere"))
+
+
+@query(o.sql(", c AS (SELECT outcome, COUNT(*) AS n FROM co GROUP BY 1) SELECT 'spend' AS \"column\", 'leak' AS kind, 'notice' AS severity, COUNT(DISTINCT spend) AS n FROM co UNION ALL SELECT 'outcome', 'few rows of ' || outcome, 'notice', n FROM c WHERE n < 20 UNION ALL SELECT 'avg_discount', 'filled gaps', 'notice', COUNT(*) - COUNT(avg_discount) FROM co HAVING COUNT(*) > COUNT(avg_discount)"))
+def schema_notices(spark, sf_dir):
+    """A schema without mistakes that has what defines the objective among its columns."""
+    s = schema.Schema("t", (schema.ColumnSpec("mkt", "inmutable", "nominal"), schema.ColumnSpec("avg_discount", "accion"), schema.ColumnSpec("spend", "mutable"), o.SCHEMA.columns[-1]))
+    return schema.problems(tables.written(o.customer_outcome(spark, sf_dir), "outcome"), s)
 
 
 @query(_planned_sql("SELECT row_id, 'n_orders' AS action, ROUND(nn - n_orders, 6) AS change FROM pg WHERE abs(nn - n_orders) > 0.15"))
