@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from prescriva.functions import numeric
@@ -51,6 +51,49 @@ def success_by_segment(df: DataFrame, column: str, value: str, before: str, afte
     return df.groupBy(segment.alias("segment")).agg(F.count(F.lit(1)).alias("n"), (F.avg(F.col(before).cast("double")) * 100).alias("before"), (F.avg(F.col(after).cast("double")) * 100).alias("after"))
 
 
+def reached(value: str, levels: dict[str, float]) -> Column:
+    """Whether a column's level is the row's ``goal_level`` or a better one."""
+    return numeric.reaches(numeric.nearest_level(F.col(value), levels), F.col("goal_level"), levels)
+
+
+def macro_f1(df: DataFrame, truth: str, predicted: str, levels: list[str]) -> DataFrame:
+    """One row: the mean of the levels' F1."""
+    return class_metrics(df, truth, predicted, levels).agg(F.avg("f1").alias("macro_f1"))
+
+
+def concept_errors(df: DataFrame, concepts: list[str]) -> DataFrame:
+    """(concept, mae, rmse) of final against observed values (``end_<id>``, ``true_<id>``), all in one aggregation."""
+    off = {c: F.col(f"end_{c}") - F.col(f"true_{c}") for c in concepts}
+    row = df.agg(*(x for i, e in enumerate(off.values()) for x in (F.avg(F.abs(e)).alias(f"a{i}"), F.sqrt(F.avg(e * e)).alias(f"r{i}"))))
+    rows = [F.struct(F.lit(c).alias("concept"), F.col(f"a{i}").alias("mae"), F.col(f"r{i}").alias("rmse")) for i, c in enumerate(concepts)]
+    return row.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
+def prediction_metrics(df: DataFrame, truth: str, predicted: str, levels: list[str], moving: list[str]) -> dict:
+    """All of a prediction's figures: shares, levels, macro F1, confusion, errors of each moving concept, and the steps that inference took."""
+    taken = df.agg(F.max("taken").alias("iterations"), F.min("converged").alias("converged")).first()
+    return {
+        **summary(df, truth, predicted).first().asDict(),
+        **macro_f1(df, truth, predicted, levels).first().asDict(),
+        "levels": [r.asDict() for r in class_metrics(df, truth, predicted, levels).collect()],
+        "confusion": [r.asDict() for r in confusion(df, truth, predicted, levels).collect()],
+        "concepts": [r.asDict() for r in concept_errors(df, moving).collect()],
+        **taken.asDict(),
+    }
+
+
+def plan_metrics(plans: DataFrame, actions: list[str], levels: dict[str, float], tolerance: float, step_goals: bool) -> dict:
+    """All of the plans' figures: errors and success before and after, mean change of an action, mean generations, and how many aim at each level. With step goals, success is a level at the goal or better."""
+    change = sum((F.abs(F.col(f"{a}_new") - F.col(a)) for a in actions), F.lit(0.0)) / float(len(actions))
+    out = prescription_metrics(plans.withColumn("_change", change), "base", "activation", "goal", tolerance, "_change").first().asDict()
+    more = plans.agg((100 * F.avg(reached("base", levels).cast("double"))).alias("before"), (100 * F.avg(reached("activation", levels).cast("double"))).alias("after"), F.avg("generations").alias("generations")).first()
+    out["prescribed"] = out.pop("n")
+    if step_goals:
+        out |= {"success_before": more.before, "success_after": more.after}
+    goals = plans.groupBy("goal_level").count().collect()  # a row for each level
+    return {**out, "success": out["success_after"], "generations": more.generations, "goals": {r.goal_level: r["count"] for r in goals}}
+
+
 def forest_validation(train: DataFrame, plans: DataFrame, features: list[str], level: str, levels: dict[str, float], trees: int = 100, seed: int = 42) -> DataFrame:
     """One row: the shares of prescribed rows that a random forest puts at their goal or better, before and after.
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from prescriva.operators import evaluate, individual, learn, prescribe, split
 from prescriva.plans import outcome as o
-from prescriva.plans import registry
+from prescriva.plans import prescriptive, registry
 from prescriva.plans.registry import query, rounded
+from prescriva.sources import registry as store
 from prescriva.sources import tables
 
 _NOT_NULL = " AND ".join(f"{c} IS NOT NULL" for c in o.SCALED)
@@ -104,7 +107,7 @@ def minority_share(spark, sf_dir):
 
 @query(o.scaled_sql(f", {registry._PREDICTED}, c AS (SELECT k, COUNT(*) FILTER (outcome = k AND level = k) AS h, COUNT(*) FILTER (level = k) AS s, COUNT(*) FILTER (outcome = k) AS t FROM pr, {registry._LV} AS l(k) GROUP BY k) SELECT ROUND(AVG(COALESCE(2.0 * h / NULLIF(s + t, 0), 0)), 6) AS macro_f1 FROM c"))
 def macro_f1(spark, sf_dir):
-    return rounded(evaluate.class_metrics(registry._predicted(spark, sf_dir), "outcome", "level", list(o.LEVELS)).agg(F.avg("f1").alias("macro_f1")))
+    return rounded(evaluate.macro_f1(registry._predicted(spark, sf_dir), "outcome", "level", list(o.LEVELS)))
 
 
 @query(o.sql(", oy AS (SELECT row_id % 5 AS f, nation, CASE outcome WHEN 'L' THEN 0.0 WHEN 'M' THEN 0.5 ELSE 1.0 END AS y FROM co), fs AS (SELECT DISTINCT f AS fold FROM oy), a AS (SELECT fold, AVG(y) AS overall FROM fs JOIN oy ON f <> fold GROUP BY fold), m AS (SELECT fold, nation, (SUM(y) + 10 * ANY_VALUE(overall)) / (COUNT(*) + 10) AS encoded FROM a JOIN oy ON f <> fold GROUP BY fold, nation), b AS (SELECT fold, MIN(v) AS lo, MAX(v) AS hi FROM (SELECT fold, COALESCE(encoded, overall) AS v FROM a JOIN oy ON f <> fold LEFT JOIN m USING (fold, nation)) GROUP BY fold) SELECT CAST(fold AS INTEGER) AS fold, nation, f = fold AS held, COUNT(*) AS n, ROUND(ANY_VALUE((COALESCE(encoded, overall) - lo) / (hi - lo)), 6) AS encoded FROM a JOIN b USING (fold) JOIN oy ON true LEFT JOIN m USING (fold, nation) GROUP BY fold, nation, f = fold"))
@@ -143,6 +146,49 @@ def profile_folds(spark, sf_dir):
 
 @query("SELECT c_custkey AS model, n_name AS dataset FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal > 0")
 def named_models(spark, sf_dir):
-    models = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_acctbal > 0").select(F.col("c_custkey").alias("model"), F.col("c_nationkey").alias("n_nationkey"))
-    return models.join(spark.read.parquet(f"{sf_dir}/nation.parquet").select("n_nationkey", F.col("n_name").alias("dataset")), "n_nationkey").select("model", "dataset")
+    models = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_acctbal > 0").select(F.col("c_custkey").alias("model"), F.col("c_nationkey").alias("dataset"))
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    return store.with_dataset_names(models, nations).select("model", F.col("name").alias("dataset"))
+
+
+@query("SELECT o_custkey AS id, MAX(o_orderkey) AS version, arg_max(o_orderstatus, o_orderkey) AS state FROM orders GROUP BY 1 HAVING arg_max(o_orderpriority, o_orderkey) <> '5-LOW'")
+def registry_latest(spark, sf_dir):
+    """Orders as states of customers' entries: the last one of each, without those that it deletes."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    states = orders.select(F.col("o_custkey").alias("id"), F.col("o_orderkey").alias("version"), F.col("o_orderstatus").alias("state"), (F.col("o_orderpriority") == "5-LOW").alias("deleted"))
+    return store.latest(states).drop("deleted")
+
+
+
+def _model(spark, sf_dir):
+    """The fixed map as a model: its concepts by the schema's ids, moving ones from their means; 30 steps."""
+    x, p = o.scaled_outcome(spark, sf_dir)
+    ids = _ids()
+    names = [ids[k] for k in o.SCALED] + [ids["outcome"]]
+    m = replace(o.fixed_map(), ids=names, dynamic=[names[-1]], objective=names[-1], tolerance=0.0, start={names[-1]: x.agg(F.avg("y")).first()[0]})
+    return prescriptive.Model(p, m, {})
+
 
+_WHOLE = " AND ".join(f"c.{k} IS NOT NULL" for k in o.SCALED)
+_PROFILES = f"""w AS (SELECT s.*, {_WHOLE} AS whole, CASE WHEN s.row_id % 5 = 0 THEN GREATEST(LEAST((1000 - low_acctbal) / (high_acctbal - low_acctbal), 1.0), 0.0) ELSE s.acctbal END AS a, (SELECT AVG(y) FROM sx) AS m FROM sx s JOIN co c USING (row_id), lx),
+v AS (SELECT row_id, {o.infer_sql(start='m')} AS b FROM (SELECT row_id, m, {o.pull_sql().replace('* acctbal', '* a')} AS p FROM w WHERE whole))"""
+
+
+@query(o.scaled_sql(f", {_PROFILES} SELECT row_id, ROUND(b, 6) AS base, CASE WHEN row_id % 3 = 0 OR b > 0.25 THEN 'H' ELSE 'M' END AS goal_level, true AS never_worse, true AS raised FROM v"))
+def prescribed_profile(spark, sf_dir):
+    """Customers as profiles without an outcome: plans for the next level after the inferred one; every third wants the best level, every fifth another account balance."""
+    model = _model(spark, sf_dir)
+    profiles = o.customer_outcome(spark, sf_dir).select("row_id", *(F.col(c).cast("string").alias(c) for c in o.SCALED))
+    keys = profiles.select("row_id")
+    wishes = keys.where("row_id % 3 = 0").select("row_id", F.lit("outcome").alias("column"), F.lit("H").alias("value"))
+    wishes = wishes.unionByName(keys.where("row_id % 5 = 0").select("row_id", F.lit("acctbal").alias("column"), F.lit("1000").alias("value")))
+    found = model.prescribe_records(tables.written(profiles, "profiles"), "row_id", wishes=wishes, profiles=True)
+    missed = F.greatest(F.col("goal") - F.col("base"), F.lit(0.0))
+    raised = F.col("n_orders_new") >= F.col("n_orders_now") - 1e-9
+    return rounded(found.select("row_id", "base", "goal_level", (F.col("cost") <= missed + 1e-9).alias("never_worse"), raised.alias("raised")))
+
+
+@query(o.scaled_sql(f", {registry._PREDICTED} SELECT 'y' AS concept, ROUND(AVG(abs(v - y)), 6) AS mae, ROUND(SQRT(AVG((v - y) * (v - y))), 6) AS rmse FROM pr"))
+def concept_errors(spark, sf_dir):
+    own = registry._predicted(spark, sf_dir).select(F.col("v").alias("end_y"), F.col("y").alias("true_y"))
+    return rounded(evaluate.concept_errors(own, ["y"]))

@@ -15,7 +15,7 @@ from prescriva.operators import evaluate, fcm, individual, learn, prescribe, rep
 from prescriva.operators import wishes as wishes_of
 from prescriva.operators.encode import Preprocessor
 from prescriva.operators.fcm import CognitiveMap
-from prescriva.operators.schema import Schema
+from prescriva.operators.schema import Schema, unknown_categories
 from prescriva.sources import tables
 
 VERSION = 1
@@ -38,13 +38,26 @@ class Options:
     folds: int = 5
     slopes: tuple = learn.SLOPES
     alphas: tuple = learn.ALPHAS
-    fold_steps: int = 60
-    balance_levels: bool = False
+    fold_steps: int = 500
+    #: None: where the rarest level has less than a quarter of all rows.
+    balance_levels: bool | None = False
+    #: Synthetic rows in every training, those of the folds too.
+    smote: bool = False
+    #: The objective in two levels: a category, not the worst, or a number.
+    binarize: str | float | None = None
+    #: Rows that share all fixed columns stay on one side ("grouped"), or none do ("random").
+    division: str = "grouped"
+    all_dynamic: bool = False
+    #: A column and its value; success is told for its rows and the others.
+    segment: tuple | None = None
+    forest: bool = False
+    forest_trees: int = 500
     least_profiles: int = 40
     beta: float = 0.4
     reductions: bool = False
     delta_most: float | None = None
     condition: str | None = None
+    condition_delta: float | None = 0.15
     step_goals: bool = True
     importance: dict = field(default_factory=dict)
     excluded_edges: tuple = ()
@@ -54,11 +67,28 @@ class Options:
     def of(cls, given: dict) -> Options:
         known = {f.name for f in fields(cls)}
         out = cls(**{k: v for k, v in given.items() if k in known})
-        if not 0.1 <= out.test_share <= 0.5 or (out.folds and not 2 <= out.folds <= 10):
-            raise ValueError("test_share must be from 0.1 to 0.5 and folds from 2 to 10")
-        out.delta_most = out.delta_most or None
+        if isinstance(out.search, dict):
+            names = {f.name for f in fields(prescribe.Search)}
+            out.search = prescribe.Search(**{k: v for k, v in out.search.items() if k in names})
+        wrong = []
+        if not 0.1 <= out.test_share <= 0.5:
+            wrong.append("test_share must be from 0.1 to 0.5")
+        if out.folds and not 2 <= out.folds <= 10:
+            wrong.append("folds must be from 2 to 10")
+        for name, allowed in (("method", ("descent", "swarm")), ("rule", fcm.RULES), ("activation", fcm.ACTIVATIONS), ("division", ("grouped", "random"))):
+            if getattr(out, name) not in allowed:
+                wrong.append(f"{name} must be one of {', '.join(allowed)}")
+        if not all(isinstance(e, (list, tuple)) and len(e) == 2 for e in out.excluded_edges or ()):
+            wrong.append("excluded_edges must be pairs of source and target")
+        if wrong:
+            raise ValueError("; ".join(wrong))
+        out.delta_most, out.excluded_edges = out.delta_most or None, tuple(tuple(map(str, e)) for e in out.excluded_edges or ())
         return out
 
+    def quick(self) -> Options:
+        """A cross-validation of three folds, three slopes and one alpha."""
+        return replace(self, folds=3, slopes=(0.5, 1.0, 2.0), alphas=(1e-3,))
+
 
 @dataclass
 class Model:
@@ -97,11 +127,14 @@ class Model:
         return x.withColumns({k: F.lit(v) for k, v in self.map.start.items()}) if neutral else x
 
     def predict(self, df: DataFrame, keep: list[str]) -> DataFrame:
-        """``keep``, ``activation`` and ``level`` from the neutral start."""
-        levels = self.preprocessor.schema.level_values
-        out = fcm.infer_frame(self.states(df, keep, neutral=True), self.map, keep)
-        value = F.get("state", F.lit(self.map.ids.index(self.objective)))
-        return out.select(*keep, value.alias("activation")).withColumn("level", numeric.nearest_level(F.col("activation"), levels))
+        """``keep``, ``activation``, ``level``, ``taken`` steps, whether they were enough (``converged``), and of each concept that moves the observed (``true_<id>``) and the final value (``end_<id>``), from the neutral start."""
+        levels, m = self.preprocessor.schema.level_values, self.map
+        own = self.preprocessor.transform(df, keep).withColumns({f"true_{k}": F.col(k) for k in m.dynamic})
+        known = [*keep, *(f"true_{k}" for k in m.dynamic)]
+        out = fcm.infer_frame(own.withColumns({k: F.lit(v) for k, v in m.start.items()}), m, known)
+        ends = {k: F.get("state", F.lit(m.ids.index(k))) for k in m.dynamic}
+        out = out.select(*known, ends[self.objective].alias("activation"), "taken", (F.col("taken") < m.steps).alias("converged"), *(v.alias(f"end_{k}") for k, v in ends.items()))
+        return out.withColumn("level", numeric.nearest_level(F.col("activation"), levels))
 
     def simulate(self, df: DataFrame, key: str, actions: dict[str, float]) -> DataFrame:
         """(key, base, simulated) with actions set to values of [0, 1]; what isn't an action is an error."""
@@ -121,7 +154,8 @@ class Model:
         ids = {c.column: c.id for c in concepts}
         most = options.delta_most if options.delta_most and options.delta_most > 0 else None
         weights = tuple((ids[c], w) for c, w in dict(options.importance).items() if c in ids)
-        return prescribe.Plan(tuple(c.id for c in concepts if c.role == "accion"), options.beta, options.reductions, most, ids.get(options.condition), grids=self.preprocessor.action_grids(), weights=weights)
+        condition = ids.get(options.condition) if options.condition_delta is not None else None
+        return prescribe.Plan(tuple(c.id for c in concepts if c.role == "accion"), options.beta, options.reductions, most, condition, options.condition_delta or 0.0, grids=self.preprocessor.action_grids(), weights=weights)
 
     def prescribe(self, df: DataFrame, key: str, level: str, options: Options) -> DataFrame:
         """Searched plans for rows of ``df`` below the best level (``level`` holds theirs)."""
@@ -194,21 +228,26 @@ def run(df: DataFrame, schema: Schema, key: str, options: Options | None = None,
     The table is written once with its levels and split, since every stage reads it.
     """
     o = options or Options()
+    schema = schema.binarized(o.binarize) if o.binarize is not None else schema
+    schema = schema.all_dynamic() if o.all_dynamic else schema
     levels = schema.level_values
     told("split")
+    _check_orders(df, schema)
     probe = Preprocessor.fit(df, schema)
     value = probe.encoded(df)[schema.concepts[-1].id]
     own = df.withColumn("_level", numeric.nearest_level(value, levels))
     fixed = list(dict.fromkeys(c.column for c in schema.concepts if c.role == "inmutable"))
     grouped = split.group_id(own, fixed, key)
     profiles = grouped.select("group").distinct().limit(o.least_profiles).count()
-    if fixed and profiles >= o.least_profiles:
+    if fixed and profiles >= o.least_profiles and o.division == "grouped":
         parts = split.grouped_folds(grouped, "group", "_level", 20, o.seed)
         own = parts.withColumn("_test", F.col("fold") < round(o.test_share * 20)).drop("fold", "group")
     else:
         own = split.stratified_split(own, "_level", key, o.test_share, o.seed).withColumnRenamed("test", "_test")
     own = tables.written(own, "run")
     train, test = own.where("not _test"), own.where("_test")
+    if o.balance_levels is None:
+        o = replace(o, balance_levels=individual.minority(train, "_level").first().balance)
 
     told("encode")
     p = Preprocessor.fit(train, schema)
@@ -221,22 +260,20 @@ def run(df: DataFrame, schema: Schema, key: str, options: Options | None = None,
     for r in edges.collect():
         allowed[ids.index(r.source), ids.index(r.target)] = True
     shape = CognitiveMap(ids, moving, objective, np.zeros(allowed.shape), np.zeros(len(ids)), o.rule, o.activation, o.slope, o.memory, o.influence)
-    x = p.transform(train, [key, "_level"])
-    weight = None
-    if o.balance_levels:
-        x, weight = x.join(F.broadcast(split.level_weights(x, "_level").select(F.col("level").alias("_level"), "weight")), "_level"), "weight"  # a row for each level
-    x = tables.written(x, "states")
+    x = tables.written(learn.training_rows(p.transform(train, [key, "_level"]), ids, "_level", key, bool(o.balance_levels), o.smote), "states")
+    weight = "weight" if o.balance_levels else None
 
+    metrics: dict = {}
     if o.folds:
         told("select")
         # Folds by profile: rows that share all fixed columns are never on both sides.
         folded = split.grouped_folds(split.group_id(train, fixed, key), "group", "_level", o.folds, o.seed).drop("group").withColumnRenamed("fold", "part")
-        parts = learn.fold_parts(folded, schema, "part", [key, "_level"])
-        if weight:
-            parts = parts.join(F.broadcast(x.select("_level", "weight").distinct()), "_level")  # a row for each level
-        best = learn.cross_validation(parts, shape, allowed, "_level", levels, o.slopes, o.alphas, o.fold_steps, weight, o.balance_levels).first()
+        parts = learn.fold_parts(folded, schema, "part", [key, "_level"], "_level", key, bool(o.balance_levels), o.smote)
+        table = learn.cross_validation(parts, shape, allowed, "_level", levels, o.slopes, o.alphas, o.fold_steps, weight, bool(o.balance_levels)).collect()  # a row for each combination
+        best = table[0]
         o = replace(o, slope=best.slope, alpha=best.alpha)
         shape = replace(shape, slope=best.slope)
+        metrics["selection"] = [r.asDict() for r in table]
 
     told("learn")
     trained, loss = learn.train(x, shape, allowed, o.alpha, weight, o.method, o.most_steps, o.seed)
@@ -244,15 +281,35 @@ def run(df: DataFrame, schema: Schema, key: str, options: Options | None = None,
 
     told("evaluate")
     predicted = tables.written(model.predict(test, [key, "_level"]), "predicted")
-    metrics = {"loss": loss, **evaluate.summary(predicted, "_level", "level").first().asDict(), "levels": [r.asDict() for r in evaluate.class_metrics(predicted, "_level", "level", list(levels)).collect()]}
+    metrics |= {"config": asdict(o), "loss": loss, "train_rows": train.count(), "test_rows": predicted.count(), **evaluate.prediction_metrics(predicted, "_level", "level", list(levels), moving)}
 
     told("prescribe")
     plans = tables.written(model.prescribe(test, key, "_level", o), "plans")
-    reached = numeric.reaches(numeric.nearest_level(F.col("activation"), levels), F.col("goal_level"), levels)
-    metrics |= plans.agg(F.count(F.lit(1)).alias("prescribed"), (100 * F.avg(reached.cast("double"))).alias("success"), F.avg("generations").alias("generations")).first().asDict()
+    metrics |= evaluate.plan_metrics(plans, [c.id for c in concepts if c.role == "accion"], levels, schema.tolerance, o.step_goals)
+    if o.segment:
+        column, wanted = o.segment
+        marked = plans.join(test.select(key, F.col(column).alias("_segment")), key)
+        reached = {f"_{n}": evaluate.reached(c, levels) for n, c in (("before", "base"), ("after", "activation"))}
+        metrics["segments"] = [r.asDict() for r in evaluate.success_by_segment(marked.withColumns(reached).withColumnRenamed("_segment", column), column, wanted, "_before", "_after").collect()]
+    if o.forest:
+        told("forest")
+        inputs = [k for k in ids if k != objective]
+        news = plans.withColumns({f"{k}_new": F.col(k) for k in inputs if f"{k}_new" not in plans.columns})
+        metrics["forest"] = evaluate.forest_validation(p.transform(train, ["_level"]), news, inputs, "_level", levels, o.forest_trees, o.seed).first().asDict()
     return model, metrics, plans
 
 
+def _check_orders(df: DataFrame, schema: Schema) -> None:
+    """Ordered columns with categories that their orders haven't are an error, as they would be no numbers."""
+    wrong = []
+    for c in schema.columns:
+        if c.role != "excluir" and c.encoding == "ordinal":
+            found = [r.category for r in unknown_categories(df, c).orderBy("category").limit(8).collect()]
+            wrong += [f"{c.name}: {', '.join(found)}"] * bool(found)
+    if wrong:
+        raise ValueError("categories that are in no order: " + "; ".join(wrong))
+
+
 def recommendations(model: Model, plans: DataFrame, key: str) -> DataFrame:
     """The plans in the columns' own units, by the columns' names."""
     p = model.preprocessor

@@ -33,11 +33,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def encoding_of(spark: SparkSession, path: str) -> str:
+    """UTF-8 if every line of the file is, else Latin-1. Lines are read as bytes in splits, and no character crosses a line's end, so that splits are judged apart."""
+    valid = spark.read.text(path).agg(F.min(F.is_valid_utf8("value"))).first()[0]
+    return "ISO-8859-1" if valid is False else "UTF-8"
+
+
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
     """The separator is the most frequent of SEPARATORS in the header; names are stripped, booleans become text."""
+    encoding = encoding_of(spark, path)
     header = (spark.read.text(path).limit(1).first() or [""])[0].lstrip("﻿")
     separator = max(SEPARATORS, key=header.count)
-    encoding = "UTF-8" if "�" not in header else "ISO-8859-1"
     df = spark.read.option("sep", separator).option("header", True).option("encoding", encoding).option("inferSchema", True).csv(path)
     df = df.toDF(*(c.lstrip("﻿").strip() for c in df.columns))
     return booleans_as_text(df)
@@ -63,6 +69,13 @@ def read_excel(spark: SparkSession, path: str) -> DataFrame:
     raise ValueError("the workbook has no rows")
 
 
+def excel_to_csv(spark: SparkSession, path: str, out: str) -> dict:
+    """A workbook's first sheet with rows as delimited text in UTF-8; how many rows and columns there are."""
+    df = read_excel(spark, path)
+    df.write.mode("overwrite").option("header", True).csv(out)
+    return {"rows": df.count(), "columns": len(df.columns)}
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """By the name's end: workbooks, Parquet, JSON lines, else delimited text."""
     end = path.lower().rsplit(".", 1)[-1]
