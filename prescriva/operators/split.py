@@ -70,7 +70,7 @@ def grouped_folds(df: DataFrame, group: str, level: str, folds: int = 5, seed: i
     uneven first, each to the fold whose level shares it evens most. All others, however
     many, are dealt on Spark: groups with the same numbers of rows of each level are
     alike, and each such kind is dealt in turn, so that folds differ by one group of a
-    kind; of kinds with very many groups by a hash, so that no kind is in one task.
+    kind. Turns are positions in a global order, so that no kind is in one task.
     """
     import numpy as np
 
@@ -90,12 +90,10 @@ def grouped_folds(df: DataFrame, group: str, level: str, folds: int = 5, seed: i
         assigned.append((g, best))
     of = f"_g {df.schema[group].dataType.simpleString()}, fold int"
     small = kinds.where(~is_large).withColumn("h", F.xxhash64(F.col(group), F.lit(seed))).withColumn("k", F.xxhash64("kind"))
-    sizes = small.groupBy("k").agg(F.count(F.lit(1)).alias("many"))
-    small = small.join(sizes, "k")
-    in_turn = F.row_number().over(Window.partitionBy("k").orderBy("h", group)) + F.pmod("k", F.lit(folds))
-    few = small.where(F.col("many") <= 10_000).select(F.col(group).alias("_g"), F.pmod(in_turn, F.lit(folds)).cast("int").alias("fold"))
-    many = small.where(F.col("many") > 10_000).select(F.col(group).alias("_g"), F.pmod("h", F.lit(folds)).cast("int").alias("fold"))
-    folds_of = df.sparkSession.createDataFrame(assigned, of).union(few).union(many)
+    # Groups of a kind have consecutive positions, and these go round the folds.
+    dealt = ranks.positions(small.select(group, "k", "h"), ["k", "h", group], "_at")
+    dealt = dealt.select(F.col(group).alias("_g"), F.pmod("_at", F.lit(folds)).cast("int").alias("fold"))
+    folds_of = df.sparkSession.createDataFrame(assigned, of).union(dealt)
     return df.join(folds_of, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
 
 

@@ -492,12 +492,15 @@ def stratified_split(spark, sf_dir):
     return own.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("test").cast("long")).alias("test"))
 
 
-@query(o.sql("SELECT COUNT(*) AS n, COUNT(DISTINCT (region, mkt, nation)) AS profiles, 1 AS most_folds_of_a_profile FROM co"))
+@query(o.sql("SELECT COUNT(*) AS n, COUNT(DISTINCT (region, mkt, nation)) AS profiles, 1 AS most_folds_of_a_profile, 5::BIGINT AS folds, true AS even FROM co"))
 def grouped_folds(spark, sf_dir):
     own = split.group_id(o.customer_outcome(spark, sf_dir), ["region", "mkt", "nation"], "row_id")
-    folded = split.grouped_folds(own.select("row_id", "group", "outcome"), "group", "outcome")
+    folded = tables.written(split.grouped_folds(own.select("row_id", "group", "outcome"), "group", "outcome"), "folds")
     per = folded.groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("fold").alias("folds"))
-    return per.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("profiles"), F.max("folds").cast("int").alias("most_folds_of_a_profile"))
+    # A fold has its fifth of the rows to within a twentieth of all.
+    sizes = folded.groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
+    even = sizes.agg(F.count(F.lit(1)).alias("folds"), (F.max("n") - F.min("n") <= 0.05 * F.sum("n")).alias("even"))
+    return per.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("profiles"), F.max("folds").cast("int").alias("most_folds_of_a_profile")).crossJoin(F.broadcast(even))  # one row each
 
 
 @query(o.sql(", n AS (SELECT outcome, COUNT(*) AS n FROM co GROUP BY outcome) SELECT outcome, (SELECT MAX(n) FROM n) AS n, (SELECT MAX(n) FROM n) - n AS made FROM n"))
