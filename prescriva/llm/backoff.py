@@ -267,7 +267,7 @@ def score(docs: DataFrame, held_out: Column) -> DataFrame:
     texts, shards = ready.select("text", "train", "block"), sharded.shards_of(docs)
     told = shared.written(sharded.answer(ask_pairs(texts, shards), reply_pairs(shards)), "pairs")
     words = sharded.answer(ask_words(texts, shards).union(told.where("kind = 1")), reply_words)
-    path = sharded.write_answers(words.union(told.where("kind = 2")), "automaton")
+    path = sharded.write_answers(words.union(told.where("kind = 2")), "automaton", shards)
     shared.drop_table(told)
     sums = [sharded.unpack(b, ascending=0)[0] for b in sharded.Answers(path).of(-1).get(9, [])]
     n, v = int(sum(int(s[0]) for s in sums)), int(sum(int(s[1]) for s in sums))

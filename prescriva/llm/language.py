@@ -45,6 +45,8 @@ from prescriva.llm import shared
 SEGMENT = 256
 #: Counts of so many labels are sent to all tasks, and joined by a shuffle beyond.
 MOST_LANGUAGES = 10_000
+#: Characters of all languages' samples; a model has some fifty bytes for each.
+ALL_CHARS = 4_000_000
 #: Ranked rows of a language whose texts are too long to be taken whole; one is used.
 LONG_ROWS = 8
 NOT_LETTERS = re.compile(r"[\W\d_]+")
@@ -87,32 +89,87 @@ def suffix_automaton(text: str) -> list[dict[str, int]]:
 
 
 @dataclass
-class LanguageModel:
-    """``codes``: code point -> column, 0 for unknown ones; ``tables``: language -> transitions.
+class Transitions:
+    """An automaton's moves as a double array: that of a state by a code stands in slot ``base[state] + code``, if ``owner`` of the slot is the state.
 
-    A negative entry means that the phrase ends before this character: -1 - s, where s
-    is the state after a new phrase has taken it. The last state stands before a text and
-    behind an unknown character, a phrase of its own: whatever follows begins a phrase.
+    A state without a move by a code goes where the start does, by ``root``: its entries
+    are negative, as a phrase ends before such a character: -1 - s, where s is the state
+    after a new phrase has taken it. The last state has no moves; it stands before a text
+    and behind an unknown character, a phrase of its own. Slots number about as many as
+    moves, whatever the alphabet.
     """
 
+    base: np.ndarray
+    owner: np.ndarray
+    to: np.ndarray
+    root: np.ndarray
+
+    @property
+    def begin(self) -> int:
+        return len(self.base) - 1
+
+    @property
+    def nbytes(self) -> int:
+        return self.base.nbytes + self.owner.nbytes + self.to.nbytes + self.root.nbytes
+
+    def step(self, state: np.ndarray, code: np.ndarray) -> np.ndarray:
+        at = self.base[state] + code
+        return np.where(self.owner[at] == state, self.to[at], self.root[code])
+
+    def step_one(self, state: int, code: int) -> int:
+        at = self.base.item(state) + code
+        return self.to.item(at) if self.owner.item(at) == state else self.root.item(code)
+
+    @classmethod
+    def of(cls, moves: list[dict[str, int]], code_of: dict[str, int], width: int) -> Transitions:
+        """``width``: the codes' number, 0 for unknown characters included. States of most moves are placed first, each in the first slots that fit, near where the last one was; those of one move fill the gaps."""
+        total, window = sum(map(len, moves)), 2048
+        taken = np.zeros(2 * width + 2 * total + window, dtype=bool)
+        taken[:width] = True
+        base = np.zeros(len(moves) + 1, dtype=np.int64)
+        codes = [np.sort(np.array([code_of[c] for c in own], dtype=np.int64)) for own in moves]
+        last = width
+        for s in sorted((s for s, own in enumerate(moves) if len(own) > 1), key=lambda s: -len(moves[s])):
+            apart, at = codes[s] - codes[s][0], max(width, last - window)
+            while True:
+                if at + window + width >= len(taken):
+                    taken = np.concatenate([taken, np.zeros(len(taken), dtype=bool)])
+                free = at + np.flatnonzero(~taken[at : at + window])
+                fits = np.flatnonzero(~taken[free[:, None] + apart].any(axis=1))
+                if len(fits):
+                    break
+                at += window
+            last = int(free[fits[0]])
+            taken[last + apart] = True
+            base[s] = last - codes[s][0]
+        ones = [s for s, own in enumerate(moves) if len(own) == 1]
+        gaps = np.flatnonzero(~np.concatenate([taken, np.zeros(len(ones), dtype=bool)]))[: len(ones)]
+        base[ones] = gaps - np.array([codes[s][0] for s in ones], dtype=np.int64)
+        size = int(base.max(initial=0)) + width + 1
+        owner, to = np.full(size, -1, dtype=np.int32), np.zeros(size, dtype=np.int32)
+        for s, own in enumerate(moves):
+            for c, target in own.items():
+                owner[base[s] + code_of[c]], to[base[s] + code_of[c]] = s, target
+        root = np.full(width, -1 - len(moves), dtype=np.int32)
+        for c, target in moves[0].items():
+            root[code_of[c]] = -1 - target
+        return cls(base, owner, to, root)
+
+
+@dataclass
+class LanguageModel:
+    """``codes``: code point -> code, 0 for unknown ones; ``tables``: language -> transitions."""
+
     codes: np.ndarray
-    tables: dict[str, np.ndarray]
+    tables: dict[str, Transitions]
 
     @classmethod
     def of(cls, samples: dict[str, str]) -> LanguageModel:
         alphabet = sorted({ord(c) for s in samples.values() for c in s})
         codes = np.zeros(max(alphabet, default=0) + 2, dtype=np.int32)
         codes[alphabet] = np.arange(1, len(alphabet) + 1)
-        tables = {}
-        for name in sorted(samples):
-            moves = suffix_automaton(samples[name])
-            table = np.empty((len(moves) + 1, len(alphabet) + 1), dtype=np.int32)
-            table[:] = -1 - np.array([len(moves)] + [moves[0].get(chr(c), len(moves)) for c in alphabet], dtype=np.int32)
-            for state, own in enumerate(moves):
-                for c, to in own.items():
-                    table[state, codes[ord(c)]] = to
-            tables[name] = table
-        return cls(codes, tables)
+        code_of = {chr(c): i for i, c in enumerate(alphabet, start=1)}
+        return cls(codes, {name: Transitions.of(suffix_automaton(samples[name]), code_of, len(alphabet) + 1) for name in sorted(samples)})
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(characters of each text, phrases of each text for each language)."""
@@ -135,20 +192,19 @@ class LanguageModel:
         lanes = np.searchsorted(-lengths, -np.arange(1, SEGMENT + 1), "right")
         out = np.zeros((len(texts), len(self.tables)))
         for k, table in enumerate(self.tables.values()):
-            flat, width = table.ravel(), table.shape[1]
-            state, count = np.full(len(starts), len(table) - 1), np.zeros(len(starts), dtype=np.int64)
+            state, count = np.full(len(starts), table.begin), np.zeros(len(starts), dtype=np.int64)
             for t, n in enumerate(lanes):
                 if not n:
                     break
-                to = flat[state[:n] * width + columns[starts[:n] + t]].astype(np.int64)
+                to = table.step(state[:n], columns[starts[:n] + t])
                 ended = to < 0
                 count[:n] += ended
                 state[:n] = np.where(ended, -1 - to, to)
-            out[:, k] = np.bincount(owner, count, len(texts)) + self._seams(flat, width, columns, starts, lengths, owner, place, state, len(texts))
+            out[:, k] = np.bincount(owner, count, len(texts)) + self._seams(table, columns, starts, lengths, owner, place, state, len(texts))
         return sizes, out
 
     @staticmethod
-    def _seams(flat, width, columns, starts, lengths, owner, place, ends, texts: int) -> np.ndarray:
+    def _seams(table: Transitions, columns, starts, lengths, owner, place, ends, texts: int) -> np.ndarray:
         """What the first parse, in which a phrase begins with each segment, has counted too few (or, negative, too many) in each text.
 
         ``ends``: the state behind each segment. The phrase that enters a segment is read
@@ -157,7 +213,7 @@ class LanguageModel:
         segment is entered otherwise and is read once more.
         """
         later, before = place
-        begin = len(flat) // width - 1
+        begin = table.begin
         change = np.zeros(len(starts), dtype=np.int64)
         enters = np.full(len(starts), -1, dtype=np.int64)
         enters[later] = ends[before]
@@ -166,7 +222,7 @@ class LanguageModel:
         late: dict[int, tuple[int, int, int, int]] = {}
         while len(lane) > 48:
             c = columns[starts[lane] + t]
-            real, fresh = flat[real * width + c].astype(np.int64), flat[fresh * width + c].astype(np.int64)
+            real, fresh = table.step(real, c), table.step(fresh, c)
             extra = extra + (real < 0) - (fresh < 0)
             real, fresh = np.where(real < 0, -1 - real, real), np.where(fresh < 0, -1 - fresh, fresh)
             t += 1
@@ -188,7 +244,7 @@ class LanguageModel:
             for c in columns[starts[i] + t : starts[i] + lengths[i]].tolist():
                 if x == y:
                     break
-                x, y = flat.item(x * width + c), flat.item(y * width + c)
+                x, y = table.step_one(x, c), table.step_one(y, c)
                 if x < 0:
                     x, n = -1 - x, n + 1
                 if y < 0:
@@ -212,7 +268,12 @@ class LanguageModel:
 
 
 def fit(labelled: DataFrame, max_chars: int = 20_000, rows: int = 400) -> LanguageModel | None:
-    """Learn from (doc_id, text, lang): at most ``rows`` candidate rows and ``max_chars`` characters of a language."""
+    """Learn from (doc_id, text, lang): at most ``rows`` candidate rows and ``max_chars`` characters of a language.
+
+    All languages together have at most ``ALL_CHARS`` characters: of very many, each has fewer.
+    """
+    kinds = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("lang").distinct().count()
+    max_chars = min(max_chars, max(ALL_CHARS // max(kinds, 1), 200))
     usable = labelled.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
     long = F.length("text") > max_chars
     hashed = usable.select("lang", "text", long.alias("long"), F.pmod(F.xxhash64(F.col("doc_id"), F.lit(11)), F.lit(1 << 40)).alias("h"))

@@ -129,7 +129,7 @@ def chunk_tables(docs: DataFrame, model_path: str) -> sharded.Folder:
 
     asked = sharded.with_blocks(docs, ["text"]).select("text", "block").mapInArrow(ask, sharded.ASKED)
     # A body has the chunks, as many bytes as its kind says, and then their ids; a block that two tasks read has two for a shard.
-    return sharded.write_answers(sharded.answer(asked, reply), "chunks")
+    return sharded.write_answers(sharded.answer(asked, reply), "chunks", shards)
 
 
 class _Encoder:

@@ -20,6 +20,8 @@ from __future__ import annotations
 
 import itertools
 import struct
+from bisect import bisect_left, bisect_right
+from collections import OrderedDict
 from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
 
@@ -39,6 +41,7 @@ ROWS = 2048
 SHARD_BYTES = 32 << 20
 #: Bytes of a row group in files of answers; a reader takes those that hold its block.
 GROUP_BYTES = 1 << 20
+SHARDS_A_FILE = 4
 ASKED = "shard int, block long, kind int, body binary"
 _PACK = zstandard.ZstdCompressor(level=1)
 _UNPACK = zstandard.ZstdDecompressor()
@@ -164,10 +167,14 @@ class Folder(NamedTuple):
     buckets: int
 
 
-def write_by_block(rows: DataFrame, name: str) -> Folder:
-    """``rows`` (with ``block``) as files of many blocks, sorted by block."""
+def write_by_block(rows: DataFrame, name: str, shards: int = 0) -> Folder:
+    """``rows`` (with ``block``) as files of many blocks, sorted by block.
+
+    ``shards``: those of the documents (``shards_of``). A file is for about
+    ``SHARDS_A_FILE`` shards' worth of documents at most, so that files don't grow with the input.
+    """
     spark = rows.sparkSession
-    folder = Folder(shared.shared_dir(spark, name), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    folder = Folder(shared.shared_dir(spark, name), max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shards // SHARDS_A_FILE)))
     bucket = F.pmod("block", F.lit(folder.buckets)).cast("int")
     dealt = rows.withColumn("bucket", bucket).repartitionById(folder.buckets, F.col("bucket")).sortWithinPartitions("bucket", "block")
     with shared.step(spark):
@@ -175,31 +182,49 @@ def write_by_block(rows: DataFrame, name: str) -> Folder:
     return folder
 
 
-def write_answers(answers: DataFrame, name: str) -> Folder:
-    return write_by_block(answers.select("block", "kind", "body"), name)
+def write_answers(answers: DataFrame, name: str, shards: int = 0) -> Folder:
+    return write_by_block(answers.select("block", "kind", "body"), name, shards)
 
 
 class Answers:
-    """Reads a block's rows of a folder in a task."""
+    """Reads a block's rows of a folder in a task.
+
+    A file's footer is parsed once: files stay open, the last ``OPEN`` buckets of them,
+    and the row groups of a block are found by bisection, as files are sorted by block.
+    """
+
+    OPEN = 8
 
     def __init__(self, folder: Folder):
         self.fs, self.path = shared.store(folder.path)
         self.buckets = folder.buckets
+        self.open: OrderedDict[int, list[tuple[pq.ParquetFile, list[int], list[int]]]] = OrderedDict()
+
+    def _bucket(self, bucket: int) -> list[tuple[pq.ParquetFile, list[int], list[int]]]:
+        """The bucket's files, with the least and the largest block of each row group."""
+        if bucket in self.open:
+            self.open.move_to_end(bucket)
+            return self.open[bucket]
+        files = []
+        for file in self.fs.get_file_info(pafs.FileSelector(f"{self.path}/bucket={bucket}", allow_not_found=True)):
+            if file.path.endswith(".parquet"):
+                own = pq.ParquetFile(self.fs.open_input_file(file.path))
+                at = own.schema_arrow.get_field_index("block")
+                seen = [own.metadata.row_group(g).column(at).statistics for g in range(own.metadata.num_row_groups)]
+                files.append((own, [x.min for x in seen], [x.max for x in seen]))
+        self.open[bucket] = files
+        if len(self.open) > self.OPEN:
+            for own, *_ in self.open.popitem(last=False)[1]:
+                own.close(force=True)
+        return files
 
     def table(self, block: int, columns: list[str]) -> pa.Table | None:
         """The block's rows; None for a block without any."""
         out = []
-        for file in self.fs.get_file_info(pafs.FileSelector(f"{self.path}/bucket={block % self.buckets}", allow_not_found=True)):
-            if not file.path.endswith(".parquet"):
-                continue
-            own = pq.ParquetFile(self.fs.open_input_file(file.path))
-            at, groups = own.schema_arrow.get_field_index("block"), []
-            for g in range(own.metadata.num_row_groups):
-                seen = own.metadata.row_group(g).column(at).statistics
-                if seen is None or not seen.has_min_max or seen.min <= block <= seen.max:
-                    groups.append(g)
-            if groups:
-                rows = own.read_row_groups(groups, [*columns, "block"])
+        for own, least, most in self._bucket(block % self.buckets):
+            first, end = bisect_left(most, block), bisect_right(least, block)
+            if first < end:
+                rows = own.read_row_groups(list(range(first, end)), [*columns, "block"])
                 out.append(rows.filter(pc.equal(rows.column("block"), block)).select(columns))
         return pa.concat_tables(out) if out else None
 

@@ -6,10 +6,11 @@ less, but not so much less that the copies of a large group, whose common shingl
 frequent, would fall apart by their few own ones. df is exact and comes from
 ``sharded``. For each of ROWS * BANDS hash functions, improved consistent weighted
 sampling picks one (shingle, level) of a text; two texts pick the same with a chance
-that is their weighted Jaccard similarity. ROWS picks make a band; texts that share a
-band meet if at least AGREE of all their picks are the same, and every link is verified
-by the weighted Jaccard similarity of the whole texts. A pair at 0.8, the limit, meets
-with a chance of 0.998.
+that is their weighted Jaccard similarity. Some picks make a band; texts that share a
+band meet if enough of all their picks are the same, and every link is verified by the
+weighted Jaccard similarity of the whole texts. How many bands of how many picks, and how
+many equal picks, follows from the threshold (``layout``): a pair at it shares a band with
+a chance of 0.998, and is dropped for its picks with one of 0.0001. ``agree=0`` drops none.
 
 Texts with the same shingles and counts are one class (a group-by that sums before its
 shuffle); only classes meet. A band's classes are first compared with one of them, that
@@ -48,9 +49,9 @@ from prescriva.llm.wordhash import NOT_ALNUM, mix, word_hashes
 
 WORDS = 5
 THRESHOLD = 0.8
-ROWS, BANDS = 3, 9
-#: Picks of two texts that must be the same; at a similarity of 0.8 fewer than 13 of 27 are with a chance of 0.0001.
-AGREE = 13 / 27
+#: Chances that a pair at the threshold shares no band, and that it is dropped for its picks.
+UNMET, DROPPED = 0.002, 0.0001
+MOST_ROWS, MOST_BANDS = 3, 64
 #: A band with at most so many classes is compared across components pair by pair; a centre's fellows are compared in parts of so many.
 SMALL, PART = 32, 400
 #: Classes and shingles of one side of a block.
@@ -156,7 +157,7 @@ def document_frequencies(ready: DataFrame, shards: int) -> sharded.Folder:
         keys, counts = sharded.summed(*map(np.concatenate, zip(*parts, strict=True)))
         return (keys % np.uint64(shards)).astype(np.int64), [keys, counts], 1
 
-    return sharded.write_answers(sharded.answer(sharded.ask(ready, _count, merge), _reply), "shingles")
+    return sharded.write_answers(sharded.answer(sharded.ask(ready, _count, merge), _reply), "shingles", shards)
 
 
 class _Weights:
@@ -180,7 +181,24 @@ class _Weights:
         return times * (1 - IDF_SHARE + IDF_SHARE * np.log1p(self.texts / df) / math.log1p(self.texts))
 
 
-def signatures(keys: np.ndarray, weights: np.ndarray, sizes: np.ndarray, rows: int = ROWS, bands: int = BANDS, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+def layout(threshold: float = THRESHOLD) -> tuple[int, int, int]:
+    """(picks of a band, bands, equal picks that a pair must have) for a threshold.
+
+    Bands have as many picks as so few bands allow. A pair at the threshold has a
+    binomial number of equal picks, of which the least likely ones below are given up.
+    """
+    if not 0 < threshold <= 1:
+        raise ValueError("the threshold has to be above 0 and at most 1")
+    bands_of = lambda rows: 1 if threshold == 1 else math.ceil(math.log(UNMET) / math.log1p(-(threshold**rows)))
+    rows = max([r for r in range(1, MOST_ROWS + 1) if bands_of(r) <= MOST_BANDS], default=1)
+    bands = bands_of(rows)
+    n, below, agree = rows * bands, 0.0, 0
+    while agree < n and (below := below + math.comb(n, agree) * threshold**agree * (1 - threshold) ** (n - agree)) <= DROPPED:
+        agree += 1
+    return rows, bands, agree
+
+
+def signatures(keys: np.ndarray, weights: np.ndarray, sizes: np.ndarray, rows: int, bands: int, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """(texts, bands) band keys of ``rows`` picks each, and (texts, rows * bands) a byte of each pick; ``sizes`` are distinct shingles of each text, all over 0.
 
     Ioffe's sampling: with r, c ~ Gamma(2, 1) and b ~ U(0, 1) of the shingle and the
@@ -207,7 +225,7 @@ def signatures(keys: np.ndarray, weights: np.ndarray, sizes: np.ndarray, rows: i
     return out, bytes_
 
 
-def signed(ready: DataFrame, frequencies: sharded.Folder, texts: int, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
+def signed(ready: DataFrame, frequencies: sharded.Folder, texts: int, rows: int, bands: int) -> DataFrame:
     """(doc_id, block, row, cid, size, bands, picks) of each text; cid names its ``size`` shingles and is null where it has none."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,14 +262,16 @@ def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.n
     return least / (float(a[1].sum()) + float(b[1].sum()) - least)
 
 
-def agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Those of ``pairs`` (a, b: cids) of which AGREE of the picks are the same."""
+def agreeing(pairs: DataFrame, classes: DataFrame, agree: int) -> DataFrame:
+    """Those of ``pairs`` (a, b: cids) of which ``agree`` picks are the same; with 0, all."""
+    if not agree:
+        return pairs.select("a", "b")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1) for c in ("p", "q"))
-                near = (p == q).sum(axis=1) >= AGREE * p.shape[1] - 1e-9
+                near = (p == q).sum(axis=1) >= agree
                 yield batch.select(["a", "b"]).filter(pa.array(near))
 
     p, q = classes.select(F.col("cid").alias("a"), F.col("picks").alias("p")), classes.select(F.col("cid").alias("b"), F.col("picks").alias("q"))
@@ -264,14 +284,14 @@ SENT = "a long, part int, role int, cid long, root long, body binary"
 class Comparison:
     """Sends the weights of classes from their blocks to where they are compared."""
 
-    def __init__(self, ready: DataFrame, frequencies: sharded.Folder, texts: int, classes: DataFrame, threshold: float):
-        self.ready, self.frequencies, self.texts, self.threshold = ready, frequencies, texts, threshold
+    def __init__(self, ready: DataFrame, frequencies: sharded.Folder, texts: int, classes: DataFrame, threshold: float, shards: int = 0):
+        self.ready, self.frequencies, self.texts, self.threshold, self.shards = ready, frequencies, texts, threshold, shards
         self.classes = classes
 
     def sent(self, wanted: DataFrame) -> DataFrame:
         """SENT rows for ``wanted`` (a, part, role, cid, root)."""
         frequencies, texts = self.frequencies, self.texts
-        path = sharded.write_by_block(wanted.join(self.classes.select("cid", "block", "row"), "cid"), "wanted")
+        path = sharded.write_by_block(wanted.join(self.classes.select("cid", "block", "row"), "cid"), "wanted", self.shards)
 
         def weigh(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             weights, answers, now, asked = _Weights(frequencies, texts), sharded.Answers(path), None, {}
@@ -443,12 +463,20 @@ def _dealt(mixed: DataFrame) -> DataFrame:
     return left.union(right)
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, rows_each: int = ROWS, bands_all: int = BANDS) -> DataFrame:
-    """(doc_id, block, row, component_id, kept) for each row of ``docs`` (doc_id, text)."""
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, rows_each: int | None = None, bands_all: int | None = None, agree: int | None = None) -> DataFrame:
+    """(doc_id, block, row, component_id, kept) for each row of ``docs`` (doc_id, text).
+
+    ``rows_each``, ``bands_all``: picks of a band and bands; ``agree``: equal picks that a
+    pair must have to be verified, 0: every pair of a band is. By default those of ``layout``.
+    """
+    fitting = layout(threshold)
+    rows_each, bands_all, enough = rows_each or fitting[0], bands_all or fitting[1], fitting[2]
+    enough = enough if agree is None else agree
     docs = sharded.from_files(docs)
     ready = sharded.with_blocks(docs, ["doc_id", "text"])
     texts = docs.count()
-    frequencies = document_frequencies(ready.select("text", "block"), sharded.shards_of(docs))
+    shards = sharded.shards_of(docs)
+    frequencies = document_frequencies(ready.select("text", "block"), shards)
     rows = shared.written(signed(ready, frequencies, texts, rows_each, bands_all), "signed")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "block", "row"))
     classes = rows.where(F.col("cid").isNotNull()).groupBy("cid").agg(first.alias("first"), *(F.first(c).alias(c) for c in ("size", "bands", "picks")))
@@ -460,11 +488,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, rows_each: in
     centres = bands.join(fellows, "cid").groupBy("band").agg(F.max_by("cid", F.struct("fellows", "cid")).alias("centre"))
     pairs = bands.join(centres, "band").where("cid <> centre").select(F.col("centre").alias("a"), F.col("cid").alias("b")).distinct()
     pairs = shared.written(pairs, "pairs")
-    compare = Comparison(ready, frequencies, texts, classes, threshold)
-    links = compare.pairs(shared.written(agreeing(pairs, classes), "agreeing"))
+    compare = Comparison(ready, frequencies, texts, classes, threshold, shards)
+    links = compare.pairs(shared.written(agreeing(pairs, classes, enough), "agreeing"))
     roots = shared.written(components(links), "roots")
     mixed = _mixed(bands, roots)
-    more = shared.written(agreeing(_across(mixed, pairs), classes), "agreeing")
+    more = shared.written(agreeing(_across(mixed, pairs), classes, enough), "agreeing")
     if not more.isEmpty():
         links = links.union(compare.pairs(more))
     rest = shared.written(_dealt(mixed), "blocks")

@@ -199,3 +199,25 @@ def test_language_of_long_and_rare_texts(spark, monkeypatch):
     assert 9_000 <= len(taken["mixed"]) <= 20_000
     language.fit(many, max_chars=400, rows=10)
     assert taken["rare"].split().count("gamma") >= 10 and len(taken["rare"]) <= 400 + 2  # spaces between texts
+
+
+def test_tables_of_large_alphabets_stay_small():
+    """Two languages of 3,000 and 1,500 characters: phrases are longest matches, and a table takes some MB."""
+    rng = random.Random(6)
+    draw = lambda n, first, kinds: "".join(chr(first + int(kinds * rng.random() ** 3)) for _ in range(n))
+    samples = {"a": draw(20_000, 0x4E00, 3000), "b": draw(20_000, 0x6000, 1500)}
+    model = language.LanguageModel.of(samples)
+    assert all(t.nbytes < 10_000_000 for t in model.tables.values())
+    texts = [draw(300, 0x4E00, 3000), draw(700, 0x6000, 1500), samples["a"][5000:5600] + "é" + samples["b"][:400], "", "x"]
+    _, counts = model.phrases(texts)
+    for k, name in enumerate(model.tables):
+        assert counts[:, k].tolist() == [naive_phrases(t, samples[name]) for t in texts]
+
+
+def test_very_many_languages_have_smaller_samples(spark, monkeypatch):
+    taken = {}
+    monkeypatch.setattr(language, "ALL_CHARS", 3000)
+    monkeypatch.setattr(language.LanguageModel, "of", classmethod(lambda cls, samples: taken.update(samples)))
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.repeat(F.lit("alpha beta "), 100).alias("text"), (F.col("id") % 10).cast("string").alias("lang"))
+    language.fit(docs)
+    assert len(taken) == 10 and all(0 < len(t) <= 302 for t in taken.values())

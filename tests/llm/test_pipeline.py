@@ -5,7 +5,6 @@ import os
 import sys
 
 import public_tokenizers
-import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
 
@@ -52,7 +51,8 @@ def test_odd_rows_and_no_rows(spark, tmp_path):
     for table in ("labels", "benchmark"):
         spark.read.parquet(f"{SF}/{table}.parquet").write.parquet(f"{tmp_path}/{table}.parquet")
     docs.unionByName(odd).unionByName(odd).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    # Of the six odd rows those without a letter go as they have no language; no other document is touched by them.
     wanted = sorted(map(tuple, corpus_pipeline.run(spark, SF).collect()), key=str)
-    assert len(corpus_pipeline.run(spark, str(tmp_path)).collect()) == pytest.approx(len(wanted), abs=3)
+    assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).collect()), key=str) == wanted
     docs.limit(0).write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

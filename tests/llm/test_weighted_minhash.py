@@ -118,3 +118,42 @@ def test_overlaps_against_pairs():
         for j, b in enumerate(right):
             da, db = dict(zip(a[0].tolist(), a[1].tolist(), strict=True)), dict(zip(b[0].tolist(), b[1].tolist(), strict=True))
             assert got[i, j] == pytest.approx(sum(min(da[k], db[k]) for k in da.keys() & db.keys()))
+
+
+def test_bands_and_picks_follow_the_threshold():
+    assert wm.layout(0.8) == (3, 9, 13)
+    for t in (0.3, 0.5, 0.7, 0.9, 0.95):
+        rows, bands, agree = wm.layout(t)
+        n = rows * bands
+        assert (1 - t**rows) ** bands <= 0.002 and sum(math.comb(n, k) * t**k * (1 - t) ** (n - k) for k in range(agree)) <= 1e-4
+    for bad in (0, -1, 1.1):
+        with pytest.raises(ValueError):
+            wm.layout(bad)
+
+
+@pytest.mark.parametrize("threshold", [0.8, 0.6])
+def test_share_of_pairs_that_meet(threshold):
+    """Pairs between the threshold and 0.05 above it: in at least 0.99 of them both the bands and the picks agree."""
+    rng = np.random.default_rng(3)
+    rows, bands, agree = wm.layout(threshold)
+    keys = np.unique(wm.mix(rng.integers(1, 2**62, 200_000).astype(np.uint64)))
+    rng.shuffle(keys)
+    met = n = at = 0
+    for _ in range(500):
+        size = int(rng.integers(30, 200))
+        own = keys[at : at + 2 * size]
+        at += 2 * size
+        s = rng.uniform(threshold, threshold + 0.05)
+        same = math.ceil(s * 2 * size / (1 + s))
+        a, b = np.sort(own[:size]), np.sort(np.concatenate([own[:same], own[size : 2 * size - same]]))
+        picks, marks = wm.signatures(np.concatenate([a, b]), np.ones(2 * size), np.array([size, size]), rows, bands)
+        met += bool((picks[0] == picks[1]).any()) and int((marks[0] == marks[1]).sum()) >= agree
+        n += 1
+    assert met / n >= 0.99
+
+
+def test_pairs_that_few_picks_agree_on_are_kept_by_agree_0(spark):
+    rows = make(random.Random(11), 60)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = wm.near_duplicates(frame, threshold=0.5, agree=0).orderBy("row").collect()
+    assert [r.component_id for r in got] == [h[1] for h in brute(rows, 0.5)]
