@@ -85,6 +85,34 @@ def histogram_by_level(df: DataFrame, column: str, level: str, bins: int = 12) -
     return own.select(place.cast("long").alias("bin"), "level").groupBy("bin", "level").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: A number of at most so many values has a bin for each of them.
+FEW_VALUES = 12
+
+
+def histogram(df: DataFrame, column: str, level: str, levels: list[str], bins: int = 12) -> DataFrame:
+    """(bin, low, high, level, n) for each bin and level, 0 included.
+
+    A number of few values has a bin from half below each value to half below the next,
+    the last one to half above it; others have equal bins over their range, the last one
+    closed. Rows of other levels and without a number are left out; no number, no bins.
+    """
+    v = F.col(column).cast("double")
+    own = df.where(v.isNotNull() & ~F.isnan(v)).select(v.alias("v"), F.col(level).cast("string").alias("level"))
+    values = sorted(r.v for r in own.select("v").distinct().limit(FEW_VALUES + 1).collect())
+    if not values:
+        edges = []
+    elif len(values) <= FEW_VALUES:
+        edges = [x - 0.5 for x in values] + [values[-1] + 0.5]
+    else:
+        low, high = own.agg(F.min("v"), F.max("v")).first()
+        edges = [low + (high - low) * i / bins for i in range(bins)] + [high]
+    # Edges are few, so a value's bin is the number of edges up to it.
+    place = F.least(sum(((F.col("v") >= e).cast("int") for e in edges), F.lit(0)), F.lit(max(len(edges) - 1, 1)))
+    counts = own.where(F.col("level").isin(levels)).groupBy(place.alias("bin"), "level").agg(F.count(F.lit(1)).alias("n"))
+    every = df.sparkSession.createDataFrame([(i + 1, a, b, k) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False)) for k in levels], "bin int, low double, high double, level string")
+    return every.join(F.broadcast(counts), ["bin", "level"], "left").select("bin", "low", "high", "level", F.coalesce("n", F.lit(0)).cast("long").alias("n"))  # a row for each bin and level
+
+
 def categories_by_level(df: DataFrame, column: str, level: str, levels: list[str]) -> DataFrame:
     """(category, n, one column n_<level> for each level)."""
     own = df.select(text.canonical(df, column).alias("category"), F.col(level).alias("level")).where("category is not null")

@@ -86,6 +86,11 @@ def masked_edges(edges: DataFrame, excluded: DataFrame) -> DataFrame:
     return edges.join(F.broadcast(excluded), ["source", "target"], "left_anti")
 
 
+def influences(edges: DataFrame) -> DataFrame:
+    """``edges`` without biases, the strongest first; of equally strong ones by source."""
+    return edges.where("source <> 'sesgo'").orderBy(F.desc(F.abs("weight")), "source")
+
+
 def entered(c: Column, m: CognitiveMap) -> Column:
     _, a, b, _ = m.parameters
     return c * F.lit(a) + F.lit(b) if (a, b) != (1.0, 0.0) else c

@@ -17,6 +17,7 @@ from prescriva.operators import encode, evaluate, explore, fcm, individual, leak
 from prescriva.plans import outcome as o
 from prescriva.plans import prescriptive
 from prescriva.sources import tables
+from prescriva.streaming import scoring
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -109,29 +110,44 @@ def what_if(spark, sf_dir):
     return rounded(x.select("row_id", fcm.infer_column(m, 0.5).alias("base"), fcm.infer_column(m, 0.5, columns=more).alias("simulated")))
 
 
-_CONCEPTS = "(VALUES " + ", ".join(f"('{c.id}', {str(c.dynamic).lower()}, {str(c.column == 'outcome').lower()})" for c in o.FULL_SCHEMA.all_dynamic().concepts) + ") AS t(id, dynamic, objective)"
-_EDGES = f"SELECT a.id AS source, b.id AS target FROM {_CONCEPTS.replace(' t(', ' a(')}, {_CONCEPTS.replace(' t(', ' b(')} WHERE NOT a.objective AND b.dynamic AND a.id <> b.id"
+_EDGES = "SELECT 'C' || a.n_nationkey AS source, 'C' || b.n_nationkey AS target FROM nation a, nation b WHERE a.n_nationkey <> 24 AND b.n_regionkey >= 2 AND a.n_nationkey <> b.n_nationkey"
+
+
+def _nations(spark, sf_dir) -> DataFrame:
+    """Nations as concepts of a map: those of three regions move, the last one is the objective."""
+    key = F.col("n_nationkey")
+    return _table(spark, sf_dir, "nation").select(F.concat(F.lit("C"), key).alias("id"), F.col("n_name").alias("name"), F.lit("mutable").alias("role"), (F.col("n_regionkey") >= 2).alias("dynamic"), (key == 24).alias("objective"), key.alias("number"), F.col("n_regionkey").alias("region"))
 
 
 @query(_EDGES)
 def allowed_edges(spark, sf_dir):
-    s = o.FULL_SCHEMA.all_dynamic()
-    return fcm.allowed_edges(fcm.concept_table(spark, s.concepts, s.concepts[-1].id))
+    return fcm.allowed_edges(_nations(spark, sf_dir))
 
 
-@query(f"SELECT * FROM ({_EDGES}) WHERE NOT (source = 'C1' AND target = 'C14') AND NOT (source = 'C8' AND target = 'C11')")
+@query(f"{_EDGES} AND a.n_regionkey <> b.n_regionkey")
 def causal_mask(spark, sf_dir):
-    return fcm.masked_edges(allowed_edges(spark, sf_dir), spark.createDataFrame([("C1", "C14"), ("C8", "C11")], "source string, target string"))
+    """Edges within a region are ruled out."""
+    concepts = _nations(spark, sf_dir)
+    same = concepts.select(F.col("id").alias("source"), "region").join(concepts.select(F.col("id").alias("target"), "region"), "region").drop("region")
+    return fcm.masked_edges(fcm.allowed_edges(concepts), same)
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{k}', {v})" for k, v in o.WEIGHTS.items()) + f", ('sesgo', {o.BIAS})) AS t(source, y)")
+def _correlation_edges(spark, sf_dir) -> DataFrame:
+    """Edges from each column to the outcome and the account balance, as strong as their correlations."""
+    x, _ = o.scaled_outcome(spark, sf_dir)
+    r = explore.correlations(x, [*o.SCALED, "y"])
+    return r.where("a <> b and a <> 'y' and b in ('y', 'acctbal')").select(F.col("a").alias("source"), F.col("b").alias("target"), F.col("r").alias("weight"))
+
+
+@query(o.scaled_sql(" UNION ALL ".join(f"SELECT '{c}' AS source, {'0.0' if c == 'acctbal' else f'ROUND(corr({c}, acctbal), 6) + 0.0'} AS acctbal, ROUND(corr({c}, y), 6) + 0.0 AS y FROM sx" for c in o.SCALED)))
 def weight_matrix(spark, sf_dir):
-    return tables.weight_matrix(o.fixed_map().edges(spark), ["y"])
+    return rounded(tables.weight_matrix(_correlation_edges(spark, sf_dir), ["acctbal", "y"]))
 
 
-@query("SELECT source, weight FROM (VALUES ('n_orders', 0.8), ('urgent_share', -0.15), ('avg_discount', -0.1), ('avg_qty', 0.1), ('acctbal', 0.05)) AS t(source, weight)")
+@query(o.scaled_sql("SELECT source, ROUND(weight, 6) + 0.0 AS weight FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS source, corr({c}, y) AS weight FROM sx" for c in o.SCALED) + ") ORDER BY abs(weight) DESC, source"))
 def influences(spark, sf_dir):
-    return o.fixed_map().edges(spark).where("source <> 'sesgo'").orderBy(F.desc(F.abs("weight")), "source").select("source", "weight")
+    own = _correlation_edges(spark, sf_dir).where("target = 'y'")
+    return rounded(fcm.influences(own).select("source", "weight"))
 
 
 # Learning ----------------------------------------------------------------------------
@@ -811,11 +827,29 @@ def search_progress(spark, sf_dir):
     return rounded(prescribe.progress(tables.written(own, "histories")))
 
 
-@query("SELECT id, ROUND(CASE WHEN i = 13 THEN 0.0 ELSE cos(2 * pi() * i / 13.0) END, 6) + 0.0 AS x, ROUND(CASE WHEN i = 13 THEN 0.0 ELSE sin(2 * pi() * i / 13.0) END, 6) + 0.0 AS y FROM (SELECT 'C' || (i + 1) AS id, i FROM range(14) AS t(i))")
+@query("SELECT 'C' || n_nationkey AS id, ROUND(CASE WHEN n_nationkey = 24 THEN 0.0 ELSE cos(2 * pi() * n_nationkey / 24.0) END, 6) + 0.0 AS x, ROUND(CASE WHEN n_nationkey = 24 THEN 0.0 ELSE sin(2 * pi() * n_nationkey / 24.0) END, 6) + 0.0 AS y FROM nation")
 def radial_layout(spark, sf_dir):
-    s = o.FULL_SCHEMA
-    table = fcm.concept_table(spark, s.concepts, s.concepts[-1].id).withColumn("number", F.substring("id", 2, 3).cast("int") - 1)
-    return rounded(fcm.radial_layout(table))
+    return rounded(fcm.radial_layout(_nations(spark, sf_dir)))
+
+
+_BINS = "SELECT g.bin, low, high, level, (SELECT COUNT(*) FROM {t} WHERE {l} = level AND {v} >= low AND ({v} < high OR ({v} = high AND g.bin = g.bins))) AS n FROM ({g}) g, (SELECT DISTINCT {l} AS level FROM {t})"
+
+
+@query("WITH e AS (SELECT l_linenumber::DOUBLE AS v, ROW_NUMBER() OVER (ORDER BY l_linenumber)::INTEGER AS bin, LEAD(l_linenumber) OVER (ORDER BY l_linenumber) AS n, COUNT(*) OVER () AS bins FROM (SELECT DISTINCT l_linenumber FROM lineitem)) " + _BINS.format(t="lineitem", l="l_returnflag", v="l_linenumber", g="SELECT bin, bins, v - 0.5 AS low, COALESCE(n - 0.5, v + 0.5) AS high FROM e"))
+def histogram_of_few_values(spark, sf_dir):
+    return explore.histogram(_table(spark, sf_dir, "lineitem").select("l_linenumber", "l_returnflag"), "l_linenumber", "l_returnflag", ["A", "N", "R"])
+
+
+@query(o.sql(", m AS (SELECT MIN(acctbal) AS lo, MAX(acctbal) AS hi FROM co) SELECT bin, ROUND(low, 6) AS low, ROUND(high, 6) AS high, level, n FROM (" + _BINS.format(t="co", l="outcome", v="acctbal", g="SELECT i::INTEGER + 1 AS bin, 12 AS bins, lo + (hi - lo) * i / 12 AS low, CASE WHEN i = 11 THEN hi ELSE lo + (hi - lo) * (i + 1) / 12 END AS high FROM m, range(12) AS t(i)") + ")"))
+def histogram_with_zeros(spark, sf_dir):
+    return rounded(explore.histogram(tables.written(o.customer_outcome(spark, sf_dir).select("acctbal", "outcome"), "outcome"), "acctbal", "outcome", list(o.LEVELS)))
+
+
+@query("SELECT to_timestamp(floor(epoch(ts) / 604800) * 604800) AT TIME ZONE 'UTC' AS start, COUNT(*) AS n, ROUND(AVG(CASE WHEN event_type = 'purchase' THEN 1.0 ELSE 0.0 END), 6) AS reached FROM events GROUP BY 1")
+def weekly_outcomes(spark, sf_dir):
+    """The streaming aggregation over a table at rest: weeks from the epoch."""
+    notes = _table(spark, sf_dir, "events").select("ts", (F.col("event_type") == "purchase").alias("reached"))
+    return rounded(scoring.outcomes_by_window(notes, "ts"))
 
 
 @query()
