@@ -134,3 +134,86 @@ def large_changes(table: DataFrame, key: str, actions: list[str], limit: float =
     """(key, action, change) of changes of more than ``limit`` of the range."""
     rows = F.array(*(F.struct(F.lit(a).alias("action"), (F.col(f"{a}_new") - F.col(a)).alias("change")) for a in actions))
     return table.select(key, F.explode(rows).alias("r")).select(key, "r.*").where(F.abs("change") > limit)
+
+
+def shown(value: float, decimals: int = 1) -> str:
+    """``text.number`` of a driver-side value."""
+    out = f"{value:,.{decimals}f}".translate(str.maketrans(",.", ".,"))
+    out = out.rstrip("0").rstrip(",") if decimals else out
+    return "0" if out == "-0" else out
+
+
+def _said(parts: list[str]) -> str:
+    return "".join(parts) if len(parts) < 2 else f"{', '.join(parts[:-1])} y {parts[-1]}"
+
+
+def population(plans: DataFrame, key: str, actions: list[Action], levels: dict[str, float], observed: str, objective: str, level: str | None = None, subjects: str = "registros", feminine: bool = False, confirmed: tuple[float, float] | None = None) -> dict:
+    """What all plans have in common: figures by action and by observed level, the largest gains, and a text.
+
+    ``plans``: <action>_now and <action>_new in their own units, ``base``, ``activation``,
+    ``goal_level`` and ``observed``. ``level``: only rows of that observed level.
+    ``confirmed``: shares that an independent model puts at their goals, before and after.
+    All figures are aggregations; the driver holds a row for each action and level.
+    """
+    # Fixed text.
+    own = plans if level is None else plans.where(F.col(observed) == level)
+    the = "las" if feminine else "los"
+    marked = own.withColumn("_end", numeric.reaches(numeric.nearest_level(F.col("activation"), levels), F.col("goal_level"), levels)).withColumn("_start", numeric.reaches(numeric.nearest_level(F.col("base"), levels), F.col("goal_level"), levels))
+    by_level = [r.asDict() for r in marked.groupBy(F.col(observed).alias("level"), F.col("goal_level").alias("goal")).agg(F.count(F.lit(1)).alias("n"), (100 * F.avg(F.col("_end").cast("double"))).alias("success"), F.avg("base").alias("before"), F.avg("activation").alias("after")).collect()]
+    by_level.sort(key=lambda r: (levels.get(r["level"], 0.0), r["goal"]))
+    n = sum(r["n"] for r in by_level)
+    if not n:
+        return {"n": 0, "text": f"No hay {subjects} {'prescritas' if feminine else 'prescritos'} con ese filtro.", "actions": [], "levels": [], "gains": []}
+    scaled = marked.select(*((F.col(f"{a.column}_{k}") / ((a.high - a.low) or 1.0)).alias(a.column + ("" if k == "now" else "_new")) for a in actions for k in ("now", "new")))
+    found = {r.action: r for r in action_summary(scaled, [a.column for a in actions]).collect()}
+    rows = []
+    for a in actions:
+        r, width = found[a.column], (a.high - a.low) or 1.0
+        rows.append({"column": a.column, "name": a.name, "now": r.now * width, "recommended": r.recommended * width, "median_change": (r.median_change or 0.0) * width, "up": r.up, "down": r.down, "same": r.same})
+    total = marked.agg((100 * F.avg(F.col("_end").cast("double"))).alias("success"), (100 * F.avg(F.col("_start").cast("double"))).alias("success_before"), F.avg("base").alias("before"), F.avg("activation").alias("after")).first()
+    best = max(levels, key=levels.get)
+    steps = [f"de «{r['level']}» a «{r['goal']}»" for r in by_level if r["level"] != r["goal"]]
+    stepped = any(r["goal"] != best for r in by_level)
+    aim = f"su nivel meta, el siguiente al observado ({_said(steps)})," if stepped else f"el mejor nivel («{best}»)"
+    parts = [
+        f"El algoritmo genético prescribió acciones a {shown(n, 0)} {subjects} de prueba con nivel {' o '.join(dict.fromkeys(f'«{r["level"]}»' for r in by_level))}. "
+        f"Con las acciones prescritas, el FCM ubica en {aim} al {shown(total.success)} %; {objective} pasa en promedio de {shown(total.before, 2)} a {shown(total.after, 2)}."
+    ]
+    if confirmed and level is None:
+        parts.append(f"Con sus acciones actuales lo logra el {shown(total.success_before)} %. Un bosque aleatorio independiente confirma {'la meta' if stepped else 'el mejor nivel'} para el {shown(confirmed[1])} % (antes {shown(confirmed[0])} %): es la cifra prudente.")
+    binary = {a.column for a in actions if len(a.categories) == 2}
+    ranked = sorted(rows, key=lambda r: -r["up"])
+    switched = [f"{r['name']} al {shown(r['up'], 0)} %" for r in ranked if r["column"] in binary and r["up"] > 0]
+    if switched:
+        parts.append(f"Se prescribe activar {_said(switched)} de {the} {subjects}.")
+    elif binary:
+        parts.append(f"El algoritmo genético no activa ninguna de {_said([a.name for a in actions if a.column in binary])}.")
+    decimals = {a.column: text.decimals_of(a.low, a.high) for a in actions}
+    often = [f"aumentar {r['name']} (al {shown(r['up'], 0)} % de {the} {subjects}; de {shown(r['now'], decimals[r['column']])} a {shown(r['recommended'], decimals[r['column']])} en promedio)" for r in ranked if r["column"] not in binary and r["up"] >= 50]
+    same = [r["name"] for r in rows if r["column"] not in binary and r["same"] >= 50]
+    if often:
+        parts.append(f"La recomendación más frecuente es {_said(often)}.")
+    if same:
+        parts.append(f"{_said(same)} se mantiene{'n' if len(same) > 1 else ''} igual en la mayoría de los casos.")
+    if len(by_level) > 1:
+        parts.append("Por nivel observado: " + "; ".join(f"«{r['level']}» ({shown(r['n'], 0)} {subjects}) llega a «{r['goal']}» el {shown(r['success'])} %" for r in by_level) + ".")
+    gains = [r.asDict() for r in top_gains(own, key, "base", "activation").collect()]
+    return {"n": n, "success": total.success, "before": total.before, "after": total.after, "actions": rows, "levels": by_level, "gains": gains, "text": " ".join(parts)}
+
+
+def metric_lines(metrics: dict) -> list[str]:
+    """A run's figures as lines for a console."""
+    percent = lambda v: "-" if v is None else f"{shown(100 * v)} %"
+    out = [f"rows: {metrics['train_rows']} to train on, {metrics['test_rows']} to test"]
+    if metrics.get("selection"):
+        best = metrics["selection"][0]
+        out.append(f"chosen: slope {best['slope']:g}, alpha {best['alpha']:g}; accuracy {percent(best['accuracy'])} in the folds")
+    out.append(f"accuracy {percent(metrics['accuracy'])} (largest level {percent(metrics['majority'])}), balanced {percent(metrics['balanced_accuracy'])}, macro F1 {percent(metrics['macro_f1'])}; {metrics['iterations']} steps{'' if metrics['converged'] else ', not all converged'}")
+    out += [f"  {r['level']}: precision {percent(r['precision'])}, recall {percent(r['recall'])}, F1 {percent(r['f1'])}, {r['support']} rows" for r in metrics["levels"]]
+    out += [f"  error of {r['concept']}: {r['mae']:.4f} mean, {r['rmse']:.4f} root mean square" for r in metrics["concepts"]]
+    if metrics.get("prescribed"):
+        out.append(f"prescribed: {metrics['prescribed']}; success {shown(metrics['success_before'])} % before, {shown(metrics['success_after'])} % after; mean error {metrics['mae_before']:.4f} and {metrics['mae_after']:.4f}; {shown(metrics['generations'])} generations")
+    out += [f"  {r['segment']}: {r['n']} rows, {shown(r['before'])} % before, {shown(r['after'])} % after" for r in metrics.get("segments", [])]
+    if metrics.get("forest"):
+        out.append(f"confirmed by the forest: {shown(metrics['forest']['confirmed_before'])} % before, {shown(metrics['forest']['confirmed_after'])} % after")
+    return out

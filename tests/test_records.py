@@ -145,3 +145,23 @@ def test_options_of_a_run(spark):
     odd = df.withColumn("outcome", F.when(F.col("row_id") == 1, "?").otherwise(F.col("outcome")))
     with pytest.raises(ValueError, match="outcome"):
         prescriptive.run(odd, outcome.FULL_SCHEMA, "row_id", options)
+
+
+def test_population_and_command_line(spark, tmp_path, capsys):
+    from prescriva import __main__
+
+    model = more._model(spark, "/root/testdata/sf0.001")
+    df = outcome.customer_outcome(spark, "/root/testdata/sf0.001")
+    plans = tables.written(model.prescribe_records(df.where("outcome <> 'H'"), "row_id", prescriptive.Options(search=prescribe.Search(generations=6))), "plans")
+    told = report.population(plans, "row_id", model.actions(), outcome.LEVELS, "observed", "outcome", confirmed=(1.0, 2.0))
+    assert told["n"] == plans.count() and f"a {told['n']} registros de prueba con nivel «L» o «M»" in told["text"] and "cifra prudente" in told["text"]
+    assert [r["level"] for r in told["levels"]] == ["L", "M"] and len(told["gains"]) == 5
+    for r in told["actions"]:
+        assert r["up"] + r["down"] + r["same"] == pytest.approx(100)
+    assert report.population(plans, "row_id", model.actions(), outcome.LEVELS, "observed", "outcome", level="X")["n"] == 0
+    df.write.parquet(f"{tmp_path}/t.parquet")
+    (tmp_path / "s.json").write_text(outcome.FULL_SCHEMA.to_json())
+    __main__.main([f"{tmp_path}/t.parquet", f"{tmp_path}/s.json", f"{tmp_path}/out", "--folds", "0", "--most-steps", "5", "--segment", "region=ASIA", "--search", "generations=4", "--search", "population=10", "--exclude", "C1:C99"])
+    said = capsys.readouterr().out
+    assert "prescribed: " in said and "region = ASIA" in said and "macro F1" in said
+    assert spark.read.option("header", True).csv(f"{tmp_path}/out/recommendations").count() > 0
