@@ -59,6 +59,14 @@ def within(value: Column, wanted: Column | float, tolerance: float) -> Column:
     return F.abs(value - wanted) <= F.lit(tolerance)
 
 
+def all_within(pairs: list[tuple[Column, Column | float]], tolerance: float) -> Column:
+    """Whether each value is within the tolerance of its goal."""
+    out = F.lit(True)
+    for value, wanted in pairs:
+        out = out & within(value, wanted, tolerance)
+    return out
+
+
 def finite(c: Column) -> Column:
     """Not a number and infinities become null."""
     return F.when(~F.isnan(c) & (F.abs(c) != F.lit(math.inf)), c)

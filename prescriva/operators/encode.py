@@ -13,7 +13,7 @@ from prescriva.operators import quantiles
 from prescriva.operators.schema import Schema
 
 SMOOTHING, TAIL, FENCE = 10.0, 0.01, 3.0
-#: A nominal column's means become a literal map up to so many categories, and a join beyond.
+#: A nominal column's means are a literal map of at most so many categories; a column of more is an error that names ``target_means``, whose result can be joined.
 MAP_MOST = 1000
 
 

@@ -51,6 +51,13 @@ def success_by_segment(df: DataFrame, column: str, value: str, before: str, afte
     return df.groupBy(segment.alias("segment")).agg(F.count(F.lit(1)).alias("n"), (F.avg(F.col(before).cast("double")) * 100).alias("before"), (F.avg(F.col(after).cast("double")) * 100).alias("after"))
 
 
+def selection_curve(table: DataFrame, alpha: float | None = None) -> DataFrame:
+    """(slope, accuracy, spread) of a cross-validation's ``table`` at one alpha, by default that of its best row, in the order of the slopes."""
+    best = table.orderBy(F.desc("accuracy"), "mae", "slope", "alpha").first() if alpha is None else None
+    chosen = alpha if best is None else best.alpha
+    return table.where(F.col("alpha") == F.lit(chosen)).select("slope", "accuracy", "spread").orderBy("slope")
+
+
 def reached(value: str, levels: dict[str, float]) -> Column:
     """Whether a column's level is the row's ``goal_level`` or a better one."""
     return numeric.reaches(numeric.nearest_level(F.col(value), levels), F.col("goal_level"), levels)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from prescriva.functions import text
+from prescriva.functions import dates, text
 from prescriva.operators import quantiles, ranks
 
 PAGE_MOST = 500
@@ -53,16 +53,16 @@ def distinct_examples(df: DataFrame, column: str, key: str, most: int = 5) -> Da
 
 
 def text_shapes(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, present, distinct, with_number, date_like): what the encoding of a text column is guessed from."""
+    """(column, present, distinct, with_number, date_like, date_read): what the encoding of a text column is guessed from; dates are told by their shape and by whether they can be read."""
     pairs = F.array(*(F.struct(F.lit(c).alias("column"), text.canonical(df, c).alias("value")) for c in columns))
     long = df.select(F.explode(pairs).alias("p")).select("p.*").where("value is not null")
     date = F.col("value").rlike(r"^([0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{4})")
-    return long.groupBy("column").agg(F.count(F.lit(1)).alias("present"), F.count_distinct("value").alias("distinct"), F.avg(F.col("value").rlike(r"^\D*\d+\D*$").cast("double")).alias("with_number"), F.avg(date.cast("double")).alias("date_like"))
+    return long.groupBy("column").agg(F.count(F.lit(1)).alias("present"), F.count_distinct("value").alias("distinct"), F.avg(F.col("value").rlike(r"^\D*\d+\D*$").cast("double")).alias("with_number"), F.avg(date.cast("double")).alias("date_like"), F.avg(dates.parsed(F.col("value")).isNotNull().cast("double")).alias("date_read"))
 
 
 def suggested_encoding(shapes: DataFrame) -> DataFrame:
     """(column, encoding, identifier) by the rules: two values are ordinal, dates, numbers in text, else nominal."""
-    rule = F.when(F.col("distinct") == 2, "ordinal").when(F.col("with_number") == 1.0, "numero_en_texto").when(F.col("date_like") >= 0.95, "fecha").otherwise("nominal")
+    rule = F.when(F.col("distinct") == 2, "ordinal").when(F.col("with_number") == 1.0, "numero_en_texto").when((F.col("date_like") >= 0.95) & (F.col("date_read") >= 0.95), "fecha").otherwise("nominal")
     return shapes.select("column", rule.alias("encoding"), (F.col("distinct") >= 0.95 * F.col("present")).alias("identifier"))
 
 
@@ -234,5 +234,10 @@ def strongest_pairs(r: DataFrame, objective: str, most: int = 10) -> DataFrame:
 
 
 def scatter_sample(df: DataFrame, key: str, most: int = 1500, seed: int = 42) -> DataFrame:
-    """At most ``most`` rows, by a hash of the key: the same whatever the partitions are."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(most)
+    """At most ``most`` rows, by a digest of key and seed: the same whatever the partitions are."""
+    return df.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}")).cast("binary")), key).limit(most)
+
+
+def axis_positions(means: DataFrame, category: str = "category", value: str = "encoded") -> DataFrame:
+    """(category, position): where categories without an order stand on an axis, from the least to the largest mean of the objective; equal means by name."""
+    return ranks.positions(means.select(category, value), [value, category], "position").select(category, "position")

@@ -24,9 +24,9 @@ def resolved(asked: DataFrame, name: str, columns: DataFrame, column: str) -> Da
     """(name, column): what each asked name means: a column's exact name, else one that is equal without case, accents and signs; null for none."""
     plain = lambda c: F.regexp_replace(text.folded(F.col(c)), "[^a-z0-9]+", "")
     known = columns.select(F.col(column).alias("_exact"), plain(column).alias("_plain"))
-    exact = asked.join(F.broadcast(known.select("_exact")), F.col(name) == F.col("_exact"), "left")  # columns of one table
+    exact = asked.join(known.select("_exact"), F.col(name) == F.col("_exact"), "left")
     loose = known.groupBy("_plain").agg(F.min("_exact").alias("_loose"))
-    return exact.join(F.broadcast(loose), plain(name) == F.col("_plain"), "left").select(name, F.coalesce("_exact", "_loose").alias("column"))
+    return exact.join(loose, plain(name) == F.col("_plain"), "left").select(name, F.coalesce("_exact", "_loose").alias("column"))
 
 
 def normalized_value(p: Preprocessor, column: str, shown: Column) -> Column:

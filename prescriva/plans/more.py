@@ -192,3 +192,10 @@ def prescribed_profile(spark, sf_dir):
 def concept_errors(spark, sf_dir):
     own = registry._predicted(spark, sf_dir).select(F.col("v").alias("end_y"), F.col("y").alias("true_y"))
     return rounded(evaluate.concept_errors(own, ["y"]))
+
+
+@query(o.scaled_sql(f", v AS (SELECT row_id, outcome, n_orders, avg_qty, avg_discount, {o.infer_sql(start='m')} AS v FROM (SELECT *, (SELECT AVG(y) FROM sx) AS m, {o.pull_sql()} AS p FROM sx)) SELECT row_id, outcome AS observed, ROUND(v, 6) AS activation, {o.LEVEL_SQL} AS level, row_id % 3 = 0 AS tested, " + ", ".join(f"ROUND({a} * (high_{a} - low_{a}) + low_{a}, 6) AS {a}_now" for a in o.ACTIONS) + " FROM v, lx"))
+def record_views(spark, sf_dir):
+    """Each customer's level, prediction and actions; every third is one of the test."""
+    df = tables.written(o.customer_outcome(spark, sf_dir), "outcome")
+    return rounded(_model(spark, sf_dir).record_view(df, "row_id", df.where("row_id % 3 = 0")).drop("taken", "converged"))

@@ -169,6 +169,30 @@ class Model:
         news = {f"{a}_new": F.get("actions", F.lit(i)) for i, a in enumerate(actions)}
         return x.join(found.withColumns(news), key)
 
+    def record_view(self, df: DataFrame, key: str, tested: DataFrame | None = None) -> DataFrame:
+        """(key, observed, activation, level, taken, converged, tested, <action>_now...) of each row: its level, what the map infers from the neutral start, and its actions in their own units. ``tested`` has the keys of the test rows; without it the column is null."""
+        p, ids = self.preprocessor, {c.column: c.id for c in self.preprocessor.schema.concepts}
+        told = self.predict(df, [key]).withColumn("observed", numeric.nearest_level(F.col(f"true_{self.objective}"), p.schema.level_values))
+        now = p.transform(df, [key]).select(key, *(p.original(ids[a.column], F.col(ids[a.column])).alias(f"{a.column}_now") for a in self.actions()))
+        out = told.select(key, "observed", "activation", "level", "taken", "converged").join(now, key)
+        if tested is None:
+            return out.withColumn("tested", F.lit(None).cast("boolean"))
+        marks = tested.select(F.col(key).alias("_key")).distinct()
+        return out.join(marks, F.col(key) == F.col("_key"), "left").withColumn("tested", F.col("_key").isNotNull()).drop("_key")
+
+    def info(self) -> dict:
+        """What the model is: plain values, of a size that depends on its concepts only."""
+        m, schema, i = self.map, self.preprocessor.schema, self.map.ids.index(self.objective)
+        names = {c.id: c.name for c in schema.concepts}
+        edges = [{"source": a, "target": b, "weight": float(m.weights[j, k])} for j, a in enumerate(m.ids) for k, b in enumerate(m.ids) if m.weights[j, k]]
+        return {
+            "objective": schema.objective.name, "levels": schema.level_values, "best_level": schema.best_level, "rule": m.rule, "activation": m.activation, "slope": m.slope,
+            "concepts": [{"id": c.id, "column": c.column, "name": c.name, "role": c.role, "dynamic": c.dynamic} for c in schema.concepts],
+            "edges": edges, "bias": float(m.bias[i]),
+            "influences": sorted(({"id": a, "name": names[a], "weight": float(m.weights[j, i])} for j, a in enumerate(m.ids) if m.weights[j, i]), key=lambda x: -abs(x["weight"])),
+            "actions": [asdict(a) for a in self.actions()],
+        }
+
     def actions(self) -> list[report.Action]:
         """Names, ranges and categories of the actions, as reports show them."""
         p = self.preprocessor
@@ -189,6 +213,8 @@ class Model:
         schema, levels, objective = p.schema, p.schema.level_values, self.objective
         if goal_level is not None and goal_level not in levels:
             raise ValueError(f"unknown level {goal_level}; there are {', '.join(levels)}")
+        if not profiles:
+            _check_orders(df, schema)
         if profiles:
             x = individual.profile_states(p, df, self.map.start, [key]).where("complete").drop("complete").withColumn("observed", F.lit(None).cast("string"))
         else:

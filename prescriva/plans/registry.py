@@ -227,7 +227,7 @@ def distinct_examples(spark, sf_dir):
     return explore.distinct_examples(_table(spark, sf_dir, "part"), "p_type", "p_partkey")
 
 
-_SHAPE = "SELECT '{c}' AS \"column\", COUNT(*) AS present, COUNT(DISTINCT v) AS \"distinct\", ROUND(AVG(CASE WHEN regexp_full_match(v, '\\D*\\d+\\D*') THEN 1.0 ELSE 0.0 END), 6) AS with_number, ROUND(AVG(CASE WHEN regexp_matches(v, '^([0-9]{{4}}[-/.][0-9]{{1,2}}[-/.][0-9]{{1,2}}|[0-9]{{1,2}}[-/.][0-9]{{1,2}}[-/.][0-9]{{4}})') THEN 1.0 ELSE 0.0 END), 6) AS date_like FROM (SELECT trim({e}) AS v FROM part) WHERE v IS NOT NULL"
+_SHAPE = "SELECT '{c}' AS \"column\", COUNT(*) AS present, COUNT(DISTINCT v) AS \"distinct\", ROUND(AVG(CASE WHEN regexp_full_match(v, '\\D*\\d+\\D*') THEN 1.0 ELSE 0.0 END), 6) AS with_number, ROUND(AVG(CASE WHEN regexp_matches(v, '^([0-9]{{4}}[-/.][0-9]{{1,2}}[-/.][0-9]{{1,2}}|[0-9]{{1,2}}[-/.][0-9]{{1,2}}[-/.][0-9]{{4}})') THEN 1.0 ELSE 0.0 END), 6) AS date_like, ROUND(AVG(CASE WHEN try_strptime(v, '%d/%m/%Y') IS NOT NULL THEN 1.0 ELSE 0.0 END), 6) AS date_read FROM (SELECT trim({e}) AS v FROM part) WHERE v IS NOT NULL"
 _DAY = "strftime(DATE '2024-01-01' + CAST(p_partkey % 300 AS INT), '%d/%m/%Y')"
 _SHAPES = " UNION ALL ".join(_SHAPE.format(c=c, e=e) for c, e in (("p_brand", "p_brand"), ("p_type", "p_type"), ("p_name", "p_name"), ("added", _DAY)))
 
@@ -241,7 +241,7 @@ def encoding_shapes(spark, sf_dir):
     return rounded(explore.text_shapes(_parts(spark, sf_dir), ["p_brand", "p_type", "p_name", "added"]))
 
 
-@query(f"SELECT \"column\", CASE WHEN \"distinct\" = 2 THEN 'ordinal' WHEN with_number = 1.0 THEN 'numero_en_texto' WHEN date_like >= 0.95 THEN 'fecha' ELSE 'nominal' END AS encoding, \"distinct\" >= 0.95 * present AS identifier FROM ({_SHAPES})")
+@query(f"SELECT \"column\", CASE WHEN \"distinct\" = 2 THEN 'ordinal' WHEN with_number = 1.0 THEN 'numero_en_texto' WHEN date_like >= 0.95 AND date_read >= 0.95 THEN 'fecha' ELSE 'nominal' END AS encoding, \"distinct\" >= 0.95 * present AS identifier FROM ({_SHAPES})")
 def suggest_encoding(spark, sf_dir):
     return explore.suggested_encoding(explore.text_shapes(_parts(spark, sf_dir), ["p_brand", "p_type", "p_name", "added"]))
 
@@ -302,6 +302,13 @@ def target_encoding(spark, sf_dir):
     return rounded(encode.target_means(df, "nation", encode.objective_value(df, o.SCHEMA)))
 
 
+@query(o.sql(", m AS (SELECT nation, ROUND((SUM(y) + 10 * (SELECT AVG(y) FROM oy)) / (COUNT(*) + 10), 9) AS e FROM oy GROUP BY nation) SELECT nation AS category, ROW_NUMBER() OVER (ORDER BY e, nation) - 1 AS position FROM m").replace(", m AS", ", oy AS (SELECT *, CASE outcome WHEN 'L' THEN 0.0 WHEN 'M' THEN 0.5 ELSE 1.0 END AS y FROM co), m AS", 1))
+def axis_of_categories(spark, sf_dir):
+    df = o.customer_outcome(spark, sf_dir)
+    means = encode.target_means(df, "nation", encode.objective_value(df, o.SCHEMA))
+    return explore.axis_positions(means.withColumn("encoded", F.round("encoded", 9)))
+
+
 @query(o.sql("SELECT row_id, ROUND(COALESCE(e, (SELECT AVG(y) FROM oy WHERE row_id % 2 = 0)), 6) AS encoded FROM co LEFT JOIN (SELECT mkt, (SUM(y) + 10 * (SELECT AVG(y) FROM oy WHERE row_id % 2 = 0)) / (COUNT(*) + 10) AS e FROM oy WHERE row_id % 2 = 0 AND mkt <> 'BUILDING' OR row_id % 2 = 0 GROUP BY mkt) AS m USING (mkt)").replace("SELECT row_id, ROUND(COALESCE(e", ", oy AS (SELECT *, CASE outcome WHEN 'L' THEN 0.0 WHEN 'M' THEN 0.5 ELSE 1.0 END AS y FROM co) SELECT row_id, ROUND(COALESCE(e", 1))
 def target_encoding_apply(spark, sf_dir):
     df = o.customer_outcome(spark, sf_dir)
@@ -468,7 +475,7 @@ def typical_profile(spark, sf_dir):
     return explore.typical_row(_table(spark, sf_dir, "lineitem"), ["l_quantity"], ["l_returnflag"], "l_orderkey")
 
 
-@query()
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY md5(o_orderkey::VARCHAR || ':42'), o_orderkey LIMIT 200")
 def scatter_sample(spark, sf_dir):
     return explore.scatter_sample(_table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 200)
 

@@ -82,3 +82,13 @@ def test_positions_and_running_sums(spark):
     assert {r.k: r.number for r in ranks.dense_numbers(df, ["k"]).collect()} == {None: 0, "Z": 1, "a": 2, "b": 3, "é": 4}
     assert ranks.positions(df.limit(0), ["k"]).count() == 0
     assert Counter(r.p for r in ranks.positions(df, ["n"], "p").collect()) == Counter(range(500))
+
+
+def test_notes_of_a_suggestion(spark):
+    df = spark.range(200).select((F.col("id") % 90).cast("double").alias("dropout"), (F.col("id") % 7).alias("edad"))
+    found, notes = suggest.suggest(df)
+    assert found.inverted and any("menos es mejor" in n for n in notes) and any("No se reconocieron acciones" in n for n in notes)
+    odd = spark.range(60).select((F.col("id") % 5).alias("horas"), F.when(F.col("id") % 2 == 0, "verde").otherwise("azul").alias("grupo"))
+    found, notes = suggest.suggest(odd)
+    assert found.objective.name == "grupo" and any("se propone la última (grupo)" in n for n in notes) and any("Revise el orden de grupo" in n for n in notes)
+    assert suggest.certain(["L", "M", "H"]) and suggest.certain(["Graduate", "other"]) and not suggest.certain(["verde", "azul"])

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from prescriva.operators import individual, prescribe, quantiles, report
+from prescriva.operators import evaluate, individual, prescribe, quantiles, report
 from prescriva.plans import more, outcome, prescriptive
 from prescriva.sources import registry, tables
 
@@ -165,3 +165,19 @@ def test_population_and_command_line(spark, tmp_path, capsys):
     said = capsys.readouterr().out
     assert "prescribed: " in said and "region = ASIA" in said and "macro F1" in said
     assert spark.read.option("header", True).csv(f"{tmp_path}/out/recommendations").count() > 0
+
+
+def test_what_a_model_is(spark):
+    model = more._model(spark, "/root/testdata/sf0.001")
+    told = model.info()
+    assert told["best_level"] == "H" and [x["weight"] for x in told["influences"]] == [0.8, -0.15, 0.1, -0.1, 0.05] and len(told["edges"]) == 5
+    odd = outcome.customer_outcome(spark, "/root/testdata/sf0.001").where("row_id between 1 and 3").withColumn("outcome", F.lit("?"))
+    with pytest.raises(ValueError, match="outcome"):
+        model.prescribe_records(odd, "row_id")
+
+
+def test_curve_of_a_selection(spark):
+    rows = [(1.0, 1e-3, 0.6, 0.1, 0.2), (2.0, 1e-3, 0.8, 0.1, 0.2), (2.0, 1e-2, 0.7, 0.1, 0.2), (0.5, 1e-3, 0.8, 0.2, 0.3)]
+    table = spark.createDataFrame(rows, "slope double, alpha double, accuracy double, spread double, mae double")
+    assert [r.slope for r in evaluate.selection_curve(table).collect()] == [0.5, 1.0, 2.0]
+    assert [r.accuracy for r in evaluate.selection_curve(table, 1e-2).collect()] == [0.7]
