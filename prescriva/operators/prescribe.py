@@ -159,8 +159,8 @@ def _bred(genes: np.ndarray, low: np.ndarray, high: np.ndarray, seeds: np.ndarra
     return np.clip(moved, low[:, None], high[:, None])
 
 
-def evolve(price, low: np.ndarray, high: np.ndarray, now: np.ndarray, seeds: np.ndarray, s: Search) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All records of a batch at once: (best genes, least cost and mean cost of each generation, generations made, best genes of each generation) of each.
+def evolve(price, low: np.ndarray, high: np.ndarray, now: np.ndarray, seeds: np.ndarray, s: Search, tops: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All records of a batch at once: (best genes, least cost and mean cost of each generation, generations made) of each; ``tops`` (records, generations + 1, genes), where given, gets the best genes of each generation.
 
     ``low``, ``high``, ``now``: (records, genes); ``price(genes, records)`` gives costs of
     (records, individuals, genes). What a record does now is one of its first
@@ -170,7 +170,6 @@ def evolve(price, low: np.ndarray, high: np.ndarray, now: np.ndarray, seeds: np.
     records, k = low.shape
     best = np.clip(now, low, high)
     least, mean = (np.full((records, s.generations + 1), np.nan) for _ in range(2))
-    tops = np.full((records, s.generations + 1, k), np.nan)
     made = np.zeros(records, dtype=np.int32)
     live, top, idle = np.arange(records), np.full(records, np.inf), np.zeros(records, dtype=np.int64)
     genes = low[:, None] + (high - low)[:, None] * _uniform(seeds, 0, s.population, k)
@@ -183,7 +182,8 @@ def evolve(price, low: np.ndarray, high: np.ndarray, now: np.ndarray, seeds: np.
         order = np.argsort(costs, axis=1, kind="stable")
         genes, costs = np.take_along_axis(genes, order[:, :, None], axis=1), np.take_along_axis(costs, order, axis=1)
         least[live, g], mean[live, g], made[live] = costs[:, 0], costs.mean(axis=1), g
-        tops[live, g] = genes[:, 0]
+        if tops is not None:
+            tops[live, g] = genes[:, 0]
         better = costs[:, 0] < top[live] - 1e-9
         idle[live] = np.where(better | (g == 0), 0, idle[live] + 1)
         top[live] = np.minimum(top[live], costs[:, 0])
@@ -192,7 +192,7 @@ def evolve(price, low: np.ndarray, high: np.ndarray, now: np.ndarray, seeds: np.
         live, genes, costs = live[stays], genes[stays], costs[stays]
         if not len(live):
             break
-    return best, least, mean, made, tops
+    return best, least, mean, made
 
 
 def _snapped(genes: np.ndarray, low: np.ndarray, high: np.ndarray, plan: Plan) -> np.ndarray:
@@ -283,7 +283,8 @@ def genetic_prescriptions(x: DataFrame, m: CognitiveMap, plan: Plan, key: str, g
         seeds = batch.column("_seed").to_numpy().astype(np.int64).view(np.uint64)
         snapped = lambda genes, own: _snapped(genes, low[own], high[own], plan)
         price = lambda genes, own: _costs(m, plan, states[own], snapped(genes, own), wanted_goal[own], wants[own], named)[0]
-        best, least, mean, made, tops = evolve(price, low, high, states[:, at], seeds, search)
+        tops = np.full((len(states), search.generations + 1, len(at)), np.nan)
+        best, least, mean, made = evolve(price, low, high, states[:, at], seeds, search, tops)
         every = np.arange(len(best))
         best, tops = snapped(best[:, None], every)[:, 0], snapped(tops, every)
         changed = states.copy()
