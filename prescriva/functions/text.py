@@ -40,11 +40,11 @@ def readable(c: Column) -> Column:
     return F.when(~F.contains(c, F.lit("_")) | (spaced == ""), c).otherwise(shown)
 
 
-def number(c: Column, decimals: int = 2) -> Column:
-    """A number with points between thousands, a decimal comma and no trailing zeros."""
+def number(c: Column, decimals: int = 2, signed_zero: bool = False) -> Column:
+    """A number with points between thousands, a decimal comma and no trailing zeros; what rounds to a negative zero is 0, or -0 with ``signed_zero``."""
     plain = F.translate(F.format_number(c.cast("double"), decimals), ",.", ".,")
     short = F.regexp_replace(F.regexp_replace(plain, r"(,\d*?)0+$", "$1"), ",$", "") if decimals else plain
-    return F.regexp_replace(short, "^-0$", "0")
+    return short if signed_zero else F.regexp_replace(short, "^-0$", "0")
 
 
 def decimals_of(low: float, high: float) -> int:
