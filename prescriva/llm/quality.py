@@ -1,8 +1,8 @@
 """Quality by the perplexity of an interpolated modified Kneser-Ney model (operator 3).
 
-The model is an n-gram model of order 4 over 64 classes of bytes (small letters, capitals
-as one, digits as one, some marks, the bytes of other scripts), trained on trusted text:
-documents labelled of good quality. Counts are sharded and joined: each block of
+The model is an n-gram model of order 4 over whole bytes, trained on trusted text:
+documents labelled of good quality. Other alphabets, such as 64 classes of bytes (small
+letters, capitals as one, digits as one, some marks, the bytes of other scripts), can be given. Counts are sharded and joined: each block of
 documents sends the distinct n-grams of its texts with their trusted counts; these are
 summed by n-gram; continuation counts, discounts (from the counts of counts), context
 totals and interpolated probabilities of all orders are made by group-bys and joins of
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,8 +36,20 @@ from prescriva.llm import shared, sharded
 from prescriva.llm.wordhash import text_bytes
 from prescriva.operators.quantiles import order_statistics
 
-ORDER, BITS = 4, 6
+ORDER = 4
 QUANTILE = 0.995
+#: Tables of at most so many rows are sent to all tasks.
+SENT = 64**3
+#: Entries that a block's n-grams may have before they are added up.
+PENDING = 1 << 22
+
+
+class Alphabet(NamedTuple):
+    """Byte -> symbol from 1; 0 stands before a text. ``size`` is what a symbol is uniform over."""
+
+    symbols: np.ndarray
+    bits: int
+    size: int
 
 
 def _classes() -> np.ndarray:
@@ -56,20 +69,22 @@ def _classes() -> np.ndarray:
 
 
 _CLASS = _classes()
+CLASSES = Alphabet(_CLASS, 6, 64)
+BYTES = Alphabet(np.arange(1, 257, dtype=np.uint32), 9, 256)
 
 
-def grams(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def grams(column: pa.Array, alphabet: Alphabet) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(n-gram that ends at each byte, bytes of each text), for runs of texts of about a MB."""
     data, offsets = text_bytes(column)
     i, n = 0, len(column)
     while i < n:
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + (1 << 20), "right")) - 1)
         sizes = np.diff(offsets[i : j + 1])
-        part = _CLASS[data[offsets[i] : offsets[j]]]
+        part = alphabet.symbols[data[offsets[i] : offsets[j]]].astype(np.int64)
         code = part.copy()
         within = np.arange(len(part)) - np.repeat(offsets[i:j] - offsets[i], sizes)
         for k in range(1, ORDER):
-            code[k:] |= np.where(within[k:] >= k, part[:-k] << np.uint32(BITS * k), 0).astype(np.uint32)
+            code[k:] |= np.where(within[k:] >= k, part[:-k] << (alphabet.bits * k), 0)
         yield code, sizes
         i = j
 
@@ -90,31 +105,38 @@ class _Trusted:
         return np.array([r in self.rows for r in batch.column("row").to_pylist()], dtype=bool)
 
 
-def block_grams(ready: DataFrame, trusted: sharded.Folder) -> DataFrame:
+def block_grams(ready: DataFrame, trusted: sharded.Folder, alphabet: Alphabet) -> DataFrame:
     """(block, gram, n): distinct n-grams of each block's texts and their count in trusted ones."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks, now = _Trusted(trusted), None
-        seen, count = np.zeros(1 << (BITS * ORDER), dtype=bool), np.zeros(1 << (BITS * ORDER), dtype=np.int32)
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def added() -> tuple[np.ndarray, np.ndarray]:
+            return sharded.summed(*(np.concatenate([x[i] for x in parts]) for i in (0, 1)))
 
-        def flush() -> pa.RecordBatch:
-            own = np.flatnonzero(seen)
-            out = pa.RecordBatch.from_arrays([pa.array(np.full(len(own), now, dtype=np.int64)), pa.array(own.astype(np.int32)), pa.array(count[own].astype(np.int64))], names=["block", "gram", "n"])
-            seen[own], count[own] = False, 0
-            return out
+        def flush() -> Iterator[pa.RecordBatch]:
+            own, n = added() if parts else (np.empty(0, np.int64), np.empty(0, np.int64))
+            parts.clear()
+            for s in range(0, len(own), 1 << 17):
+                part = own[s : s + (1 << 17)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), now, dtype=np.int64)), pa.array(part), pa.array(n[s : s + (1 << 17)])], names=["block", "gram", "n"])
 
         for block, batch in sharded.by_block(batches):
             if now is not None and block != now:
-                yield flush()
+                yield from flush()
             now, good, at = block, marks.of(block, batch), 0
-            for code, sizes in grams(batch.column("text")):
-                seen[code] = True
-                np.add.at(count, code[np.repeat(good[at : at + len(sizes)], sizes)], np.int32(1))
+            for code, sizes in grams(batch.column("text"), alphabet):
+                own = np.repeat(good[at : at + len(sizes)], sizes)
+                other = np.unique(code[~own])
+                parts += [np.unique(code[own], return_counts=True), (other, np.zeros(len(other), np.int64))]
                 at += len(sizes)
+                if sum(len(x) for x, _ in parts) > PENDING:
+                    parts[:] = [added()]
         if now is not None:
-            yield flush()
+            yield from flush()
 
-    return ready.mapInArrow(run, "block long, gram int, n long")
+    return ready.mapInArrow(run, "block long, gram long, n long")
 
 
 def _discounts(table: DataFrame) -> list[float]:
@@ -129,59 +151,59 @@ def _discount(c: Column, d: list[float]) -> Column:
     return F.when(c == 1, d[0]).when(c == 2, d[1]).otherwise(d[2])
 
 
-def orders(counts: DataFrame) -> list[tuple[DataFrame, DataFrame, list[float]]]:
+def orders(counts: DataFrame, alphabet: Alphabet) -> list[tuple[DataFrame, DataFrame, list[float]]]:
     """For the orders 1 to ORDER: (gram, c), (context, total, gamma) and the discounts. ``counts``: (gram, c), c > 0."""
-    table, out = counts, []
+    table, bits, out = counts, alphabet.bits, []
     for k in range(ORDER, 0, -1):
         if k < ORDER:
-            below = table.select((F.col("gram").bitwiseAND((1 << (BITS * k)) - 1)).alias("gram"))
+            below = table.select((F.col("gram").bitwiseAND((1 << (bits * k)) - 1)).alias("gram"))
             table = shared.written(below.groupBy("gram").agg(F.count(F.lit(1)).alias("c")), "grams")
         d = _discounts(table)
         few = [F.sum((F.col("c") == j).cast("long")) * d[j - 1] for j in (1, 2)] + [F.sum((F.col("c") >= 3).cast("long")) * d[2]]
-        contexts = table.groupBy(F.shiftright("gram", BITS).alias("context")).agg(F.sum("c").alias("total"), (few[0] + few[1] + few[2]).alias("kept_back"))
+        contexts = table.groupBy(F.shiftright("gram", bits).alias("context")).agg(F.sum("c").alias("total"), (few[0] + few[1] + few[2]).alias("kept_back"))
         out.append((table, contexts.select("context", "total", (F.col("kept_back") / F.col("total")).alias("gamma")), d))
     return out[::-1]
 
 
-def log_probabilities(wanted: DataFrame, counts: DataFrame) -> DataFrame:
+def log_probabilities(wanted: DataFrame, counts: DataFrame, alphabet: Alphabet) -> DataFrame:
     """(gram, logp): log10 of the interpolated probability of the last class after the others, for each wanted ``gram``."""
-    p = wanted.select("gram", F.lit(1.0 / (1 << BITS)).alias("p"))
-    for k, (table, contexts, d) in enumerate(orders(counts), start=1):
-        own = F.col("gram").bitwiseAND((1 << (BITS * k)) - 1)
-        p = p.withColumn("own", own).withColumn("context", F.shiftright("own", BITS))
-        # An order has at most 64**k n-grams and 64**(k - 1) contexts, whatever the corpus; up to 64**3 rows of some numbers are sent to all tasks, so that no frequent context lands in one.
-        sent = lambda df, rank: F.broadcast(df) if rank < ORDER else df
+    p = wanted.select("gram", F.lit(1.0 / alphabet.size).alias("p"))
+    for k, (table, contexts, d) in enumerate(orders(counts, alphabet), start=1):
+        own = F.col("gram").bitwiseAND((1 << (alphabet.bits * k)) - 1)
+        p = p.withColumn("own", own).withColumn("context", F.shiftright("own", alphabet.bits))
+        # An order has at most (size + 1)**k n-grams, whatever the corpus; small ones are sent to all tasks. Of the others a key has at most (size + 1)**(ORDER - rank) rows, so that none is frequent.
+        sent = lambda df, rank: F.broadcast(df) if alphabet.size**rank <= SENT else df
         p = p.join(sent(table.select(F.col("gram").alias("own"), "c"), k), "own", "left").join(sent(contexts, k - 1), "context", "left")
         direct = F.coalesce((F.col("c") - _discount(F.col("c"), d)) / F.col("total"), F.lit(0.0))
         p = p.select("gram", F.when(F.col("total").isNull(), F.col("p")).otherwise(direct + F.col("gamma") * F.col("p")).alias("p"))
     return p.select("gram", F.log10("p").alias("logp"))
 
 
-def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def perplexities(docs: DataFrame, labels: DataFrame, alphabet: Alphabet = CLASSES) -> DataFrame:
     """(doc_id, lang, trusted, perplexity) of each row of ``docs`` (doc_id, text, lang)."""
     docs = sharded.from_files(docs)
     ready = sharded.with_blocks(docs, ["doc_id", "text", "lang"])
     shards = sharded.shards_of(docs)
     trusted = trusted_rows(ready, labels, shards)
-    asked = shared.written(block_grams(ready.select("text", "block", "row"), trusted), "asked")
+    asked = shared.written(block_grams(ready.select("text", "block", "row"), trusted, alphabet), "asked")
     summed = asked.groupBy("gram").agg(F.sum("n").alias("c"))
     summed = shared.written(summed, "grams")
-    known = shared.written(log_probabilities(summed.select("gram"), summed.where("c > 0")), "logp")
+    known = shared.written(log_probabilities(summed.select("gram"), summed.where("c > 0"), alphabet), "logp")
     path = sharded.write_by_block(asked.select("block", "gram").join(known, "gram").select("block", "gram", F.col("logp").cast("float")), "answers", shards)
     for table in (asked, summed, known):
         shared.drop_table(table)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks, answers, now = _Trusted(trusted), sharded.Answers(path), None
-        table = np.zeros(1 << (BITS * ORDER), dtype=np.float32)
         for block, batch in sharded.by_block(batches):
             if block != now:
                 now, own = block, answers.table(block, ["gram", "logp"])
-                if own:
-                    table[own.column("gram").to_numpy()] = own.column("logp").to_numpy()
+                keys, logp = (own.column(c).to_numpy() for c in ("gram", "logp")) if own else (np.empty(0, np.int64), np.empty(0, np.float32))
+                order = np.argsort(keys)
+                keys, logp = keys[order], logp[order]
             out = []
-            for code, sizes in grams(batch.column("text")):
-                total = np.concatenate([[0.0], np.cumsum(table[code], dtype=np.float64)])
+            for code, sizes in grams(batch.column("text"), alphabet):
+                total = np.concatenate([[0.0], np.cumsum(logp[np.searchsorted(keys, code)], dtype=np.float64)])
                 ends = np.cumsum(sizes)
                 out.append(np.where(sizes > 0, 10 ** -((total[ends] - total[ends - sizes]) / np.maximum(sizes, 1)), np.nan))
             value = np.concatenate(out)
@@ -190,9 +212,9 @@ def perplexities(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return ready.mapInArrow(run, "doc_id long, lang string, trusted boolean, perplexity double")
 
 
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, alphabet: Alphabet = CLASSES) -> DataFrame:
     """(doc_id, perplexity, threshold, kept) of each row of ``docs``."""
-    scored = shared.written(perplexities(docs, labels), "perplexity")
+    scored = shared.written(perplexities(docs, labels, alphabet), "perplexity")
     good = scored.where("trusted and perplexity is not null")
     # The least perplexity that so many of the trusted ones don't exceed, exactly.
     rank = lambda n: [max(math.ceil(quantile * n) - 1, 0)]
@@ -206,5 +228,5 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) ->
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Perplexities of all ``documents`` under the trusted ones, and which are kept."""
-    return classify(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    """Perplexities of all ``documents`` under the trusted ones, and which are kept; over whole bytes."""
+    return classify(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"), alphabet=BYTES)
