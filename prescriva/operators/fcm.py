@@ -127,19 +127,36 @@ def iterate(m: CognitiveMap, x: np.ndarray, steps: int | None = None, trace: boo
     times = lambda rows, w: np.einsum("ij,jk->ik", rows, w)
     pull = m.influence * (times(a * x[:, still] + c, m.weights[np.ix_(still, moving)]) + m.bias[moving])
     inner = m.influence * m.weights[np.ix_(moving, moving)]
-    taken, active, states = np.zeros(len(x), dtype=np.int32), np.ones(len(x), dtype=bool), [x.copy()] if trace else []
+    # Rows that still move, side by side: their states and pulls shrink as rows stop.
+    rows, now, own = np.arange(len(x)), x[:, moving], pull
+    taken, states = np.zeros(len(x), dtype=np.int32), [x.copy()] if trace else []
+    # The same sums in the same order, without what multiplies by one or adds zero.
+    plain, alone = (a, c) == (1, 0), not inner.any()
     for _ in range(steps or m.steps):
-        u = a * x[np.ix_(active, moving)] + c
-        new = 1 / (1 + np.exp(-slope * (memory * u + pull[active] + times(u, inner))))
-        change = np.abs(new - x[np.ix_(active, moving)]).max(axis=1)
-        x[np.ix_(active, moving)] = new
-        taken[active] += 1
+        u = now if plain else a * now + c
+        new = memory * u
+        new += own
+        if not alone:
+            new += u * inner if len(moving) == 1 else times(u, inner)
+        new *= -slope
+        np.exp(new, out=new)
+        new += 1
+        np.divide(1, new, out=new)
         if trace:
+            x[np.ix_(rows, moving)] = new
             states.append(x.copy())
+        taken[rows] += 1
         if steps is None:
-            active[np.flatnonzero(active)[change < m.tolerance]] = False
-            if not active.any():
-                break
+            moved = np.abs(new - now)
+            stays = ~((moved[:, 0] if len(moving) == 1 else moved.max(axis=1)) < m.tolerance)
+            if not stays.all():
+                left = ~stays
+                x[np.ix_(rows[left], moving)] = new[left]
+                rows, new, own = rows[stays], new[stays], own[stays]
+        now = new
+        if not len(rows):
+            break
+    x[np.ix_(rows, moving)] = now
     return x, taken, states
 
 

@@ -104,6 +104,10 @@ def grid_prescriptions(x: DataFrame, m: CognitiveMap, plan: Plan, key: str, goal
     return best.select(key, "b.*")
 
 
+#: Records that are searched as one array: few generations of most, many of some, so that late ones still have rows to fill a call.
+SIDE_BY_SIDE = 1024
+
+
 @dataclass(frozen=True)
 class Search:
     """Options of the genetic search."""
@@ -153,9 +157,10 @@ def _bred(genes: np.ndarray, low: np.ndarray, high: np.ndarray, seeds: np.ndarra
     other = other & (_uniform(seeds, stream + 2, pairs, 1) < s.crossover)
     children = np.concatenate([np.where(other, right, left), np.where(other, left, right)], axis=1)[:, : p - s.elite]
     hit = _uniform(seeds, stream + 3, *children.shape[1:]) < s.mutation
-    radius = np.sqrt(-2 * np.log1p(-_uniform(seeds, stream + 4, *children.shape[1:])))
-    normal = radius * np.cos(2 * np.pi * _uniform(seeds, stream + 5, *children.shape[1:]))
-    moved = children + np.where(hit, normal, 0.0) * s.spread * (high - low)[:, None]
+    radius = np.sqrt(-2 * np.log1p(-_uniform(seeds, stream + 4, *children.shape[1:])[hit]))
+    normal = np.zeros(children.shape)
+    normal[hit] = radius * np.cos(2 * np.pi * _uniform(seeds, stream + 5, *children.shape[1:])[hit])
+    moved = children + normal * s.spread * (high - low)[:, None]
     return np.clip(moved, low[:, None], high[:, None])
 
 
@@ -261,6 +266,13 @@ def priced(x: DataFrame, m: CognitiveMap, plan: Plan, key: str, goal: str, news:
     return own.mapInArrow(run, StructType([x.schema[key], StructField("cost", DoubleType()), StructField("activation", DoubleType())]))
 
 
+def _lists(values: np.ndarray | pa.Array, sizes: np.ndarray | None = None) -> pa.ListArray:
+    """The rows of a matrix, or runs of ``sizes`` values, as lists."""
+    if sizes is None:
+        sizes, values = np.full(len(values), values.shape[1]), values.ravel()
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), values if isinstance(values, pa.Array) else pa.array(values, pa.float64()))
+
+
 def genetic_prescriptions(x: DataFrame, m: CognitiveMap, plan: Plan, key: str, goal: str, search: Search = Search(), seed: int = 42, wanted: dict[str, str] | None = None) -> DataFrame:
     """(key, actions, cost, base, activation, generations, history, mean_history, action_history, base_state, state) of each row of ``x`` (concepts and the column ``goal``).
 
@@ -290,14 +302,13 @@ def genetic_prescriptions(x: DataFrame, m: CognitiveMap, plan: Plan, key: str, g
         changed = states.copy()
         changed[:, at] = best
         base, end = (iterate(m, v)[0] for v in (states, changed))
-        lists = lambda rows: pa.array([row[: n + 1].tolist() for row, n in zip(rows, made, strict=True)])
-        of = pa.list_(pa.float64())
-        return [batch.column(key), pa.array(best.tolist(), of), pa.array(least[every, made]), pa.array(base[:, objective]), pa.array(end[:, objective]), pa.array(made), lists(least).cast(of), lists(mean).cast(of), lists(tops).cast(pa.list_(of)), pa.array(base.tolist(), of), pa.array(end.tolist(), of)]
+        upto, sizes = np.arange(search.generations + 1) <= made[:, None], made + 1
+        return [batch.column(key), _lists(best), pa.array(least[every, made]), pa.array(base[:, objective]), pa.array(end[:, objective]), pa.array(made), _lists(least[upto], sizes), _lists(mean[upto], sizes), _lists(_lists(tops[upto]), sizes), _lists(base), _lists(end)]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                yield pa.RecordBatch.from_arrays(found(batch.slice(start, 256)), names=[f.name for f in fields])
+            for start in range(0, batch.num_rows, SIDE_BY_SIDE):
+                yield pa.RecordBatch.from_arrays(found(batch.slice(start, SIDE_BY_SIDE)), names=[f.name for f in fields])
 
     # The search is what costs, so records are spread over all cores first.
     parts = int(x.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -320,9 +331,8 @@ def _padded(results: DataFrame, columns: list[str]) -> DataFrame:
 
 def convergence(results: DataFrame) -> DataFrame:
     """(generation, q1, median, q3) of ``history``, the best costs; records that ended earlier keep their last. ``results`` is read several times."""
-    own = _padded(results, ["history"]).select("generation", F.col("history_at").alias("best"))
-    table = quantiles.quantile_table(own, ["best"], {"q1": 0.25, "median": 0.5, "q3": 0.75}, "generation")
-    return table.select(F.col("generation").cast("int").alias("generation"), "q1", "median", "q3")
+    found = quantiles.by_place(results, "history", (0.25, 0.5, 0.75))
+    return results.sparkSession.createDataFrame([(g, *values) for g, values in found], "generation int, q1 double, median double, q3 double")
 
 
 def progress(results: DataFrame) -> DataFrame:
