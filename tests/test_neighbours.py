@@ -52,3 +52,17 @@ def test_smote_between_neighbours(spark):
     assert sorted(map(tuple, again)) == sorted(map(tuple, out))  # whatever the layout
     assert split.smote(df.limit(0), ["a", "b"], "level", "id").count() == 0
     assert split.smote(df.where(F.col("level") == "many"), ["a", "b"], "level", "id").count() == 300
+
+
+def test_cells_are_even_and_small_and_a_tie_in_every_cell_is_found(spark):
+    """Leaves of a tree over some rows hold about as many of all rows each; a grid's equally near rows are those of the smallest keys."""
+    from prescriva.operators.neighbours import _Tree
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(0, 1, (8000, 5)) ** 3
+    cell, curve = _Tree.of(x[:1000], 4).place(x)
+    assert set(cell) == set(range(16)) and np.bincount(cell).max() < 2 * 8000 / 16 and curve.min() >= 0
+    grid = np.array([(i % 40, i // 40) for i in range(1600)], dtype=float)
+    df = spark.createDataFrame([(i, "A", *v) for i, v in enumerate(grid.tolist())], "id long, level string, a double, b double").repartition(3)
+    got = {r.key: [(n.distance, n.key) for n in r.near] for r in nearest(df, ["a", "b"], "level", "id").collect()}
+    assert got == brute(grid, list(range(1600)), 5)
