@@ -22,7 +22,9 @@ and are read back as null; an empty table gives no shard.
 from __future__ import annotations
 
 import itertools
+import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -47,27 +49,63 @@ FENCE = "\ue000"
 TOKENIZER = "word_bpe_49k.json"
 MANIFEST = "shard int, file string, documents long, tokens long, bytes long, first_id long, last_id long"
 
-_TABLES: dict[str, ChunkTable] = {}
-
-
-def _table(path: str) -> ChunkTable:
-    """This worker's table: a chunk between ASCII white space -> its ids as bytes.
+#: What the short ways below follow; a tokenizer with other rules gets its chunks as they are, and whole.
+RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+#: Printable ASCII and Latin-1's letters with a case: NFC keeps them, their lower case is among them, and ``PIECE`` cuts that as the tokenizer does.
+PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]*")
+PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+#: Characters one of which could be a mark that NFC joins to a letter before it, which small and capital letters may do differently.
+MARKS = r"[^\x00-\x{2ff}\x{2010}-\x{205e}]"
+#: A letter or digit before ASCII punctuation: the tokenizer always cuts there.
+BORDER = r"([0-9A-Za-zÀ-ÖØ-öø-ÿ])([!-/:-@\[-`{-~])"
+
+_TABLES: dict[str, tuple[ChunkTable, str | None]] = {}
+
+
+def _added(path: str) -> str | None:
+    """What all added tokens begin with, where the tokenizer follows ``RULES``: a text without it holds none of them."""
+    with open(path, encoding="utf-8") as file:
+        rules = json.load(file)
+    added = os.path.commonprefix([t["content"] for t in rules["added_tokens"]])
+    return added if added and all(rules[k] == v for k, v in RULES.items()) else None
+
+
+def _spread(texts: pa.Array, added: str) -> pa.Array:
+    """``texts`` with the same ids and fewer distinct chunks: punctuation behind words stands alone, and ASCII letters are small where no mark can follow one."""
+    cut = pc.replace_substring_regex(texts, BORDER, r"\1 \2")
+    small = pc.if_else(pc.match_substring_regex(texts, MARKS), cut, pc.ascii_lower(cut))
+    return pc.if_else(pc.match_substring(texts, added), texts, small)
+
+
+def _table(path: str) -> tuple[ChunkTable, str | None]:
+    """This worker's table: a chunk between ASCII white space -> its ids as bytes; and what ``_added`` says.
 
     The tokenizer drops white space before it segments and nothing it does looks across
     it (an empty chunk, before or behind all others, has no ids), so that a text's ids are those of its chunks, one after another.
     """
     if path not in _TABLES:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         tokenizer = Tokenizer.from_file(path)
         fence = tokenizer.encode(FENCE, add_special_tokens=False).ids
+        added, merge = _added(path), tokenizer.model.tokenize
+        spell = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
 
         def alone(chunks: list[str]) -> Iterator[bytes]:
             for one in tokenizer.encode_batch_fast(chunks, add_special_tokens=False):
                 yield struct.pack(f"<{len(one.ids)}I", *one.ids)
 
-        def work_out(chunks: list[str]) -> list[bytes]:
+        def whole(chunks: list[str]) -> list[bytes]:
             """Many chunks in one text, with a fence between them that none of them has: a call for each costs more than its merges."""
             fenced = [i for i, c in enumerate(chunks) if FENCE in c] if fence else range(len(chunks))
             other = dict(zip(fenced, alone([chunks[i] for i in fenced]), strict=True))
@@ -84,26 +122,36 @@ def _table(path: str) -> ChunkTable:
                     out[i] = body[s:e]
             return out
 
-        _TABLES[path] = ChunkTable(work_out)
+        def by_pieces(chunk: str) -> bytes:
+            """A plain chunk's ids by the library's model alone, without its normalizers' and splits' cost."""
+            ids = [token.id for piece in PIECE.findall(chunk.lower()) for token in merge(piece if piece.isascii() else spell(piece)[0][0])]
+            return struct.pack(f"<{len(ids)}I", *ids)
+
+        def work_out(chunks: list[str]) -> list[bytes]:
+            plain = [added is not None and PLAIN.fullmatch(c) is not None and added not in c for c in chunks]
+            rest = iter(whole([c for c, p in zip(chunks, plain, strict=True) if not p]))
+            return [by_pieces(c) if p else next(rest) for c, p in zip(chunks, plain, strict=True)]
+
+        _TABLES[path] = ChunkTable(work_out), added
     return _TABLES[path]
 
 
 def encode(column: pa.Array, path: str, end_id: int) -> list[bytes]:
     """Ids of each text, with the end id, as little-endian bytes; a null is empty."""
-    words = pc.ascii_split_whitespace(pc.fill_null(column, ""))
-    offsets = words.offsets.to_numpy()
-    coded = words.flatten().dictionary_encode()
-    at, distinct = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-    table = _table(path).lookup([distinct])
-    parts = [table[w] for w in distinct]
-    sizes = np.array([len(x) // 4 for x in parts], dtype=np.int64)
-    ids = np.frombuffer(b"".join(parts), dtype="<u4")
-    own = sizes[at]
-    ends = np.cumsum(own)
-    flat = ids[np.repeat((np.cumsum(sizes) - sizes)[at] - (ends - own), own) + np.arange(len(own) and ends[-1])]
-    cuts = np.concatenate([[0], ends])[offsets - offsets[0]].tolist()
+    table, added = _table(path)
+    texts = pc.fill_null(column, "")
+    whole = added is None or texts.nbytes > 1 << 30  # spaces put in might pass 32-bit offsets
+    words = pc.ascii_split_whitespace(texts if whole else _spread(texts, added))
     end = struct.pack("<I", end_id)
-    return [flat[s:e].tobytes() + end for s, e in itertools.pairwise(cuts)]
+    coded = words.flatten().dictionary_encode()
+    if not len(coded):
+        return [end] * len(column)
+    parts = table.lookup(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+    flat = pa.array(parts, pa.large_binary()).take(coded.indices)
+    starts, data = np.frombuffer(flat.buffers()[1], dtype=np.int64), memoryview(flat.buffers()[2] or b"")
+    offsets = words.offsets.to_numpy()
+    cuts = starts[offsets - offsets[0]].tolist()
+    return [bytes(data[s:e]) + end for s, e in itertools.pairwise(cuts)]
 
 
 class ShardWriter:

@@ -18,15 +18,14 @@ class ChunkTable:
         self.young: dict[Hashable, object] = {}
         self.old: dict[Hashable, object] = {}
 
-    def lookup(self, chunks: list[list]) -> dict:
-        """A dict that holds every chunk of the given documents."""
+    def lookup(self, chunks: list) -> list:
+        """The value of each of the given chunks."""
         if len(self.young) > self.limit:
             self.old, self.young = self.young, {}
-        wanted = set().union(*chunks) if chunks else set()
-        wanted.difference_update(self.young)
         young, old = self.young, self.old
+        out = [young.get(chunk) for chunk in chunks]
         missing = []
-        for chunk in wanted:
+        for chunk in dict.fromkeys(c for c, value in zip(chunks, out, strict=True) if value is None):
             if (value := old.get(chunk)) is not None:
                 young[chunk] = value
             else:
@@ -34,4 +33,4 @@ class ChunkTable:
         for at in range(0, len(missing), 20_000):
             part = missing[at : at + 20_000]
             young.update(zip(part, self.work_out(part), strict=True))
-        return young
+        return [young[c] if value is None else value for c, value in zip(chunks, out, strict=True)]
