@@ -140,8 +140,8 @@ def encode(column: pa.Array, path: str, end_id: int) -> list[bytes]:
     """Ids of each text, with the end id, as little-endian bytes; a null is empty."""
     table, added = _table(path)
     texts = pc.fill_null(column, "")
-    whole = added is None or texts.nbytes > 1 << 30  # spaces put in might pass 32-bit offsets
-    words = pc.ascii_split_whitespace(texts if whole else _spread(texts, added))
+    as_is = added is None or texts.nbytes > 64 << 20  # more than a batch: one huge text, of which there should be no more copies
+    words = pc.ascii_split_whitespace(texts if as_is else _spread(texts, added))
     end = struct.pack("<I", end_id)
     coded = words.flatten().dictionary_encode()
     if not len(coded):
