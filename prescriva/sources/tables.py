@@ -26,10 +26,10 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/prescriva-{name}-{uuid.uuid4().hex[:12]}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table that outlives executors."""
+def written(df: DataFrame, name: str, **options: str | int) -> DataFrame:
+    """``df`` as a table that outlives executors; ``options`` of Parquet."""
     path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
