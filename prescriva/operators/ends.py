@@ -18,9 +18,9 @@ CELLS, WIDEST = 1024, 16.0
 NEAR, NEAR_DERIVATIVE = 1e-13, 1e-11
 
 
-def iterated(pull: np.ndarray, slope: float, memory: float, a: float, b: float, start: float, steps: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def iterated(pull: np.ndarray, slope: float | np.ndarray, memory: float, a: float, b: float, start: float | np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(end, first and second derivative by the pull) of each pull."""
-    state, first, second = np.full(pull.shape, float(start)), np.zeros(pull.shape), np.zeros(pull.shape)
+    state, first, second = np.full(pull.shape, start, dtype=float), np.zeros(pull.shape), np.zeros(pull.shape)
     for _ in range(steps):
         state = 1 / (1 + np.exp(-slope * (memory * (a * state + b) + pull)))
         bend, inward = slope * state * (1 - state), memory * a * first + 1
@@ -31,15 +31,15 @@ def iterated(pull: np.ndarray, slope: float, memory: float, a: float, b: float,
 
 @dataclass(frozen=True)
 class Ends:
-    """``tabled``: polynomials of the fifth degree, a column for each cell, that have the value and two derivatives at both of its sides; ``left_out``: cells where they aren't near enough."""
+    """The table of one slope and start (``settings``: slope, memory, a, b, start, steps). ``tabled``: polynomials of the fifth degree, a column for each cell, that have the value and two derivatives at both of its sides; ``left_out``: cells where they aren't near enough."""
 
     settings: tuple[float, float, float, float, float, int]
     low: float
     tabled: np.ndarray
     left_out: np.ndarray
 
-    def at(self, pull: np.ndarray, derivative: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
-        """(end, its derivative) of each pull of a vector."""
+    def told(self, pull: np.ndarray, end: np.ndarray, slope: np.ndarray | None = None) -> np.ndarray:
+        """Writes the end, and its derivative, of each pull of a vector; which ones aren't tabled, and have to be iterated, is returned."""
         place = (pull - self.low) * CELLS
         within = None
         if not (place.min(initial=0) >= 0 and place.max(initial=0) < self.tabled.shape[1]):
@@ -48,21 +48,33 @@ class Ends:
         cell = place.astype(np.intp)
         apart = self.left_out.take(cell) if within is None else self.left_out.take(cell) | ~within
         place -= cell
-        end, slope, own = self.tabled[5].take(cell), None, np.empty(len(pull))
+        own = np.empty(len(pull))
+        self.tabled[5].take(cell, out=end, mode="clip")
+        if slope is not None:
+            slope[:] = 0
         for k in range(4, -1, -1):
-            if derivative:
-                slope = end.copy() if slope is None else np.add(np.multiply(slope, place, out=slope), end, out=slope)
+            if slope is not None:
+                slope *= place
+                slope += end
             end *= place
             end += self.tabled[k].take(cell, out=own, mode="clip")
-        if derivative:
+        if slope is not None:
             slope *= CELLS
-        rows = np.flatnonzero(apart)
-        if len(rows):
-            found = iterated(pull[rows], *self.settings)
-            end[rows] = found[0]
-            if derivative:
-                slope[rows] = found[1]
-        return end, slope
+        return np.flatnonzero(apart)
+
+
+def ends_of(tables: list[Ends], pull: np.ndarray, derivative: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+    """(ends, their derivatives) of tables x pulls; what isn't tabled is iterated together."""
+    end, slope = np.empty(pull.shape), np.empty(pull.shape) if derivative else None
+    apart = [t.told(pull[i], end[i], slope[i] if derivative else None) for i, t in enumerate(tables)]
+    of, row = np.repeat(np.arange(len(tables)), [len(k) for k in apart]), np.concatenate(apart)
+    if len(of):
+        slopes, memory, a, b, starts, steps = zip(*(t.settings for t in tables), strict=True)
+        found = iterated(pull[of, row], np.array(slopes)[of], memory[0], a[0], b[0], np.array(starts)[of], steps[0])
+        end[of, row] = found[0]
+        if derivative:
+            slope[of, row] = found[1]
+    return end, slope
 
 
 @lru_cache(maxsize=64)
@@ -84,7 +96,9 @@ def ends(slope: float, memory: float, a: float, b: float, start: float, steps: i
     wrong = np.zeros(tabled.shape[1], dtype=bool)
     for share in (0.25, 0.5, 0.75):
         between = sides[:-1] + share / CELLS
-        (told, bent), (true, real, _) = out.at(between), iterated(between, *settings)
+        told, bent = np.empty((2, len(between)))
+        out.told(between, told, bent)
+        true, real, _ = iterated(between, *settings)
         wrong |= ~((np.abs(told - true) <= NEAR) & (np.abs(bent - real) <= NEAR_DERIVATIVE * np.maximum(1, np.abs(real))))
     out.left_out[:] = wrong
     return out

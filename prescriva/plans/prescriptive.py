@@ -251,13 +251,15 @@ class Model:
 def run(df: DataFrame, schema: Schema, key: str, options: Options | None = None, told: Callable[[str], None] = lambda stage: None) -> tuple[Model, dict, DataFrame]:
     """(model, metrics, plans). ``df`` has a unique ``key``; ``told`` hears each stage.
 
-    The table is written once with its levels and split, since every stage reads it.
+    The table is written as it comes, since the encoders' passes would make it anew each
+    time, and once with its levels and split, since every later stage reads it.
     """
     o = options or Options()
     schema = schema.binarized(o.binarize) if o.binarize is not None else schema
     schema = schema.all_dynamic() if o.all_dynamic else schema
     levels = schema.level_values
     told("split")
+    df = tables.written(df, "input")
     _check_orders(df, schema)
     probe = Preprocessor.fit(df, schema)
     value = probe.encoded(df)[schema.concepts[-1].id]

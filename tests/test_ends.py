@@ -16,10 +16,10 @@ def test_looked_up_ends_are_the_iterated_ones(rule, slope):
     memory, a, b, _ = replace(o.fixed_map(rule), slope=slope).parameters
     table = ends.ends(slope, memory, a, b, 0.47, 30, 3.0)
     pull = np.concatenate([np.linspace(-3.5, 3.5, 40_001), np.linspace(-0.6, -0.4, 40_001)])
-    end, bend = table.at(pull)
+    [end], [bend] = ends.ends_of([table], pull[None])
     true, total = learn._single(0.47, pull[None], np.array([[slope]]), memory, a, b, 30)
     assert np.abs(end - true[0]).max() < 1e-12 and (np.abs(bend - total[0]) / np.maximum(1, np.abs(total[0]))).max() < 1e-10
-    assert table.at(pull, derivative=False)[0] == pytest.approx(end, abs=0) and np.isnan(table.at(np.array([0.1, np.nan]))[0][1])
+    assert (ends.ends_of([table], pull[None], derivative=False)[0][0] == end).all() and np.isnan(ends.ends_of([table], np.array([[0.1, np.nan]]))[0][0, 1])
 
 
 def test_sums_of_looked_up_ends():
@@ -35,6 +35,8 @@ def test_sums_of_looked_up_ends():
     found = learn.lone_sums(maps, x, v, edges, receivers)
     for a, b in zip(found, true, strict=True):
         assert a == pytest.approx(b, rel=1e-9, abs=1e-7)
+    for a, b in zip(learn.lone_sums(maps[:2], x, v, edges, receivers), found, strict=True):
+        assert a == pytest.approx(b[:2], rel=1e-12, abs=1e-9)
     assert learn.lone_sums(maps, x, v, edges, receivers, curved=False)[0] == pytest.approx(true[0], rel=1e-11)
     rows, plain = [], ends.iterated
     try:
